@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("op1_quality_rules", "op2_token_counts", "op5_bpe")
+MODULES = ("op1_quality_rules", "op2_token_counts", "op5_bpe", "op7_packing")
 
 
 def _all(attribute: str) -> dict:
