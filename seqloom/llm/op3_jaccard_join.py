@@ -6,8 +6,9 @@ of their set sizes:
 
 * The upper level is distributed. A class can only link with another if the two share a token among the first few of each
   in a common order (rare tokens first, by a frequency sketch over all documents): with none in common their largest
-  possible overlap is too small. Classes that share such a token gather in leaves of bounded size, a leaf's bitmap is the
-  sparse set of its members' first tokens, and two leaves meet only if their bitmaps and size ranges do.
+  possible overlap is too small, and it is no more than what either has from that token on. Classes that share such a
+  token gather in leaves of bounded size, a leaf's bitmap is the sparse set of its members' first tokens, and two leaves
+  meet only where their bitmaps do and size ranges and largest overlaps allow it.
 * Below, a task takes two leaves (or one with itself), builds the tree of dense bitmaps and walks both sides at once. A
   pair of nodes is left as soon as its size ranges or the largest overlap that the bitmaps allow rule out a link; pairs
   of texts that are left are compared exactly, unless they are known to be connected already.
@@ -175,69 +176,107 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[Data
 
 
 def _postings(docs: DataFrame, text_col: str, width: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """Rows (token, class, n): first tokens of every text; copies within a task count once."""
+    """Rows (token, class, n, reach): first tokens of every text, and how many tokens it has from there on; copies within a task count once."""
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            tokens, classes, sizes = [np.zeros(0, np.uint64)], [], []
+            tokens, reach, classes, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [], []
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 t = shingles(text or b"", width)
                 if len(t):
                     c = int.from_bytes(xxhash.xxh3_128_digest(t.tobytes())[:8], "big", signed=True)
                     if c not in seen:
                         seen.add(c)
-                        tokens.append(first_tokens(t, sketch, percent))
+                        first = first_tokens(t, sketch, percent)
+                        tokens.append(first)
+                        reach.append(len(t) - np.arange(len(first), dtype=np.int32))
                         classes.append(c)
                         sizes.append(len(t))
             each = [len(x) for x in tokens[1:]]
-            yield pa.RecordBatch.from_arrays([_as_long(np.concatenate(tokens)), pa.array(np.repeat(np.array(classes, np.int64), each)), pa.array(np.repeat(np.array(sizes, np.int64), each))], names=["token", "class", "n"])
+            yield pa.RecordBatch.from_arrays([_as_long(np.concatenate(tokens)), pa.array(np.repeat(np.array(classes, np.int64), each)), pa.array(np.repeat(np.array(sizes, np.int32), each)), pa.array(np.concatenate(reach))], names=["token", "class", "n", "reach"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "token bigint, class bigint, n bigint")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "token bigint, class bigint, n int, reach int")
+
+
+#: Parts of a set are counted in so many, rounded up.
+_WHOLE = 4096
+
+
+def _part():
+    return F.ceil(F.col("reach") * _WHOLE / F.col("n")).cast("int")
+
+
+def _least_sum(percent: int) -> int:
+    """Two linked sets have an overlap of percent / (100 + percent) of their sizes' sum at least. Divided by either size and
+    added, the parts that they have from their first common token on are 4 times that at least, whatever the sizes."""
+    return 4 * percent * _WHOLE // (100 + percent)
+
+
+def _shared(postings: DataFrame, percent: int) -> DataFrame:
+    """Rows (token, class, n, reach) of tokens that two classes have early enough for a link to be possible."""
+    # partial aggregates keep a token that many rows share small
+    several = postings.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max(_part()).alias("most")).where((F.col("low") < F.col("high")) & (2 * F.col("most") >= _least_sum(percent)))
+    return postings.join(several.select("token", "most"), "token").where(_part() + F.col("most") >= _least_sum(percent)).select("token", "class", "n", "reach").distinct()
 
 
 def _leaf_pairs(shared: DataFrame, leaves: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a <= b, of leaves whose sparse bitmaps and size ranges meet; each leaf of several members with itself."""
-    marks = shared.join(leaves.select("class", "leaf"), "class").groupBy("token", "leaf").agg(F.min("n").alias("small"), F.max("n").alias("large"))
+    """Pairs (a, b), a <= b, of leaves that meet: sparse bitmaps, size ranges and the largest overlap that these allow."""
+    marks = shared.join(leaves.select("class", "leaf"), "class").groupBy("token", "leaf").agg(
+        F.min("n").alias("small"), F.max("n").alias("large"), F.max("reach").alias("reach"),
+        F.slice(F.sort_array(F.collect_list(_part()), asc=False), 1, 2).alias("parts"),  # a leaf is bounded
+    )
     marks = stored(marks, "bitmaps")
-    other = marks.select("token", F.col("leaf").alias("b"), F.col("small").alias("small_b"), F.col("large").alias("large_b"))
-    meet = marks.withColumnRenamed("leaf", "a").join(other, "token").where((F.col("a") < F.col("b")) & (100 * F.col("large") >= percent * F.col("small_b")) & (100 * F.col("large_b") >= percent * F.col("small")))
-    own = leaves.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1").select(F.col("leaf").alias("a"), F.col("leaf").alias("b"))
-    return meet.select("a", "b").distinct().unionByName(own)
+    other = marks.select("token", F.col("leaf").alias("b"), F.col("small").alias("small_b"), F.col("large").alias("large_b"), F.col("reach").alias("reach_b"))
+    fits = (100 * F.col("large") >= percent * F.col("small_b")) & (100 * F.col("large_b") >= percent * F.col("small"))
+    overlap = (100 + percent) * F.least("reach", "reach_b") >= percent * (F.col("small") + F.col("small_b"))
+    meet = marks.withColumnRenamed("leaf", "a").join(other, "token").where((F.col("a") < F.col("b")) & fits & overlap)
+    own = marks.where((F.size("parts") > 1) & (F.get("parts", F.lit(0)) + F.get("parts", F.lit(1)) >= _least_sum(percent))).select(F.col("leaf").alias("a"), F.col("leaf").alias("b"))
+    return meet.select("a", "b").unionByName(own).distinct()
 
 
-def _edges(members: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) of ids found in each pair of leaves; members: id, leaf, tokens."""
-    kind = members.schema["id"].dataType.simpleString()
+def _edges(docs: DataFrame, id_col: str, text_col: str, players: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges (a, b) of ids found in each pair of leaves; players: rep (an id), leaf."""
+    kind = docs.schema[id_col].dataType.simpleString()
     ends = pairs.select("a", "b", F.col("a").alias("leaf")).unionByName(pairs.where("a < b").select("a", "b", F.col("b").alias("leaf")))
-    rows = ends.join(members, "leaf").select("a", "b", "leaf", "id", "tokens")
+    seats = ends.join(players, "leaf").select("a", "b", "leaf", "rep")
+    # the only shuffle of all texts; what goes on is one text of each class of a leaf that meets another
+    rows = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(seats.hint("shuffle_hash"), "rep").select("a", "b", "leaf", "rep", "text")
+
+    def once(batches):
+        seen = set()  # repeated rows of an id that this task has had
+        for batch in batches:
+            keys = zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)), strict=True)
+            yield batch.filter(pa.array([not (k in seen or seen.add(k)) for k in keys], pa.bool_()))
+
+    rows = rows.mapInArrow(once, f"a bigint, b bigint, leaf bigint, id {kind}, text string")
 
-    def solve(ids: list, sides: list[bool], tokens: list[bytes]) -> list[tuple]:
-        sets = [np.frombuffer(t, np.uint64) for t in tokens]
+    def solve(ids: list, sides: list[bool], texts: list[str]) -> list[tuple]:
+        sets = [shingles(t.encode(), width) for t in texts]
         left = [i for i, s in enumerate(sides) if s]
         right = [i for i, s in enumerate(sides) if not s] or None
         return [(ids[i], ids[j]) for i, j in dual_walk(sets, left, right, percent)] if left else []
 
     def run(batches):
-        held, ids, sides, tokens = None, [], [], []
+        held, ids, sides, texts = None, [], [], []
         for batch in batches:
             out = []
             for a, b, leaf, i, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (a, b) != held:
                     if held:
-                        out += solve(ids, sides, tokens)
-                    held, ids, sides, tokens = (a, b), [], [], []
+                        out += solve(ids, sides, texts)
+                    held, ids, sides, texts = (a, b), [], [], []
                 ids.append(i)
                 sides.append(leaf == a)
-                tokens.append(t)
+                texts.append(t)
             id_type = batch.schema.field(3).type
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], id_type) for k in (0, 1)], names=["a", "b"])
         if held:
-            out = solve(ids, sides, tokens)
+            out = solve(ids, sides, texts)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], id_type) for k in (0, 1)], names=["a", "b"])
 
     # a pair of leaves is bounded, so no partition grows with one key
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(n, "a", "b").sortWithinPartitions("a", "b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
@@ -247,27 +286,14 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     named = sets.where("id IS NOT NULL AND key IS NOT NULL")
     classes = stored(named.groupBy("key").agg(F.min("id").alias("rep")).withColumn("class", F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("bigint")), "classes")
     postings = _postings(docs.where(F.col(id_col).isNotNull()), text_col, width, percent, sketch)
-    # tokens of two classes at least; partial aggregates keep a token that many copies share small
-    several = postings.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("token")
-    shared = stored(postings.join(several, "token").distinct(), "shared")
+    shared = stored(_shared(postings, percent), "shared")
     # a class's leaf goes by its least shared token, which near copies mostly have in common; large ones are dealt out evenly
     keyed = stored(shared.groupBy("class").agg(F.min("token").alias("token"), F.first("n").alias("n")), "keyed")
     many = keyed.groupBy("token").agg(F.ceil(F.count("*") / leaf).alias("parts"))
     leaves = stored(keyed.join(many, "token").select("class", "n", F.xxhash64("token", F.pmod("class", "parts")).alias("leaf")), "leaves")
     pairs = stored(_leaf_pairs(shared, leaves, percent), "pairs")
     players = classes.join(leaves, "class").select("rep", "leaf")
-
-    def tokens(text: F.Column):
-        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for batch in batches:
-                yield pa.array([shingles(t or b"", width).tobytes() for t in batch.cast(pa.binary()).to_pylist()], pa.binary())
-
-        return F.arrow_udf(run, "binary")(text)
-
-    # the only shuffle of texts: one text of each class that shares a token
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(players.hint("shuffle_hash"), "rep")
-    members = stored(texts.dropDuplicates(["rep", "leaf"]).select(F.col("rep").alias("id"), "leaf", tokens(F.col("text")).alias("tokens")), "members")
-    found = components(_edges(members, pairs, percent)).select(F.col("v").alias("rep"), "label")
+    found = components(_edges(docs, id_col, text_col, players, pairs, width, percent)).select(F.col("v").alias("rep"), "label")
     reached = named.join(classes.select("key", "rep"), "key").select("id", "n", "rep").join(found, "rep", "left").select("id", "n", F.coalesce("label", "rep").alias("component_id"))
     rest = sets.where("id IS NULL OR key IS NULL").select("id", "n", F.col("id").alias("component_id"))
     return reached.unionByName(rest).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
