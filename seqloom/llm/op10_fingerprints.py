@@ -5,8 +5,9 @@ normalised: up to the normal length a stricter mask has to match, beyond it an e
 the normal one and a local edit moves no boundary beyond its neighbourhood. A fingerprint is the set of chunk digests, each
 with its length; likeness is containment, the part of one fingerprint's length whose digests the other has as well.
 
-The query needs the text that comes next in descending order of ids. Documents are range-partitioned once by id; inside a
-task the next document is the next row. The first and last rows of the tasks meet in a join of as many rows as tasks.
+The query needs the text that comes next in descending order of ids. Documents are range-partitioned once by id, by bounds
+from a bounded sample of ids, which only even out the ranges. Inside a task the next document is the next row; a copy of
+the first row of the following range, one for each range, goes along as the last row of the range before it.
 
 Cases: a null text is the empty one, whose fingerprint is the empty string; two empty fingerprints are wholly alike, an
 empty one and another not at all; rows with equal ids follow each other by text; null ids come last; a single document is
@@ -17,19 +18,21 @@ from __future__ import annotations
 
 import hashlib
 import random
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import documents, stored, text_or_empty
+from seqloom.llm.common import documents, text_or_empty
 
 #: Lengths of chunks in bytes: least, normal, most; bits of the masks before and after the normal length.
 LEAST, NORMAL, MOST, STRICT_BITS, EASY_BITS = 12, 32, 128, 6, 4
+#: Ids sampled for each range.
+SAMPLED = 50
 _draw = random.Random(2024)
 GEAR = np.array([_draw.getrandbits(32) for _ in range(256)], np.uint32)
 
@@ -129,57 +132,47 @@ def _compare(text: str, own: dict[str, int], following: str, others: dict[str, i
     return len(text), hashlib.sha256(changed).hexdigest(), written(own), written(marks), likeness(own, marks), likeness(own, others)
 
 
-def _batch(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
-    """rows: id, result or None, task, side (done, first or last of the task), and the text of a first or last row."""
-    fields = [pa.field("id", id_type), *(pa.field(n, t) for n, t in _RESULT), pa.field("task", pa.int64()), pa.field("side", pa.string()), pa.field("text", pa.string())]
-    nothing = (None,) * len(_RESULT)
-    columns = list(zip(*((r[0], *(r[1] or nothing), *r[2:]) for r in rows), strict=True)) or [()] * len(fields)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=pa.schema(fields))
+def _ranges(ids: DataFrame, parts: int) -> tuple:
+    """Function from a column of ids to the number of their range, highest ids first, and null ones in a range of their own."""
+    sample = sorted(r[0] for r in ids.where("id IS NOT NULL").orderBy(F.xxhash64("id")).limit(SAMPLED * parts).select("id").collect())
+    bounds = sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
+
+    def run(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in column:
+            yield pa.array([len(bounds) + 1 if i is None else len(bounds) - bisect_right(bounds, i) for i in batch.to_pylist()], pa.int32())
+
+    return F.arrow_udf(run, "int"), len(bounds) + 2
 
 
 def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    order = [F.desc_nulls_last("id"), F.asc("text")]
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    rows = rows.repartitionByRange(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), *order[:1]).sortWithinPartitions(*order)
+    range_of, n = _ranges(rows.select("id"), partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # the first id of each range that has rows: as many as there are ranges
+    first = {r.range: r.id for r in rows.select("id", range_of("id").alias("range")).groupBy("range").agg(F.max("id").alias("id")).collect()}
+    used = sorted(first)
+    before = {k: used[i - 1] for i, k in enumerate(used)}  # before the first range stands the last
+    heads = spark.createDataFrame([(before[k], first[k]) for k in used], f"range int, id {kind}")
+    borrowed = rows.join(F.broadcast(heads), rows["id"].eqNullSafe(heads["id"])).groupBy("range").agg(F.min("text").alias("text"))
+    all_rows = rows.select(range_of("id").alias("range"), F.lit(0).alias("last"), "id", "text").unionByName(borrowed.select("range", F.lit(1).alias("last"), F.lit(None).cast(kind).alias("id"), "text"))
+    dealt = all_rows.repartitionById(n, "range").sortWithinPartitions("range", "last", F.desc_nulls_last("id"), "text")
 
     def run(batches):
-        task, held, begun = TaskContext.get().partitionId(), None, False
+        held = None
         for batch in batches:
-            out, id_type = [], batch.schema.field(0).type
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids, out = [], []
+            for last, i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = chunks(text.encode())
-                if not begun:
-                    begun = True
-                    out.append((i, None, task, "first", text))
-                else:
-                    out.append((held[0], _compare(held[1], held[2], text, found), task, "done", None))
-                held = (i, text, found)
-            yield _batch(out, id_type)
-        if begun:
-            yield _batch([(held[0], None, task, "last", held[1])], id_type)
-
-    made = stored(rows.mapInArrow(run, f"id {kind}, {_RESULT_DDL}, task bigint, side string, text string"), "fingerprints")
-    done = made.where("side = 'done'")
-    # as many rows as tasks: the window sees task numbers only
-    firsts = made.where("side = 'first'").select("task", F.col("text").alias("following"))
-    by_task = Window.orderBy("task")
-    tasks = firsts.select("task", F.coalesce(F.lead("task").over(by_task), F.first("task").over(by_task)).alias("to_task"))  # after the last, the first
-    ends = made.where("side = 'last'").select("id", "text", "task").join(tasks, "task").select("id", "text", F.col("to_task").alias("task"))
-    ends = ends.join(firsts, "task").select("id", "text", "following")
-
-    def finish(batches):
-        for batch in batches:
-            out = []
-            for text, following in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                out.append(_compare(text, chunks(text.encode()), following, chunks(following.encode())))
+                if held:
+                    ids.append(held[0])
+                    out.append(_compare(held[1], held[2], text, found))
+                held = None if last else (i, text, found)
             columns = list(zip(*out, strict=True)) or [()] * len(_RESULT)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, (_, t) in zip(columns, _RESULT, strict=True))], names=["id", *(n for n, _ in _RESULT)])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(1).type), *(pa.array(c, t) for c, (_, t) in zip(columns, _RESULT, strict=True))], names=["id", *(name for name, _ in _RESULT)])
 
-    names = [n for n, _ in _RESULT]
-    return done.select("id", *names).unionByName(ends.mapInArrow(finish, f"id {kind}, {_RESULT_DDL}")).withColumnRenamed("id", id_col)
+    return dealt.select("last", "id", "text").mapInArrow(run, f"id {kind}, {_RESULT_DDL}").withColumnRenamed("id", id_col)
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
