@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,12 +32,14 @@ from pyspark.sql import functions as F
 from seqloom.llm.common import documents, labels, stored, text_or_empty
 
 #: Labelled rows that a fit uses at most; rows for the weights of the kinds; stems that a grammar holds at most.
-SAMPLE_ROWS, WEIGHT_ROWS, MAX_STEMS = 30_000, 6_000, 4000
+SAMPLE_ROWS, WEIGHT_ROWS, MAX_STEMS = 20_000, 6_000, 4000
 THRESHOLD = 0.7
 #: Lengths of word beginnings that may become stems; a stem is learned from at least MIN_TOXIC toxic texts, of MIN_SHARE of all that have it.
 STEM_LENGTHS, MIN_TOXIC, MIN_SHARE = range(3, 11), 4, 0.35
 #: Least log likelihood ratio of a stem against chance, and of a longer stem against the shorter one that it begins with.
 CHANCE, REFINED = 14.0, 7.0
+#: Stems that a task counts before it hands them on.
+FLUSH = 200_000
 #: Weight of one kind that a text can gather at most.
 MOST = 30.0
 
@@ -153,8 +156,8 @@ def near_copy_key(text: Column) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             keys = []
-            for t in batch.cast(pa.binary()).to_pylist():
-                w = (t or b"").split()
+            for t in batch.cast(pa.binary()):
+                w = (t.as_py() or b"").split()
                 keys.append(min((zlib.crc32(b" ".join(w[i : i + 4])) for i in range(max(1, len(w) - 3)))))
             yield pa.array(keys, pa.int64())
 
@@ -168,20 +171,26 @@ def fit(docs: DataFrame, marked: DataFrame, *, id_col: str = "doc_id", text_col:
     rows = stored(rows.select("_label", "_text", near_copy_key(F.col("_text")).alias("_copy")), "toxicity-sample")
 
     def stems(batches):
+        def flush() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(list(counter), pa.string()), pa.array(list(counter.values()), pa.int64())], names=["stem", "n"])
+            counter.clear()
+            return made
+
+        counter: Counter[str] = Counter()
         for batch in batches:
-            out: list[tuple[str, int, int]] = []
-            for label, text, copy in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for text in batch.column(0):
                 found = set()
-                for w in set(_WORD.findall(text.lower())):
+                for w in set(_WORD.findall(text.as_py().lower())):
                     found.add(f"{w} ")
                     found.update(w[:n] for n in STEM_LENGTHS if n <= len(w))
-                out += [(s, label, copy) for s in found]
-            columns = list(zip(*out, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64()), strict=True)], names=["stem", "label", "copy"])
+                counter.update(found)
+                if len(counter) > FLUSH:
+                    yield flush()
+        yield flush()
 
     # near copies of a text count once
-    toxic = rows.where("_label = 1").dropDuplicates(["_copy"]).mapInArrow(stems, "stem string, label int, copy bigint").groupBy("stem").agg(F.count("*").alias("toxic")).where(F.col("toxic") >= MIN_TOXIC)
-    clean = rows.where("_label = 0").dropDuplicates(["_copy"]).mapInArrow(stems, "stem string, label int, copy bigint").groupBy("stem").agg(F.count("*").alias("clean"))
+    toxic = rows.where("_label = 1").dropDuplicates(["_copy"]).select("_text").mapInArrow(stems, "stem string, n bigint").groupBy("stem").agg(F.sum("n").alias("toxic")).where(F.col("toxic") >= MIN_TOXIC)
+    clean = rows.where("_label = 0").dropDuplicates(["_copy"]).select("_text").mapInArrow(stems, "stem string, n bigint").groupBy("stem").agg(F.sum("n").alias("clean"))
     found = toxic.join(clean, "stem", "left").select("stem", "toxic", F.coalesce("clean", F.lit(0)).alias("clean"))
     n = {r._label: r.n for r in rows.groupBy("_label").agg(F.countDistinct("_copy").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
@@ -267,7 +276,7 @@ def kind_features(text: Column, stems: dict[str, float]) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = matcher(stems)
         for batch in batches:
-            yield pa.array([m.features(t or "") for t in batch.to_pylist()], pa.list_(pa.float64()))
+            yield pa.array([m.features(t.as_py() or "") for t in batch], pa.list_(pa.float64()))
 
     return F.arrow_udf(run, "array<double>").asNondeterministic()(text)
 
@@ -278,7 +287,7 @@ def toxicity(text: Column, grammar: Grammar) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = matcher(grammar.stems)
         for batch in batches:
-            x = np.array([m.features(t or "") for t in batch.to_pylist()], float).reshape(len(batch), len(FEATURES))
+            x = np.array([m.features(t.as_py() or "") for t in batch], float).reshape(len(batch), len(FEATURES))
             yield pa.array(np.round(probability(x, grammar.kinds, grammar.bias), 9), pa.float64())
 
     return F.arrow_udf(run, "double").asNondeterministic()(text)
