@@ -35,8 +35,8 @@ from seqloom.llm.common import documents, stored
 from seqloom.llm.components import components
 
 WIDTH, PERCENT = 4, 85
-#: Members of a leaf on average at most, children of a node, cells of the frequency sketch.
-LEAF, FANOUT, CELL_BITS = 64, 4, 18
+#: Members of a leaf on average at most, leaves that one leaf is held against at a time, children of a node, cells of the frequency sketch.
+LEAF, ABREAST, FANOUT, CELL_BITS = 64, 16, 4, 18
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
@@ -111,8 +111,8 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def dual_walk(sets: list[np.ndarray], left: list[int], right: list[int] | None, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Edges that connect all that links between left and right, or within left; a pair that earlier edges connect is passed over."""
+def dual_walk(sets: list[np.ndarray], left: list[int], right: list[int] | None, percent: int = PERCENT, known: list[tuple[int, int]] = ()) -> list[tuple[int, int]]:
+    """Edges, besides the known ones, that connect all that links between left and right, or within left; a pair that earlier edges connect is passed over."""
     parent = list(range(len(sets)))
 
     def root(i: int) -> int:
@@ -120,6 +120,9 @@ def dual_walk(sets: list[np.ndarray], left: list[int], right: list[int] | None,
             parent[i] = i = parent[parent[i]]
         return i
 
+    for i, j in known:
+        a, b = root(i), root(j)
+        parent[max(a, b)] = min(a, b)
     size = 64
     while size < 8 * max(len(sets[i]) for i in (*left, *(right or ()))):
         size *= 2
@@ -236,12 +239,19 @@ def _leaf_pairs(shared: DataFrame, leaves: DataFrame, percent: int) -> DataFrame
 
 
 def _edges(docs: DataFrame, id_col: str, text_col: str, players: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Edges (a, b) of ids found in each pair of leaves; players: rep (an id), leaf."""
+    """Edges (a, b) of ids found in each pair of leaves; players: rep (an id), leaf.
+
+    A task's unit of work is a leaf a and at most about ABREAST leaves b that it meets, itself among them or not: a's
+    members travel once for all of these.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
-    ends = pairs.select("a", "b", F.col("a").alias("leaf")).unionByName(pairs.where("a < b").select("a", "b", F.col("b").alias("leaf")))
-    seats = ends.join(players, "leaf").select("a", "b", "leaf", "rep")
+    met = pairs.groupBy("a").agg(F.ceil(F.count("*") / ABREAST).alias("parts"))
+    work = pairs.join(met, "a").select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), "b")
+    own = work.groupBy("a", "part").agg(F.max(F.when(F.col("a") == F.col("b"), 2).otherwise(1)).alias("side")).select("a", "part", F.col("a").alias("leaf"), "side")
+    ends = own.unionByName(work.where("a < b").select("a", "part", F.col("b").alias("leaf"), F.lit(0).alias("side")))
+    seats = ends.join(players, "leaf").select("a", "part", "side", "rep")
     # the only shuffle of all texts; what goes on is one text of each class of a leaf that meets another
-    rows = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(seats.hint("shuffle_hash"), "rep").select("a", "b", "leaf", "rep", "text")
+    rows = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(seats.hint("shuffle_hash"), "rep").select("a", "part", "side", "rep", "text")
 
     def once(batches):
         seen = set()  # repeated rows of an id that this task has had
@@ -249,35 +259,39 @@ def _edges(docs: DataFrame, id_col: str, text_col: str, players: DataFrame, pair
             keys = zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)), strict=True)
             yield batch.filter(pa.array([not (k in seen or seen.add(k)) for k in keys], pa.bool_()))
 
-    rows = rows.mapInArrow(once, f"a bigint, b bigint, leaf bigint, id {kind}, text string")
+    rows = rows.mapInArrow(once, f"a bigint, part bigint, side int, id {kind}, text string")
 
-    def solve(ids: list, sides: list[bool], texts: list[str]) -> list[tuple]:
-        sets = [shingles(t.encode(), width) for t in texts]
-        left = [i for i, s in enumerate(sides) if s]
-        right = [i for i, s in enumerate(sides) if not s] or None
-        return [(ids[i], ids[j]) for i, j in dual_walk(sets, left, right, percent)] if left else []
+    def solve(unit: list[tuple]) -> list[tuple]:
+        """unit: (side, id, set); side 0: of a leaf b, 1: of a, 2: of a, which is to be joined with itself too."""
+        sets = [s for _, _, s in unit]
+        left = [i for i, u in enumerate(unit) if u[0]]
+        right = [i for i, u in enumerate(unit) if not u[0]]
+        if not left:
+            return []
+        found = dual_walk(sets, left, None, percent) if unit[left[0]][0] == 2 else []
+        found += dual_walk(sets, left, right, percent, found) if right else []
+        return [(unit[i][1], unit[j][1]) for i, j in found]
 
     def run(batches):
-        held, ids, sides, texts = None, [], [], []
+        held, unit = None, []
         for batch in batches:
             out = []
-            for a, b, leaf, i, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (a, b) != held:
+            for a, part, side, i, text in zip(*batch.columns, strict=True):
+                key = (a.as_py(), part.as_py())
+                if key != held:
                     if held:
-                        out += solve(ids, sides, texts)
-                    held, ids, sides, texts = (a, b), [], [], []
-                ids.append(i)
-                sides.append(leaf == a)
-                texts.append(t)
+                        out += solve(unit)
+                    held, unit = key, []
+                unit.append((side.as_py(), i.as_py(), shingles(text.as_py().encode(), width)))
             id_type = batch.schema.field(3).type
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], id_type) for k in (0, 1)], names=["a", "b"])
         if held:
-            out = solve(ids, sides, texts)
+            out = solve(unit)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], id_type) for k in (0, 1)], names=["a", "b"])
 
-    # a pair of leaves is bounded, so no partition grows with one key
+    # a unit is bounded, so no partition grows with one key
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "a", "b").sortWithinPartitions("a", "b").mapInArrow(run, f"a {kind}, b {kind}")
+    return rows.repartition(n, "a", "part").sortWithinPartitions("a", "part").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, leaf: int = LEAF) -> DataFrame:
