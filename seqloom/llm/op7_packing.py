@@ -18,6 +18,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,28 +43,26 @@ class WordTokens:
         self.tokenizer.no_padding()
         self.specials = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.cache = Cache(self._pieces, 400_000)
-        self.lower = Cache(self.whole, 400_000)
+        self.cache = Cache(self.whole, 250_000)
+        self.marks = dict(zip((m := ["", ".", ","]), self.whole(m), strict=True))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """The vocabulary knows no capitals and parts letters from a stop or comma: plain ASCII pieces differ in less than they seem."""
-        bare = [p.lower() if p.isascii() else p for p in pieces]
-        stem = [p[:-1] if len(p) > 1 and p[-1] in ".," and p[-2].isascii() and p[-2].isalnum() else p for p in bare]
-        tail = [p[len(s) :] for p, s in zip(bare, stem, strict=True)]
-        ends = dict(zip((marks := ["", ".", ","]), self.whole(marks), strict=True))
-        return [ids + ends[t] for ids, t in zip(self.lower.values(stem), tail, strict=True)]
+        """The vocabulary parts letters and digits from a stop or comma, so a piece that ends in one has the ids of both."""
+        ends = [len(p) > 1 and p[-1] in ".," and p[-2].isascii() and p[-2].isalnum() for p in pieces]
+        ids = self.cache.values([p[:-1] if e else p for p, e in zip(pieces, ends, strict=True)])
+        return [i + self.marks[p[-1]] if e else i for i, p, e in zip(ids, pieces, ends, strict=True)]
 
     def encode(self, texts: pa.Array) -> Ragged:
-        import pyarrow.compute as pc
-
+        # the vocabulary lowers letters and drops white space itself
+        low = pc.replace_substring(pc.ascii_lower(texts), "\n", " ")
         odd = np.zeros(len(texts), bool)
         for s in self.specials:
-            odd |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False).astype(bool)
-        c = cut(texts)
-        ids = Ragged.of_bytes(self.cache.values(c.distinct), self.kind).take(c.place).join(c.per_text)
+            odd |= pc.match_substring(low, s).to_numpy(zero_copy_only=False).astype(bool)
+        c = cut(low)
+        ids = Ragged.of_bytes(self._pieces(c.distinct), self.kind).take(c.place).join(c.per_text)
         if not odd.any():
             return ids
         rows = [ids.row(i).tobytes() for i in range(len(texts))]
