@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 _BLANK = r"[\x00-\x20\x{7f}-\x{a0}\p{Z}]"
 _TANGLED = rf" {_BLANK}|{_BLANK} |\A{_BLANK}|{_BLANK}\z"
 #: Bytes of text that are worked on at a time, and entries of a cache before it starts anew: both bound a worker's memory.
-SLICE_BYTES, CACHE_ENTRIES = 4_000_000, 600_000
+SLICE_BYTES, CACHE_ENTRIES = 3_000_000, 500_000
 
 
 def slices(batch: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.Array]:

@@ -30,6 +30,8 @@ SAMPLE_ROWS, SLACK = 20_000, 0.0004
 SMOOTHING, SEED = 1.0, 17
 _PAIR = BUCKETS  # and BUCKETS + 1: two different words in a row, the same word twice
 N_FEATURES = BUCKETS + 2
+#: Bytes of text that are worked on at a time; each makes some forty bytes of arrays.
+SLICE_BYTES = 1_000_000
 #: A bin of values small enough to fetch whole.
 FETCH = 4096
 
@@ -66,7 +68,7 @@ def counts(docs: DataFrame, text_col: str) -> np.ndarray:
     def run(batches):
         total = np.zeros(N_FEATURES, np.int64)
         for batch in batches:
-            for part in slices(batch.column(0)):
+            for part in slices(batch.column(0), SLICE_BYTES):
                 bucket, _, same, _ = features(part)
                 total[:BUCKETS] += np.bincount(bucket, minlength=BUCKETS)
                 total[_PAIR] += (~same).sum()
@@ -97,7 +99,7 @@ def log_weight(text: Column, ratios: np.ndarray) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             found = [np.zeros(0)]
-            for part in slices(batch):
+            for part in slices(batch, SLICE_BYTES):
                 bucket, n, same, pairs = features(part)
                 found.append(np.round(sums(ratios[bucket], n) + sums(np.where(same, ratios[_PAIR + 1], ratios[_PAIR]), pairs), 6))
             yield pa.array(np.concatenate(found), pa.float64())
