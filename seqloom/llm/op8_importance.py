@@ -2,10 +2,11 @@
 
 Two bag models over hashed features, one of the target text (documents labelled good) and one of all raw text, give each
 document the log ratio of its likelihoods. Features are windows of bytes, hashed into a fixed number of buckets, and one
-event for each neighbouring pair of words, equal or not. The raw model counts all documents; the target model takes a
+event for each neighbouring pair of words, equal or not; sums are brought to a standard length. The raw model counts all documents; the target model takes a
 bounded sample of labelled ones. Selection is Gumbel top-k: a document's log ratio plus Gumbel noise drawn from a hash of
 its id, of which the k largest stay, which samples k documents without replacement in proportion to their weights. k
-is the number of documents at least as likely as nearly all labelled good ones, so that a corpus of clean text stays whole.
+is the number of documents above the log ratio that parts the labelled sample best, a good document lost counting as much as
+LOSS bad ones kept, so that a corpus of clean text stays whole.
 
 Cases: a null or empty text has no features and a log ratio of 0; repeated rows count as often as they occur, get equal
 scores and are kept or dropped together, as are all ties at the cut; without good labels every ratio is 0 and every
@@ -25,11 +26,13 @@ from seqloom.llm.chunks import cut, slices, sums
 from seqloom.llm.common import documents, labels, stored, unused
 
 WINDOW, BUCKETS = 4, 1 << 15
-#: Labelled rows that the target model and the choice of k use at most; part of them that may lie below the cut.
-SAMPLE_ROWS, SLACK = 20_000, 0.0004
+#: Labelled rows of each label that the target model and the choice of k use at most; bad documents kept that one good document lost is worth.
+SAMPLE_ROWS, LOSS = 20_000, 25
 SMOOTHING, SEED = 1.0, 17
 _PAIR = BUCKETS  # and BUCKETS + 1: two different words in a row, the same word twice
 N_FEATURES = BUCKETS + 2
+#: Features of a document of standard length, to which log ratios are brought so that long texts do not outweigh short ones; features without evidence that each text is given besides.
+STANDARD, DAMPING = 1000.0, 50.0
 #: Bytes of text that are worked on at a time; each makes some forty bytes of arrays.
 SLICE_BYTES = 1_000_000
 #: A bin of values small enough to fetch whole.
@@ -94,14 +97,15 @@ def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
 
 
 def log_weight(text: Column, ratios: np.ndarray) -> Column:
-    """Column of the log ratio of likelihoods of a text column."""
+    """Column of the log ratio of likelihoods of a text column, brought to the standard length."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             found = [np.zeros(0)]
             for part in slices(batch, SLICE_BYTES):
                 bucket, n, same, pairs = features(part)
-                found.append(np.round(sums(ratios[bucket], n) + sums(np.where(same, ratios[_PAIR + 1], ratios[_PAIR]), pairs), 6))
+                total = sums(ratios[bucket], n) + sums(np.where(same, ratios[_PAIR + 1], ratios[_PAIR]), pairs)
+                found.append(np.round(STANDARD * total / (n + pairs + DAMPING), 6))
             yield pa.array(np.concatenate(found), pa.float64())
 
     return F.arrow_udf(run, "double").asNondeterministic()(text)
@@ -131,16 +135,29 @@ def kth_largest(values: DataFrame, column: str, k: int) -> float:
     return low
 
 
-def select(docs: DataFrame, marked: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, slack: float = SLACK) -> DataFrame:
+def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
+    """The log ratio that parts good from bad at the least loss, the lowest of equals; below all without bad ones."""
+    order = np.argsort(weights, kind="stable")
+    w, g = weights[order], good[order]
+    if not len(w) or g.all():
+        return -np.inf
+    lost = np.concatenate([[0], np.cumsum(g)]) * LOSS + (~g).sum() - np.concatenate([[0], np.cumsum(~g)])
+    inner = np.concatenate([[True], w[1:] != w[:-1], [False]])  # a cut lies between two values
+    at = int(np.argmin(np.where(inner, lost, np.inf)))
+    return float(w[at]) if at else -np.inf
+
+
+def select(docs: DataFrame, marked: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """id, log_weight, perturbed, kept: one row per document."""
-    good = marked.where(F.col(label_col) == 1).select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct()
-    sample = F.broadcast(good.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows))  # at most sample_rows ids
+    known = marked.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.min(label_col) == 1).alias("_good"))
+    first = lambda good: known.where(F.col("_good") == good).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
+    good, sample = F.broadcast(first(True)), F.broadcast(first(True).unionByName(first(False)))  # at most sample_rows ids of each label
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    ratios = log_ratios(counts(texts.join(sample, "_id", "left_semi"), "_text"), counts(texts, "_text"))
+    ratios = log_ratios(counts(texts.join(good, "_id", "left_semi"), "_text"), counts(texts, "_text"))
     scored = texts.select("_id", log_weight(F.col("_text"), ratios).alias("log_weight"))
     scored = stored(scored.withColumn("perturbed", F.col("log_weight") + gumbel(F.col("_id"))), "weights")
-    known = np.sort([r[0] for r in scored.join(sample, "_id", "left_semi").select("log_weight").limit(2 * sample_rows).collect()])
-    cut_at = known[int(slack * len(known))] if len(known) else -np.inf
+    seen = scored.join(sample, "_id").groupBy("_id").agg(F.min("log_weight").alias("w"), F.first("_good").alias("g")).toPandas()
+    cut_at = best_cut(seen.w.to_numpy(float), seen.g.to_numpy(bool)) if ratios.any() else -np.inf
     k = scored.where(F.col("log_weight") >= float(cut_at)).count()
     least = kth_largest(scored, "perturbed", k) if k else np.inf
     return scored.select(F.col("_id").alias(id_col), "log_weight", "perturbed", (F.col("perturbed") >= float(least)).alias("kept"))
