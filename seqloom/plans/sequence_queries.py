@@ -27,8 +27,8 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where(S.is_standard("pep") & F.length("pep").between(8, 25))
 
 
-_D = "(SELECT doc_id, lang, regexp_replace(upper(text), '[^A-Z]', '', 'g') AS seq FROM documents)"
-_P = f"(SELECT p_partkey, p_brand, pep FROM (SELECT p_partkey, p_brand, regexp_replace(upper(p_name), '[^A-Z]', '', 'g') AS pep FROM part) WHERE regexp_full_match(pep, '[{R}]+') AND length(pep) BETWEEN 8 AND 25)"
+_D = "(SELECT doc_id, lang, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq FROM documents)"
+_P = f"(SELECT p_partkey, p_brand, pep FROM (SELECT p_partkey, p_brand, upper(regexp_replace(p_name, '[^A-Za-z]', '', 'g')) AS pep FROM part) WHERE regexp_full_match(pep, '[{R}]+') AND length(pep) BETWEEN 8 AND 25)"
 
 
 def _tiles(k: int) -> str:
@@ -100,12 +100,12 @@ UNION ALL SELECT p_partkey, CASE WHEN length(pep) <= 9 THEN pep ELSE substr(pep,
 
 def one_substitution(spark, sf_dir):
     """Every variant of one substitution of the documents' words of 8 letters that is itself such a word."""
-    w = F.explode(F.split(F.upper("text"), "[^A-Z]+"))
-    p = _read(spark, sf_dir, "documents").select(w.alias("pep")).where((F.length("pep") == 8) & S.is_standard("pep")).distinct()
+    words = _read(spark, sf_dir, "documents").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("w"))
+    p = words.select(F.upper("w").alias("pep")).where((F.length("pep") == 8) & S.is_standard("pep")).distinct()
     return tiling.substitutions(p, "pep").join(p.select(F.col("pep").alias("variant")), "variant").select("pep", "variant", F.col("pos").cast("bigint").alias("pos"), "residue")
 
 
-_SUB = f"""WITH p AS (SELECT DISTINCT pep FROM (SELECT unnest(string_split_regex(upper(text), '[^A-Z]+')) AS pep FROM documents) WHERE length(pep) = 8 AND regexp_full_match(pep, '[{R}]+')),
+_SUB = f"""WITH p AS (SELECT DISTINCT pep FROM (SELECT upper(unnest(string_split_regex(text, '[^A-Za-z]+'))) AS pep FROM documents) WHERE length(pep) = 8 AND regexp_full_match(pep, '[{R}]+')),
 v AS (SELECT pep, i AS pos, r AS residue, substr(pep, 1, CAST(i AS INT)) || r || substr(pep, CAST(i AS INT) + 2) AS variant FROM (SELECT pep, unnest(range(0, length(pep))) AS i FROM p), (SELECT unnest(string_split('{R}', '')) AS r) WHERE substr(pep, CAST(i AS INT) + 1, 1) <> r)
 SELECT v.pep, variant, pos, residue FROM v JOIN p q ON v.variant = q.pep"""
 
@@ -142,7 +142,7 @@ def exact_source(spark, sf_dir):
     return b.join(cut, "pep").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"), F.min("offset").cast("bigint").alias("first"))
 
 
-_SRC = f"""WITH b AS (SELECT item_id, substr(regexp_replace(upper(text), '[^A-Z]', '', 'g'), 1, 24) AS pep FROM benchmark),
+_SRC = f"""WITH b AS (SELECT item_id, substr(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 1, 24) AS pep FROM benchmark),
 t AS (SELECT doc_id, o, substr(seq, CAST(o AS INT) + 1, 24) AS pep FROM (SELECT doc_id, seq, unnest(range(0, length(seq) - 23)) AS o FROM {_D} WHERE length(seq) >= 24))
 SELECT item_id, doc_id, count(*) AS n, min(o) AS "first" FROM b JOIN t USING (pep) WHERE length(b.pep) = 24 GROUP BY item_id, doc_id"""
 
@@ -219,8 +219,9 @@ def _flank() -> str:
 def locus_components(spark, sf_dir):
     """Documents connected by a shared window of 40 letters that few enough share to be no phrase: here all of them, 1 over the group size as weight."""
     d = _texts(spark, sf_dir).select(F.col("doc_id").alias("b"), "seq")
-    each = tiling.tile(d, "seq", [40], standard=False, kmer="w").select("b", F.xxhash64("w").alias("h"), "w").dropDuplicates(["b", "h", "w"])
-    edges = each.join(each.groupBy("h", "w").agg(F.min("b").alias("a")), ["h", "w"]).where("a < b").select("a", "b").distinct()
+    each = tiling.tile(d, "seq", [40], standard=False, kmer="w").select("b", "w").distinct()
+    shared = each.groupBy("w").agg(F.min("b").alias("a"), F.max("b").alias("_z")).where("a < _z").select("w", "a")
+    edges = each.join(shared, "w").where("a < b").select("a", "b").distinct()
     groups = density.connected(edges, d.select(F.col("b").alias("id")))
     return groups.withColumn("n", F.count("*").over(Window.partitionBy("component"))).select(F.col("id").alias("doc_id"), "component", F.round(1.0 / F.col("n"), 9).alias("weight"))
 
