@@ -26,8 +26,8 @@ def _c(x: str | Column) -> Column:
 
 
 def letters(text: str | Column) -> Column:
-    """Upper-case A-Z of any text: the stand-in for a sequence."""
-    return F.regexp_replace(F.upper(_c(text)), "[^A-Z]", "")
+    """Letters A-Z of any text in upper case: the stand-in for a sequence."""
+    return F.upper(F.regexp_replace(_c(text), "[^A-Za-z]", ""))
 
 
 def is_standard(seq: str | Column) -> Column:
