@@ -18,7 +18,8 @@ most one edge less than it has members. Groups are connected components of the e
 
 Cases: a text without words has an empty set and links with nothing; repeated rows share a class; a text of fewer words
 than a shingle is one shingle; an empty table gives an empty result; a null id takes part under no name: such rows come
-back with a null component_id; extra columns are never read.
+back with a null component_id; rows of one id are one document, linked through each of its texts; extra columns are never
+read.
 """
 
 from __future__ import annotations
@@ -282,7 +283,9 @@ def _edges(docs: DataFrame, id_col: str, text_col: str, players: DataFrame, pair
                     if held:
                         out += solve(unit)
                     held, unit = key, []
-                unit.append((side.as_py(), i.as_py(), shingles(text.as_py().encode(), width)))
+                found = shingles((text.as_py() or "").encode(), width)
+                if len(found):
+                    unit.append((side.as_py(), i.as_py(), found))
             id_type = batch.schema.field(3).type
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], id_type) for k in (0, 1)], names=["a", "b"])
         if held:

@@ -78,6 +78,8 @@ def test_groups_of_documents_and_odd_tables(spark):
     got = sorted(tuple(r) for r in op3.op3_jaccard_join(spark, SF).collect())
     assert got == plain_groups(rows)
     assert op3.groups(documents(spark, SF).limit(0)).count() == 0
+    twice = spark.createDataFrame([(1, "a b c d e f g"), (1, None), (2, "a b c d e f g h"), (2, "x y z w v"), (3, "x y z w v")], "doc_id bigint, text string")
+    assert {r.component_id for r in op3.groups(twice, percent=50).where("doc_id in (2, 3)").collect()} <= {1, 2}
     lost = spark.createDataFrame([(None, "a b c d e"), (1, "a b c d e")], "doc_id bigint, text string")
     assert sorted(((r.doc_id or 0), r.component_id) for r in op3.groups(lost).collect()) == [(0, None), (1, 1)]
 
