@@ -18,7 +18,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "documents").select("doc_id", "lang", S.letters("text").alias("seq"))
+    """Texts as sequences. Tiling multiplies rows by their length, so an input of fewer files than cores is dealt out first; of many files each is read where it lies."""
+    d = _read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    cores = spark.sparkContext.defaultParallelism
+    if len(d.inputFiles()) < cores:
+        d = d.repartition(2 * cores)
+    return d.select("doc_id", "lang", S.letters("text").alias("seq"))
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
