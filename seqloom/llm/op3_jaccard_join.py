@@ -208,7 +208,7 @@ _WHOLE = 4096
 
 
 def _part():
-    return F.ceil(F.col("reach") * _WHOLE / F.col("n")).cast("int")
+    return F.ceil(F.col("reach").cast("bigint") * _WHOLE / F.col("n")).cast("int")
 
 
 def _least_sum(percent: int) -> int:
@@ -227,7 +227,7 @@ def _shared(postings: DataFrame, percent: int) -> DataFrame:
 def _leaf_pairs(shared: DataFrame, leaves: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b), a <= b, of leaves that meet: sparse bitmaps, size ranges and the largest overlap that these allow."""
     marks = shared.join(leaves.select("class", "leaf"), "class").groupBy("token", "leaf").agg(
-        F.min("n").alias("small"), F.max("n").alias("large"), F.max("reach").alias("reach"),
+        F.min("n").cast("bigint").alias("small"), F.max("n").cast("bigint").alias("large"), F.max("reach").cast("bigint").alias("reach"),
         F.slice(F.sort_array(F.collect_list(_part()), asc=False), 1, 2).alias("parts"),  # a leaf is bounded
     )
     marks = stored(marks, "bitmaps")
