@@ -17,7 +17,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     give an empty result; loops and repeated edges change nothing. A vertex of many edges is one side of a join whose
     other side is unique, and its least label is pre-aggregated.
     """
-    both = stored(edges.select(F.col(a).alias("v"), F.col(b).alias("u")).unionByName(edges.select(F.col(b).alias("v"), F.col(a).alias("u"))).distinct(), "edges")
+    # written before both directions are read from it: computed twice, edges that may differ from run to run would go one way only
+    one = stored(edges.select(F.col(a).alias("v"), F.col(b).alias("u")).distinct(), "edges")
+    both = one.unionByName(one.select(F.col("u").alias("v"), F.col("v").alias("u")))
     labels = stored(both.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("v", "u").alias("label")), "labels")
     for _ in range(MAX_ROUNDS):
         around = both.join(labels.select(F.col("v").alias("u"), "label"), "u").groupBy("v").agg(F.min("label").alias("around"))

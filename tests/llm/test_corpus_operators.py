@@ -7,6 +7,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +98,32 @@ def test_bounds_never_rule_out_a_link():
             assert set(op3.first_tokens(base, sketch, 85)) & set(op3.first_tokens(other, sketch, 85))
 
 
+def test_components_of_edges_that_differ_by_evaluation(spark):
+    """A unit of the join gives some spanning forest of its links; which one may depend on the order of its rows."""
+
+    def forest(batches):
+        rng = random.SystemRandom()
+        for batch in batches:
+            first = sorted(batch.column(0).to_pylist())
+            out = []
+            for f in first:
+                order = [f * 100 + k for k in range(40)]
+                rng.shuffle(order)
+                out += [(order[rng.randrange(k)], order[k]) for k in range(1, 40)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    edges = spark.range(12).repartition(4).mapInArrow(forest, "a bigint, b bigint")
+    found = {r.v: r.label for r in components(edges).collect()}
+    assert found == {f * 100 + k: f * 100 for f in range(12) for k in range(40)}
+
+
+def test_parts_of_very_large_sets_do_not_overflow(spark):
+    sizes = spark.createDataFrame([(7, 1, 3_000_000, 3_000_000), (7, 2, 3_000_000, 2_999_999)], "token bigint, class bigint, n int, reach int")
+    assert op3._shared(sizes, 85).count() == 2
+    leaves = spark.createDataFrame([(1, 10), (2, 20)], "class bigint, leaf bigint")
+    assert [(r.a, r.b) for r in op3._leaf_pairs(sizes, leaves, 85).collect()] == [(10, 20)]
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 480)]
