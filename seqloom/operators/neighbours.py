@@ -35,9 +35,9 @@ def hamming_join(left: DataFrame, right: DataFrame, d: int, *, a: str = "query",
     return pairs.where(first).select(a, b, hamming(F.col(a), F.col(b)).alias("dist")).where(F.col("dist").between(least, d))
 
 
-def nearest(queries: DataFrame, refs: DataFrame, d: int, *, a: str = "query", b: str = "ref") -> DataFrame:
-    """Each query with its least distance (d + 1 without any), the first nearest reference in order, and the number within d."""
-    found = hamming_join(queries, refs, d, a=a, b=b).groupBy(a).agg(F.min(F.struct("dist", b)).alias("_m"), F.count("*").alias("n_within"))
+def nearest(queries: DataFrame, refs: DataFrame, d: int, *, a: str = "query", b: str = "ref", least: int = 0) -> DataFrame:
+    """Each query with its least distance (d + 1 without any), the first nearest reference in order, and the number within d; least=1 leaves out equal ones."""
+    found = hamming_join(queries, refs, d, a=a, b=b, least=least).groupBy(a).agg(F.min(F.struct("dist", b)).alias("_m"), F.count("*").alias("n_within"))
     return queries.select(a).distinct().join(found, a, "left").select(a, F.coalesce("_m.dist", F.lit(d + 1)).alias("dist"), F.col(f"_m.{b}").alias("nearest"), F.coalesce("n_within", F.lit(0)).alias("n_within"))
 
 

@@ -128,7 +128,7 @@ SELECT pep, count(*) FILTER (d = 1) AS n1, count(*) FILTER (d = 2) AS n2 FROM h
 
 
 def nearest_name(spark, sf_dir):
-    """Each customer-segment word and brand among part names: the nearest within two substitutions."""
+    """Part names of up to 12 letters and odd keys among those of even keys: the nearest within two substitutions. A join of two tables, as its SQL has it; all names among all others are nearest_other_name."""
     p = _parts(spark, sf_dir).where(F.length("pep") <= 12)
     odd, even = p.where("p_partkey % 2 = 1").select(F.col("pep").alias("query")), p.where("p_partkey % 2 = 0").select(F.col("pep").alias("ref"))
     return neighbours.nearest(odd, even, 2).select("query", F.col("dist").cast("bigint").alias("dist"), "nearest", F.col("n_within").cast("bigint").alias("n_within"))
@@ -140,6 +140,18 @@ b AS (SELECT query, min(d) AS d, arg_min(ref, (d, ref)) AS nearest, count(*) AS
 SELECT q.pep AS query, CAST(coalesce(d, 3) AS BIGINT) AS dist, nearest, coalesce(n, 0) AS n_within FROM q LEFT JOIN b ON q.pep = b.query"""
 
 
+def nearest_other_name(spark, sf_dir):
+    """Every distinct part name, of any key, length and letters, among all others: the nearest within two substitutions."""
+    p = _read(spark, sf_dir, "part").select(S.letters("p_name").alias("query")).where("query IS NOT NULL")
+    return neighbours.nearest(p, p.select(F.col("query").alias("ref")), 2, least=1).select("query", F.col("dist").cast("bigint").alias("dist"), "nearest", F.col("n_within").cast("bigint").alias("n_within"))
+
+
+_OTHER = """WITH p AS (SELECT DISTINCT upper(regexp_replace(p_name, '[^A-Za-z]', '', 'g')) AS pep FROM part WHERE p_name IS NOT NULL),
+h AS (SELECT a.pep AS query, b.pep AS ref, hamming(a.pep, b.pep) AS d FROM p a JOIN p b ON length(a.pep) = length(b.pep) AND a.pep <> b.pep),
+b AS (SELECT query, min(d) AS d, arg_min(ref, (d, ref)) AS nearest, count(*) AS n FROM h WHERE d <= 2 GROUP BY query)
+SELECT p.pep AS query, CAST(coalesce(d, 3) AS BIGINT) AS dist, nearest, coalesce(n, 0) AS n_within FROM p LEFT JOIN b ON p.pep = b.query"""
+
+
 def exact_source(spark, sf_dir):
     """Every place of each benchmark passage's first 24 letters in the documents."""
     b = _read(spark, sf_dir, "benchmark").select("item_id", F.substring(S.letters("text"), 1, 24).alias("pep")).where(F.length("pep") == 24)
@@ -231,10 +243,10 @@ def locus_components(spark, sf_dir):
     return groups.withColumn("n", F.count("*").over(Window.partitionBy("component"))).select(F.col("id").alias("doc_id"), "component", F.round(1.0 / F.col("n"), 9).alias("weight"))
 
 
-QUERIES = {f.__name__: f for f in (rare_kmers, kmer_tile, kmer_counts, decompose, binding_core, one_substitution, hamming_neighbours, nearest_name, exact_source, kmer_search, position_profile, anchor_counts, face_density, slippery_sites, flank_likeness, locus_components)}
+QUERIES = {f.__name__: f for f in (rare_kmers, kmer_tile, kmer_counts, decompose, binding_core, one_substitution, hamming_neighbours, nearest_name, nearest_other_name, exact_source, kmer_search, position_profile, anchor_counts, face_density, slippery_sites, flank_likeness, locus_components)}
 #: locus_components is iterative and tested against a plain version.
 ORACLE_SQL = {
     "rare_kmers": _RARE, "kmer_tile": _TILE, "kmer_counts": f"SELECT kmer, count(*) AS n FROM {_tiles(5)} GROUP BY kmer", "decompose": _DEC, "binding_core": _CORE, "one_substitution": _SUB,
-    "hamming_neighbours": _HAM, "nearest_name": _NEAR, "exact_source": _SRC, "kmer_search": _SEARCH, "position_profile": _MOTIF, "anchor_counts": _ANCH, "face_density": _DENS,
+    "hamming_neighbours": _HAM, "nearest_name": _NEAR, "nearest_other_name": _OTHER, "exact_source": _SRC, "kmer_search": _SEARCH, "position_profile": _MOTIF, "anchor_counts": _ANCH, "face_density": _DENS,
     "slippery_sites": _SLIP, "flank_likeness": _flank(),
 }

@@ -30,3 +30,10 @@ def test_entry_imports_and_lists_queries():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "rare_kmers" in e.queries()
+
+
+def test_nearest_other_name_asks_for_every_name(spark, tmp_path):
+    rows = [(1, "almond one"), (3, "almond ons"), (2, "brown antique lace"), (4, "brown antique lacy"), (5, "x"), (7, "almond one"), (9, None)]
+    spark.createDataFrame(rows, "p_partkey bigint, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r.query: (r.dist, r.nearest, r.n_within) for r in registry.queries()["nearest_other_name"](spark, str(tmp_path)).collect()}
+    assert got == {"ALMONDONE": (1, "ALMONDONS", 1), "ALMONDONS": (1, "ALMONDONE", 1), "BROWNANTIQUELACE": (1, "BROWNANTIQUELACY", 1), "BROWNANTIQUELACY": (1, "BROWNANTIQUELACE", 1), "X": (3, None, 0)}
