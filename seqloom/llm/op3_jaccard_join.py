@@ -18,8 +18,8 @@ most one edge less than it has members. Groups are connected components of the e
 
 Cases: a text without words has an empty set and links with nothing; repeated rows share a class; a text of fewer words
 than a shingle is one shingle; an empty table gives an empty result; a null id takes part under no name: such rows come
-back with a null component_id; rows of one id are one document, linked through each of its texts; extra columns are never
-read.
+back with a null component_id; rows of one id are one document, linked through each of its texts, and all have the same
+component_id; extra columns are never read.
 """
 
 from __future__ import annotations
@@ -153,7 +153,7 @@ def _as_long(x: np.ndarray) -> pa.Array:
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, np.ndarray]:
-    """Rows (id, n, key) of all documents, key the digest of the set, and the frequency sketch over them."""
+    """Rows (id, n, key, mark) of all documents, key the digest of the set and mark a hash of the text, and the frequency sketch over them."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -166,17 +166,17 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[Data
                 ns.append(len(t))
                 keys.append(xxhash.xxh3_128_digest(t.tobytes()) if len(t) else None)
             none = pa.nulls(len(ns), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), none], names=["id", "n", "key", "cell"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), batch.column(2), none], names=["id", "n", "key", "mark", "cell"])
             id_type = batch.schema.field(0).type
         at = np.flatnonzero(cells)
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), id_type), pa.array(cells[at], pa.int64()), pa.nulls(len(at), pa.binary()), pa.array(at, pa.int32())], names=["id", "n", "key", "cell"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), id_type), pa.array(cells[at], pa.int64()), pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.int64()), pa.array(at, pa.int32())], names=["id", "n", "key", "mark", "cell"])
 
-    made = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n bigint, key binary, cell int"), "sets")
+    made = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark")).mapInArrow(run, f"id {kind}, n bigint, key binary, mark bigint, cell int"), "sets")
     sketch = np.zeros(1 << CELL_BITS, np.int64)
     for r in made.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("n").alias("n")).toPandas().itertuples():  # one row for each cell
         sketch[r.cell] = r.n
-    return made.where("cell IS NULL").select("id", "n", "key"), sketch
+    return made.where("cell IS NULL").select("id", "n", "key", "mark"), sketch
 
 
 def _postings(docs: DataFrame, text_col: str, width: int, percent: int, sketch: np.ndarray) -> DataFrame:
@@ -240,30 +240,29 @@ def _leaf_pairs(shared: DataFrame, leaves: DataFrame, percent: int) -> DataFrame
 
 
 def _edges(docs: DataFrame, id_col: str, text_col: str, players: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Edges (a, b) of ids found in each pair of leaves; players: rep (an id), leaf.
+    """Edges (a, b) of classes found in each pair of leaves; players: class, rep and mark (an id that has it, and the hash of the text that it has it by), leaf.
 
     A task's unit of work is a leaf a and at most about ABREAST leaves b that it meets, itself among them or not: a's
     members travel once for all of these.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
     met = pairs.groupBy("a").agg(F.ceil(F.count("*") / ABREAST).alias("parts"))
     work = pairs.join(met, "a").select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), "b")
     own = work.groupBy("a", "part").agg(F.max(F.when(F.col("a") == F.col("b"), 2).otherwise(1)).alias("side")).select("a", "part", F.col("a").alias("leaf"), "side")
     ends = own.unionByName(work.where("a < b").select("a", "part", F.col("b").alias("leaf"), F.lit(0).alias("side")))
-    seats = ends.join(players, "leaf").select("a", "part", "side", "rep")
+    seats = ends.join(players, "leaf").select("a", "part", "side", "rep", "mark", "class")
     # the only shuffle of all texts; what goes on is one text of each class of a leaf that meets another
-    rows = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(seats.hint("shuffle_hash"), "rep").select("a", "part", "side", "rep", "text")
+    rows = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark")).join(seats.hint("shuffle_hash"), ["rep", "mark"]).select("a", "part", "side", "class", "text")
 
     def once(batches):
-        seen = set()  # repeated rows of an id that this task has had
+        seen = set()  # repeated rows of a class that this task has had
         for batch in batches:
             keys = zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)), strict=True)
             yield batch.filter(pa.array([not (k in seen or seen.add(k)) for k in keys], pa.bool_()))
 
-    rows = rows.mapInArrow(once, f"a bigint, part bigint, side int, id {kind}, text string")
+    rows = rows.mapInArrow(once, "a bigint, part bigint, side int, class bigint, text string")
 
     def solve(unit: list[tuple]) -> list[tuple]:
-        """unit: (side, id, set); side 0: of a leaf b, 1: of a, 2: of a, which is to be joined with itself too."""
+        """unit: (side, class, set); side 0: of a leaf b, 1: of a, 2: of a, which is to be joined with itself too."""
         sets = [s for _, _, s in unit]
         left = [i for i, u in enumerate(unit) if u[0]]
         right = [i for i, u in enumerate(unit) if not u[0]]
@@ -286,22 +285,21 @@ def _edges(docs: DataFrame, id_col: str, text_col: str, players: DataFrame, pair
                 found = shingles((text.as_py() or "").encode(), width)
                 if len(found):
                     unit.append((side.as_py(), i.as_py(), found))
-            id_type = batch.schema.field(3).type
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], id_type) for k in (0, 1)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
         if held:
             out = solve(unit)
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], id_type) for k in (0, 1)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     # a unit is bounded, so no partition grows with one key
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "a", "part").sortWithinPartitions("a", "part").mapInArrow(run, f"a {kind}, b {kind}")
+    return rows.repartition(n, "a", "part").sortWithinPartitions("a", "part").mapInArrow(run, "a bigint, b bigint")
 
 
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, leaf: int = LEAF) -> DataFrame:
     """id, n_shingles, component_id: the smallest id reachable by links, itself included."""
     sets, sketch = _sets(docs, id_col, text_col, width)
-    named = sets.where("id IS NOT NULL AND key IS NOT NULL")
-    classes = stored(named.groupBy("key").agg(F.min("id").alias("rep")).withColumn("class", F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("bigint")), "classes")
+    named = sets.where("id IS NOT NULL AND key IS NOT NULL").withColumn("class", F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("bigint"))
+    classes = stored(named.groupBy("class").agg(F.min("id").alias("rep"), F.min_by("mark", "id").alias("mark")), "classes")
     postings = _postings(docs.where(F.col(id_col).isNotNull()), text_col, width, percent, sketch)
     shared = stored(_shared(postings, percent), "shared")
     # a class's leaf goes by its least shared token, which near copies mostly have in common; large ones are dealt out evenly
@@ -309,11 +307,17 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     many = keyed.groupBy("token").agg(F.ceil(F.count("*") / leaf).alias("parts"))
     leaves = stored(keyed.join(many, "token").select("class", "n", F.xxhash64("token", F.pmod("class", "parts")).alias("leaf")), "leaves")
     pairs = stored(_leaf_pairs(shared, leaves, percent), "pairs")
-    players = classes.join(leaves, "class").select("rep", "leaf")
-    found = components(_edges(docs, id_col, text_col, players, pairs, width, percent)).select(F.col("v").alias("rep"), "label")
-    reached = named.join(classes.select("key", "rep"), "key").select("id", "n", "rep").join(found, "rep", "left").select("id", "n", F.coalesce("label", "rep").alias("component_id"))
-    rest = sets.where("id IS NULL OR key IS NULL").select("id", "n", F.col("id").alias("component_id"))
-    return reached.unionByName(rest).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    players = classes.join(leaves, "class").select("class", "rep", "mark", "leaf")
+    # the classes of one id are tied to the least of them
+    each = stored(named.groupBy("id").agg(F.min("class").alias("class"), F.max("class").alias("high")), "ids")
+    ties = named.select("id", F.col("class").alias("b")).join(each.where("class < high").select("id", F.col("class").alias("a")), "id").where("a < b").select("a", "b")
+    found = components(_edges(docs, id_col, text_col, players, pairs, width, percent).unionByName(ties)).select(F.col("v").alias("class"), "label")
+    labelled = classes.select("class", "rep").join(found, "class", "left").select("class", "rep", F.coalesce("label", "class").alias("label"))
+    least = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
+    reached = each.join(labelled.select("class", "label").join(least, "label"), "class").select("id", "component_id")
+    out = sets.where("id IS NOT NULL").join(reached, "id", "left").select("id", "n", F.coalesce("component_id", "id").alias("component_id"))
+    rest = sets.where("id IS NULL").select("id", "n", F.col("id").alias("component_id"))
+    return out.unionByName(rest).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,6 +85,13 @@ def test_groups_of_documents_and_odd_tables(spark):
     assert sorted(((r.doc_id or 0), r.component_id) for r in op3.groups(lost).collect()) == [(0, None), (1, 1)]
 
 
+def test_each_text_of_an_id_links(spark):
+    twice = [(1, "a b c d e f g"), (1, None), (2, "x y z w v"), (2, "a b c d e f g h"), (3, "x y z w v"), (4, "p q r s t u"), (5, "p q r s t u o"), (5, "k l m n o"), (6, "k l m n o j"), (7, "i i i i i")]
+    for rows in (twice, twice[::-1]):
+        got = {(r.doc_id, r.component_id) for r in op3.groups(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), percent=50).collect()}
+        assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4), (7, 7)}
+
+
 def test_bounds_never_rule_out_a_link():
     rng = np.random.default_rng(1)
     for _ in range(300):
