@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from seqloom.llm import op1_quality_rules, op3_jaccard_join, op6_secrets, op7_packing, op8_importance
 from seqloom.llm.common import labels, shared_folder
 
+#: near_duplicates links texts by runs of so many words, at this Jaccard in percent; op3's query has its own.
+WORDS, PERCENT = 5, 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the learned list reject."""
@@ -27,7 +30,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id; of repeated rows of that id one."""
-    found = op3_jaccard_join.groups(docs)
+    found = op3_jaccard_join.groups(docs, width=WORDS, percent=PERCENT)
     stays = found.where("component_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(stays, docs["doc_id"].eqNullSafe(stays["_id"]), "left_semi").dropDuplicates(["doc_id"])
 

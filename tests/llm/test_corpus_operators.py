@@ -222,3 +222,14 @@ def test_pipeline_stages(spark, tmp_path):
             assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == set(before)
         docs = out
     assert pipeline.run(spark, SF).count() == out.count()
+
+
+def test_pipeline_near_duplicates_at_five_words(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    words = [f"w{i}" for i in range(96)]
+    near = words[:30] + ["x"] + words[31:70] + ["y"] + words[71:]  # 82 of 102 runs of five words, 85 of 101 of four: below 85 percent
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, "another text that links with none")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    want = {c for _, _, c in plain_groups(rows, width=5, percent=80)}
+    assert want == {1, 3} and {c for _, _, c in plain_groups(rows)} == {1, 2, 3}
+    assert {r.doc_id for r in pipeline.near_duplicates(spark, df, SF).collect()} == want
