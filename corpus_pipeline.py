@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import op1_quality_rules, op3_jaccard_join, op6_secrets, op7_packing, op8_importance
-from seqloom.llm.common import labels, shared_folder
+from seqloom.llm.common import labels, row_key, shared_folder, text_or_empty, unused
 
 #: near_duplicates links texts by runs of so many words, at this Jaccard in percent; op3's query has its own.
 WORDS, PERCENT = 5, 80
@@ -29,17 +29,26 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id; of repeated rows of that id one."""
-    found = op3_jaccard_join.groups(docs, width=WORDS, percent=PERCENT)
-    stays = found.where("component_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """Of each group of linked texts one row: of the smallest id, or without an id where no row has one.
+
+    Texts are linked by themselves, not by their ids: unrelated texts of one id, or of no id, are groups of their own. A
+    text without words links with nothing, so each id keeps it.
+    """
+    key, digest = unused(docs, "_key"), unused(docs, "_digest")
+    rows = docs.withColumn(key, row_key("doc_id", "text")).withColumn(digest, F.unhex(F.md5(text_or_empty("text"))))
+    found = op3_jaccard_join.groups(rows.select(digest, "text"), id_col=digest, width=WORDS, percent=PERCENT).distinct()
+    each = rows.select(F.col("doc_id").alias("_id"), F.col(key).alias("_row"), digest).distinct().join(found, digest)
+    stays = each.groupBy("component_id", F.when(F.col("n_shingles") == 0, F.col("_id")).alias("_own")).agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("_m")).select(F.col("_m._row").alias(key))
+    return rows.join(stays, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their secrets replaced by the names of their kinds, and n_chars to match."""
-    found = op6_secrets.scan(docs).where("spans <> ''").select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
+    key = unused(docs, "_key")
+    rows = docs.withColumn(key, row_key("doc_id", "text"))
+    found = op6_secrets.scan(rows, id_col=key).where("spans <> ''").select(key, F.col("spans").alias("_spans")).dropDuplicates([key])
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(op6_secrets.redacted(F.coalesce("text", F.lit("")), F.col("_spans")))
-    marked = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left")
+    marked = rows.join(found, key, "left")
     return marked.withColumn("text", text).withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint"))).select(*docs.columns)
 
 

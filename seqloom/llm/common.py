@@ -29,6 +29,12 @@ def text_or_empty(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def row_key(row_id: str | Column, text: str | Column) -> Column:
+    """16-byte digest of a row's id and text: equal for repeated rows only, whether ids are null or repeat with other texts."""
+    i = (F.col(row_id) if isinstance(row_id, str) else row_id).cast("string")
+    return F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.lit("i"), F.length(i).cast("string"), F.lit(":"), i), F.lit("n")), text_or_empty(text))))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir; the warehouse only where that is unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm.chunks import cut, slices, sums
-from seqloom.llm.common import documents, labels, stored, unused
+from seqloom.llm.common import documents, labels, row_key, stored, unused
 
 WINDOW, BUCKETS = 4, 1 << 15
 #: Labelled rows of each label that the target model and the choice of k use at most; bad documents kept that one good document lost is worth.
@@ -147,27 +147,33 @@ def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
     return float(w[at]) if at else -np.inf
 
 
-def select(docs: DataFrame, marked: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def select(docs: DataFrame, marked: DataFrame, **options) -> DataFrame:
     """id, log_weight, perturbed, kept: one row per document."""
+    return verdicts(docs, marked, **options).drop("_row")
+
+
+def verdicts(docs: DataFrame, marked: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of select with _row, the digest of id and text by which each has its verdict. Rows of one id share its noise; a row without an id has its own."""
     known = marked.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.min(label_col) == 1).alias("_good"))
     first = lambda good: known.where(F.col("_good") == good).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
     good, sample = F.broadcast(first(True)), F.broadcast(first(True).unionByName(first(False)))  # at most sample_rows ids of each label
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     ratios = log_ratios(counts(texts.join(good, "_id", "left_semi"), "_text"), counts(texts, "_text"))
-    scored = texts.select("_id", log_weight(F.col("_text"), ratios).alias("log_weight"))
-    scored = stored(scored.withColumn("perturbed", F.col("log_weight") + gumbel(F.col("_id"))), "weights")
+    scored = texts.select("_id", row_key("_id", "_text").alias("_row"), log_weight(F.col("_text"), ratios).alias("log_weight"))
+    noise = F.when(F.col("_id").isNull(), gumbel(F.col("_row"))).otherwise(gumbel(F.col("_id")))
+    scored = stored(scored.withColumn("perturbed", F.col("log_weight") + noise), "weights")
     seen = scored.join(sample, "_id").groupBy("_id").agg(F.min("log_weight").alias("w"), F.first("_good").alias("g")).toPandas()
     cut_at = best_cut(seen.w.to_numpy(float), seen.g.to_numpy(bool)) if ratios.any() else -np.inf
     k = scored.where(F.col("log_weight") >= float(cut_at)).count()
     least = kth_largest(scored, "perturbed", k) if k else np.inf
-    return scored.select(F.col("_id").alias(id_col), "log_weight", "perturbed", (F.col("perturbed") >= float(least)).alias("kept"))
+    return scored.select(F.col("_id").alias(id_col), "log_weight", "perturbed", (F.col("perturbed") >= float(least)).alias("kept"), "_row")
 
 
-def keep(docs: DataFrame, marked: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that the selection keeps, with all their columns; a row with a null id stays where all such rows do."""
+def keep(docs: DataFrame, marked: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents that the selection keeps, with all their columns, each by the verdict of its own id and text."""
     name = unused(docs, "_key")
-    kept = select(docs, marked, id_col=id_col, **options).groupBy(F.col(id_col).alias(name)).agg(F.min("kept").alias("_kept")).where("_kept").select(name)
-    return docs.join(kept, docs[id_col].eqNullSafe(kept[name]), "left_semi")
+    kept = verdicts(docs, marked, id_col=id_col, text_col=text_col, **options).where("kept").select(F.col("_row").alias(name)).distinct()
+    return docs.withColumn(name, row_key(id_col, text_col)).join(kept, name, "left_semi").select(*docs.columns)
 
 
 def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

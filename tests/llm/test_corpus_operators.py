@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm import op3_jaccard_join as op3
 from seqloom.llm import op6_secrets as op6
+from seqloom.llm import op8_importance as op8
 from seqloom.llm.common import documents, labels
 from seqloom.llm.components import components
 
@@ -233,3 +234,27 @@ def test_pipeline_near_duplicates_at_five_words(spark):
     want = {c for _, _, c in plain_groups(rows, width=5, percent=80)}
     assert want == {1, 3} and {c for _, _, c in plain_groups(rows)} == {1, 2, 3}
     assert {r.doc_id for r in pipeline.near_duplicates(spark, df, SF).collect()} == want
+
+
+def test_pipeline_with_null_and_repeated_ids(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c = ("one two three four five six", "red green blue black white pink", "salt pepper sugar flour milk eggs")
+    rows = [(None, a), (None, a), (None, b), (1, b), (1, c), (1, c), (2, c), (3, ""), (4, None), (None, None), (None, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    got = sorted(((r.doc_id or 0), r.text or "") for r in pipeline.near_duplicates(spark, df, SF).collect())
+    assert got == [(0, ""), (0, a), (1, b), (1, c), (3, ""), (4, "")]
+    secret = spark.createDataFrame([(None, "password=abcdefgh1"), (None, "plain"), (1, "plain too"), (1, "x password=abcdefgh1"), (1, "plain too")], "doc_id bigint, text string").selectExpr("*", "'en' lang", "'s' source", "0L n_chars")
+    got = sorted(((r.doc_id or 0), r.text) for r in pipeline.secret_scans(spark, secret, SF).collect())
+    assert got == [(0, "[assign]"), (0, "plain"), (1, "plain too"), (1, "plain too"), (1, "x [assign]")]
+
+
+def test_importance_keeps_rows_by_their_own_verdict(spark):
+    good = [(i, f"the calm river runs past the old mill and the green hill number {i}") for i in range(40)]
+    bad = [(100 + i, f"zzqx 99 ## zzqx {i} !! zzqx qqq 77 zzqx ## 88 zzqx") for i in range(40)]
+    odd = [(None, good[0][1]), (None, bad[0][1]), (200, good[1][1]), (200, bad[1][1])]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in good + bad + odd], SCHEMA)
+    marks = spark.createDataFrame([(i, int(i < 100), 0) for i, _ in good + bad], "doc_id bigint, quality int, toxic int")
+    kept = [(r.doc_id, r.text) for r in op8.keep(df, marks).collect()]
+    said = sorted(((r.doc_id or 0), round(r.perturbed, 6)) for r in op8.select(df, marks).where("kept").collect())
+    assert len(kept) == len(said) and sorted((i or 0) for i, _ in kept) == [i for i, _ in said]
+    assert {(None, good[0][1]), (200, good[1][1])} <= set(kept) and not {(None, bad[0][1]), (200, bad[1][1])} & set(kept)
