@@ -153,7 +153,7 @@ SELECT p.pep AS query, CAST(coalesce(d, 3) AS BIGINT) AS dist, nearest, coalesce
 
 
 def exact_source(spark, sf_dir):
-    """Every place of each benchmark passage's first 24 letters in the documents."""
+    """Every place of each benchmark passage's first 24 letters in the documents, as its SQL has it: a prefix is no source of the passage. Whole passages are passage_source."""
     b = _read(spark, sf_dir, "benchmark").select("item_id", F.substring(S.letters("text"), 1, 24).alias("pep")).where(F.length("pep") == 24)
     cut = tiling.tile(_texts(spark, sf_dir).select("doc_id", "seq"), "seq", [24], standard=False, kmer="pep")
     return b.join(cut, "pep").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"), F.min("offset").cast("bigint").alias("first"))
@@ -164,6 +164,32 @@ t AS (SELECT doc_id, o, substr(seq, CAST(o AS INT) + 1, 24) AS pep FROM (SELECT
 SELECT item_id, doc_id, count(*) AS n, min(o) AS "first" FROM b JOIN t USING (pep) WHERE length(b.pep) = 24 GROUP BY item_id, doc_id"""
 
 
+def passage_source(spark, sf_dir):
+    """Of each benchmark passage and each document with at least 24 letters in common, or the whole of a shorter passage: the longest run of letters that both have, its first place in either, and whether it is the whole passage.
+
+    Windows are the seed; those on one diagonal that follow each other are one run, so its length is verified letter by letter.
+    """
+    b = _read(spark, sf_dir, "benchmark").select("item_id", S.letters("text").alias("pep")).where(F.length("pep") > 0)
+    b = b.withColumn("n", F.length("pep")).withColumn("k", F.least(F.lit(24), "n"))
+    sizes = sorted(r[0] for r in b.select("k").distinct().collect()) or [24]  # at most 24 numbers
+    ask = b.select("item_id", "n", "k", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n") - F.col("k")), lambda i: F.substring(F.col("pep"), i + 1, F.col("k")))).alias("i", "w"))
+    cut = tiling.tile(_texts(spark, sf_dir).select("doc_id", "seq"), "seq", sizes, standard=False, kmer="w", offset="o")
+    hits = ask.join(cut, "w").select("item_id", "n", "k", "doc_id", "i", "o", (F.col("o") - F.col("i")).alias("d"))
+    w = Window.partitionBy("item_id", "doc_id", "d").orderBy("i")  # no more rows than the passage has letters
+    runs = hits.withColumn("r", F.col("i") - F.row_number().over(w)).groupBy("item_id", "doc_id", "n", "k", "d", "r").agg(F.count("*").alias("c"), F.min("i").alias("i"), F.min("o").alias("o"))
+    best = runs.groupBy("item_id", "doc_id", "n").agg(F.min(F.struct((-(F.col("k") + F.col("c") - 1)).alias("run"), "i", "o")).alias("m"))
+    run = -F.col("m.run")
+    return best.select("item_id", "doc_id", run.alias("run"), F.col("m.i").cast("bigint").alias("at"), F.col("m.o").cast("bigint").alias("first"), (run == F.col("n")).alias("whole"))
+
+
+_PASSAGE = f"""WITH b AS (SELECT item_id, pep, length(pep) AS n, least(24, length(pep)) AS k FROM (SELECT item_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS pep FROM benchmark) WHERE length(pep) > 0),
+a AS (SELECT item_id, n, k, i, substr(pep, CAST(i AS INT) + 1, CAST(k AS INT)) AS w FROM (SELECT *, unnest(range(0, n - k + 1)) AS i FROM b)),
+t AS (SELECT doc_id, o, substr(seq, CAST(o AS INT) + 1, CAST(k AS INT)) AS w FROM (SELECT doc_id, seq, k, unnest(range(0, length(seq) - k + 1)) AS o FROM {_D}, (SELECT DISTINCT k FROM b) WHERE length(seq) >= k)),
+h AS (SELECT item_id, doc_id, n, k, i, o, i - row_number() OVER (PARTITION BY item_id, doc_id, o - i ORDER BY i) AS r FROM a JOIN t USING (w)),
+g AS (SELECT item_id, doc_id, n, k + count(*) - 1 AS run, min(i) AS i, min(o) AS o FROM h GROUP BY item_id, doc_id, n, k, o - i, r)
+SELECT item_id, doc_id, run, i AS "at", o AS "first", run = n AS whole FROM g QUALIFY row_number() OVER (PARTITION BY item_id, doc_id ORDER BY run DESC, i, o) = 1"""
+
+
 def kmer_search(spark, sf_dir):
     """Part names that share at least four distinct 5-mers with another name, nearest first by the count."""
     p = _parts(spark, sf_dir).select("pep").distinct()
@@ -243,10 +269,10 @@ def locus_components(spark, sf_dir):
     return groups.withColumn("n", F.count("*").over(Window.partitionBy("component"))).select(F.col("id").alias("doc_id"), "component", F.round(1.0 / F.col("n"), 9).alias("weight"))
 
 
-QUERIES = {f.__name__: f for f in (rare_kmers, kmer_tile, kmer_counts, decompose, binding_core, one_substitution, hamming_neighbours, nearest_name, nearest_other_name, exact_source, kmer_search, position_profile, anchor_counts, face_density, slippery_sites, flank_likeness, locus_components)}
+QUERIES = {f.__name__: f for f in (rare_kmers, kmer_tile, kmer_counts, decompose, binding_core, one_substitution, hamming_neighbours, nearest_name, nearest_other_name, exact_source, passage_source, kmer_search, position_profile, anchor_counts, face_density, slippery_sites, flank_likeness, locus_components)}
 #: locus_components is iterative and tested against a plain version.
 ORACLE_SQL = {
     "rare_kmers": _RARE, "kmer_tile": _TILE, "kmer_counts": f"SELECT kmer, count(*) AS n FROM {_tiles(5)} GROUP BY kmer", "decompose": _DEC, "binding_core": _CORE, "one_substitution": _SUB,
-    "hamming_neighbours": _HAM, "nearest_name": _NEAR, "nearest_other_name": _OTHER, "exact_source": _SRC, "kmer_search": _SEARCH, "position_profile": _MOTIF, "anchor_counts": _ANCH, "face_density": _DENS,
+    "hamming_neighbours": _HAM, "nearest_name": _NEAR, "nearest_other_name": _OTHER, "exact_source": _SRC, "passage_source": _PASSAGE, "kmer_search": _SEARCH, "position_profile": _MOTIF, "anchor_counts": _ANCH, "face_density": _DENS,
     "slippery_sites": _SLIP, "flank_likeness": _flank(),
 }
