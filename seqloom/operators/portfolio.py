@@ -112,25 +112,60 @@ def at_least_one(df: DataFrame, p: str, block: str, q: float, keys: Sequence[str
     return blocks.groupBy(*keys).agg((1 - F.product(1 - q + q * F.col("_none"))).alias("p_ge1"))
 
 
+#: Parts that a block's probabilities are dealt out to, and the length from which polynomials are multiplied by FFT.
+PARTS, FFT_FROM = 64, 128
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    if min(len(a), len(b)) < FFT_FROM:
+        return np.convolve(a, b)
+    n = len(a) + len(b) - 1
+    size = 1 << (n - 1).bit_length()
+    return np.maximum(np.fft.irfft(np.fft.rfft(a, size) * np.fft.rfft(b, size), size)[:n], 0.0)
+
+
+def _product(polynomials: list[np.ndarray]) -> np.ndarray:
+    """Pairwise, short ones first, so that factors are of like length."""
+    left = sorted(polynomials, key=len)
+    while len(left) > 1:
+        left = [_times(left[i], left[i + 1]) if i + 1 < len(left) else left[i] for i in range(0, len(left), 2)]
+    return left[0] if left else np.ones(1)
+
+
+def _power(x: np.ndarray, m: int) -> np.ndarray:
+    out = np.ones(1)
+    while m:
+        out = _times(out, x) if m & 1 else out
+        m >>= 1
+        x = _times(x, x) if m else x
+    return out
+
+
 def survival(df: DataFrame, p: str, block: str, q: float, keys: Sequence[str]) -> DataFrame:
-    """keys, k, p_ge_k for k = 0 … n: convolution of the block mixtures. A key's rows form one group, as its distribution has n + 1 terms."""
+    """keys, k, p_ge_k for k = 0 … n: convolution of the block mixtures.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        if (pdf[p] > q).any():
-            raise ValueError(f"a probability exceeds that of its block, {q}")
-        total = np.ones(1)
-        for _, b in pdf.groupby(block, sort=True):
-            inner = np.ones(1)
-            for x in b[p] / q:
-                inner = np.convolve(inner, [1 - x, x])
-            inner = inner * q
+    Equal p are counted first; each part of a block gives one polynomial, and a key's few polynomials meet in one group,
+    which has its n + 1 terms.
+    """
+    fine = F.when(F.col(p) > q, F.raise_error(F.lit(f"a probability exceeds that of its block, {q}"))).otherwise(F.col(p))
+    counted = df.groupBy(*keys, block, fine.cast("double").alias("_p")).agg(F.count("*").alias("_m")).withColumn("_part", F.pmod(F.xxhash64("_p"), F.lit(PARTS)))
+    types = "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in keys)
+
+    def part(pdf: pd.DataFrame) -> pd.DataFrame:
+        made = _product([_power(np.array([1 - x, x]), int(m)) for x, m in zip(pdf["_p"] / q, pdf["_m"], strict=True)])
+        return pd.DataFrame([[*(pdf[k].iloc[0] for k in (*keys, block)), made]], columns=[*keys, block, "_terms"])
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        blocks = []
+        for _, b in pdf.groupby(block, sort=True, dropna=False):
+            inner = _product([np.asarray(t, float) for t in b["_terms"]]) * q
             inner[0] += 1 - q
-            total = np.convolve(total, inner)
-        tail = np.cumsum(total[::-1])[::-1]
+            blocks.append(inner)
+        tail = np.cumsum(_product(blocks)[::-1])[::-1]
         return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "k": range(len(tail)), "p_ge_k": tail})
 
-    types = "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in keys)
-    return df.select(*keys, block, p).groupBy(*keys).applyInPandas(lambda pdf: one(pdf), f"{types}k int, p_ge_k double")
+    parts = counted.groupBy(*keys, block, "_part").applyInPandas(lambda pdf: part(pdf), f"{types}{block} {df.schema[block].dataType.simpleString()}, _terms array<double>")
+    return parts.groupBy(*keys).applyInPandas(lambda pdf: whole(pdf), f"{types}k int, p_ge_k double")
 
 
 def n_effective(p: float, p_ge1: float) -> float:

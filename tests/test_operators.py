@@ -200,3 +200,26 @@ def test_known_sets_and_expression(spark):
     assert got == [(None, None), (12.5, "peptide"), (44.1, "gene")]
     with pytest.raises(ValueError, match="tissue"):
         ranking.expression_value(df, ref, peptide="pep", gene="gene", tumor=None, tissue=None)
+
+
+def test_survival_has_all_terms(spark):
+    from seqloom.plans import table_queries
+
+    rng = np.random.default_rng(3)
+    rows = [(key, int(b), float(x)) for key, n in (("a", 700), ("b", 3)) for b, x in zip(rng.integers(0, 3, n), rng.integers(0, 500, n) / 1000)]
+    got = {(r.key, r.k): r.p_ge_k for r in portfolio.survival(spark.createDataFrame(rows, "key string, block int, p double"), "p", "block", 0.7, ["key"]).collect()}
+    want = {}
+    for key in "ab":
+        total = np.ones(1)
+        for b in {r[1] for r in rows if r[0] == key}:
+            inner = np.ones(1)
+            for x in [r[2] / 0.7 for r in rows if r[:2] == (key, b)]:
+                inner = np.convolve(inner, [1 - x, x])
+            inner *= 0.7
+            inner[0] += 0.3
+            total = np.convolve(total, inner)
+        want |= {(key, k): t for k, t in enumerate(np.cumsum(total[::-1])[::-1])}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    sf = "/root/testdata/sf0.001"
+    n = dict(spark.read.parquet(f"{sf}/customer.parquet").groupBy("c_nationkey").count().collect())
+    assert dict(table_queries.survival(spark, sf).groupBy("c_nationkey").count().collect()) == {k: v + 1 for k, v in n.items()}
