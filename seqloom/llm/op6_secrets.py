@@ -1,7 +1,8 @@
 """Secret scans by corpus-wide ownership frequency, in DataFrame and SQL functions only.
 
 Candidates of every kind are found in whole texts with their places in code points. Each candidate's value is hashed, and
-the hashes are aggregated over the corpus: by distinct owners (the source column, the repository's owner) and by documents.
+the hashes are aggregated over the corpus by distinct owners, the values of the source column. The table has no repository
+column, so repositories are not counted, and neither are documents: a value in many documents of one source has one owner.
 A value that several owners hold is a widely copied example; one that few hold looks like a live credential. Candidates of
 the three base kinds always stay and are told apart; those of the further kinds count only while they look live.
 
@@ -9,7 +10,7 @@ Values are pre-aggregated by owner before they are shuffled by hash, and texts n
 by hash; a value that a third of the rows hold makes one skewed side, which adaptive execution splits.
 
 Cases: a null or empty text has no spans, and the digest of the empty string; repeated rows each get their own result and
-count as documents each; a null owner counts as an owner of its own; an empty table gives an empty result; a long text is
+count as documents each; null and empty owners count as one owner together; an empty table gives an empty result; a long text is
 scanned whole; extra columns are never read.
 """
 
