@@ -41,8 +41,26 @@ def shared_folder(spark: SparkSession) -> str:
     return (found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch").rstrip("/")
 
 
+class Scratch:
+    """Tables written once to the shared folder and read again: later steps neither recompute them nor depend on an executor."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, keep: int = 0) -> None:
+        """Deletes all tables but the last `keep`; nothing may read them any more."""
+        gone, self.paths = self.paths[: len(self.paths) - keep], self.paths[len(self.paths) - keep :]
+        for path in gone:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read again: later steps neither recompute it nor depend on an executor."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df, written once to the shared folder for as long as the caller's result may be read."""
+    return Scratch(df.sparkSession).stored(df, name)

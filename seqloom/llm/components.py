@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import stored
+from seqloom.llm.common import Scratch
 
 MAX_ROUNDS = 60
 
@@ -18,17 +18,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     other side is unique, and its least label is pre-aggregated.
     """
     # written before both directions are read from it: computed twice, edges that may differ from run to run would go one way only
-    one = stored(edges.select(F.col(a).alias("v"), F.col(b).alias("u")).distinct(), "edges")
+    fixed, rounds = Scratch(edges.sparkSession), Scratch(edges.sparkSession)
+    one = fixed.stored(edges.select(F.col(a).alias("v"), F.col(b).alias("u")).distinct(), "edges")
     both = one.unionByName(one.select(F.col("u").alias("v"), F.col("v").alias("u")))
-    labels = stored(both.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("v", "u").alias("label")), "labels")
+    labels = rounds.stored(both.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("v", "u").alias("label")), "labels")
     for _ in range(MAX_ROUNDS):
         around = both.join(labels.select(F.col("v").alias("u"), "label"), "u").groupBy("v").agg(F.min("label").alias("around"))
         near = labels.join(around, "v").select("v", F.col("label").alias("old"), F.least("label", "around").alias("label"))
-        near = stored(near, "labels")
+        near = rounds.stored(near, "labels")
         jump = near.select(F.col("v").alias("label"), F.col("label").alias("to"))
-        after = stored(near.join(jump, "label").select("v", F.least("label", "to").alias("label"), "old"), "labels")
-        done = after.where(F.col("label") != F.col("old")).limit(1).count() == 0
+        after = rounds.stored(near.join(jump, "label").select("v", F.least("label", "to").alias("label"), "old"), "labels")
+        rounds.drop(keep=1)
         labels = after.select("v", "label")
-        if done:
+        if after.where(F.col("label") != F.col("old")).limit(1).count() == 0:
+            fixed.drop()
             return labels
     raise RuntimeError(f"labels still change after {MAX_ROUNDS} rounds")
