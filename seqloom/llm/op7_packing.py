@@ -13,6 +13,7 @@ columns are never read.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 
@@ -23,16 +24,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.chunks import Cache, Ragged, cut, slices
+from seqloom.llm.chunks import Cache, Ragged, slices
 from seqloom.llm.common import documents, stored, text_or_empty
 
 CAPACITY, END_ID, OPEN_BINS = 4096, 1, 512
+#: Bytes of text that are encoded at a time: the more, the fewer pieces are looked up.
+SLICE_BYTES = 6_000_000
 #: Tasks whose partly filled sequences are packed together.
 GROUP_TASKS = 64
+#: Partly filled sequences that are packed together at most, on average.
+GROUP_ROWS = 1 << 16
 
 
 class WordTokens:
-    """Ids of whole texts by a tokenizers file whose pieces never hold white space, so that every space is a safe cut."""
+    """Ids of whole texts by a tokenizers file whose pieces never hold white space, so that every space is a safe cut.
+
+    The vocabulary also parts letters and digits from other characters, so that a piece which ends in punctuation has the ids
+    of what comes before it and then those of the punctuation: distinct pieces become far fewer.
+    """
+
+    #: Punctuation but the apostrophe, which begins endings of English words that the vocabulary keeps apart.
+    MARKS = ".,;:!?*#$%&|<>()[]{}\"-_=+/\\@^~`"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -43,17 +55,46 @@ class WordTokens:
         self.tokenizer.no_padding()
         self.specials = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.cache = Cache(self.whole, 250_000)
-        self.marks = dict(zip((m := ["", ".", ","]), self.whole(m), strict=True))
+        # of small letters only, which are their own normal form and one match of the pattern: neither step is needed
+        made = json.loads(self.tokenizer.to_str())
+        made |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+        self.lean = Tokenizer.from_str(json.dumps(made))
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+        self.cache, self.tails = Cache(self._bases, 600_000), Cache(self.whole, 50_000)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """The vocabulary parts letters and digits from a stop or comma, so a piece that ends in one has the ids of both."""
-        ends = [len(p) > 1 and p[-1] in ".," and p[-2].isascii() and p[-2].isalnum() for p in pieces]
-        ids = self.cache.values([p[:-1] if e else p for p, e in zip(pieces, ends, strict=True)])
-        return [i + self.marks[p[-1]] if e else i for i, p, e in zip(ids, pieces, ends, strict=True)]
+    def _bases(self, pieces: list[str]) -> list[bytes]:
+        out = [b""] * len(pieces)
+        plain = pc.match_substring_regex(pa.array(pieces, pa.string()), "^[a-zà-öø-ÿ]+$").to_numpy(zero_copy_only=False).astype(bool) if pieces else np.zeros(0, bool)
+        for run in np.array_split(np.flatnonzero(plain), max(1, int(plain.sum()) // 20_000)):
+            ids = np.array(self.lean.encode(" ".join([pieces[i] for i in run.tolist()]), add_special_tokens=False).ids, self.kind) if len(run) else np.zeros(0, self.kind)
+            data, size = ids.tobytes(), ids.itemsize
+            ends = (size * (np.flatnonzero(self.ends[ids]) + 1)).tolist()  # a word ends with a token that says so
+            for i, a, b in zip(run.tolist(), [0, *ends], ends, strict=False):
+                out[i] = data[a:b]
+        rest = np.flatnonzero(~plain).tolist()
+        for i, v in zip(rest, self.whole([pieces[i] for i in rest]), strict=True):
+            out[i] = v
+        return out
+
+    def _pieces(self, pieces: pa.Array) -> Ragged:
+        """Ids of distinct pieces."""
+        base = pc.ascii_rtrim(pieces, characters=self.MARKS)
+        ends = pc.and_(pc.match_substring_regex(base, "[a-z0-9à-öø-ÿ]$"), pc.less(pc.binary_length(base), pc.binary_length(pieces)))
+        bases = pc.dictionary_encode(pc.if_else(ends, base, pieces))
+        ends = ends.to_numpy(zero_copy_only=False).astype(bool)
+        marks = "".join("\\" + c for c in self.MARKS)
+        tails = pc.dictionary_encode(pc.replace_substring_regex(pieces.filter(pa.array(ends)), f"^(?s:.*)[^{marks}]", ""))
+        values = self.cache.values(bases.dictionary.to_pylist())
+        rows = Ragged.of_bytes([*values, *self.tails.values(tails.dictionary.to_pylist()), b""], self.kind)
+        at = np.full((len(pieces), 2), len(rows.lengths) - 1)
+        at[:, 0] = bases.indices.to_numpy(zero_copy_only=False)
+        at[ends, 1] = len(values) + tails.indices.to_numpy(zero_copy_only=False)
+        return rows.take(at.reshape(-1)).join(np.full(len(pieces), 2))
 
     def encode(self, texts: pa.Array) -> Ragged:
         # the vocabulary lowers letters and drops white space itself
@@ -61,8 +102,10 @@ class WordTokens:
         odd = np.zeros(len(texts), bool)
         for s in self.specials:
             odd |= pc.match_substring(low, s).to_numpy(zero_copy_only=False).astype(bool)
-        c = cut(low)
-        ids = Ragged.of_bytes(self._pieces(c.distinct), self.kind).take(c.place).join(c.per_text)
+        lists = pc.split_pattern(low, " ")
+        flat = pc.dictionary_encode(lists.flatten())
+        per_text = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        ids = self._pieces(flat.dictionary).take(flat.indices.to_numpy(zero_copy_only=False)).join(per_text)
         if not odd.any():
             return ids
         rows = [ids.row(i).tobytes() for i in range(len(texts))]
@@ -127,7 +170,7 @@ def pieces(docs: DataFrame, *, id_col: str, text_col: str, tokenizer: str, capac
         bins, task = OpenBins(capacity, open_bins), TaskContext.get().partitionId()
         for batch in batches:
             at = 0
-            for part in slices(batch.column(1)):
+            for part in slices(batch.column(1), SLICE_BYTES):
                 ids = tokens(tokenizer).encode(part)
                 rows = []
                 for i in range(len(part)):
@@ -156,7 +199,11 @@ def repack(used: DataFrame, capacity: int, open_bins: int) -> DataFrame:
             placed.append((*name, *first.setdefault(number, name), place))
         return pa.table([pa.array(c, pa.int64()) for c in zip(*placed, strict=True)], names=["task", "bin", "to_task", "to_bin", "shift"])
 
-    return used.groupBy(F.floor(F.col("task") / GROUP_TASKS).alias("g")).applyInArrow(run, "task bigint, bin bigint, to_task bigint, to_bin bigint, shift bigint")
+    near = used.withColumn("g", F.floor(F.col("task") / GROUP_TASKS))
+    # however many sequences closed part-filled, a group holds about GROUP_ROWS of them
+    sizes = near.groupBy("g").agg(F.ceil(F.count("*") / GROUP_ROWS).alias("parts"))
+    dealt = near.join(sizes, "g").withColumn("h", F.pmod(F.xxhash64("task", "bin"), "parts")).drop("parts")
+    return dealt.groupBy("g", "h").applyInArrow(run, "task bigint, bin bigint, to_task bigint, to_bin bigint, shift bigint")
 
 
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "", capacity: int = CAPACITY, end_id: int = END_ID, open_bins: int = OPEN_BINS) -> DataFrame:
@@ -164,7 +211,6 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
     import public_tokenizers
 
     done = stored(pieces(docs, id_col=id_col, text_col=text_col, tokenizer=tokenizer or str(public_tokenizers.path("word_bpe_49k.json")), capacity=capacity, end_id=end_id, open_bins=open_bins), "pieces")
-    # a task leaves at most open_bins sequences that are far from full, and those that closed with little room: both bounded below the pieces
     part_full = done.groupBy("task", "bin").agg(F.sum("length").alias("used")).where(F.col("used") <= capacity - capacity // 32)
     moved = repack(part_full, capacity, open_bins)
     to = done.join(moved, ["task", "bin"], "left")

@@ -5,10 +5,11 @@ within it, and a keyed Feistel permutation of exactly as many numbers as there a
 no slot is drawn twice, none is left out, and a key is all that has to be kept to find any of them again. Networks permute
 powers of four only, so a number that falls outside is permuted again until it falls inside (cycle-walking). Sequences
 are then dealt to partitions by ranges of slots, sorted, and written as shards: records of one stride, so that slot s is
-record s mod R of shard s div R, at byte (s mod R) * stride. A reader that stopped at any slot goes on from there with
-one seek, and shards are read from front to back.
+record s mod R of shard s div R, at byte (s mod R) * stride of its payload. A reader that stopped at any slot opens the file
+whose statistics hold that shard, and goes on in it from that byte; shards are read from front to back. A shard is a row of
+a Parquet file, so that its page is read whole before a record is cut out of it.
 
-Ids are encoded once, written compressed to the shared folder, counted by task (a number for each task reaches the driver,
+Ids are encoded once, written to the shared folder, counted by task (a number for each task reaches the driver,
 as in zipWithIndex) and shuffled once. Partitions hold even ranges of slots, whatever keys repeat in the input.
 
 Cases: a null or empty text is one sequence that holds the end id only; a long text makes many sequences; repeated rows
@@ -19,7 +20,6 @@ columns are never read.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.chunks import slices
 from seqloom.llm.common import documents, stored, text_or_empty
-from seqloom.llm.op7_packing import tokens
+from seqloom.llm.op7_packing import SLICE_BYTES, tokens
 
 LENGTH, RECORDS, END_ID, PAD_ID, KEY, ROUNDS = 1024, 128, 49407, 0, 20240607, 6
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -63,23 +63,31 @@ def feistel(numbers: np.ndarray, n: int, key: int = KEY, *, inverse: bool = Fals
 
 
 def encoded(docs: DataFrame, *, id_col: str, text_col: str, tokenizer: str, length: int, end_id: int) -> DataFrame:
-    """id, piece, n, ids (compressed), task, local: all sequences, numbered within their task."""
+    """id, piece, n, ids, task, local: all sequences, numbered within their task."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         task, local = TaskContext.get().partitionId(), 0
         for batch in batches:
             at = 0
-            for part in slices(batch.column(1)):
+            for part in slices(batch.column(1), SLICE_BYTES):
                 ids = tokens(tokenizer).encode(part)
-                rows = []
-                for i in range(len(part)):
-                    row = np.append(ids.row(i), ids.flat.dtype.type(end_id))
-                    rows += [(at + i, k, min(length, len(row) - start), zlib.compress(row[start : start + length].tobytes(), 1)) for k, start in enumerate(range(0, len(row), length))]
+                sizes = ids.lengths + 1
+                flat = np.full(len(ids.flat) + len(part), end_id, ids.flat.dtype)
+                inside = np.ones(len(flat), bool)
+                inside[np.cumsum(sizes) - 1] = False
+                flat[inside] = ids.flat
+                # sequences of a document lie one after another, so that they are cuts of one buffer
+                each = -(-sizes // length)
+                total = int(each.sum())
+                of = np.repeat(np.arange(len(part)), each)
+                piece = np.arange(total) - np.repeat(np.cumsum(each) - each, each)
+                n = np.minimum(length, sizes[of] - piece * length)
+                offsets = np.concatenate([[0], np.cumsum(n)]) * flat.itemsize
+                data = pa.Array.from_buffers(pa.large_binary(), total, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at + of)), pa.array(piece.astype(np.int32)), pa.array(n.astype(np.int32)), data, pa.array(np.full(total, task), pa.int64()), pa.array(np.arange(local, local + total), pa.int64())], names=["id", "piece", "n", "ids", "task", "local"])
                 at += len(part)
-                of, piece, n, data = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(n, pa.int32()), pa.array(data, pa.binary()), pa.array(np.full(len(rows), task), pa.int64()), pa.array(np.arange(local, local + len(rows)), pa.int64())], names=["id", "piece", "n", "ids", "task", "local"])
-                local += len(rows)
+                local += total
 
     return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, f"id {kind}, piece int, n int, ids binary, task bigint, local bigint")
 
@@ -101,7 +109,7 @@ def slots(sequences: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
 
 
 def shards(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "", length: int = LENGTH, records: int = RECORDS, end_id: int = END_ID, pad_id: int = PAD_ID, key: int = KEY) -> DataFrame:
-    """One row per shard: shard, first_slot, stride (bytes), payload (its records, one after another), sha256, and of each record in order doc_ids, pieces, lengths (tokens)."""
+    """One row per shard: shard, first_slot, stride and id_bytes (bytes of a record and of an id), payload (its records, one after another), sha256, and of each record in order doc_ids, pieces, lengths (tokens)."""
     import public_tokenizers
 
     path = tokenizer or str(public_tokenizers.path("word_bpe_49k.json"))
@@ -122,12 +130,12 @@ def shards(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", t
         def shard() -> pa.RecordBatch:
             block = np.full((len(held), length), pad_id, kind_of)
             for k, (_, _, _, n, data) in enumerate(held):
-                block[k, :n] = np.frombuffer(zlib.decompress(data), kind_of)
+                block[k, :n] = np.frombuffer(data, kind_of)
             payload = block.tobytes()
             at = held[0][0]
-            columns = [[at // records], [at], [stride], [payload], [hashlib.sha256(payload).hexdigest()], [[h[1] for h in held]], [[h[2] for h in held]], [[h[3] for h in held]]]
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.list_(id_type), pa.list_(pa.int32()), pa.list_(pa.int32())]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["shard", "first_slot", "stride", "payload", "sha256", "doc_ids", "pieces", "lengths"])
+            columns = [[at // records], [at], [stride], [block.itemsize], [payload], [hashlib.sha256(payload).hexdigest()], [[h[1] for h in held]], [[h[2] for h in held]], [[h[3] for h in held]]]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.list_(id_type), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["shard", "first_slot", "stride", "id_bytes", "payload", "sha256", "doc_ids", "pieces", "lengths"])
 
         for batch in batches:
             id_type = batch.schema.field(1).type
@@ -139,29 +147,30 @@ def shards(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", t
         if held:
             yield shard()
 
-    return rows.mapInArrow(run, f"shard bigint, first_slot bigint, stride bigint, payload binary, sha256 string, doc_ids array<{kind}>, pieces array<int>, lengths array<int>")
+    return rows.mapInArrow(run, f"shard bigint, first_slot bigint, stride bigint, id_bytes int, payload binary, sha256 string, doc_ids array<{kind}>, pieces array<int>, lengths array<int>")
 
 
 def write(docs: DataFrame, path: str, **options) -> None:
-    """Writes the shards as Parquet files of ascending ranges; the file statistics of `shard` let a reader open few."""
-    shards(docs, **options).write.option("compression", "zstd").parquet(path)
+    """Writes the shards as Parquet files of ascending ranges, uncompressed; the file statistics of `shard` let a reader open few."""
+    shards(docs, **options).write.option("compression", "none").parquet(path)
 
 
-def read(spark: SparkSession, path: str, first_slot: int, count: int, *, records: int = RECORDS, id_bytes: int = 2) -> DataFrame:
-    """slot, ids: records first_slot to first_slot + count - 1, by seeking to their shard and byte; what a resumed run reads next."""
+def read(spark: SparkSession, path: str, first_slot: int, count: int, *, records: int = RECORDS) -> DataFrame:
+    """slot, ids: records first_slot to first_slot + count - 1, cut from their shards at their bytes; what a resumed run reads next."""
     wanted = spark.read.parquet(path).where(F.col("shard").between(first_slot // records, (first_slot + count - 1) // records))
-    each = wanted.select("first_slot", "stride", "payload", F.posexplode("lengths").alias("at", "n")).where((F.col("first_slot") + F.col("at")).between(first_slot, first_slot + count - 1))
-    return each.select((F.col("first_slot") + F.col("at")).alias("slot"), unpacked(F.substring("payload", (F.col("at") * F.col("stride") + 1).cast("int"), F.col("n") * id_bytes), id_bytes).alias("ids"))
+    each = wanted.select("first_slot", "stride", "id_bytes", "payload", F.posexplode("lengths").alias("at", "n")).where((F.col("first_slot") + F.col("at")).between(first_slot, first_slot + count - 1))
+    record = F.substring("payload", (F.col("at") * F.col("stride") + 1).cast("int"), F.col("n") * F.col("id_bytes"))
+    return each.select((F.col("first_slot") + F.col("at")).alias("slot"), unpacked(record, F.col("id_bytes")).alias("ids"))
 
 
-def unpacked(data: Column, id_bytes: int) -> Column:
-    """Column array<int> of little-endian ids."""
+def unpacked(data: Column, id_bytes: Column) -> Column:
+    """Column array<int> of little-endian ids of so many bytes each."""
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([np.frombuffer(b, f"<u{id_bytes}").tolist() for b in batch.to_pylist()], pa.list_(pa.int32()))
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for batch, sizes in batches:
+            yield pa.array([np.frombuffer(b, f"<u{k}").tolist() for b, k in zip(batch.to_pylist(), sizes.to_pylist(), strict=True)], pa.list_(pa.int32()))
 
-    return F.arrow_udf(run, "array<int>")(data)
+    return F.arrow_udf(run, "array<int>")(data, id_bytes)
 
 
 def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
