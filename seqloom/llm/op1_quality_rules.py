@@ -1,6 +1,6 @@
 """Quality rules: an ordered decision list, learned by sequential covering from labelled text statistics.
 
-The list is grown on two thirds of a bounded sample of labelled rows and pruned on the rest: each rule is a conjunction
+The list is grown on two thirds of a bounded sample of labelled rows that pass the base rule, and pruned on the rest: each rule is a conjunction
 of thresholds on interpretable statistics that covers rejected documents, and becomes one branch of an ordered
 conditional expression (`CASE WHEN … THEN … END`). Documents that no rule covers are kept.
 
@@ -117,7 +117,7 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, *, min_precision: float = 0
 
 
 def fit(docs: DataFrame, marked: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Learns from at most sample_rows labelled rows (label 0: reject); only their statistics reach the driver."""
+    """Learns from at most sample_rows labelled rows (label 0: reject) that pass the base rule, as the list only decides on those; only their statistics reach the driver."""
     sample = (
         marked.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
         .select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
@@ -125,8 +125,10 @@ def fit(docs: DataFrame, marked: DataFrame, *, id_col: str = "doc_id", text_col:
         .limit(sample_rows)
     )
     joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")  # at most sample_rows rows
-    rows = joined.select("_id", "_label", text_statistics("_text").alias("s")).select("_id", "_label", *(F.col("s")[f].alias(f) for f in FEATURES)).toPandas()
-    rows = rows.sort_values(["_id", "_label", *FEATURES], kind="stable")
+    seen = joined.select("_id", "_label", text_statistics("_text").alias("s")).where(~base_failed(F.col("s")))
+    # one row of each sampled id and label, so that repeated rows do not reach the driver
+    one = seen.groupBy("_id", "_label").agg(F.min(F.struct(*(F.col("s")[f].alias(f) for f in FEATURES))).alias("s"))
+    rows = one.select("_id", "_label", *(F.col("s")[f].alias(f) for f in FEATURES)).toPandas().sort_values(["_id", "_label"], kind="stable")
     rows = rows.sample(frac=1, random_state=7) if len(rows) else rows
     return learn({f: rows[f].to_numpy(float) for f in FEATURES}, rows["_label"].to_numpy() == 0)
 
