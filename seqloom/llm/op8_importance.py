@@ -1,16 +1,19 @@
 """Quality classifier: importance resampling by hashed n-gram generative models.
 
 Two bag models over hashed features, one of the target text (documents labelled good) and one of all raw text, give each
-document the log ratio of its likelihoods. Features are windows of bytes, hashed into a fixed number of buckets, and one
-event for each neighbouring pair of words, equal or not; sums are brought to a standard length. The raw model counts all documents; the target model takes a
-bounded sample of labelled ones. Selection is Gumbel top-k: a document's log ratio plus Gumbel noise drawn from a hash of
-its id, of which the k largest stay, which samples k documents without replacement in proportion to their weights. k
-is the number of documents above the log ratio that parts the labelled sample best, a good document lost counting as much as
-LOSS bad ones kept, so that a corpus of clean text stays whole.
-
-Cases: a null or empty text has no features and a log ratio of 0; repeated rows count as often as they occur, get equal
-scores and are kept or dropped together, as are all ties at the cut; without good labels every ratio is 0 and every
-document stays; an empty table gives an empty result; extra columns are kept by `keep` and never read.
+document the mean log ratio of its likelihoods. Features are windows of bytes, hashed into a fixed number of buckets, and
+one event for each pair of words that a space parts, equal or not. The raw model counts all documents; the target model takes
+a bounded sample of labelled ones. The log weight is that mean on a scale on which the target's own documents spread by 1, which
+is about as much as Gumbel noise does: the draw decides among documents that are as like the target as each other, and
+not between them and others. Selection is Gumbel top-k: the k largest of log weight plus noise from a hash of the id
+stay, which samples k documents without replacement in proportion to their weights. k is taken from the target alone: the
+number of documents at or above a low quantile of its log weights, lowered by as much as noise hardly ever takes away, so
+that a corpus of target-like text stays whole.
+
+Cases: a null or empty text has no features and a log weight of 0; a text of any length counts by its mean; repeated rows
+count as often as they occur, get equal scores and are kept or dropped together, as are all ties at the cut; without good
+labels every log weight is 0 and every document stays; an empty table gives an empty result; extra columns are kept by `keep`
+and never read.
 """
 
 from __future__ import annotations
@@ -26,13 +29,15 @@ from seqloom.llm.chunks import cut, slices, sums
 from seqloom.llm.common import documents, labels, row_key, stored, unused
 
 WINDOW, BUCKETS = 4, 1 << 15
-#: Labelled rows of each label that the target model and the choice of k use at most; bad documents kept that one good document lost is worth.
-SAMPLE_ROWS, LOSS = 20_000, 25
+#: Documents labelled good that the target model, the scale and k use at most.
+SAMPLE_ROWS = 20_000
+#: Quantile of the target's log weights from which documents count for k, and by how much it is lowered: Gumbel noise is below -2 once in 1600 times.
+QUANTILE, SLACK = 0.005, 2.0
 SMOOTHING, SEED = 1.0, 17
 _PAIR = BUCKETS  # and BUCKETS + 1: two different words in a row, the same word twice
 N_FEATURES = BUCKETS + 2
-#: Features of a document of standard length, to which log ratios are brought so that long texts do not outweigh short ones; features without evidence that each text is given besides.
-STANDARD, DAMPING = 1000.0, 50.0
+#: Features without evidence that each text is given besides its own, so that a short one is close to the mean.
+DAMPING = 50.0
 #: Bytes of text that are worked on at a time; each makes some forty bytes of arrays.
 SLICE_BYTES = 1_000_000
 #: A bin of values small enough to fetch whole.
@@ -96,8 +101,8 @@ def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def log_weight(text: Column, ratios: np.ndarray) -> Column:
-    """Column of the log ratio of likelihoods of a text column, brought to the standard length."""
+def mean_ratio(text: Column, ratios: np.ndarray) -> Column:
+    """Column of the mean log ratio of likelihoods of a text column's features."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
@@ -105,7 +110,7 @@ def log_weight(text: Column, ratios: np.ndarray) -> Column:
             for part in slices(batch, SLICE_BYTES):
                 bucket, n, same, pairs = features(part)
                 total = sums(ratios[bucket], n) + sums(np.where(same, ratios[_PAIR + 1], ratios[_PAIR]), pairs)
-                found.append(np.round(STANDARD * total / (n + pairs + DAMPING), 6))
+                found.append(np.round(total / (n + pairs + DAMPING), 9))
             yield pa.array(np.concatenate(found), pa.float64())
 
     return F.arrow_udf(run, "double").asNondeterministic()(text)
@@ -135,16 +140,13 @@ def kth_largest(values: DataFrame, column: str, k: int) -> float:
     return low
 
 
-def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
-    """The log ratio that parts good from bad at the least loss, the lowest of equals; below all without bad ones."""
-    order = np.argsort(weights, kind="stable")
-    w, g = weights[order], good[order]
-    if not len(w) or g.all():
-        return -np.inf
-    lost = np.concatenate([[0], np.cumsum(g)]) * LOSS + (~g).sum() - np.concatenate([[0], np.cumsum(~g)])
-    inner = np.concatenate([[True], w[1:] != w[:-1], [False]])  # a cut lies between two values
-    at = int(np.argmin(np.where(inner, lost, np.inf)))
-    return float(w[at]) if at else -np.inf
+def target_scale(means: np.ndarray) -> tuple[float, float]:
+    """Factor from mean ratios to log weights, by which the middle half of the target spreads as a normal law of deviation 1 does, and the log weight from which documents count for k."""
+    if not len(means):
+        return 0.0, 0.0
+    low, first, third = np.quantile(means, [QUANTILE, 0.25, 0.75], method="inverted_cdf")
+    factor = float(1.349 / max(third - first, 1e-6))
+    return factor, float(low * factor - SLACK)
 
 
 def select(docs: DataFrame, marked: DataFrame, **options) -> DataFrame:
@@ -155,16 +157,15 @@ def select(docs: DataFrame, marked: DataFrame, **options) -> DataFrame:
 def verdicts(docs: DataFrame, marked: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of select with _row, the digest of id and text by which each has its verdict. Rows of one id share its noise; a row without an id has its own."""
     known = marked.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.min(label_col) == 1).alias("_good"))
-    first = lambda good: known.where(F.col("_good") == good).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
-    good, sample = F.broadcast(first(True)), F.broadcast(first(True).unionByName(first(False)))  # at most sample_rows ids of each label
+    good = F.broadcast(known.where("_good").orderBy(F.xxhash64("_id"), "_id").limit(sample_rows).select("_id"))  # at most sample_rows ids
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     ratios = log_ratios(counts(texts.join(good, "_id", "left_semi"), "_text"), counts(texts, "_text"))
-    scored = texts.select("_id", row_key("_id", "_text").alias("_row"), log_weight(F.col("_text"), ratios).alias("log_weight"))
+    scored = stored(texts.select("_id", row_key("_id", "_text").alias("_row"), mean_ratio(F.col("_text"), ratios).alias("_mean")), "weights")
+    target = scored.join(good, "_id", "left_semi").groupBy("_id").agg(F.min("_mean").alias("m")).toPandas()
+    factor, cut_at = target_scale(target.m.to_numpy(float) if ratios.any() else np.zeros(0))
     noise = F.when(F.col("_id").isNull(), gumbel(F.col("_row"))).otherwise(gumbel(F.col("_id")))
-    scored = stored(scored.withColumn("perturbed", F.col("log_weight") + noise), "weights")
-    seen = scored.join(sample, "_id").groupBy("_id").agg(F.min("log_weight").alias("w"), F.first("_good").alias("g")).toPandas()
-    cut_at = best_cut(seen.w.to_numpy(float), seen.g.to_numpy(bool)) if ratios.any() else -np.inf
-    k = scored.where(F.col("log_weight") >= float(cut_at)).count()
+    scored = scored.withColumn("log_weight", F.round(F.col("_mean") * factor, 6)).withColumn("perturbed", F.round(F.col("log_weight") + noise, 6))
+    k = scored.where(F.col("log_weight") >= cut_at).count()
     least = kth_largest(scored, "perturbed", k) if k else np.inf
     return scored.select(F.col("_id").alias(id_col), "log_weight", "perturbed", (F.col("perturbed") >= float(least)).alias("kept"), "_row")
 
