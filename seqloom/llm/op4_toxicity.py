@@ -1,18 +1,20 @@
 """Toxicity: a weighted finite-state pattern grammar over clauses.
 
-Two layers of transducers are composed. The lexical one maps words to classes: insult, threat, target, negation, reported
-speech. Insult stems, with weights, are learned from labelled rows, as whole words or as beginnings of words; the other
-classes are short fixed lists. The clausal one reads a clause's classes from left to right and moves between states (plain,
-reported, negated, aimed); an insult or threat leaves it with an output: the kind of match that its state makes of it. So
-matches are scored by clause, as plain, aimed at someone, negated or reported, not as isolated words. A logistic model,
-fitted on the labelled rows, weighs the kinds.
+Transducers are composed. The lexical one maps words to classes: insult, threat, target, negation, reported speech. Insult
+stems, with weights, are learned from labelled rows, as whole words or as beginnings of words; the other classes are short
+fixed lists. A transducer that reads a clause from its end marks insults and threats that a target follows. Two more read it
+from its beginning and are composed into one: the first keeps whether negation or report holds and marks what stands
+within it, the second keeps whether a target has been named and turns each mark into an output: the kind of match. So matches
+are scored by clause, as plain, aimed at someone, negated, reported or a threat, and not as isolated words. A logistic
+model, fitted on the labelled rows, weighs the kinds; it is drawn towards weights of their own (CENTRES), by which negated
+and reported insults say little as long as labels do not say otherwise.
 
 Only labelled rows whose crc32 of the id as text is not 1 modulo 3 are learned from, at most SAMPLE_ROWS of them. A score
 depends on the text alone. A text without any match is not read word by word: one automaton finds the stems.
 
 Cases: null and empty texts have no matches and the base score; repeated rows are each returned; without labels of both
-values there are no stems and every score is 0; an empty table gives an empty result; a very long text is one text; extra
-columns are never read.
+values there are no stems and every score is 0; an empty table gives an empty result; a very long text is one text, whose sums
+saturate; extra columns are never read.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.common import documents, labels, stored, text_or_empty
 
-#: Labelled rows that a fit uses at most; rows for the weights of the kinds; stems that a grammar holds at most.
-SAMPLE_ROWS, WEIGHT_ROWS, MAX_STEMS = 20_000, 6_000, 4000
+#: Labelled rows that a fit uses at most; those of them for the weights of the kinds.
+SAMPLE_ROWS, WEIGHT_ROWS = 20_000, 6_000
 THRESHOLD = 0.7
 #: Lengths of word beginnings that may become stems; a stem is learned from at least MIN_TOXIC toxic texts, of MIN_SHARE of all that have it.
 STEM_LENGTHS, MIN_TOXIC, MIN_SHARE = range(3, 11), 4, 0.35
@@ -40,7 +42,7 @@ STEM_LENGTHS, MIN_TOXIC, MIN_SHARE = range(3, 11), 4, 0.35
 CHANCE, REFINED = 14.0, 7.0
 #: Stems that a task counts before it hands them on.
 FLUSH = 200_000
-#: Weight of one kind that a text can gather at most.
+#: Where the weight of one kind in a text saturates: more says no more.
 MOST = 30.0
 
 #: Closed classes of the grammar in English, German, French and Spanish.
@@ -52,14 +54,82 @@ REPORTS = frozenset("said says say reported reports quoted quote wrote writes ca
 KINDS = ("plain", "aimed", "negated", "reported", "threat")
 #: Of a text: weights of the matches of each kind, and of all for each hundred words.
 FEATURES = (*KINDS, "density")
+#: Weights that the fit is drawn towards.
+CENTRES = (0.8, 0.9, 0.1, 0.3, 0.9, 0.1)
 _CLAUSE = re.compile(r"[.!?;:,\n|]+")
 _WORD = re.compile(r"[^\W\d_][\w']*")
 _CLASS = {w: c for c, words in (("T", TARGETS), ("N", NEGATIONS), ("R", REPORTS), ("H", THREATS)) for w in words}
-#: The clausal transducer: state and class to next state; a word of no class keeps the state, but that a negation holds for REACH words.
+#: Words that a negation holds for.
 REACH = 4
-_NEXT = {("plain", "T"): "aimed", ("plain", "N"): "negated", ("plain", "R"): "reported", ("aimed", "N"): "negated", ("aimed", "R"): "reported", ("negated", "T"): "negated", ("negated", "R"): "reported"}
-#: State and class to output.
-_OUT = {(s, "I"): s for s in ("plain", "aimed", "negated", "reported")} | {("plain", "H"): None, ("aimed", "H"): "threat", ("negated", "H"): None, ("reported", "H"): None}
+#: Classes of words: none, target, negation, report, insult, threat; insult and threat with a target after them.
+CLASSES = ("", "T", "N", "R", "I", "H", "It", "Ht")
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """A sequential transducer: arcs map (state, input) to (next state, output)."""
+
+    start: object
+    arcs: dict
+
+    def run(self, symbols: list) -> list:
+        state, out, arcs = self.start, [], self.arcs
+        for x in symbols:
+            state, y = arcs[state, x]
+            out.append(y)
+        return out
+
+
+def compose(first: Transducer, then: Transducer) -> Transducer:
+    """One machine that does what `then` makes of the output of `first`; only pairs of states that can be reached are made."""
+    start = (first.start, then.start)
+    arcs, todo, seen = {}, [start], {start}
+    while todo:
+        p, q = todo.pop()
+        for (state, x), (p2, mid) in first.arcs.items():
+            if state == p:
+                q2, y = then.arcs[q, mid]
+                arcs[(p, q), x] = ((p2, q2), y)
+                if (p2, q2) not in seen:
+                    seen.add((p2, q2))
+                    todo.append((p2, q2))
+    return Transducer(start, arcs)
+
+
+def _scope() -> Transducer:
+    """Marks insults and threats as negated or reported. States: words that a negation still holds for, or "reported"."""
+    arcs = {}
+    for state in (*range(REACH + 1), "reported"):
+        for x in CLASSES:
+            passed = state if state == "reported" else max(0, state - 1)
+            if x == "N" and state != "reported":
+                arcs[state, x] = (REACH, x)
+            elif x == "R":
+                arcs[state, x] = ("reported", x)
+            elif x[:1] in ("I", "H"):
+                arcs[state, x] = (passed, x + ("r" if state == "reported" else "n" if state else ""))
+            else:
+                arcs[state, x] = (passed, x)
+    return Transducer(0, arcs)
+
+
+def _kind() -> Transducer:
+    """Turns marked insults and threats into kinds of matches, "" for none. States: whether a target has been named."""
+    arcs = {}
+    for named in (False, True):
+        for x in ("", "T", "N", "R"):
+            arcs[named, x] = (named or x == "T", "")
+        for after in ("", "t"):
+            aimed = named or bool(after)
+            for mark, insult, threat in (("", "aimed" if aimed else "plain", "threat" if aimed else ""), ("n", "negated", ""), ("r", "reported", "")):
+                arcs[named, f"I{after}{mark}"] = (named, insult)
+                arcs[named, f"H{after}{mark}"] = (named, threat)
+    return Transducer(False, arcs)
+
+
+#: Read from the end: insults and threats that a target follows.
+FOLLOWED = Transducer(False, {(t, x): (t or x == "T", x + "t" if t and x in ("I", "H") else x) for t in (False, True) for x in ("", "T", "N", "R", "I", "H")})
+CLAUSAL = compose(_scope(), _kind())
 
 
 @dataclass(frozen=True)
@@ -72,25 +142,9 @@ class Grammar:
 
 
 def clause_matches(words: list[tuple[str, float]]) -> list[tuple[str, float]]:
-    """Runs the clausal transducer over one clause of (class or '', weight): outputs with weights."""
-    state, since, out = "plain", 0, []
-    for kind, weight in words:
-        if state == "negated":
-            since += 1
-            if since > REACH:
-                state = "plain"
-        if kind in ("I", "H"):
-            made = _OUT[state, kind]
-            if made:
-                out.append((made, weight))
-        elif kind:
-            after = _NEXT.get((state, kind), state)
-            since = 0 if after == "negated" and kind == "N" else since
-            state = after
-    # a target later in the clause is aimed at as well
-    if out and any(k == "T" for k, _ in words):
-        out = [("aimed" if k == "plain" else k, w) for k, w in out]
-    return out
+    """Runs the clausal transducers over one clause of (class or '', weight): outputs with weights."""
+    classes = FOLLOWED.run([k for k, _ in reversed(words)])[::-1]
+    return [(kind, w) for kind, (_, w) in zip(CLAUSAL.run(classes), words, strict=True) if kind]
 
 
 class Matcher:
@@ -138,7 +192,7 @@ class Matcher:
             for kind, weight in clause_matches(words):
                 total[KINDS.index(kind)] += weight
         if last >= 0:
-            total[-1] = min(MOST, 100 * sum(total) / (low.count(" ") + 20))
+            total[-1] = min(MOST, 100 * sum(total) / (len(low.split()) + 20))
         return [min(MOST, x) for x in total]
 
 
@@ -197,7 +251,7 @@ def fit(docs: DataFrame, marked: DataFrame, *, id_col: str = "doc_id", text_col:
         return Grammar({}, (0.0,) * len(FEATURES), -40.0)
     t, c, base = F.col("toxic"), F.col("clean"), n[1] / (n[0] + n[1])
     ratio = t * F.log(t / (t + c) / base) + c * F.log((c + 0.5) / (t + c + 0.5) / (1 - base))
-    best = found.where(t >= MIN_SHARE * (t + c)).where(ratio >= CHANCE / 2).orderBy(ratio.desc(), "stem").limit(8 * MAX_STEMS).collect()
+    best = found.where(t >= MIN_SHARE * (t + c)).where(ratio >= CHANCE / 2).orderBy(ratio.desc(), "stem").collect()  # of a bounded sample
     chosen = choose(best, n[1], n[0])
     some = rows.withColumn("_r", F.xxhash64("_copy", F.lit(5))).orderBy("_r", "_label").limit(WEIGHT_ROWS).select("_label", kind_features(F.col("_text"), chosen).alias("x")).collect()
     x, y = np.array([r.x for r in some], float).reshape(len(some), len(FEATURES)), np.array([r._label for r in some])
@@ -232,15 +286,13 @@ def choose(found: list, n_toxic: int, n_clean: int) -> dict[str, float]:
             continue
         shares[s] = t / (t + c)
         chosen[s] = math.log((t + 0.5) / (c + 0.5)) - math.log(n_toxic / n_clean)
-        if len(chosen) >= MAX_STEMS:
-            break
     return chosen
 
 
 def logistic(x: np.ndarray, y: np.ndarray, *, ridge: float = 0.02, steps: int = 60) -> tuple[tuple[float, ...], float]:
-    """Newton's method with a ridge that draws weights towards that of a plain match."""
+    """Newton's method with a ridge that draws weights towards CENTRES, and no weight below 0."""
     z = np.column_stack([x, np.ones(len(x))])
-    centre = np.array([0.8] * (x.shape[1] - 1) + [0.1, -3.0])
+    centre = np.array([*CENTRES, -3.0])
     w = centre.copy()
     pull = ridge * len(y) ** 0.5
 
