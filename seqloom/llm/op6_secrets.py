@@ -1,17 +1,19 @@
 """Secret scans by corpus-wide ownership frequency, in DataFrame and SQL functions only.
 
 Candidates of every kind are found in whole texts with their places in code points. Each candidate's value is hashed, and
-the hashes are aggregated over the corpus by distinct owners, the values of the source column. The table has no repository
-column, so repositories are not counted, and neither are documents: a value in many documents of one source has one owner.
-A value that several owners hold is a widely copied example; one that few hold looks like a live credential. Candidates of
-the three base kinds always stay and are told apart; those of the further kinds count only while they look live.
-
-Values are pre-aggregated by owner before they are shuffled by hash, and texts never cross a shuffle. Ownership joins back
-by hash; a value that a third of the rows hold makes one skewed side, which adaptive execution splits.
-
-Cases: a null or empty text has no spans, and the digest of the empty string; repeated rows each get their own result and
-count as documents each; null and empty owners count as one owner together; an empty table gives an empty result; a long text is
-scanned whole; extra columns are never read.
+the hashes are aggregated over the corpus by distinct repositories and owners. The owner is the source column; documents has
+no column for repositories, so a document stands for one unless the caller names another column. A value that several owners
+hold in as many repositories is a widely copied example; one that few owners hold, in however many repositories, looks like a
+live credential. Candidates of the three base kinds always stay and are told apart; those of the further kinds count only
+while they look live.
+
+Values are pre-aggregated by owner and repository before they are shuffled by hash, and texts never cross a shuffle. Owner
+counts are a table of their own before they are joined back by hash, so that adaptive execution can split a value that a
+third of the rows hold. Patterns run only where a fixed part of them occurs, and none looks back over a long run of letters.
+
+Cases: a null or empty text has no spans, and the digest of the empty string; repeated rows each get their own result; null and
+empty owners count as one owner together; null repositories as one; an empty table gives an empty result; a long text is scanned
+whole, in time proportional to its length and its candidates; extra columns are never read.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.common import documents, stored, text_or_empty
 
-#: A value that this many owners hold is a copied example.
+#: A value that this many owners hold, in as many repositories, is a copied example.
 COPIED_OWNERS = 3
+#: Matches whose lengths are summed one by one; whole blocks of them are summed first.
+BLOCK = 64
 #: Fixed values, the contract's: kind, pattern, group of the value, least length of the value.
 BASE = (
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
@@ -35,10 +39,12 @@ ADDED = (
     ("slack", r"(xox[abprs]-[A-Za-z0-9-]{10,})", 1, 10),
     ("jwt", r"(eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})", 1, 32),
     ("pem", r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)", 1, 1),
-    ("login", r"([a-z][a-z0-9+]*://[^\x00-\x20:/@]+:[^\x00-\x20:/@]{3,}@)", 1, 1),
+    ("login", r"([a-z][a-z0-9+]{0,15}://[^\x00-\x20:/@]+:[^\x00-\x20:/@]{3,}@)", 1, 1),
     ("mixed", r"([A-Za-z0-9_+-]{24,})", 1, 24),
 )
 KINDS = (*BASE, *ADDED)
+#: Strings of which every match of a kind has one.
+PARTS = {"assign": (":", "="), "access": ("AKIA",), "github": ("gh",), "slack": ("xox",), "jwt": ("eyJ",), "pem": ("PRIVATE KEY-----",), "login": ("://",)}
 #: A mixed string needs all of these.
 MIXED = ("[0-9]", "[a-z]", "[A-Z]")
 
@@ -47,24 +53,46 @@ def found(text: Column, number: int) -> Column:
     """array<struct<start, end, number, value>> of one kind: leftmost matches that do not overlap, then those that are long enough."""
     name, pattern, group, least = KINDS[number]
     rx = F.lit(pattern)
-    parts = F.split(text, pattern, -1)
-    hits, values = F.regexp_extract_all(text, rx, F.lit(0)), F.regexp_extract_all(text, rx, F.lit(group))
     # the place of a match is what lies before it: the text between matches, and the matches
-    kind = "struct<at: int, out: array<struct<start: int, end: int, number: int, value: string>>>"
-    none = F.from_json(F.lit('{"at": 0, "out": []}'), kind)
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["part"])
-        end = start + F.length(x["hit"])
-        one = F.struct(start.alias("start"), end.alias("end"), F.lit(number).alias("number"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    rows = F.arrays_zip(F.slice(parts, 1, F.size(hits)).alias("part"), hits.alias("hit"), values.alias("value"))
-    out = F.aggregate(rows, none, step, lambda acc: acc["out"])
-    good = F.filter(out, lambda s: F.length(s["value"]) >= least)
+    rows = F.arrays_zip(F.split(text, pattern, -1).alias("part"), F.regexp_extract_all(text, rx, F.lit(0)).alias("hit"), *([F.regexp_extract_all(text, rx, F.lit(group)).alias("value")] if group > 1 else []))
+    rows = F.filter(rows, lambda x: x["hit"].isNotNull())
+
+    def placed(rows: Column) -> Column:
+        sums = F.transform(rows, lambda x: F.length(x["part"]) + F.length(x["hit"]))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / BLOCK).cast("int")), lambda k: F.struct(k.alias("k")))
+        return F.transform(F.array(F.struct(rows.alias("rows"), sums.alias("sums"), blocks.alias("blocks"))), _starts)[0]
+
+    def _starts(x: Column) -> Column:
+        """Bound to a variable, so that nothing is computed again for each match."""
+        total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, y: a + y)
+        before = F.aggregate(
+            x["blocks"],
+            F.array(F.lit(0)),
+            lambda acc, k: F.concat(acc, F.array(F.element_at(acc, -1) + total(F.slice(x["sums"], k["k"] * BLOCK + 1, F.lit(BLOCK))))),
+        )
+        return F.transform(F.array(F.struct(x.alias("x"), before.alias("before"))), _spans)[0]
+
+    def _spans(z: Column) -> Column:
+        x = z["x"]
+
+        def one(r: Column, i: Column) -> Column:
+            block = F.floor(i / BLOCK).cast("int")
+            start = F.get(z["before"], block) + F.aggregate(F.slice(x["sums"], block * BLOCK + 1, i % BLOCK), F.lit(0), lambda a, y: a + y) + F.length(r["part"])
+            value = r["value"] if group > 1 else r["hit"]
+            return F.struct(start.alias("start"), (start + F.length(r["hit"])).alias("end"), F.lit(number).alias("number"), value.alias("value"))
+
+        return F.transform(x["rows"], one)
+
+    good = F.filter(placed(rows), lambda s: F.length(s["value"]) >= least)
     if name == "mixed":
         good = F.filter(good, lambda s: s["value"].rlike(MIXED[0]) & s["value"].rlike(MIXED[1]) & s["value"].rlike(MIXED[2]))
-    return F.when(text.rlike(pattern), good).otherwise(F.from_json(F.lit("[]"), "array<struct<start: int, end: int, number: int, value: string>>"))
+    may = text.rlike(pattern)
+    if name in PARTS:
+        some = F.lit(False)
+        for part in PARTS[name]:
+            some = some | text.contains(part)
+        may = some & may
+    return F.when(may, good).otherwise(F.from_json(F.lit("[]"), "array<struct<start: int, end: int, number: int, value: string>>"))
 
 
 def spelled(spans: Column) -> Column:
@@ -81,22 +109,24 @@ def _bare(spans: Column, keep) -> Column:
     return F.transform(F.filter(spans, keep), lambda s: F.struct(s["start"].alias("start"), s["number"].alias("number"), s["end"].alias("end")))
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", copied_owners: int = COPIED_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str = "", copied_owners: int = COPIED_OWNERS) -> DataFrame:
     """id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, live (array of the spans that look live, start, number of the kind, end)."""
     text = F.col("_text")
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("_owner"), text_or_empty(text_col).alias("_text"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("_owner"), F.col(repository_col or id_col).cast("string").alias("_repository"), text_or_empty(text_col).alias("_text"))
     spans = F.flatten(F.array(*(found(text, k) for k in range(len(KINDS)))))
     hashed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["number"].alias("number"), F.xxhash64(s["value"]).alias("hash"), F.crc32(s["value"]).alias("check")))
-    rows = stored(rows.select(F.monotonically_increasing_id().alias("_row"), "_id", "_owner", hashed.alias("_spans")), "candidates")
+    rows = stored(rows.select(F.monotonically_increasing_id().alias("_row"), "_id", "_owner", "_repository", hashed.alias("_spans")), "candidates")
     base = _bare(F.col("_spans"), lambda s: s["number"] < len(BASE))
     counted = [F.size(F.filter("_spans", _of_kind(k))).cast("bigint").alias(f"n_{BASE[k][0]}") for k in range(len(BASE))]
     shape = "array<struct<start: int, number: int, end: int>>"
     empty = F.from_json(F.lit("[]"), shape)
     none = rows.where(F.size("_spans") == 0).select("_id", *counted, F.sha2(F.lit(""), 256).alias("base_sha256"), F.lit("").alias("spans"), F.lit(0).cast("bigint").alias("n_live"), F.lit(0).cast("bigint").alias("n_copied"), empty.alias("live"))
     some = rows.where(F.size("_spans") > 0).withColumn("_base", base)
-    each = some.select("_row", "_owner", F.explode("_spans").alias("s")).select("_row", "_owner", "s.*")
-    owners = each.groupBy("hash", "check", "_owner").agg(F.lit(1).alias("one")).groupBy("hash", "check").agg(F.count("*").alias("owners"))
-    told = each.join(owners, ["hash", "check"]).select("_row", F.struct("start", "number", "end").alias("span"), (F.col("owners") < copied_owners).alias("is_live"), (F.col("number") < len(BASE)).alias("is_base"))
+    each = some.select("_row", "_owner", "_repository", F.explode("_spans").alias("s")).select("_row", "_owner", "_repository", "s.*")
+    held = each.groupBy("hash", "check", "_owner", "_repository").agg(F.lit(1).alias("one")).groupBy("hash", "check", "_owner").agg(F.count("*").alias("n"))
+    owners = stored(held.groupBy("hash", "check").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories")), "owners")
+    copied = (F.col("owners") >= copied_owners) & (F.col("repositories") >= copied_owners)
+    told = each.join(owners, ["hash", "check"]).select("_row", F.struct("start", "number", "end").alias("span"), (~copied).alias("is_live"), (F.col("number") < len(BASE)).alias("is_base"))
     told = told.groupBy("_row").agg(
         F.collect_list(F.when(F.col("is_live") & ~F.col("is_base"), F.col("span"))).alias("_added"),
         F.collect_list(F.when(F.col("is_live"), F.col("span"))).alias("live"),
