@@ -6,7 +6,8 @@ Content is normalised as far as that changes no count, which is: a null text is
 tokenizer's digest covers its file, so another version never takes another's counts.
 
 A missing text crosses one shuffle, made distinct on the map side first, so a text that a third of the rows share sends
-one row from each task. Counts join back by digest; a hot digest is a skewed side that adaptive execution splits.
+one row from each task. Counts are a table of their own before they join back by digest: only between two shuffles, with no
+aggregate in between, does adaptive execution split the rows of a hot digest.
 
 Cases: null and empty texts have 0 tokens; repeated rows are each returned; empty tables give empty results; a very
 long text is encoded alone in its batch; extra columns are never read.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm.chunks import Cache, cut, slices, sums, tangled
-from seqloom.llm.common import documents, shared_folder, text_or_empty
+from seqloom.llm.common import documents, shared_folder, stored, text_or_empty
 
 LIMIT = 512
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens bigint"
@@ -104,7 +105,7 @@ def token_counts(docs: DataFrame, cache_path: str, *, id_col: str = "doc_id", te
     missing = texts.groupBy("content_digest").agg(F.first("_text").alias("_text")).join(cached(), "content_digest", "left_anti")
     missing.select("content_digest", F.lit(version).alias("tokenizer_digest"), count_tokens(F.col("_text"), path).alias("n_tokens")).write.mode("append").parquet(cache_path)
     # two runs that miss the same text at once both append it, with the same count
-    counts = cached().groupBy("content_digest").agg(F.first("n_tokens").alias("n_tokens"))
+    counts = stored(cached().groupBy("content_digest").agg(F.first("n_tokens").alias("n_tokens")), "counts")
     keyed = docs.select(F.col(id_col), digest.alias("content_digest"), F.octet_length(text).cast("bigint").alias("n_bytes"))
     return keyed.join(counts, "content_digest").select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
