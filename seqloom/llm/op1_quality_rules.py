@@ -90,7 +90,9 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray, left: np.ndarray, cuts: int
 def learn(x: dict[str, np.ndarray], bad: np.ndarray, *, min_precision: float = 0.97, min_cover: int = 4, max_rules: int = 24, cuts: int = 96, depth: int = 4) -> list[Rule]:
     """Sequential covering: grow a rule, cut its tail where that raises (p - n) / (p + n) on the pruning rows, keep it, remove what it covers."""
     n = len(bad)
-    prune = np.arange(n) % 3 == 2
+    prune = np.zeros(n, bool)
+    for rows in (np.flatnonzero(bad), np.flatnonzero(~bad)):  # a third of each label, however few there are
+        prune[rows[2::3]] = True
     left = np.ones(n, bool)
     rules: list[Rule] = []
     while len(rules) < max_rules and (left & bad & ~prune).sum() >= min_cover:
