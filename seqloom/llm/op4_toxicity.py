@@ -57,7 +57,8 @@ FEATURES = (*KINDS, "density")
 #: Weights that the fit is drawn towards.
 CENTRES = (0.8, 0.9, 0.1, 0.3, 0.9, 0.1)
 _CLAUSE = re.compile(r"[.!?;:,\n|]+")
-_WORD = re.compile(r"[^\W\d_][\w']*")
+#: A word begins where no letter, digit, underscore or apostrophe stands before it.
+_WORD = re.compile(r"(?<![\w'])[^\W\d_][\w']*")
 _CLASS = {w: c for c, words in (("T", TARGETS), ("N", NEGATIONS), ("R", REPORTS), ("H", THREATS)) for w in words}
 #: Words that a negation holds for.
 REACH = 4
