@@ -5,12 +5,14 @@ normalised: up to the normal length a stricter mask has to match, beyond it an e
 the normal one and a local edit moves no boundary beyond its neighbourhood. A fingerprint is the set of chunk digests, each
 with its length; likeness is containment, the part of one fingerprint's length whose digests the other has as well.
 
-The query needs the text that comes next in descending order of ids. Documents are range-partitioned once by id, by bounds
-from a bounded sample of ids, which only even out the ranges. Inside a task the next document is the next row; a copy of
-the first row of the following range, one for each range, goes along as the last row of the range before it.
+The query needs the text that comes next in descending order of ids. Documents are range-partitioned once by id and, within
+equal or null ids, by the beginning of the text, by bounds from a bounded sample, which only even out the ranges. Inside a
+task the next document is the next row; a copy of the first row of the following range, one for each range, goes along as
+the last row of the range before it. Only rows that are equal in id and in the beginning of the text share a task whatever
+their number.
 
 Cases: a null text is the empty one, whose fingerprint is the empty string; two empty fingerprints are wholly alike, an
-empty one and another not at all; rows with equal ids follow each other by text; null ids come last; a single document is
+empty one and another not at all; rows with equal ids follow each other by text; null ids come last, by text as well; a single document is
 followed by itself; an empty table gives an empty result; extra columns are never read.
 """
 
@@ -20,6 +22,7 @@ import hashlib
 import random
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cmp_to_key
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,8 @@ from seqloom.llm.common import documents, text_or_empty
 
 #: Lengths of chunks in bytes: least, normal, most; bits of the masks before and after the normal length.
 LEAST, NORMAL, MOST, STRICT_BITS, EASY_BITS = 12, 32, 128, 6, 4
-#: Ids sampled for each range.
-SAMPLED = 50
+#: Rows sampled for each range; characters of a text by which rows of one id are dealt out.
+SAMPLED, BEGIN = 50, 48
 _draw = random.Random(2024)
 GEAR = np.array([_draw.getrandbits(32) for _ in range(256)], np.uint32)
 
@@ -132,16 +135,37 @@ def _compare(text: str, own: dict[str, int], following: str, others: dict[str, i
     return len(text), hashlib.sha256(changed).hexdigest(), written(own), written(marks), likeness(own, marks), likeness(own, others)
 
 
-def _ranges(ids: DataFrame, parts: int) -> tuple:
-    """Function from a column of ids to the number of their range, highest ids first, and null ones in a range of their own."""
-    sample = sorted(r[0] for r in ids.where("id IS NOT NULL").orderBy(F.xxhash64("id")).limit(SAMPLED * parts).select("id").collect())
-    bounds = sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
+def _order(a: tuple, b: tuple) -> int:
+    """Of (id, beginning of the text): falling ids, null ones last, then rising texts."""
+    if a[0] != b[0]:
+        return 1 if a[0] is None else -1 if b[0] is None else 1 if a[0] < b[0] else -1
+    return (a[1] > b[1]) - (a[1] < b[1])
 
-    def run(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in column:
-            yield pa.array([len(bounds) + 1 if i is None else len(bounds) - bisect_right(bounds, i) for i in batch.to_pylist()], pa.int32())
 
-    return F.arrow_udf(run, "int"), len(bounds) + 2
+def _ranges(rows: DataFrame, parts: int) -> tuple:
+    """Function from columns of ids and beginnings of texts to the number of their range."""
+    sample = sorted((tuple(r) for r in rows.select("id", "begin").orderBy(F.xxhash64("id", "begin")).limit(SAMPLED * parts).collect()), key=cmp_to_key(_order))
+    bounds = sorted({sample[len(sample) * k // parts] for k in range(1, parts)}, key=cmp_to_key(_order)) if sample else []
+
+    def run(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        # bounds by falling id; the few of one id, and of none, by text
+        ids = sorted({b[0] for b in bounds if b[0] is not None})
+        texts = {i: [b[1] for b in bounds if b[0] == i] for i in {b[0] for b in bounds}}
+        above = {i: sum(_order(b, (i, "")) < 0 for b in bounds) for i in texts}  # bounds before those of that id
+        none = above.get(None, len(bounds))
+        for id_batch, begins in columns:
+            out = []
+            for i, t in zip(id_batch.to_pylist(), begins.to_pylist(), strict=True):
+                if i is None:
+                    out.append(none + bisect_right(texts.get(None, []), t))
+                elif i in texts:
+                    out.append(above[i] + bisect_right(texts[i], t))
+                else:
+                    k = bisect_right(ids, i)
+                    out.append(above[ids[k - 1]] if k else none)
+            yield pa.array(out, pa.int32())
+
+    return F.arrow_udf(run, "int"), len(bounds) + 1
 
 
 def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
@@ -149,14 +173,16 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    range_of, n = _ranges(rows.select("id"), partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # the first id of each range that has rows: as many as there are ranges
-    first = {r.range: r.id for r in rows.select("id", range_of("id").alias("range")).groupBy("range").agg(F.max("id").alias("id")).collect()}
+    rows = rows.withColumn("begin", F.substring("text", 1, BEGIN))
+    range_of, n = _ranges(rows, partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.withColumn("range", range_of("id", "begin")).drop("begin")
+    # the highest id of each range that has rows, null only where all are: as many as there are ranges
+    first = {r.range: r.id for r in rows.groupBy("range").agg(F.max("id").alias("id")).collect()}
     used = sorted(first)
     before = {k: used[i - 1] for i, k in enumerate(used)}  # before the first range stands the last
-    heads = spark.createDataFrame([(before[k], first[k]) for k in used], f"range int, id {kind}")
-    borrowed = rows.join(F.broadcast(heads), rows["id"].eqNullSafe(heads["id"])).groupBy("range").agg(F.min("text").alias("text"))
-    all_rows = rows.select(range_of("id").alias("range"), F.lit(0).alias("last"), "id", "text").unionByName(borrowed.select("range", F.lit(1).alias("last"), F.lit(None).cast(kind).alias("id"), "text"))
+    heads = spark.createDataFrame([(k, before[k], first[k]) for k in used], f"_range int, before int, _id {kind}")
+    borrowed = rows.join(F.broadcast(heads), (rows["range"] == heads["_range"]) & rows["id"].eqNullSafe(heads["_id"])).groupBy(F.col("before").alias("range")).agg(F.min("text").alias("text"))  # the least text of that id
+    all_rows = rows.select("range", F.lit(0).alias("last"), "id", "text").unionByName(borrowed.select("range", F.lit(1).alias("last"), F.lit(None).cast(kind).alias("id"), "text"))
     dealt = all_rows.repartitionById(n, "range").sortWithinPartitions("range", "last", F.desc_nulls_last("id"), "text")
 
     def run(batches):
