@@ -258,3 +258,62 @@ def test_importance_keeps_rows_by_their_own_verdict(spark):
     said = sorted(((r.doc_id or 0), round(r.perturbed, 6)) for r in op8.select(df, marks).where("kept").collect())
     assert len(kept) == len(said) and sorted((i or 0) for i, _ in kept) == [i for i, _ in said]
     assert {(None, good[0][1]), (200, good[1][1])} <= set(kept) and not {(None, bad[0][1]), (200, bad[1][1])} & set(kept)
+
+
+def test_secrets_in_long_runs_and_many_matches(spark):
+    import time
+
+    texts = {1: "a" * 1_000_000, 2: "password=abcdefgh1 " * 30_000, 3: "x://y " * 100_000, None: "gh" * 200_000}
+    began = time.time()
+    got = {r.doc_id: r for r in op6.scan(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], SCHEMA)).collect()}
+    assert time.time() - began < 120
+    for i, t in texts.items():
+        assert got[i].base_sha256 == hashlib.sha256(plain_base(t).encode()).hexdigest()
+    assert got[2].n_assign == 30_000
+
+
+def test_secrets_count_repositories_and_owners(spark):
+    token = "ghp_" + "Q1w2" * 10
+    rows = [(i, token, o, r) for i, (o, r) in enumerate([("a", "r"), ("b", "r"), ("c", "r"), ("c", "r")])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, repo string")
+    # one repository of three owners: each owner's copy counts as one there
+    assert {r.n_copied for r in op6.scan(df, repository_col="repo").collect()} == {2} and {r.n_live for r in op6.scan(df.where("source <> 'a'")).collect()} == {2}
+
+
+def test_star_rounds_and_leaves_on_tangled_groups(spark):
+    """Copies of a base that are near it and not all near each other, over boilerplate that unrelated texts share."""
+    rng = random.Random(21)
+    words = [f"v{i}" for i in range(3000)]
+    base, plate, rows = [rng.choice(words) for _ in range(100)], [rng.choice(words) for _ in range(40)], []
+    for i in range(260):
+        w = list(base)
+        for k in rng.sample(range(100), rng.randint(0, 5)):
+            w[k] = rng.choice(words)
+        rows.append((i, " ".join(w)))
+    rows += [(300 + i, " ".join([rng.choice(words) for _ in range(rng.randint(5, 90))] + plate)) for i in range(150)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in op3.groups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6), width=5, percent=80, leaf=16).collect())
+    assert got == plain_groups(rows, width=5, percent=80)
+
+
+def test_frequent_tokens_are_dealt_out_and_lost_by_none(spark):
+    rows = [(7, c, (100 << 32) + ((100 - k) << 1) + 1) for k in range(3) for c in range(20)] + [(8, 1, (50 << 32) + (50 << 1)), (9, 2, (50 << 32) + (50 << 1)), (9, 3, (50 << 32) + (50 << 1)), (9, 3, (50 << 32) + (50 << 1))]
+    out = {(r.token, r["class"]) for r in op3._shared(spark.createDataFrame(rows, "token bigint, class bigint, pack bigint"), 80).collect()}
+    assert out == {(7, c) for c in range(20)} | {(9, 2), (9, 3)}
+
+
+def test_a_very_long_text_joins(spark):
+    words = " ".join(f"q{i}" for i in range(1_000_000))
+    got = {r.doc_id: r.component_id for r in op3.groups(spark.createDataFrame([(1, words), (2, words + " end"), (3, "q0 q1 q2 q3 q4")], "doc_id bigint, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
+def test_pipeline_stages_on_clashing_names_and_empty_tables(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = documents(spark, SF)
+    for name in ("_spans", "_id", "_key", "_digest", "_stats", "spans", "class", "component_id", "kept"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        if name != "best_fit_packing":
+            assert out.columns == docs.columns and out.count() > 0
+        assert stage(spark, docs.limit(0), SF).count() == 0

@@ -299,3 +299,167 @@ def test_fingerprints(spark, odd, none):
     assert op10.with_next(none).count() == 0
     one = spark.createDataFrame([(1, "alone here, with a few words", "en", "s", 1)], SCHEMA)
     assert op10.with_next(one).first().near_next == 1.0
+
+
+def test_fingerprints_of_repeated_and_null_ids_over_many_ranges(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdef") for _ in range(4)) for _ in range(30)]
+    rows = [(rng.choice([None] * 30 + [5] * 30 + list(range(40))), " ".join(rng.choice(words) for _ in range(rng.randint(0, 30)))) for _ in range(400)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = sorted(((i or -1), hashlib.sha256((t[: len(t) - len(t) // 2] + rows[(k + 1) % len(rows)][1][: len(t) // 2]).encode()).hexdigest()) for k, (i, t) in enumerate(rows))
+    assert sorted((-1 if r.doc_id is None else r.doc_id or -1, r.edited_sha256) for r in op10.with_next(df, partitions=9).collect()) == want
+    begin = df.select(F.col("doc_id").alias("id"), F.substring("text", 1, op10.BEGIN).alias("begin"))
+    range_of, n = op10._ranges(begin, 9)
+    counts = {r.r: r.n for r in begin.where("id is null").groupBy(range_of("id", "begin").alias("r")).agg(F.count("*").alias("n")).collect()}
+    assert len(counts) > 2 and max(counts) < n  # null ids are dealt out as well
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_a_rule_list_is_learned_at_every_size(spark, sf):
+    docs, marks = documents(spark, f"/root/testdata/{sf}"), labels(spark, f"/root/testdata/{sf}")
+    rules = op1.fit(docs, marks)
+    assert rules
+    out = op1.judge(docs, rules).join(marks, "doc_id").toPandas()
+    left = out[~out.base_failed]
+    assert left[left.quality == 0].kept.mean() < 0.2 and left[left.quality == 1].kept.mean() > 0.97
+
+
+def test_verdicts_of_the_rules_equal_a_plain_version(spark):
+    """Base rule at its bounds, repeated and null ids, and the ordered list, through judge."""
+    word = "abcd efgh ijkl mnop qrst uvwx yzab cdef"
+    loop = [f"u{i}" for i in range(37)]
+    rows = [(1, " ".join(f"w{i}" for i in range(19))), (2, " ".join(f"w{i}" for i in range(20))), (3, f"{word} {word} " + " ".join(loop)), (4, f"{word} {word} " + " ".join([*loop, "one"])), (4, "# " * 40), (None, " ".join(f"x{i}" for i in range(30)) + " $$"), (5, None), (6, "long " * 30_000 + " ".join(f"y{i}" for i in range(90_000)))]
+    rules = [op1.Rule((op1.Test("symbol_share", True, 0.5),), 1.0, 1), op1.Rule((op1.Test("n_words", True, 31.0), op1.Test("symbol_share", True, 0.01)), 1.0, 1)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    want = []
+    for i, t in rows:
+        n, chars, symbols, dup, rep = plain_counts(t)
+        failed = n < 20 or 100 * rep > 30 * n
+        share = symbols / max(chars, 1)
+        rule = 1 if share >= 0.5 else 2 if n >= 31 and share >= 0.01 else 0
+        want.append((i or 0, n, chars, symbols, dup, rep, failed, rule, not failed and rule == 0))
+    got = [(r.doc_id or 0, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.rule, r.kept) for r in op1.judge(df, rules).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def plain_kinds(clause):
+    """Kinds of the matches of one clause, straight from the definition."""
+    out = []
+    for k, x in enumerate(clause):
+        if x not in ("I", "H"):
+            continue
+        before = clause[:k]
+        reported = "R" in before
+        first_report = before.index("R") if reported else len(before)
+        negated = not reported and any(y == "N" and k - j <= op4.REACH for j, y in enumerate(before[:first_report]))
+        aimed = "T" in clause[:k] + clause[k + 1 :]
+        if reported or negated:
+            out += [("reported" if reported else "negated")] if x == "I" else []
+        elif x == "I":
+            out.append("aimed" if aimed else "plain")
+        elif aimed:
+            out.append("threat")
+    return out
+
+
+def test_composed_transducers_equal_the_definition():
+    import itertools
+
+    for n in range(6):
+        for clause in itertools.product(("", "T", "N", "R", "I", "H"), repeat=n):
+            assert [k for k, _ in op4.clause_matches([(x, 1.0) for x in clause])] == plain_kinds(list(clause)), clause
+    one, two = op4._scope(), op4._kind()
+    both = op4.compose(one, two)
+    rng = random.Random(3)
+    for _ in range(300):
+        x = [rng.choice(op4.CLASSES) for _ in range(rng.randint(0, 20))]
+        assert both.run(x) == two.run(one.run(x))
+
+
+def plain_features(stems, text):
+    import re
+
+    total = dict.fromkeys(op4.KINDS, 0.0)
+    low = text.lower()
+    for clause in re.split(r"[.!?;:,\n|]+", low):
+        classes, weights = [], []
+        for w in re.findall(r"(?<![\w'])[^\W\d_][\w']*", clause):
+            found = [v for s, v in stems.items() if (w == s[:-1] if s.endswith(" ") else w.startswith(s))]
+            classes.append("I" if found else op4._CLASS.get(w, ""))
+            weights.append(max(found) if found else 1.0)
+        kinds = iter(plain_kinds(classes))
+        at = [k for k, x in enumerate(classes) if x in ("I", "H")]
+        said = op4.clause_matches([(x, w) for x, w in zip(classes, weights)])
+        assert [k for k, _ in said] == list(kinds) and len(said) <= len(at)
+        for k, w in said:
+            total[k] += w
+    each = [min(op4.MOST, x) for x in total.values()]
+    return [*each, min(op4.MOST, 100 * sum(total.values()) / (len(low.split()) + 20)) if sum(total.values()) else 0.0]
+
+
+def test_matcher_equals_a_plain_scan():
+    stems = {"zork": 2.0, "zorkist ": 3.5, "blim ": 1.5}
+    m = op4.Matcher(stems)
+    rng = random.Random(9)
+    parts = ["zork", "zorks", "Zorkist", "blim", "blimp", "ablim", "you", "not", "said", "kill", "the", "house", "é", "don't", "9blim", "x_blim"]
+    for _ in range(2000):
+        text = "".join(rng.choice(parts) + rng.choice([" ", " ", " ", ", ", ". ", "\n", "\t", "!"]) for _ in range(rng.randint(0, 14)))
+        got = m.features(text)
+        want = plain_features(stems, text)
+        assert got[:-1] == pytest.approx(want[:-1]), text
+        assert got[-1] == pytest.approx(want[-1]) or not sum(want[:-1]), text
+    assert op4.Matcher(stems).features("zork " * 200_000)[0] == op4.MOST
+
+
+def test_clauses_change_verdicts(spark):
+    docs, marks = documents(spark, "/root/testdata/sf0.01"), labels(spark, "/root/testdata/sf0.01")
+    g = op4.fit(docs, marks)
+    weight = dict(zip(op4.KINDS, g.kinds))
+    assert weight["negated"] < 0.5 * weight["plain"] and weight["reported"] < 0.7 * weight["plain"]
+    insult = max((s for s in g.stems if s.endswith(" ") or len(s) > 3), key=lambda s: g.stems[s]).strip()
+    rows = [(1, f"the {insult} is here. an {insult} was that"), (2, f"the man is not an {insult}. nor was that an {insult}"), (3, f"he said {insult}. the report says {insult}")]
+    got = {r.doc_id: r.score for r in op4.score(spark.createDataFrame(rows, "doc_id bigint, text string"), g).collect()}
+    assert got[1] >= op4.THRESHOLD > max(got[2], got[3])
+
+
+def test_importance_selection_equals_a_plain_version(spark):
+    docs, marks = documents(spark, SF), labels(spark, SF)
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()] + [(None, "no id"), (None, ""), (0, "again " * 40)]
+    rows += rows[:3]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labelled = {}
+    for r in marks.collect():
+        labelled[r.doc_id] = min(labelled.get(r.doc_id, 1), r.quality)
+
+    def events(text):
+        z = text.encode()
+        w = [((int.from_bytes(z[i : i + 4], "big") * 2654435761) & 0xFFFFFFFF) >> 17 for i in range(len(z) - 3)]
+        k = text.split(" ")
+        return w + [op8.BUCKETS + (a == b) for a, b in zip(k, k[1:])]
+
+    raw, target = np.zeros(op8.N_FEATURES), np.zeros(op8.N_FEATURES)
+    seen = [np.bincount(np.array(events(t), np.int64), minlength=op8.N_FEATURES) for _, t in rows]
+    for (i, _), e in zip(rows, seen):
+        raw += e
+        target += e * (labelled.get(i) == 1)
+    ratio = np.zeros(op8.N_FEATURES)
+    for part in (slice(0, op8.BUCKETS), slice(op8.BUCKETS, None)):
+        t, r = target[part] + op8.SMOOTHING, raw[part] + op8.SMOOTHING
+        ratio[part] = np.log(t / t.sum() / (r / r.sum()))
+    mean = [round(float(e @ ratio / (e.sum() + op8.DAMPING)), 9) for e in seen]
+    good = {}
+    for (i, _), m in zip(rows, mean):
+        if labelled.get(i) == 1:
+            good[i] = min(m, good.get(i, m))
+    low, first, third = np.quantile(list(good.values()), [op8.QUANTILE, 0.25, 0.75], method="inverted_cdf")
+    factor = 1.349 / (third - first)
+    got = op8.select(df, marks).collect()
+    weights = sorted(round(m * factor, 3) for m in mean)
+    assert sorted(round(r.log_weight, 3) for r in got) == pytest.approx(weights, abs=2e-3)
+    k = sum(r.log_weight >= low * factor - op8.SLACK for r in got)
+    least = sorted((r.perturbed for r in got), reverse=True)[k - 1]
+    assert all(r.kept == (r.perturbed >= least) for r in got)
+    noise = {r.doc_id: r.g for r in df.where("doc_id is not null").select("doc_id", op8.gumbel(F.col("doc_id")).alias("g")).collect()}
+    assert all(abs(r.perturbed - r.log_weight - noise[r.doc_id]) < 3e-6 for r in got if r.doc_id is not None)
+    assert np.subtract(*np.quantile([m * factor for m in good.values()], [0.75, 0.25])) == pytest.approx(1.349, abs=0.2)  # the target spreads as noise does
