@@ -309,13 +309,14 @@ def _fits(percent: int, n: str, reach: str, n_b: str, reach_b: str):
     return (100 * n >= percent * n_b) & (100 * n_b >= percent * n) & ((100 + percent) * F.least(reach, reach_b) >= percent * (n + n_b))
 
 
-def _stars(shared: DataFrame, percent: int, number: int) -> tuple[DataFrame, DataFrame]:
+def _stars(shared: DataFrame, percent: int, number: int, work: Scratch) -> tuple[DataFrame, DataFrame]:
     """Seats (a, part, side, class) of every class (side 0) and its centres (side 1, a), and the rows of shared that are no centre's."""
     centre = F.min(F.struct(F.xxhash64("class", F.lit(number)).alias("h"), F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("reach").alias("reach_a")))
-    with_centre = shared.join(shared.groupBy("token").agg(centre.alias("_c")), "token").select(*shared.columns, "_c.a", "_c.n_a", "_c.reach_a")
+    # a table of its own, as adaptive execution splits a hot token only where no aggregate stands between shuffle and join
+    centres = work.stored(shared.groupBy("token").agg(centre.alias("_c")).select("token", "_c.a", "_c.n_a", "_c.reach_a"), "centres")
+    with_centre = shared.join(centres, "token")
     rest = with_centre.where(F.col("class") != F.col("a"))
     pairs = rest.where(_fits(percent, "n", "reach", "n_a", "reach_a"))
-    pairs = pairs.where(F.col("label") != F.col("label_a")) if "label_a" in pairs.columns else pairs
     pairs = pairs.groupBy("a", "class").agg(F.first("n").alias("n"))
     sizes = pairs.groupBy("a").agg(F.ceil(F.sum("n") / STAR_TOKENS).alias("parts"))
     members = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("class"), "parts").alias("part"), F.lit(0).alias("side"), "class")
@@ -415,10 +416,11 @@ def _edges(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, seat
     return rows.repartition(n, "a", "part").sortWithinPartitions("a", "part").mapInArrow(run, "a bigint, b bigint")
 
 
-def _labelled(shared: DataFrame, labels: DataFrame) -> DataFrame:
+def _labelled(shared: DataFrame, labels: DataFrame, work: Scratch) -> DataFrame:
     """shared with the label of each class's component, of tokens that two components have."""
-    marked = shared.drop("label").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    marked = work.stored(shared.drop("label").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class")), "marked")
     several = marked.groupBy("token").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l < _h").select("token")
+    several = work.stored(several, "several")
     return marked.join(several, "token", "left_semi").select("token", "class", "n", "reach", "label")
 
 
@@ -444,10 +446,10 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     find = lambda seats: work.stored(_edges(docs, id_col, text_col, classes, work.stored(seats, "seats"), width, percent), "edges")
     left = shared
     for number in range(ROUNDS):
-        seats, left = _stars(left, percent, number)
+        seats, left = _stars(left, percent, number, work)
         edges = edges.unionByName(find(seats))
         labels = components(edges).select(F.col("v").alias("class"), "label")
-        left = work.stored(_labelled(left, labels), "left")
+        left = work.stored(_labelled(left, labels, work), "left")
         if not left.limit(1).count():
             break
     else:
