@@ -33,7 +33,8 @@ def agretopicity(wild: str | Column, mutant: str | Column) -> Column:
 
 
 def occupancy(nm: str | Column, supply: float = 10.0) -> Column:
-    a = supply / _c(nm)
+    """Part of the groove that is held at an affinity in nM; null where that is no number above 0."""
+    a = supply / F.when((_c(nm) > 0) & ~F.isnan(_c(nm)), _c(nm))
     return a / (1 + a)
 
 

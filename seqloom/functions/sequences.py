@@ -142,6 +142,11 @@ def flank_identity(a: Column, a_at: Column, b: Column, b_at: Column, length: Col
     return F.when(seen > 0, same / seen).otherwise(F.lit(0.0))
 
 
+def bases(cds: str | Column) -> Column:
+    """A coding sequence without blanks around it, in upper case, RNA as DNA."""
+    return F.replace(F.upper(F.trim(_c(cds))), F.lit("U"), F.lit("T"))
+
+
 def codons(cds: str | Column) -> Column:
     """Codons in frame; a rest of one or two letters is left out."""
     return F.regexp_extract_all(_c(cds), F.lit("(?s).{3}"), F.lit(0))
@@ -159,12 +164,12 @@ def _slips(z: Column) -> Column:
 
 def slippery_codons(cds: str | Column) -> Column:
     """Zero-based numbers of in-frame TTT codons that are followed by T or C."""
-    return F.filter(F.transform(_with_next(cds), lambda z, i: F.when(_slips(z), i)), lambda i: i.isNotNull())
+    return F.filter(F.transform(_with_next(bases(cds)), lambda z, i: F.when(_slips(z), i)), lambda i: i.isNotNull())
 
 
 def deslip(cds: str | Column) -> Column:
-    """Slippery TTT codons made TTC, which codes for the same residue; what is left beyond the last codon stays."""
-    s = _c(cds)
+    """Slippery TTT codons made TTC, which codes for the same residue; what is left beyond the last codon stays. slippery_codons tells which change."""
+    s = bases(cds)
     rest = F.substring(s, F.floor(F.length(s) / 3).cast("int") * 3 + 1, F.lit(2))
     return F.concat(F.array_join(F.transform(_with_next(s), lambda z: F.when(_slips(z), F.lit("TTC")).otherwise(z["x"])), ""), rest)
 

@@ -91,7 +91,7 @@ def coverage(labels: DataFrame, universe: DataFrame, label: str) -> DataFrame:
     sums = ranked.agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.sum(F.col("r") * F.col("n")).alias("weighted"), F.count_if(F.col("n") > 0).alias("covered"), F.sum(F.when(F.col("n") > 0, F.col("n") * F.ln("n")).otherwise(0.0)).alias("nlogn"))
     m, t = F.col("m"), F.col("total")
     entropy = F.ln(t) - F.col("nlogn") / t
-    return sums.select(m.alias("n_labels"), F.col("covered").alias("n_covered"), (2 * F.col("weighted") / (m * t) - (m + 1) / m).alias("gini"), F.when(m > 1, entropy / F.ln(m)).alias("entropy_ratio"))
+    return sums.select(m.alias("n_labels"), F.col("covered").alias("n_covered"), F.when((m > 1) & (t > 0), 2 * F.col("weighted") / (m * F.nullif(t, F.lit(0))) - (m + 1) / m).otherwise(0.0).alias("gini"), F.when((m > 1) & (t > 0), entropy / F.ln(m)).otherwise(1.0).alias("entropy_ratio"))
 
 
 def dispersion(df: DataFrame, m: str, k: str) -> DataFrame:

@@ -168,9 +168,12 @@ def survival(df: DataFrame, p: str, block: str, q: float, keys: Sequence[str]) -
     return parts.groupBy(*keys).applyInPandas(lambda pdf: whole(pdf), f"{types}k int, p_ge_k double")
 
 
-def n_effective(p: float, p_ge1: float) -> float:
-    """Independent trials of probability p that give p_ge1."""
-    return math.log1p(-p_ge1) / math.log1p(-p) if 0 < p < 1 and p_ge1 < 1 else float("nan")
+def n_effective(p: float, p_ge1: float, trials: int | None = None) -> float:
+    """Independent trials of probability p that give p_ge1, no more than there were; not a number outside of 0 < p < 1 and 0 <= p_ge1 < 1."""
+    if not 0 < p < 1 or not 0 <= p_ge1 < 1:
+        return float("nan")
+    n = math.log1p(-p_ge1) / math.log1p(-p)
+    return n if trials is None else min(n, float(trials))
 
 
 def _log_beta(a: float, b: float) -> float:

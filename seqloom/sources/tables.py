@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.functions.alleles import class2_key
 from seqloom.functions.sequences import is_standard
 
 #: Lengths of class I and class II peptides, and names under which tables give an affinity in nM.
@@ -40,11 +41,14 @@ def delimited(spark: SparkSession, path: str, sep: str = "\t", required: Sequenc
     return df
 
 
-def panel(df: DataFrame, *, classes: Sequence[str] = ("mhc1", "mhc2"), species: str | None = None) -> DataFrame:
-    """cls, epitope, allele, weight from raw rows: classes renamed, upper case, standard residues only, class II as the pair of chains, weight 1 where none is given."""
+def panel(df: DataFrame, *, prior: Column | None = None, classes: Sequence[str] = ("mhc1", "mhc2"), species: str | None = None) -> DataFrame:
+    """cls, epitope, allele, weight from raw rows: classes renamed, upper case, standard residues only, class II by its key (prior: column of the usual alpha of a beta chain, where that is to be filled), weight 1 where none is given."""
     cls = F.when(F.upper("mhc_class").isin("MHCI", "I", "MHC1"), "mhc1").when(F.upper("mhc_class").isin("MHCII", "II", "MHC2"), "mhc2")
     beta = F.col("mhc_b") if "mhc_b" in df.columns else F.lit(None).cast("string")
-    key = F.when(cls == "mhc1", F.col("mhc_a")).when(F.col("mhc_a").isNotNull() & beta.isNotNull(), F.concat_ws("-", "mhc_a", beta))
+    alpha = F.trim(F.coalesce("mhc_a", F.lit("")))
+    # a beta without its alpha has no groove
+    key = F.when(cls == "mhc1", alpha).otherwise(class2_key(alpha, beta, prior))
+    key = F.when((key != "") & ~key.startswith("-"), key)
     weight = F.coalesce(F.col("weight").try_cast("double"), F.lit(1.0)) if "weight" in df.columns else F.lit(1.0)
     kept = df if species is None else df.where(F.col("mhc_species") == species)
     out = kept.select(cls.alias("cls"), F.upper("epitope").alias("epitope"), key.alias("allele"), weight.alias("weight"))

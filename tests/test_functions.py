@@ -41,7 +41,9 @@ def test_codons(spark):
     assert one(spark, S.slippery_codons("c"), c="TTTTTCTTTTTT") == [0, 2]
     fixed = one(spark, S.deslip("c"), c=cds)
     assert one(spark, S.slippery_codons("c"), c=fixed) == [] and one(spark, S.translate("c"), c=fixed) == one(spark, S.translate("c"), c=cds) == "KFWFQFKG"
-    assert one(spark, S.deslip("c"), c="TTTTA") == "TTCTA" and one(spark, S.translate("c"), c="ATGNNN") == "MX"
+    assert one(spark, S.deslip("c"), c="TTTTA") == "TTTTA"  # a site needs a whole codon after it
+    assert one(spark, S.deslip("c"), c=" uuuUUA ") == "TTCTTA" and one(spark, S.slippery_codons("c"), c="uuucca") == [0]
+    assert one(spark, S.translate("c"), c="ATGNNN") == "MX"
     for p in ("MKTAYIAKQRFFFFFFGGGG", "PPPPPPPP"):
         back = cassette.back_translate(p)
         assert one(spark, S.translate("c"), c=back) == p
@@ -89,16 +91,41 @@ def test_linear_refuses_missing_features(spark):
         scoring.linear(df, [*model, {"feature": "c", "coef": 1.0, "mu": 0.0, "sigma": 1.0}])
 
 
-def test_headers_and_names(spark):
-    df = spark.createDataFrame([("Somatic:chr1:9780851:G:A:missense_variant:AAS:AAN:10.34:ENSG1:ENST1:PIK3CD",), ("Isoform|ENST2|TP53",), ("nonsense",), ("",)], "h string")
-    rows = df.select("h", *alleles.header_fields("h")).collect()
-    assert (rows[0].gene_name, rows[0].tpm, rows[0].subtype) == ("PIK3CD", "10.34", "missense_variant")
-    assert (rows[1].transcript_id, rows[1].gene_name, rows[1].cov) == ("ENST2", "TP53", "") and all(getattr(rows[2], f) == "" for f in alleles.FIELDS)
-    assert one(spark, alleles.product(F.lit("Somatic"), F.col("c")), c="missense_variant") == "missense" and one(spark, alleles.product(F.lit("Fusion"), F.col("c")), c="x") == "fusion"
-    assert one(spark, alleles.normalize("a"), a="hla-a02:01") == "A*02:01"
-    known = spark.createDataFrame([("A*02:01:01",), ("A*02:01:02",), ("B*07:02",)], "allele string")
-    got = {r.name: (r.resolved, r.exact) for r in alleles.resolve(spark.createDataFrame([("A*02:01",), ("B*07:02",), ("C*01",)], "name string"), known).collect()}
-    assert got == {"A*02:01": ("A*02:01:01", False), "B*07:02": ("B*07:02", True), "C*01": (None, False)}
+SOMATIC = "Somatic:chr1:9715752:G:A:missense_variant:LINSQI(S)LLIG:LINSQI(N)LLIG:10.34:ENSG00000171608:ENST00000377346:PIK3CD:A0A8V8TML5"
+HEADERS = [
+    (SOMATIC, "missense", {"gene_name": "PIK3CD", "tpm": "10.34", "subtype": "missense_variant", "uniprot_id": "A0A8V8TML5", "gene_id": "ENSG00000171608", "mut_window": "LINSQI(N)LLIG"}),
+    ("Fusion:RGS6--XYLT1:INFRAME:AQGSGDQ|DPHPSPL:ENST1--ENST2:ENSG1--ENSG2:--:0.3655:12:0", "fusion", {"gene_name": "RGS6--XYLT1", "subtype": "INFRAME", "ffpm": "0.3655", "transcript_id": "ENST1--ENST2", "tpm": ""}),
+    ("Isoform:STRG.35712.1|ENST00000324225|ENSG00000149577|SIDT2|Q8NBJ9-1|22.121262|3.332689|5.124321|975:124-1098:0-133", "isoform", {"gene_name": "SIDT2", "uniprot_id": "Q8NBJ9-1", "cov": "22.121262", "fpkm": "3.332689", "tpm": "5.124321", "span": "975:124-1098:0-133"}),
+    ("CNV:chr6:32530190:59610:MVCLKLPGGSY|I|SLSETCLLLW:26:0.14:79:6:0:0", "cnv", {"chrom": "chr6", "sv_len": "59610", "cnv_score": "26", "tpm": "0.14", "gene_name": ""}),
+    ("Whatever:GENEA|GENEB|stuff", "whatever", {"type": "Whatever", "gene_name": "", "tpm": ""}),
+    ("", "", {"type": ""}),
+]
+
+
+def test_headers_and_products(spark):
+    df = spark.createDataFrame([(k, h) for k, (h, _, _) in enumerate(HEADERS)] + [(99, None)], "k int, h string")
+    rows = {r.k: r for r in df.select("k", *alleles.header_fields("h")).withColumn("product", alleles.product(F.col("type"), F.col("subtype"))).collect()}
+    for k, (_, product, fields) in enumerate(HEADERS):
+        assert rows[k]["product"] == product and {f: rows[k][f] for f in fields} == fields
+    assert all(rows[99][f] == "" for f in alleles.FIELDS)
+    kinds = {"frameshift_variant": "frameshift", "inframe_deletion": "inframe_deletion", "stop_lost": "stop_lost", "start_lost": "start_lost", "protein_altering_variant": "protein_altering", "SPLICE_ACCEPTOR": "splice_acceptor"}
+    assert {c: one(spark, alleles.product(F.lit("Somatic"), F.col("c")), c=c) for c in kinds} == kinds
+
+
+def test_allele_names(spark):
+    assert [one(spark, alleles.normalize("a"), a=a) for a in ("HLA-A*02:01", "H-2Kb", "H-2-Kb", "A*02:01")] == ["HLA-A02:01", "H-2-Kb", "H-2-Kb", "A02:01"]
+    key = lambda a, b: one(spark, alleles.class2_key(F.col("a"), F.col("b")), a=a, b=b)
+    assert [key("HLA-DRA*01:01", "HLA-DRB1*01:01"), key("HLA-DPA1*01:03", "HLA-DPB1*04:01"), key("I-Ab", ""), key("", "HLA-DPB1*11:01"), key("H-2-IAb", "")] == ["DRB1_0101", "HLA-DPA10103-DPB10401", "H-2-IAb", "-DPB11101", "H-2-IAb"]
+    name = lambda a: one(spark, alleles.class2_from_name("a", F.lit("HLA-DPA10201")), a=a)
+    assert [name(a) for a in ("HLA-DRB1*15:01", "HLA-DQA1*05:01/DQB1*03:01", "HLA-DPB1*11:01", "H2-IAb", "I-Ab", "DRB1_1501")] == ["DRB1_1501", "HLA-DQA10501-DQB10301", "HLA-DPA10201-DPB11101", "H-2-IAb", "H-2-IAb", "DRB1_1501"]
+    report = lambda k, m: one(spark, alleles.class2_report("k", m), k=k)
+    keys = ("DRB1_0101", "DRB3_0202", "HLA-DQA10501-DQB10301", "HLA-DPA10103-DPB10401", "-DPB11101", "HLA-A02:01", "H-2-IAb")
+    assert [report(k, "beta") for k in keys] == ["DRB1*01:01", "DRB3*02:02", "DQB1*03:01", "DPB1*04:01", "DPB1*11:01", "HLA-A02:01", "H-2-IAb"]
+    assert [report(k, "isotype") for k in keys] == ["DR", "DR", "DQ", "DP", "DP", "HLA-A02:01", "H-2"]
+    known = spark.createDataFrame([("HLA-A02:01:01",), ("HLA-A02:01:02",), ("HLA-B07:02",), ("DRB1_0101",)], "allele string")
+    names = spark.createDataFrame([("A*02:01",), ("B*07:02",), ("HLA-B*07:02",), ("ZZ:99:99",), ("HLA-DRB1*01:01",)], "name string")
+    got = {r.name: (r.resolved, r.exact) for r in alleles.resolve(names, known, class2=True).collect()}
+    assert got == {"A*02:01": ("HLA-A02:01:01", False), "B*07:02": ("HLA-B07:02", True), "HLA-B*07:02": ("HLA-B07:02", True), "ZZ:99:99": (None, False), "HLA-DRB1*01:01": ("DRB1_0101", True)}
 
 
 def test_runs(spark):
