@@ -11,8 +11,10 @@ from seqloom.functions import alleles as A
 from seqloom.functions import sequences as S
 from seqloom.operators import calibration, counts, density, neighbours, tiling
 
-#: Lengths of windows by class, and the columns of the scored and of the native table.
-WINDOW_LENGTHS = {"mhc1": (8, 9, 10, 11), "mhc2": (13, 14, 15, 16, 17, 18, 19, 20, 21)}
+#: Lengths of windows that are ranked and of those that are scanned, by class; letters on either side of a core in the peptides to make and to model; columns of the scored table.
+WINDOW_LENGTHS = {"mhc1": (8, 9, 10, 11), "mhc2": (15,)}
+SCAN_LENGTHS = {"mhc1": (8, 9, 10, 11), "mhc2": (13, 14, 15, 16, 17, 18)}
+MAKE_FLANK, MODEL_FLANK = 6, 2
 SCORED_COLUMNS = (
     "type", "subtype", "chrom", "pos", "gene_name", "gene_id", "transcript_id", "uniprot_id", "tpm", "ffpm", "epitope",
     "epitope_context", "cluster_consensus", "group", "best_allele", "agretopicity", "affinity", "affinity_percentile",
@@ -122,6 +124,11 @@ def predict_windows(records: DataFrame, scores: DataFrame, background: DataFrame
     at = S.anchor_indices("peptide", F.lit(cls))
     core = S.binding_core("peptide", F.lit(cls))
     found = found.withColumn("anchors", at).withColumn("tcr_facing", S.masked("peptide", at, inside=True)).withColumn("core", core["core"]).withColumn("core_offset", core["offset"])
+    for column, flank in (("synth_peptide", MAKE_FLANK), ("model_peptide", MODEL_FLANK)):
+        start = F.greatest(F.lit(0), F.col("_base") + F.col("offset") + F.col("core_offset") - flank)
+        cut_out = F.substring(F.col("_protein"), start + 1, F.col("_base") + F.col("offset") + F.col("core_offset") + 9 + flank - start)
+        found = found.withColumn(column, F.col("peptide") if cls == "mhc1" else F.coalesce(cut_out, F.col("peptide")))
+    found = found.drop("_protein", "_base")
     nm = affinity if affinity is not None else scores.select("peptide", "allele", F.lit(None).cast("double").alias("nm")).limit(0)
     own = nm.groupBy("peptide", "allele").agg(F.min("nm").alias("affinity_nm"))
     wild = own.withColumnRenamed("peptide", "wt_peptide").withColumnRenamed("affinity_nm", "wt_affinity_nm")
@@ -131,11 +138,13 @@ def predict_windows(records: DataFrame, scores: DataFrame, background: DataFrame
 
 
 def windows_of(records: DataFrame, cls: str) -> DataFrame:
-    """records (header, seq) tiled: header and its fields, variant_type, peptide, offset, wt_peptide (null where the window is the wild type's own, or there is none)."""
+    """records (header, seq) tiled: header and its fields, the protein around the window and the window's place in it, variant_type, peptide, offset, wt_peptide (null where the window is the wild type's own, or there is none)."""
     seq = F.upper(F.trim("seq"))
     mutant, wild = F.upper(S.strip_marker("mut_window")), F.upper(S.strip_marker("wt_window"))
     named = records.select("header", seq.alias("seq"), *A.header_fields("header")).withColumn("variant_type", A.product(F.col("type"), F.col("subtype")))
     placed = named.withColumn("_wild", F.when((F.col("mut_window") != "") & (F.col("wt_window") != ""), S.aligned_window(mutant, wild, F.col("seq"))))
+    protein = F.when(mutant != "", mutant).otherwise(F.col("seq"))
+    placed = placed.withColumn("_protein", protein).withColumn("_base", F.greatest(F.instr(protein, F.col("seq")) - 1, F.lit(0)))
     cut = tiling.tile(placed, "seq", list(WINDOW_LENGTHS[cls]), kmer="peptide")
     beside = F.substring(F.col("_wild"), F.col("offset") + 1, F.length("peptide"))
     return cut.withColumn("wt_peptide", F.when((beside != F.col("peptide")) & S.is_standard(beside), beside)).drop("_wild")

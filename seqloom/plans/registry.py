@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from seqloom.plans import sequence_queries, table_queries
+from seqloom.plans import sequence_queries, table_queries, word_queries
 
 
 def queries() -> dict:
-    return sequence_queries.QUERIES | table_queries.QUERIES
+    return sequence_queries.QUERIES | table_queries.QUERIES | word_queries.QUERIES
 
 
 def oracle_sql() -> dict:
-    return sequence_queries.ORACLE_SQL | table_queries.ORACLE_SQL
+    return sequence_queries.ORACLE_SQL | table_queries.ORACLE_SQL | word_queries.ORACLE_SQL
