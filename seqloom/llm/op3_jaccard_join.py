@@ -45,7 +45,7 @@ WIDTH, PERCENT = 4, 85
 #: Members of a leaf on average at most, leaves that one leaf is held against at a time, children of a node, cells of the frequency sketch.
 LEAF, ABREAST, FANOUT, CELL_BITS = 256, 16, 4, 18
 #: Star rounds; tokens of all members of one part of a star at most, on average; parts that a frequent token is dealt out to, and how many times the mean of all cells its cell has.
-ROUNDS, STAR_TOKENS, SALT, FREQUENT = 2, 1 << 18, 64, 64
+ROUNDS, STAR_TOKENS, SALT, FREQUENT = 2, 1 << 16, 64, 64
 #: Bits of the filter by which a round leaves out texts that have no seat, before they are shuffled.
 BLOOM_BITS = 1 << 26
 #: Most bits of a dense bitmap: tokens beyond are counted as excess, so larger sets stay exact.
