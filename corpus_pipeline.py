@@ -1,7 +1,8 @@
 """The training-data pipeline: five stages over `documents`, each written as Parquet and read again as the next one's input.
 
 Every stage takes (spark, docs, sf_dir) and returns all that it keeps; all but the last return the columns of documents.
-Rows without an id or text are handled as the stages' operators define it.
+Verdicts and redactions go by a row's own id and text, so that null ids, repeated ids and repeated rows are told apart; extra
+columns pass through, whatever their names; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -44,12 +45,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their secrets replaced by the names of their kinds, and n_chars to match."""
-    key = unused(docs, "_key")
+    key, marks = unused(docs, "_key"), unused(docs, "_marks")
     rows = docs.withColumn(key, row_key("doc_id", "text"))
-    found = op6_secrets.scan(rows, id_col=key).where("spans <> ''").select(key, F.col("spans").alias("_spans")).dropDuplicates([key])
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(op6_secrets.redacted(F.coalesce("text", F.lit("")), F.col("_spans")))
+    found = op6_secrets.scan(rows, id_col=key).where("spans <> ''").select(key, F.col("spans").alias(marks)).dropDuplicates([key])
+    text = F.when(F.col(marks).isNull(), F.col("text")).otherwise(op6_secrets.redacted(text_or_empty("text"), F.col(marks)))
     marked = rows.join(found, key, "left")
-    return marked.withColumn("text", text).withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint"))).select(*docs.columns)
+    return marked.withColumn("text", text).withColumn("n_chars", F.when(F.col(marks).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint"))).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
