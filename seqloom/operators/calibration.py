@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from seqloom.operators import ordered
+
 
 def percent_rank(queries: DataFrame, background: DataFrame, keys: Sequence[str], score: str = "score") -> DataFrame:
     """queries with pct_rank: 100 times the part of the background of its keys that is strictly greater; null without background.
@@ -33,12 +35,13 @@ def band(rank: str | Column, strong: float = 0.5, weak: float = 2.0) -> Column:
 def bh_cut(df: DataFrame, p: str, alpha: float, keys: Sequence[str] = ()) -> DataFrame:
     """df with bh_cut, the largest p with p <= rank / m * alpha (0 if none), and significant.
 
-    Equal p share the highest rank. Without keys, counts by distinct p go through one window, not the rows.
+    Equal p share the highest rank. Distinct p are counted and ranked by ranges, so that neither all p nor those of a hot
+    key go through one task.
     """
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     counted = df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count("*").alias("_c"))
-    ranked = counted.withColumn("_r", F.sum("_c").over(w.orderBy(p))).withColumn("_m", F.sum("_c").over(w))
-    cut = ranked.groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col(p) <= F.col("_r") / F.col("_m") * alpha, F.col(p))), F.lit(0.0)).alias("bh_cut"))
+    ranked = ordered.attach(ordered.before(counted, p, {"_r": ("sum", "_c")}, keys), counted.groupBy(*keys).agg(F.sum("_c").alias("_m")), keys)
+    passes = F.col(p) <= (F.col("_r") + F.col("_c")) / F.col("_m") * alpha
+    cut = ranked.groupBy(*keys).agg(F.coalesce(F.max(F.when(passes, F.col(p))), F.lit(0.0)).alias("bh_cut"))
     out = df.join(cut, list(keys)) if keys else df.join(F.broadcast(cut))  # one row
     return out.withColumn("significant", (F.col(p) <= F.col("bh_cut")) & (F.col("bh_cut") > 0))
 

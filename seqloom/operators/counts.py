@@ -87,8 +87,10 @@ def enrichment(votes: DataFrame, shares: DataFrame, *, group: str = "allele", fl
 def coverage(labels: DataFrame, universe: DataFrame, label: str) -> DataFrame:
     """One row: n_labels, n_covered, gini, entropy ratio of the counts of all labels of the universe, zeros included."""
     counted = universe.select(label).distinct().join(labels.groupBy(label).agg(F.count("*").alias("n")), label, "left").select(label, F.coalesce("n", F.lit(0)).alias("n"))
-    ranked = counted.withColumn("r", F.row_number().over(Window.orderBy("n", label)))  # one row for each label of the universe
-    sums = ranked.agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.sum(F.col("r") * F.col("n")).alias("weighted"), F.count_if(F.col("n") > 0).alias("covered"), F.sum(F.when(F.col("n") > 0, F.col("n") * F.ln("n")).otherwise(0.0)).alias("nlogn"))
+    # labels of one count have consecutive ranks; distinct counts are no more than the root of twice the rows
+    alike = counted.groupBy("n").agg(F.count("*").alias("c")).withColumn("b", F.coalesce(F.sum("c").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranks = F.col("c") * F.col("b") + (F.col("c") * (F.col("c") + 1) / 2)
+    sums = alike.agg(F.sum("c").alias("m"), F.sum(F.col("n") * F.col("c")).alias("total"), F.sum(ranks * F.col("n")).alias("weighted"), F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("c"))), F.lit(0)).alias("covered"), F.sum(F.when(F.col("n") > 0, F.col("c") * F.col("n") * F.ln("n")).otherwise(0.0)).alias("nlogn"))
     m, t = F.col("m"), F.col("total")
     entropy = F.ln(t) - F.col("nlogn") / t
     return sums.select(m.alias("n_labels"), F.col("covered").alias("n_covered"), F.when((m > 1) & (t > 0), 2 * F.col("weighted") / (m * F.nullif(t, F.lit(0))) - (m + 1) / m).otherwise(0.0).alias("gini"), F.when((m > 1) & (t > 0), entropy / F.ln(m)).otherwise(1.0).alias("entropy_ratio"))

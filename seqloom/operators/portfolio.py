@@ -10,17 +10,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.operators import ordered
+
 
 def pareto_front(df: DataFrame, objectives: Sequence[str]) -> DataFrame:
     """Rows that no other row equals or exceeds in all objectives and exceeds in one; higher is better.
 
-    Two objectives take a window over distinct values of the first. More take an anti-join, after each task has dropped
+    Two objectives take the running maximum over ranges of distinct values of the first. More take an anti-join, after each task has dropped
     what its own rows dominate, so that only local fronts meet.
     """
     if len(objectives) == 2:
         a, b = objectives
         best = df.groupBy(a).agg(F.max(b).alias("_b"))
-        front = best.withColumn("_above", F.max("_b").over(Window.orderBy(F.desc(a)).rowsBetween(Window.unboundedPreceding, -1))).where(F.col("_above").isNull() | (F.col("_b") > F.col("_above")))
+        front = ordered.before(best, a, {"_above": ("max", "_b")}, falling=True).where(F.col("_above").isNull() | (F.col("_b") > F.col("_above")))
         return df.join(front.select(a, F.col("_b").alias(b)), [a, b], "left_semi")
 
     def local(batches):
@@ -61,25 +63,24 @@ def nondominated_rank(df: DataFrame, objectives: Sequence[str], fronts: int = 3)
 
 def crowding(df: DataFrame, objectives: Sequence[str], row: str, keys: Sequence[str] = ()) -> DataFrame:
     """df with crowding: over the objectives, the gap between a row's neighbours by the span; infinite at either end."""
-    total, out = F.lit(0.0), df
+    total = F.lit(0.0)
+    out = ordered.attach(df, df.groupBy(*keys).agg(*((F.max(o) - F.min(o)).alias(f"_span_{o}") for o in objectives)), keys)
     for o in objectives:
-        w = Window.partitionBy(*keys).orderBy(o, row)
-        span = F.max(o).over(Window.partitionBy(*keys)) - F.min(o).over(Window.partitionBy(*keys))
-        before, after = F.lag(o).over(w), F.lead(o).over(w)
+        before, after, span = F.col("_before"), F.col("_after"), F.col(f"_span_{o}")
         gap = F.when(before.isNull() | after.isNull(), float("inf")).when(span == 0, 0.0).otherwise((after - before) / span)
-        out = out.withColumn(f"_gap_{o}", gap)
+        out = ordered.neighbouring(out, o, keys, [row], df).withColumn(f"_gap_{o}", gap).drop("_before", "_after")
         total = total + F.col(f"_gap_{o}")
-    return out.withColumn("crowding", total).drop(*(f"_gap_{o}" for o in objectives))
+    return out.select(*df.columns, total.alias("crowding"))
 
 
 def corner(df: DataFrame, objectives: Sequence[str], row: str, keys: Sequence[str] = ()) -> DataFrame:
     """df with corner: the objective in which a row ranks highest among its like, the first of equals."""
-    out, n = df, F.count("*").over(Window.partitionBy(*keys))
+    out = ordered.attach(df.withColumn("_one", F.lit(1)), df.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
     for o in objectives:
-        out = out.withColumn(f"_r_{o}", (F.row_number().over(Window.partitionBy(*keys).orderBy(o, row)) - 1) / F.greatest(n - 1, F.lit(1)))
-    most = F.greatest(*(F.col(f"_r_{o}") for o in objectives)) if len(objectives) > 1 else F.col(f"_r_{objectives[0]}")
-    which = F.coalesce(*(F.when(F.col(f"_r_{o}") == most, F.lit(o)) for o in objectives))
-    return out.withColumn("corner", which).drop(*(f"_r_{o}" for o in objectives))
+        out = ordered.before(out, o, {f"_r_{o}": ("sum", "_one")}, keys, ties=[row], of=df)
+    ranks = [F.col(f"_r_{o}") / F.greatest(F.col("_n") - 1, F.lit(1)) for o in objectives]
+    most = F.greatest(*ranks) if len(ranks) > 1 else ranks[0]
+    return out.select(*df.columns, F.coalesce(*(F.when(r == most, F.lit(o)) for o, r in zip(objectives, ranks, strict=True))).alias("corner"))
 
 
 def chebyshev(df: DataFrame, weights: dict[str, float], augment: float = 0.05) -> DataFrame:
@@ -92,12 +93,15 @@ def chebyshev(df: DataFrame, weights: dict[str, float], augment: float = 0.05) -
 
 
 def select_saturating(df: DataFrame, p: str, block: str, row: str, n0: float) -> DataFrame:
-    """Rows kept by the saturating stop rule: of each block in falling p, while p > (sum of p before) / (n0 + number before)."""
-    w = Window.partitionBy(block).orderBy(F.desc(p), row)
-    past = w.rowsBetween(Window.unboundedPreceding, -1)
-    bar = F.coalesce(F.sum(p).over(past), F.lit(0.0)) / (n0 + F.count(p).over(past))
-    ok = F.min((F.col(p) > bar).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return df.where(F.col(p).isNotNull()).withColumn("_ok", ok).where("_ok = 1").drop("_ok")
+    """Rows kept by the saturating stop rule: of each block in falling p, while p > (sum of p before) / (n0 + number before).
+
+    Sums run by ranges of p; the first row of a block that fails ends it.
+    """
+    rows = df.where(F.col(p).isNotNull())
+    summed = ordered.before(rows.withColumn("_one", F.lit(1)), p, {"_s": ("sum", p), "_n": ("sum", "_one")}, [block], ties=[row], falling=True)
+    at = F.struct((-F.col(p)).alias("p"), F.col(row).alias("row"))
+    ends = summed.where(F.col(p) <= F.col("_s") / (n0 + F.col("_n"))).groupBy(F.col(block).alias("_block")).agg(F.min(at).alias("_end"))
+    return rows.join(ends, F.col(block).eqNullSafe(F.col("_block")), "left").where(F.col("_end").isNull() | (at < F.col("_end"))).select(*df.columns)
 
 
 def expected_yield(kept: DataFrame, p: str, block: str, n0: float) -> DataFrame:

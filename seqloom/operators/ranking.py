@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.operators import ordered
+
 
 def top(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The first n rows of each key; order has to be total for a repeatable result."""
@@ -28,10 +30,10 @@ def best_group(df: DataFrame, keys: Sequence[str], group: str, rank: str, thresh
 def dense_tiers(df: DataFrame, score: str, tier: str, keys: Sequence[str] = ()) -> DataFrame:
     """df with rank, dense by falling score, nulls last; tier orders the listing only, and is ranked before the score in position.
 
-    Without keys ranks come from distinct scores, which are fewer than rows.
+    Ranks are counts of the distinct scores above, by ranges of scores.
     """
-    w = Window.partitionBy(*keys)
-    scores = df.select(*keys, score).distinct().withColumn("rank", F.dense_rank().over(w.orderBy(F.desc_nulls_last(score))))
+    distinct = df.select(*keys, score).distinct().withColumn("_one", F.lit(1))
+    scores = ordered.before(distinct, score, {"rank": ("sum", "_one")}, keys, falling=True).withColumn("rank", F.col("rank") + 1)
     on = F.lit(True)
     s = scores.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(score).alias("_score"), "rank")
     for k in keys:

@@ -127,19 +127,6 @@ _HAM = f"""WITH p AS (SELECT DISTINCT pep FROM {_P}), h AS (SELECT a.pep, hammin
 SELECT pep, count(*) FILTER (d = 1) AS n1, count(*) FILTER (d = 2) AS n2 FROM h GROUP BY pep"""
 
 
-def nearest_name(spark, sf_dir):
-    """Part names of up to 12 letters and odd keys among those of even keys: the nearest within two substitutions. A join of two tables, as its SQL has it; all names among all others are nearest_other_name."""
-    p = _parts(spark, sf_dir).where(F.length("pep") <= 12)
-    odd, even = p.where("p_partkey % 2 = 1").select(F.col("pep").alias("query")), p.where("p_partkey % 2 = 0").select(F.col("pep").alias("ref"))
-    return neighbours.nearest(odd, even, 2).select("query", F.col("dist").cast("bigint").alias("dist"), "nearest", F.col("n_within").cast("bigint").alias("n_within"))
-
-
-_NEAR = f"""WITH p AS (SELECT * FROM {_P} WHERE length(pep) <= 12), q AS (SELECT DISTINCT pep FROM p WHERE p_partkey % 2 = 1), r AS (SELECT DISTINCT pep FROM p WHERE p_partkey % 2 = 0),
-h AS (SELECT q.pep AS query, r.pep AS ref, hamming(q.pep, r.pep) AS d FROM q JOIN r ON length(q.pep) = length(r.pep)),
-b AS (SELECT query, min(d) AS d, arg_min(ref, (d, ref)) AS nearest, count(*) AS n FROM h WHERE d <= 2 GROUP BY query)
-SELECT q.pep AS query, CAST(coalesce(d, 3) AS BIGINT) AS dist, nearest, coalesce(n, 0) AS n_within FROM q LEFT JOIN b ON q.pep = b.query"""
-
-
 def nearest_other_name(spark, sf_dir):
     """Every distinct part name, of any key, length and letters, among all others: the nearest within two substitutions."""
     p = _read(spark, sf_dir, "part").select(S.letters("p_name").alias("query")).where("query IS NOT NULL")
@@ -153,15 +140,24 @@ SELECT p.pep AS query, CAST(coalesce(d, 3) AS BIGINT) AS dist, nearest, coalesce
 
 
 def exact_source(spark, sf_dir):
-    """Every place of each benchmark passage's first 24 letters in the documents, as its SQL has it: a prefix is no source of the passage. Whole passages are passage_source."""
-    b = _read(spark, sf_dir, "benchmark").select("item_id", F.substring(S.letters("text"), 1, 24).alias("pep")).where(F.length("pep") == 24)
-    cut = tiling.tile(_texts(spark, sf_dir).select("doc_id", "seq"), "seq", [24], standard=False, kmer="pep")
-    return b.join(cut, "pep").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"), F.min("offset").cast("bigint").alias("first"))
+    """Every place where a whole benchmark passage stands in a document.
 
+    A passage is covered by pieces of 24 letters, the last one at its end; where all of them stand on one diagonal, the whole does.
+    """
+    b = _read(spark, sf_dir, "benchmark").select("item_id", S.letters("text").alias("pep")).where(F.length("pep") > 0)
+    k, n = F.least(F.lit(24), F.length("pep")), F.length("pep")
+    sizes = sorted(r[0] for r in b.select(k).distinct().collect()) or [24]  # at most 24 numbers
+    at = F.array_distinct(F.concat(F.sequence(F.lit(0), n - k, k), F.array(n - k)))
+    ask = b.select("item_id", F.size(at).alias("m"), F.explode(F.transform(at, lambda i: F.struct(i.alias("i"), F.substring(F.col("pep"), i + 1, k).alias("w")))).alias("z")).select("item_id", "m", "z.i", "z.w")
+    cut = tiling.tile(_texts(spark, sf_dir).select("doc_id", "seq"), "seq", sizes, standard=False, kmer="w", offset="o")
+    places = ask.join(cut, "w").groupBy("item_id", "doc_id", "m", (F.col("o") - F.col("i")).alias("d")).agg(F.count("*").alias("c")).where("c = m")
+    return places.groupBy("item_id", "doc_id").agg(F.count("*").alias("n"), F.min("d").cast("bigint").alias("first"))
 
-_SRC = f"""WITH b AS (SELECT item_id, substr(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 1, 24) AS pep FROM benchmark),
-t AS (SELECT doc_id, o, substr(seq, CAST(o AS INT) + 1, 24) AS pep FROM (SELECT doc_id, seq, unnest(range(0, length(seq) - 23)) AS o FROM {_D} WHERE length(seq) >= 24))
-SELECT item_id, doc_id, count(*) AS n, min(o) AS "first" FROM b JOIN t USING (pep) WHERE length(b.pep) = 24 GROUP BY item_id, doc_id"""
+
+_SRC = f"""WITH b AS (SELECT item_id, pep, least(24, length(pep)) AS k FROM (SELECT item_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS pep FROM benchmark) WHERE length(pep) > 0),
+t AS (SELECT doc_id, o, substr(seq, CAST(o AS INT) + 1, CAST(k AS INT)) AS w FROM (SELECT doc_id, seq, k, unnest(range(0, length(seq) - k + 1)) AS o FROM {_D}, (SELECT DISTINCT k FROM b) WHERE length(seq) >= k)),
+h AS (SELECT item_id, pep, doc_id, o FROM b JOIN t ON w = substr(pep, 1, CAST(k AS INT)))
+SELECT item_id, doc_id, count(*) AS n, min(o) AS "first" FROM h JOIN {_D} USING (doc_id) WHERE substr(seq, CAST(o AS INT) + 1, length(pep)) = pep GROUP BY item_id, doc_id"""
 
 
 def passage_source(spark, sf_dir):
@@ -269,10 +265,12 @@ def locus_components(spark, sf_dir):
     return groups.withColumn("n", F.count("*").over(Window.partitionBy("component"))).select(F.col("id").alias("doc_id"), "component", F.round(1.0 / F.col("n"), 9).alias("weight"))
 
 
-QUERIES = {f.__name__: f for f in (rare_kmers, kmer_tile, kmer_counts, decompose, binding_core, one_substitution, hamming_neighbours, nearest_name, nearest_other_name, exact_source, passage_source, kmer_search, position_profile, anchor_counts, face_density, slippery_sites, flank_likeness, locus_components)}
+QUERIES = {f.__name__: f for f in (rare_kmers, kmer_tile, kmer_counts, decompose, binding_core, one_substitution, hamming_neighbours, nearest_other_name, exact_source, passage_source, kmer_search, position_profile, anchor_counts, face_density, slippery_sites, flank_likeness, locus_components)}
+#: Under its first name too.
+QUERIES["nearest_name"] = nearest_other_name
 #: locus_components is iterative and tested against a plain version.
 ORACLE_SQL = {
     "rare_kmers": _RARE, "kmer_tile": _TILE, "kmer_counts": f"SELECT kmer, count(*) AS n FROM {_tiles(5)} GROUP BY kmer", "decompose": _DEC, "binding_core": _CORE, "one_substitution": _SUB,
-    "hamming_neighbours": _HAM, "nearest_name": _NEAR, "nearest_other_name": _OTHER, "exact_source": _SRC, "passage_source": _PASSAGE, "kmer_search": _SEARCH, "position_profile": _MOTIF, "anchor_counts": _ANCH, "face_density": _DENS,
+    "hamming_neighbours": _HAM, "nearest_name": _OTHER, "nearest_other_name": _OTHER, "exact_source": _SRC, "passage_source": _PASSAGE, "kmer_search": _SEARCH, "position_profile": _MOTIF, "anchor_counts": _ANCH, "face_density": _DENS,
     "slippery_sites": _SLIP, "flank_likeness": _flank(),
 }

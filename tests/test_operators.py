@@ -6,9 +6,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from seqloom.operators import calibration, cassette, counts, density, neighbours, portfolio, presentation, ranking, tiling
+from seqloom.operators import calibration, cassette, counts, density, neighbours, ordered, portfolio, presentation, ranking, tiling
 
 AA = "ACDEFGHIKLMNPQRSTVWY"
 
@@ -223,3 +224,23 @@ def test_survival_has_all_terms(spark):
     sf = "/root/testdata/sf0.001"
     n = dict(spark.read.parquet(f"{sf}/customer.parquet").groupBy("c_nationkey").count().collect())
     assert dict(table_queries.survival(spark, sf).groupBy("c_nationkey").count().collect()) == {k: v + 1 for k, v in n.items()}
+
+
+def test_running_aggregates_by_ranges(spark):
+    rng = random.Random(4)
+    values = [None, float("nan"), 0.0, 1.0, 1.0, *(rng.gauss(0, 3) for _ in range(60))]
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), rng.choice(values), rng.randrange(9)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, g string, v double, n int")
+    for keys in ([], ["g"]):
+        for falling in (False, True):
+            w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("v") if falling else F.asc_nulls_first("v"), "id").rowsBetween(Window.unboundedPreceding, -1)
+            want = {r.id: (r.s or 0, r.m) for r in df.select("id", F.sum("n").over(w).alias("s"), F.max("n").over(w).alias("m")).collect()}
+            got = ordered.before(df, "v", {"s": ("sum", "n"), "m": ("max", "n")}, keys, ties=["id"], falling=falling).collect()
+            assert len(got) == len(rows) and {r.id: (r.s, r.m) for r in got} == want
+        w = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("v"), "id")
+        want = {r.id: (str(r.a), str(r.b)) for r in df.select("id", F.lag("v").over(w).alias("a"), F.lead("v").over(w).alias("b")).collect()}
+        got = ordered.neighbouring(df, "v", keys, ["id"]).collect()
+        assert len(got) == len(rows) and {r.id: (str(r._before), str(r._after)) for r in got} == want
+    assert ordered.before(df.limit(0), "v", {"s": ("sum", "n")}, ["g"], ties=["id"]).collect() == []
+    plan = ordered.before(df, "v", {"s": ("sum", "n")}, ties=["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "_range" in plan.split("windowspecdefinition(")[1]
