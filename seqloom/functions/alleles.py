@@ -135,3 +135,9 @@ def product(kind: Column, consequence: Column) -> Column:
     table = F.create_map(*(F.lit(x) for kv in PRODUCTS.items() for x in kv))
     k, sub = F.trim(F.coalesce(kind, F.lit(""))), F.lower(F.trim(F.coalesce(consequence, F.lit(""))))
     return F.when((k != "") & (k != "Somatic"), F.lower(k)).otherwise(F.coalesce(F.try_element_at(table, sub), sub))
+
+
+def starred(name: str | Column, cls: str = "mhc1") -> Column:
+    """A class I name with the star after its locus, as tables of predictions have it; all others as they are."""
+    n = _c(name)
+    return F.when(~F.contains(n, F.lit("*")), F.regexp_replace(n, r"^(HLA-[A-Z])(\d)", "$1*$2")).otherwise(n) if cls == "mhc1" else n

@@ -188,3 +188,20 @@ def blank_nan(x: str | Column) -> Column:
     """NaN and infinite values as null, the only missing value."""
     v = _c(x)
     return F.when(F.isnan(v) | (F.abs(v) == float("inf")), None).otherwise(v)
+
+
+def centred_context(kind: Column, marked: Column, windows: Column, span: Column, seq: Column) -> Column:
+    """struct<context, offset>: the string that a unit of a variant is cut from, and the place it is built around; null without a centre.
+
+    Somatic: the marked window and the place of its mark. Fusion and CNV: two or three parts joined, up to a stop, and the
+    end of the left one. Isoform: the sequence and the middle of the last two numbers of the span, within it.
+    """
+    made = lambda ok, context, offset: F.when(ok, F.struct(context.alias("context"), offset.cast("int").alias("offset")))
+    somatic = made(F.instr(marked, "(") > 0, strip_marker(marked), F.instr(marked, "(") - 1)
+    parts = F.split(windows, r"\|")
+    joined, left = F.substring_index(F.array_join(parts, ""), "*", 1), F.length(F.get(parts, F.lit(0)))
+    fused = made(F.size(parts).isin(2, 3) & (left < F.length(joined)), joined, left)
+    numbers = F.transform(F.filter(F.split(span, "[:-]"), lambda n: n.rlike("^[0-9]+$")), lambda n: n.cast("bigint"))
+    middle = F.floor((F.try_element_at(numbers, F.lit(-1)) + F.try_element_at(numbers, F.lit(-2))) / 2)
+    isoform = made((F.size(numbers) >= 2) & (F.length(seq) > 0), seq, F.least(middle, F.length(seq) - 1))
+    return F.when(kind == "Somatic", somatic).when(kind.isin("Fusion", "CNV"), fused).when(kind == "Isoform", isoform)

@@ -134,3 +134,10 @@ def map_summary(features: DataFrame) -> DataFrame:
     """unit, n_class1, n_class2, n_alleles, self_help (both classes in one unit); features: unit, cls, allele."""
     return features.groupBy("unit").agg(F.count_if(F.col("cls") == "mhc1").alias("n_class1"), F.count_if(F.col("cls") == "mhc2").alias("n_class2"), F.count_distinct("allele").alias("n_alleles")).withColumn("self_help", (F.col("n_class1") > 0) & (F.col("n_class2") > 0))
 
+
+def split_cassette(df: DataFrame, seq: str, spacer: str) -> DataFrame:
+    """df with one row for each part of a cassette between spacers, empty ones left out: segment, pep, mutation_index (its middle)."""
+    if not spacer:
+        raise ValueError("a spacer is needed")
+    parts = F.filter(F.split(seq, "\\Q" + spacer.replace("\\E", "\\E\\\\E\\Q") + "\\E"), lambda s: s != "")
+    return df.select("*", F.posexplode(parts).alias("segment", "pep")).withColumn("mutation_index", F.floor(F.length("pep") / 2).cast("int"))

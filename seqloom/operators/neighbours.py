@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.operators import tiling
+
 
 def hamming(a: Column, b: Column) -> Column:
     """Differing places of two strings of one length."""
@@ -93,3 +95,17 @@ def wild_type(peptides: DataFrame, windows: DataFrame, *, pep: str = "pep") -> D
     found = substitutions(peptides.select(pep).distinct(), pep).join(known, "variant").groupBy(pep).agg(F.min_by("variant", F.struct("pos", "residue")).alias("wild"))
     own = known.select(F.col("variant").alias(pep)).withColumn("_own", F.lit(True))
     return peptides.select(pep).distinct().join(found, pep, "left").join(own, pep, "left").select(pep, F.when(F.col("_own").isNull(), F.col("wild")).alias("wild"))
+
+
+def find_sources(peptides: DataFrame, proteins: DataFrame, d: int = 1, *, exclude_exact: bool = False, name: str = "name", seq: str = "seq", pep: str = "pep") -> DataFrame:
+    """query, name, offset, window, n_subs, mutations: every place of the proteins within d substitutions of a peptide, trimmed and in upper case.
+
+    mutations are the (at, query, window) of the places that differ. Windows are searched once each, wherever they stand.
+    """
+    asked = peptides.select(F.upper(F.trim(pep)).alias("query")).where("query <> ''").distinct()
+    lengths = [r[0] for r in asked.select(F.length("query")).distinct().collect()]  # of peptides: few
+    cut = tiling.tile(proteins.select(name, F.upper(seq).alias(seq)), seq, sorted(lengths) or [1], kmer="window")
+    pairs = hamming_join(asked, cut.select("window").distinct(), d, b="window", least=int(exclude_exact))
+    each = F.transform(F.split("query", ""), lambda q, i: F.struct(i.alias("at"), q.alias("query"), F.substring(F.col("window"), i + 1, F.lit(1)).alias("window")))
+    found = pairs.withColumn("mutations", F.filter(each, lambda m: m["query"] != m["window"]))
+    return found.join(cut, "window").select("query", name, "offset", "window", F.col("dist").alias("n_subs"), "mutations")
