@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("op1_quality_rules", "op2_token_counts", "op3_jaccard_join", "op4_toxicity", "op5_bpe", "op6_secrets", "op7_packing", "op8_importance", "op9_training_order", "op10_fingerprints", "op11_url_filter", "op13_delta_lloyd")
+MODULES = ("op1_quality_rules", "op2_token_counts", "op3_jaccard_join", "op4_toxicity", "op5_bpe", "op6_secrets", "op7_packing", "op8_importance", "op9_training_order", "op10_fingerprints", "op11_url_filter", "op12_divergence", "op13_delta_lloyd")
 
 
 def _all(attribute: str) -> dict:

@@ -3,13 +3,17 @@
 import hashlib
 import math
 import random
+import re
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
 
 from seqloom.llm import op11_url_filter as op11
+from seqloom.llm import op12_divergence as op12
 from seqloom.llm import op13_delta_lloyd as op13
+from seqloom.llm import radix
 
 SF = "/root/testdata/sf0.001"
 
@@ -132,3 +136,76 @@ def test_url_query_equals_its_sql(spark, name):
     want = con.sql(op11.ORACLE_SQL[name]).df()
     rows = lambda df: sorted(map(str, df[sorted(df)].astype(object).where(df[sorted(df)].notna(), None).itertuples(index=False, name=None)))
     assert rows(got) == rows(want) and len(got)
+
+
+def plain_audit(rows, least=3, top=200):
+    """Dense: every group, every kept term, every pair, in Python's integers. rows: (text, lang, source)."""
+    rows = [tuple(x or "" for x in r) for r in rows]
+    terms = lambda t: ["".join(c.lower() if "A" <= c <= "Z" else c for c in x) for x in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", t)]
+    docs, counts, whole = Counter(), {(g, s): Counter() for _, g, s in rows}, {g: Counter() for _, g, _ in rows}
+    for t, g, s in rows:
+        counts[g, s].update(terms(t))
+        whole[g].update(terms(t))
+        docs.update((g, x) for x in set(terms(t)))
+    out = []
+    for (g, s), mine in counts.items():
+        kept = [x for x in whole[g] if docs[g, x] >= least]
+        share = lambda c, kept=kept: {x: 1 + 10**9 * (c[x] + 1) // (sum(c[y] for y in kept) + len(kept)) for x in kept}
+        p, q = share(mine), share(whole[g])
+        f = lambda a, b: (a - b) * (a - b) // b
+        parts = {"pair": [(o, sum(f(p[x], r[x]) for x in kept)) for (h, o), theirs in counts.items() if h == g and o != s for r in [share(theirs)]], "term": [(x, f(p[x], q[x])) for x in kept if mine[x] and p[x] > q[x]]}
+        for part, found in parts.items():
+            found.sort(key=lambda r: (-r[1], r[0].encode()))
+            out += [(g, s, part, item, value, i + 1) for i, (item, value) in enumerate(found) if part == "pair" or i < top]
+    return sorted(map(str, out))
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    for name, value in (("TILE", 2), ("BLOCK_ROWS", 20), ("AT_ONCE", 50)):
+        monkeypatch.setattr(op12, name, value)
+    monkeypatch.setattr(op12, "top_ranked", lambda *a: radix.top_ranked(*a, few=2, digit=5))
+
+
+def test_audit_against_a_plain_version(spark, small_blocks):
+    rng = random.Random(12)
+    words = [f"{a}{b}" for a in "abcdÉéß漢" for b in "xyzwvut"] + ["same" * 40 + x for x in "abcdefg"] + ["Straße", "STRASSE", "\u212a", "q"]
+    rows = []
+    for g, sources in (("en", [f"s{i}" for i in range(9)] + [None, ""]), ("de", ["s0", "s1", "Ü"]), ("", ["only"]), (None, ["only", "two"]), ("fr", ["a", "b", "c"])):
+        for _ in range(60 if g != "fr" else 4):
+            n = rng.choice([0, 1, 5, 30])
+            text = "".join(rng.choice(words if g != "fr" else [f"u{rng.random()}"[:9]]) + rng.choice([" ", "1", "\n", "_", "\x7f", "..", "\x00"]) for _ in range(n))
+            rows.append((text.upper() if rng.random() < 0.1 else text, g, rng.choice(sources[:1] * 4 + sources)))
+    rows += [(None, "en", "blank"), ("", "xx", None), ("漢" * 9000, "de", "long")] + [("ax ax bx", "de", "s1")] * 40
+    df = spark.createDataFrame([(*r, 1, "t") for r in rows], "text string, lang string, source string, n int, term string").repartition(5)
+    for given, plain in ((df, rows), (df.limit(0), [])):
+        got = op12.audit(given, top=6).collect()
+        assert sorted(str(tuple(r)) for r in got) == plain_audit(plain, top=6)
+
+
+def test_audit_query_equals_its_sql(spark):
+    got = op12.op12_source_divergence(spark, SF).toPandas()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.sql(op12.ORACLE_SQL["op12_source_divergence"]).df()
+    key = ["lang", "source", "part", "item", "value", "rank"]
+    assert sorted(got[key].itertuples(index=False, name=None)) == sorted(want[key].itertuples(index=False, name=None)) and len(got)
+
+
+def test_shares_are_exact_beyond_doubles(spark):
+    cases = [(0, 1), (0, 9 * 10**15), (10**15 - 1, 10**15), (123456789012345, 999999999999999), (7, 9), (10**15, 9 * 10**15)]
+    got = spark.createDataFrame(cases, "n bigint, m bigint").select("n", "m", op12.share("n", "m").alias("p")).collect()
+    assert all(r.p == 1 + 10**9 * (r.n + 1) // r.m for r in got)
+
+
+def test_radix_selection_of_ties_and_long_shared_prefixes(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [(g, rng.choice([0, 1, 7, 7, 7, 2**60 + 5, 2**62]), "p" * 300 + f"{i:03d}"[:: rng.choice([1, -1])] + "é" * (i % 3) + str(i)) for g in "abc" for i in range({"a": 200, "b": 1, "c": 30}[g])]
+    rows += [("d", 5, "x" * i) for i in range(50)] + [("e", 3, "same")] * 20
+    spark.createDataFrame(rows, "g string, v bigint, item string").write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    for k in (1, 9, 40):
+        got = sorted((r.g, r.rank, r.v, r["item"]) for r in radix.top_ranked(df, ["g"], "v", "item", k, "rank", few=3, digit=7).collect())
+        want = [(g, i + 1, v, x) for g in "abcde" for i, (_, v, x) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2].encode()))[:k])]
+        assert got == want
+    assert radix.top_ranked(df.limit(0), ["g"], "v", "item", 3, "rank").count() == 0
