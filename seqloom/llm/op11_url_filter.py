@@ -96,7 +96,7 @@ def judge(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_co
     """id, host, path, rule (null where none fits), verdict of every row."""
     rows = pages.select(F.col(id_col).alias("_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     found = stored(verdicts(rows.select("host", "path"), rules), "url_verdicts")
-    out = rows.join(found, ["host", "path"], "left")
+    out = rows.join(found.hint("merge"), ["host", "path"], "left")  # as files they are far smaller than in memory, so Spark would broadcast too many
     return out.select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
