@@ -34,7 +34,7 @@ from seqloom.llm.common import documents, text_or_empty
 
 #: Lengths of chunks in bytes: least, normal, most; bits of the masks before and after the normal length.
 LEAST, NORMAL, MOST, STRICT_BITS, EASY_BITS = 12, 32, 128, 6, 4
-#: Rows sampled for each range; characters of a text by which rows of one id are dealt out.
+#: Rows sampled for each range, on average; characters of a text by which rows of one id are dealt out.
 SAMPLED, BEGIN = 50, 48
 _draw = random.Random(2024)
 GEAR = np.array([_draw.getrandbits(32) for _ in range(256)], np.uint32)
@@ -144,7 +144,9 @@ def _order(a: tuple, b: tuple) -> int:
 
 def _ranges(rows: DataFrame, parts: int) -> tuple:
     """Function from columns of ids and beginnings of texts to the number of their range."""
-    sample = sorted((tuple(r) for r in rows.select("id", "begin").orderBy(F.xxhash64("id", "begin")).limit(SAMPLED * parts).collect()), key=cmp_to_key(_order))
+    # each row is drawn by itself, so that about SAMPLED rows of each range come to the driver, whatever the number of tasks and of copies
+    share = min(1.0, SAMPLED * parts / max(1, rows.count()))
+    sample = sorted((tuple(r) for r in rows.select("id", "begin").sample(share, seed=1).collect()), key=cmp_to_key(_order))
     bounds = sorted({sample[len(sample) * k // parts] for k in range(1, parts)}, key=cmp_to_key(_order)) if sample else []
 
     def run(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
