@@ -3,7 +3,7 @@
 Candidates of every kind are found in whole texts with their places in code points. Each candidate's value is hashed, and
 the hashes are aggregated over the corpus by distinct repositories and owners. The owner is the source column; documents has
 no column for repositories, so a document stands for one unless the caller names another column. A value that several owners
-hold in as many repositories is a widely copied example; one that few owners hold, in however many repositories, looks like a
+hold, and that several repositories hold, is a widely copied example; one that few owners hold, in however many repositories, looks like a
 live credential. Candidates of the three base kinds always stay and are told apart; those of the further kinds count only
 while they look live.
 
@@ -12,7 +12,7 @@ counts are a table of their own before they are joined back by hash, so that ada
 third of the rows hold. Patterns run only where a fixed part of them occurs, and none looks back over a long run of letters.
 
 Cases: a null or empty text has no spans, and the digest of the empty string; repeated rows each get their own result; null and
-empty owners count as one owner together; null repositories as one; an empty table gives an empty result; a long text is scanned
+empty owners count as one owner together, null and empty repositories as one repository; an empty table gives an empty result; a long text is scanned
 whole, in time proportional to its length and its candidates; extra columns are never read.
 """
 
@@ -112,7 +112,7 @@ def _bare(spans: Column, keep) -> Column:
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str = "", copied_owners: int = COPIED_OWNERS) -> DataFrame:
     """id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, live (array of the spans that look live, start, number of the kind, end)."""
     text = F.col("_text")
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("_owner"), F.col(repository_col or id_col).cast("string").alias("_repository"), text_or_empty(text_col).alias("_text"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("_owner"), F.coalesce(F.col(repository_col or id_col).cast("string"), F.lit("")).alias("_repository"), text_or_empty(text_col).alias("_text"))
     spans = F.flatten(F.array(*(found(text, k) for k in range(len(KINDS)))))
     hashed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["number"].alias("number"), F.xxhash64(s["value"]).alias("hash"), F.crc32(s["value"]).alias("check")))
     rows = stored(rows.select(F.monotonically_increasing_id().alias("_row"), "_id", "_owner", "_repository", hashed.alias("_spans")), "candidates")
@@ -123,8 +123,10 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", own
     none = rows.where(F.size("_spans") == 0).select("_id", *counted, F.sha2(F.lit(""), 256).alias("base_sha256"), F.lit("").alias("spans"), F.lit(0).cast("bigint").alias("n_live"), F.lit(0).cast("bigint").alias("n_copied"), empty.alias("live"))
     some = rows.where(F.size("_spans") > 0).withColumn("_base", base)
     each = some.select("_row", "_owner", "_repository", F.explode("_spans").alias("s")).select("_row", "_owner", "_repository", "s.*")
-    held = each.groupBy("hash", "check", "_owner", "_repository").agg(F.lit(1).alias("one")).groupBy("hash", "check", "_owner").agg(F.count("*").alias("n"))
-    owners = stored(held.groupBy("hash", "check").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories")), "owners")
+    # owners and repositories of a value are made distinct apart from each other: a repository of three owners is one
+    held = each.select("hash", "check", F.explode(F.array(F.struct(F.lit(True).alias("owner"), F.col("_owner").alias("name")), F.struct(F.lit(False).alias("owner"), F.col("_repository").alias("name")))).alias("h"))
+    held = held.groupBy("hash", "check", "h").agg(F.lit(1).alias("one"))
+    owners = stored(held.groupBy("hash", "check").agg(F.count_if(F.col("h.owner")).alias("owners"), F.count_if(~F.col("h.owner")).alias("repositories")), "owners")
     copied = (F.col("owners") >= copied_owners) & (F.col("repositories") >= copied_owners)
     told = each.join(owners, ["hash", "check"]).select("_row", F.struct("start", "number", "end").alias("span"), (~copied).alias("is_live"), (F.col("number") < len(BASE)).alias("is_base"))
     told = told.groupBy("_row").agg(
@@ -166,10 +168,10 @@ SELECT row, source, {number} AS number, '{name}' AS kind, start, start + length(
     SELECT row, source, string_split_regex(t, '{rx}') AS parts, regexp_extract_all(t, '{rx}', 0) AS hits, regexp_extract_all(t, '{rx}', {group}) AS vals FROM d)))
 WHERE length(v) >= {least}{more}""")
     return f"""
-WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS repository, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
 c AS ({" UNION ALL ".join(kinds)}),
-o AS (SELECT v, count(DISTINCT source) AS owners FROM c GROUP BY v),
-e AS (SELECT c.*, kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS said, owners < {COPIED_OWNERS} AS is_live FROM c JOIN o USING (v)),
+o AS (SELECT v, count(DISTINCT d.source) AS owners, count(DISTINCT repository) AS repositories FROM c JOIN d USING (row) GROUP BY v),
+e AS (SELECT c.*, kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS said, owners < {COPIED_OWNERS} OR repositories < {COPIED_OWNERS} AS is_live FROM c JOIN o USING (v)),
 g AS (SELECT row,
   count(*) FILTER (number = 0) AS n_assign, count(*) FILTER (number = 1) AS n_access, count(*) FILTER (number = 2) AS n_hex,
   coalesce(string_agg(said, ',' ORDER BY start, number) FILTER (number < {len(BASE)}), '') AS base,

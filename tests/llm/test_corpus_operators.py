@@ -274,10 +274,29 @@ def test_secrets_in_long_runs_and_many_matches(spark):
 
 def test_secrets_count_repositories_and_owners(spark):
     token = "ghp_" + "Q1w2" * 10
-    rows = [(i, token, o, r) for i, (o, r) in enumerate([("a", "r"), ("b", "r"), ("c", "r"), ("c", "r")])]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, repo string")
-    # one repository of three owners: each owner's copy counts as one there
-    assert {r.n_copied for r in op6.scan(df, repository_col="repo").collect()} == {2} and {r.n_live for r in op6.scan(df.where("source <> 'a'")).collect()} == {2}
+    cases = {
+        "one repository of three owners": ([("a", "r"), ("b", "r"), ("c", "r"), ("c", "r")], False),
+        "three repositories of one owner": ([("a", "r"), ("a", "s"), ("a", "t")], False),
+        "three of each": ([("a", "r"), ("b", "s"), ("c", "t"), ("c", "t")], True),
+        "three of each, two rows apart": ([("a", "r"), ("b", "r"), ("c", "s"), ("a", "t")], True),
+        "no owner and no repository are one": ([("a", "r"), (None, None), ("", ""), ("b", "r")], False),
+    }
+    for name, (rows, copied) in cases.items():
+        df = spark.createDataFrame([(i, token, o, r) for i, (o, r) in enumerate(rows)], "doc_id bigint, text string, source string, repo string")
+        got = op6.scan(df, repository_col="repo").collect()
+        assert {(r.n_copied > 0, r.n_live > 0) for r in got} == {(copied, not copied)}, name
+
+
+def test_secrets_sql_counts_documents_apart_from_owners(spark, tmp_path):
+    one, two = "ghp_" + "Q1w2" * 10, "ghp_" + "Z9x8" * 10
+    rows = [(1, one, "a"), (1, one, "b"), (1, one, "c"), (2, two, "a"), (3, two, "b"), (4, two, "c")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(op6.ORACLE_SQL["op6_secret_scans"]).df()
+    got = op6.op6_secret_scans(spark, str(tmp_path)).toPandas()[list(want)]
+    rows_of = lambda df: sorted(df.itertuples(index=False, name=None))
+    assert rows_of(got) == rows_of(want) and set(got.loc[got.doc_id == 1, "n_live"]) != {0} and set(got.loc[got.doc_id > 1, "n_live"]) == {0}
 
 
 def test_star_rounds_and_leaves_on_tangled_groups(spark):
