@@ -52,26 +52,40 @@ def bonferroni(df: DataFrame, p: str, alpha: float) -> DataFrame:
 
 
 def isotonic_steps(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
-    """keys, steps array<struct<x, y>>: pool-adjacent-violators of y, rising in x, each block by its first x.
+    """keys, steps array<struct<x, y>>: pool-adjacent-violators of y, rising in x, each block by its first x. Equal x are summed before they leave their tasks."""
+    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    return isotonic_counts(known, x, F.col(y).cast("double"), F.lit(1.0), keys)
 
-    Equal x are summed before they leave their tasks. One key's distinct x form one group, as the fit is sequential.
-    """
-    summed = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("x")).agg(F.sum(F.col(y).cast("double")).alias("s"), F.count("*").cast("double").alias("n"))
-    grouped = summed.withColumn("_k", F.lit(0))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("x")
-        stack: list[list[float]] = []
-        for at, s, n in zip(pdf.x, pdf.s, pdf.n, strict=True):
-            stack.append([at, s, n])
-            while len(stack) > 1 and stack[-2][1] * stack[-1][2] >= stack[-1][1] * stack[-2][2]:
-                _, s2, n2 = stack.pop()
-                stack[-1][1] += s2
-                stack[-1][2] += n2
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), [{"x": a, "y": s / n} for a, s, n in stack]]], columns=[*keys, "steps"])
 
+def _pooled(rows: pd.DataFrame) -> list[list[float]]:
+    """Blocks (first x, sum, n) of rows x, s, n."""
+    stack: list[list[float]] = []
+    for at, s, n in rows.sort_values("x")[["x", "s", "n"]].itertuples(index=False, name=None):
+        stack.append([at, s, n])
+        while len(stack) > 1 and stack[-2][1] * stack[-1][2] >= stack[-1][1] * stack[-2][2]:
+            _, s2, n2 = stack.pop()
+            stack[-1][1] += s2
+            stack[-1][2] += n2
+    return stack
+
+
+def isotonic_counts(df: DataFrame, x: str, total: Column, n: Column, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, steps array<struct<x, y>>: isotonic fit of total / n, rising in x, each block by its first x.
+
+    Every range of values of a key is pooled by itself, and then the blocks of its ranges are, which gives the fit of all: a block
+    that is pooled within a range stays one. A task holds the points of one range, or the blocks of a key, which are its result.
+    """
+    summed = df.groupBy(*keys, F.col(x).cast("double").alias("x")).agg(F.sum(total).cast("double").alias("s"), F.sum(n).cast("double").alias("n")).where("n > 0")
     types = "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in keys)
-    return grouped.groupBy(*keys, "_k").applyInPandas(lambda pdf: fit(pdf), f"{types}steps array<struct<x: double, y: double>>")
+
+    def part(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), *block] for block in _pooled(pdf)], columns=[*keys, "x", "s", "n"])
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), [{"x": a, "y": s / n} for a, s, n in _pooled(pdf)]]], columns=[*keys, "steps"])
+
+    blocks = ordered.ranged(summed, "x").groupBy(*keys, "_range").applyInPandas(part, f"{types}x double, s double, n double")
+    return blocks.withColumn("_k", F.lit(0)).groupBy(*keys, "_k").applyInPandas(whole, f"{types}steps array<struct<x: double, y: double>>")
 
 
 def step_value(steps: Column, x: Column) -> Column:

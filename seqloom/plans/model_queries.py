@@ -5,10 +5,14 @@ A source stands for an allele, an occurrence of a word in it for a row of the pa
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.operators import anchor_model as M
+from seqloom.operators import scorer
+from seqloom.operators.rounds import shared_folder
 
 ANCHORS = M.ANCHORS["mhc1"]
 #: Scale of the kernel over numbers of sources; lengths that the model knows, the longer ones by their shares over all lengths.
@@ -94,5 +98,65 @@ y AS (SELECT ep, z.a, round(z + ln((coalesce(p, 0) + {M.EPS}) / (1.0 / {n} + {M.
 SELECT ep AS pep, arg_min(a, (-z, a)) AS allele, max(z) AS score, count(*) FILTER (z > 0) AS above FROM y GROUP BY ep"""
 
 
-QUERIES = {f.__name__: f for f in (anchor_distributions, anchor_scores)}
-ORACLE_SQL = {"anchor_distributions": f"WITH {_theta()} SELECT j AS anchor, len::INTEGER AS length, a AS allele, r AS residue, round(p, 9) AS p FROM theta", "anchor_scores": _scores()}
+#: Strings of the null, their letters in even parts, and seed; a second head of the calibrated scores: a value of each letter by a rule.
+NULLS, SEED, NULL_LENGTHS = 400, 1, (6, 8)
+
+
+def _value(letter: str) -> float:
+    return (M.S.RESIDUES.index(letter) * 7 % 11 - 5) / 4
+
+
+def _second_head(rows: DataFrame) -> DataFrame:
+    table = F.create_map(*(F.lit(x) for r in M.S.RESIDUES for x in (r, _value(r))))
+    values = F.aggregate(F.transform(F.split("pep", ""), lambda c: F.coalesce(F.try_element_at(table, c), F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
+    return rows.withColumn("score", values)
+
+
+def binder_scores(spark, sf_dir):
+    """Every word of the benchmark with every source: percent ranks of both heads, and of the two together, against null strings that are built once for each model."""
+    panel, counts, kernel, shares = _fitted(spark, sf_dir)
+    kept = M.Rounds(spark, "models")
+    model = kept.kept(M.models(shares, counts, LENGTHS, terms=M.length_terms(panel, kernel, LENGTHS, weight="w")))
+    words = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("w")).where(F.length("w").between(LENGTHS[0], LENGTHS[-1])).select(F.upper("w").alias("pep")).distinct()
+    prints = scorer.fingerprints(model, f"null {NULLS} {SEED} {NULL_LENGTHS}")
+    nulls = scorer.null_peptides(spark, NULLS, dict.fromkeys(M.S.RESIDUES, 1.0), dict.fromkeys(NULL_LENGTHS, 1.0), seed=SEED)
+    at = scorer.Calibrations(spark, f"{shared_folder(spark)}/calibrations-{uuid.uuid4().hex}")  # new on each call, so that no run profits from one before
+    first = lambda rows: M.score(rows, model, ANCHORS).withColumn("score", F.round("score", 6))
+    found = scorer.binder_scores(words.join(prints.select("allele")), at, prints, nulls, first, _second_head)
+    return found.select("pep", "allele", F.round("presentation_rank", 6).alias("presentation_rank"), F.round("affinity_rank", 6).alias("affinity_rank"), F.round("binder_rank", 6).alias("binder_rank"), "band")
+
+
+def _binders() -> str:
+    m, n = LENGTHS[-1], len(LENGTHS)
+    bounds = [int((i + 1) / 20 * 2**32) for i in range(19)]
+    half = 2**31
+    draw = lambda no, i: f"CAST('0x' || substr(md5('{SEED}:' || {no} || ':' || {i}), 1, 8) AS BIGINT)"
+    letter = f"substr('{M.S.RESIDUES}', 1 + len(list_filter({bounds}, lambda b: b <= h)), 1)"
+    value = "CASE r " + " ".join(f"WHEN '{r}' THEN {_value(r)}::DOUBLE" for r in M.S.RESIDUES) + " ELSE 0 END"
+    array = "[" + ", ".join(map(str, ANCHORS)) + "]"
+    return f"""WITH {_theta()},
+b AS (SELECT j, r, sum(c) / sum(sum(c)) OVER (PARTITION BY j) AS b FROM c0 GROUP BY j, r),
+lc AS (SELECT a, length(ep) AS len, sum(n) AS c FROM w GROUP BY ALL),
+lo AS (SELECT a, len, sum(c) AS c, sum(m) AS m FROM (SELECT a, len, c, 0 AS m FROM lc UNION ALL SELECT k.a, len, 0, k * c FROM lc JOIN k ON k.o = lc.a) GROUP BY ALL),
+lp AS (SELECT a, len, (c + CASE WHEN sm > 0 THEN {M.TAU} * m / sm ELSE 0 END) / (n + CASE WHEN sm > 0 THEN {M.TAU} ELSE 0 END) AS p FROM (SELECT *, sum(c) OVER w AS n, sum(m) OVER w AS sm FROM lo WINDOW w AS (PARTITION BY a))),
+nl AS (SELECT no, CASE WHEN {draw("no", "0")} >= {half} THEN {NULL_LENGTHS[1]} ELSE {NULL_LENGTHS[0]} END AS len FROM (SELECT unnest(range({NULLS})) AS no)),
+ni AS (SELECT no, len, i, {draw("no", "i")} AS h FROM (SELECT *, unnest(range(1, len + 1)) AS i FROM nl)),
+np AS (SELECT no, string_agg({letter}, '' ORDER BY i) AS ep FROM ni GROUP BY no),
+q AS (SELECT 'q' AS of, ep, row_number() OVER () AS no FROM (SELECT DISTINCT upper(w) AS ep FROM (SELECT unnest(string_split_regex(text, '[^A-Za-z]+')) AS w FROM benchmark) WHERE length(w) BETWEEN {LENGTHS[0]} AND {m})),
+x AS (SELECT of, no, ep, length(ep) AS len FROM q UNION ALL SELECT 'n', no, ep, length(ep) FROM np),
+xj AS (SELECT *, CASE WHEN j > 0 THEN j ELSE len + j + 1 END AS pl FROM (SELECT *, unnest({array}) AS j FROM x)),
+xf AS (SELECT *, substr(ep, pl::INT, 1) AS r FROM xj QUALIFY row_number() OVER (PARTITION BY of, no, pl ORDER BY list_position({array}, j)) = 1),
+z AS (SELECT xf.of, xf.no, s.a, any_value(xf.len) AS len, sum(ln((coalesce(theta.p, 0) + {M.EPS}) / (coalesce(b.b, 0) + {M.EPS}))) AS z
+  FROM xf JOIN s ON true LEFT JOIN b ON b.j = xf.j AND b.r = xf.r LEFT JOIN own ON own.j = xf.j AND own.len = xf.len AND own.a = s.a
+  LEFT JOIN theta ON theta.j = xf.j AND theta.a = s.a AND theta.r = xf.r AND theta.len = CASE WHEN own.a IS NULL THEN 0 ELSE xf.len END GROUP BY xf.of, xf.no, s.a),
+h2 AS (SELECT of, no, sum({value}) AS g FROM (SELECT of, no, unnest(string_split(ep, '')) AS r FROM x) GROUP BY of, no),
+y AS (SELECT z.of, z.no, z.a, round(z + ln((coalesce(p, 0) + {M.EPS}) / (1.0 / {n} + {M.EPS})), 6) AS z, g FROM z JOIN h2 USING (of, no) LEFT JOIN lp ON lp.a = z.a AND lp.len = z.len),
+r1 AS (SELECT y.of, y.no, y.a, 100.0 * count(*) FILTER (o.z > y.z) / {NULLS} AS p1, 100.0 * count(*) FILTER (o.g > y.g) / {NULLS} AS p2 FROM y JOIN y o ON o.of = 'n' AND o.a = y.a GROUP BY ALL),
+r2 AS (SELECT *, round(-ln(greatest(p1, {scorer.FLOOR}::DOUBLE)) - ln(greatest(p2, {scorer.FLOOR}::DOUBLE)), 9) AS f FROM r1),
+r3 AS (SELECT u.no, u.a, any_value(u.p1) AS p1, any_value(u.p2) AS p2, 100.0 * count(*) FILTER (o.f > u.f) / {NULLS} AS p3 FROM r2 u JOIN r2 o ON o.of = 'n' AND o.a = u.a WHERE u.of = 'q' GROUP BY u.no, u.a)
+SELECT ep AS pep, a AS allele, round(CAST(p1 AS DOUBLE), 6) AS presentation_rank, round(CAST(p2 AS DOUBLE), 6) AS affinity_rank, round(CAST(p3 AS DOUBLE), 6) AS binder_rank,
+  CASE WHEN p3 <= 0.5 THEN 'strong' WHEN p3 <= 2 THEN 'weak' ELSE 'none' END AS band FROM r3 JOIN q USING (no)"""
+
+
+QUERIES = {f.__name__: f for f in (anchor_distributions, anchor_scores, binder_scores)}
+ORACLE_SQL = {"anchor_distributions": f"WITH {_theta()} SELECT j AS anchor, len::INTEGER AS length, a AS allele, r AS residue, round(p, 9) AS p FROM theta", "anchor_scores": _scores(), "binder_scores": _binders()}
