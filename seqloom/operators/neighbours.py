@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.functions import sequences as S
 from seqloom.operators import tiling
+from seqloom.operators.rounds import Rounds
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -64,29 +69,111 @@ def shared_kmers(queries: DataFrame, refs: DataFrame, k: int, least: int) -> Dat
     return cut(long(queries, "query"), "query").join(cut(long(refs, "ref"), "ref"), "_w").groupBy("query", "ref").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
-def signature(pep: str | Column) -> Column:
-    """First three and last two letters, which hold the class I pockets."""
+#: Letters of a signature by class; rows that a vote counts at most, and is widened below.
+SIGNATURE = {"mhc1": 5, "mhc2": 4}
+ENOUGH, CAP = 10, 100
+
+
+def signature(pep: str | Column, cls: str = "mhc1") -> Column:
+    """Class I: the first three and last two letters, which hold the pockets; class II: pockets 1, 4, 6 and 9 of the core, null below nine letters."""
     p = F.col(pep) if isinstance(pep, str) else pep
-    return F.concat(F.substring(p, 1, 3), F.right(p, F.lit(2)))
+    if cls == "mhc1":
+        return F.concat(F.substring(p, 1, 3), F.right(p, F.lit(2)))
+    start = S.best_register(p)
+    return F.concat(*(F.substring(p, start + j, F.lit(1)) for j in (1, 4, 6, 9)))
+
+
+def signature_pairs(left: DataFrame, right: DataFrame, width: int, d: int) -> DataFrame:
+    """sq, sp, dist: signatures of left (sq) and right (sp) within d substitutions of each other.
+
+    Keys are the letters at every choice of width - d places, so that each row that meets is within d: nothing is made and thrown away
+    but repeats, and a pair is kept at the first choice that it shares. Pieces of a few letters would bring nearly all together.
+    """
+    choices = list(combinations(range(width), width - d))
+    letters = lambda c, places: F.concat(F.lit(""), *(F.substring(c, i + 1, 1) for i in places))
+    cut = lambda df, c: df.select(c).distinct().select(c, F.length(c).alias("_n"), F.explode(F.array(*(F.struct(F.lit(k).alias("no"), letters(F.col(c), places).alias("key")) for k, places in enumerate(choices)))).alias("_k")).select(c, "_n", F.col("_k.no").alias("_no"), F.col("_k.key").alias("_key"))
+    first = F.lit(True)
+    for k, places in enumerate(choices[:-1]):
+        first = first & ((F.col("_no") <= k) | (letters(F.col("sq"), places) != letters(F.col("sp"), places)))
+    return cut(left, "sq").join(cut(right, "sp"), ["_n", "_no", "_key"]).where(first).select("sq", "sp", hamming(F.col("sq"), F.col("sp")).alias("dist"))
+
+
+def _first_rows(near: DataFrame, panel: DataFrame, cap: int) -> DataFrame:
+    """query, epitope, allele, dist: the first `cap` panel rows of every query, nearest first, then by epitope and allele, its own left out.
+
+    near: query, sp, dist; panel: epitope, allele, sp. Of a signature only as many rows can be among them as the cap and an
+    epitope's own rows allow, and of the signatures at one distance only those with the first epitopes, one more than the cap.
+    """
+    by_sig = Window.partitionBy("sp")
+    of = panel.groupBy("sp", "epitope").agg(F.count("*").alias("_own")).groupBy("sp").agg(F.max("_own").alias("_most"), F.min("epitope").alias("_least"))
+    rows = panel.join(of, "sp").withColumn("_at", F.row_number().over(by_sig.orderBy("epitope", "allele"))).where(F.col("_at") <= cap + F.col("_most"))
+    some = near.join(of.select("sp", "_least"), "sp").withColumn("_r", F.row_number().over(Window.partitionBy("query", "dist").orderBy("_least", "sp"))).where(F.col("_r") <= cap + 1)
+    met = some.select("query", "sp", "dist").join(rows.select("sp", "epitope", "allele"), "sp").where(F.col("epitope") != F.col("query"))
+    return met.withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy("dist", "epitope", "allele"))).where(F.col("_r") <= cap).select("query", "epitope", "allele", "dist")
 
 
-def votes(queries: DataFrame, panel: DataFrame, *, scopes: int = 3, enough: int = 10, cap: int = 100) -> DataFrame:
-    """query, allele, votes, n: alleles of the nearest panel rows by signature, the scope widened until `enough` are found.
+def nearest_rows(queries: DataFrame, panel: DataFrame, *, scopes: int = 3, enough: int = ENOUGH, cap: int = CAP, cls: str = "mhc1") -> DataFrame:
+    """query, epitope, allele, dist: panel rows near each query by signature, the radius widened until `enough` are found, `cap` of them at most: the cap is the vote's definition.
 
-    panel: epitope, allele. A query's own rows do not vote. Nearest first, then by epitope and allele, `cap` at most: the cap
-    is the vote's definition.
+    Radii are tried one after the other, each only with the queries that still lack rows. Signatures meet, not rows: how many
+    rows a signature has is counted once. Every round is written to the shared folder.
     """
-    q = queries.select("query", signature("query").alias("sq")).distinct()
-    p = panel.select("epitope", "allele", signature("epitope").alias("sp"))
-    pairs = hamming_join(q.select(F.col("sq").alias("query")), p.select(F.col("sp").alias("ref")), scopes).withColumnRenamed("query", "sq").withColumnRenamed("ref", "sp")
-    near = q.join(pairs, "sq").join(p, "sp").where(F.col("epitope") != F.col("query"))
-    within = near.groupBy("query").agg(*(F.count_if(F.col("dist") <= s).alias(f"_n{s}") for s in range(scopes + 1)))
-    scope = F.coalesce(*(F.when(F.col(f"_n{s}") >= enough, F.lit(s)) for s in range(scopes + 1)), F.lit(scopes))
-    ranked = near.join(within.select("query", scope.alias("scope")), "query").where(F.col("dist") <= F.col("scope")).withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy("dist", "epitope", "allele")))
-    kept = ranked.where(F.col("_r") <= cap)
+    kept = Rounds(queries.sparkSession, "votes")
+    width = SIGNATURE[cls]
+    p = kept.kept(panel.select("epitope", "allele", signature("epitope", cls).alias("sp")).where("sp IS NOT NULL"))
+    rows_of = kept.kept(p.groupBy("sp").agg(F.count("*").alias("_rows")))
+    own = p.groupBy(F.col("epitope").alias("query")).agg(F.count("*").alias("_own"))
+    open_ = kept.kept(queries.select("query", signature("query", cls).alias("sq")).where("sq IS NOT NULL").distinct().join(own, "query", "left").na.fill(0, ["_own"]))
+    found = None
+    for s in range(scopes + 1):
+        pairs = kept.kept(signature_pairs(open_, rows_of, width, min(s, width)))
+        n = pairs.join(rows_of, "sp").groupBy("sq").agg(F.sum("_rows").alias("_n"))
+        counted = kept.kept(open_.join(n, "sq", "left").withColumn("_n", F.coalesce("_n", F.lit(0)) - F.col("_own")))
+        done = counted if s == scopes else counted.where(F.col("_n") >= enough)
+        near = _first_rows(done.where("_n > 0").select("query", "sq").join(pairs, "sq").select("query", "sp", "dist"), p, cap)
+        found = near if found is None else found.unionByName(near)
+        open_ = counted.where(F.col("_n") < enough).select("query", "sq", "_own")
+        if s < scopes and not open_.limit(1).count():
+            break
+    return found
+
+
+def votes(queries: DataFrame, panel: DataFrame, *, scopes: int = 3, enough: int = ENOUGH, cap: int = CAP, cls: str = "mhc1") -> DataFrame:
+    """query, allele, votes, n: alleles of the nearest panel rows (see nearest_rows) and how many rows they have in all; panel: epitope, allele."""
+    kept = nearest_rows(queries, panel, scopes=scopes, enough=enough, cap=cap, cls=cls)
     return kept.groupBy("query", "allele").agg(F.count("*").alias("votes")).withColumn("n", F.sum("votes").over(Window.partitionBy("query")))
 
 
+def fuzzy_kmers(queries: DataFrame, refs: DataFrame, k: int, *, subs: int = 1, least: int = 1, feature: Callable[[Column], Column] | None = None) -> DataFrame:
+    """query, ref, shared, score, place: pairs that have at least `least` different windows of the query of k letters in common, up to `subs` substitutions, best first.
+
+    shared counts the query's windows that some window of the reference is near, score is the least number of substitutions, place
+    orders a query's references by most shared, least score, name. Windows meet by a mask of `subs` wildcards, distinct windows
+    once, and a pair of windows at the first mask that it shares. feature: the part of a string that is cut, such as its face.
+    """
+    part = feature or (lambda c: c)
+    choices = list(combinations(range(k), k - subs))
+    letters = lambda c, places: F.concat(F.lit(""), *(F.substring(c, i + 1, 1) for i in places))
+
+    def cut(df: DataFrame, name: str) -> DataFrame:
+        p = part(F.col(name))
+        windows = F.when(F.length(p) >= k, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(p) - (k - 1)), lambda i: F.substring(p, i, F.lit(k)))))
+        return df.select(name).where(F.col(name).isNotNull()).distinct().select(name, F.explode(windows).alias("w"))
+
+    def keyed(df: DataFrame, w: str) -> DataFrame:
+        keys = F.array(*(F.struct(F.lit(n).alias("no"), letters(F.col(w), places).alias("key")) for n, places in enumerate(choices)))
+        return df.select(w).distinct().select(w, F.explode(keys).alias("_k")).select(w, F.col("_k.no").alias("_no"), F.col("_k.key").alias("_key"))
+
+    q, r = cut(queries, "query").withColumnRenamed("w", "_q"), cut(refs, "ref").withColumnRenamed("w", "_r")
+    first = F.lit(True)
+    for n, places in enumerate(choices[:-1]):
+        first = first & ((F.col("_no") <= n) | (letters(F.col("_q"), places) != letters(F.col("_r"), places)))
+    pairs = keyed(q, "_q").join(keyed(r, "_r"), ["_no", "_key"]).where(first).select("_q", "_r", hamming(F.col("_q"), F.col("_r")).alias("_d"))
+    met = q.join(pairs, "_q").join(r, "_r").groupBy("query", "ref", "_q").agg(F.min("_d").alias("_d"))
+    found = met.groupBy("query", "ref").agg(F.count("*").alias("shared"), F.min("_d").alias("score")).where(F.col("shared") >= least)
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("shared"), "score", "ref")))
+
+
 def wild_type(peptides: DataFrame, windows: DataFrame, *, pep: str = "pep") -> DataFrame:
     """pep and its first variant of one substitution, by place and residue, among the windows; null if there is none, or pep is one itself."""
     from seqloom.operators.tiling import substitutions
