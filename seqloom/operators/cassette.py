@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.functions.alleles import TRACTS
 from seqloom.functions.sequences import CODONS
 from seqloom.operators.neighbours import hamming_join
 
@@ -55,8 +56,22 @@ def in_context(units: DataFrame, contexts: DataFrame, seed: int = 8) -> DataFram
     return found.groupBy("pep", "gene", "p").agg(best).select("pep", "gene", "p", "_b.context_id", "_b.context", "_b.offset", (~F.col("_b.other")).alias("same_gene"))
 
 
+def novel_registers(units: DataFrame, lengths: Sequence[int]) -> DataFrame:
+    """unit, gene, register, novel: the distinct windows of every unit, and whether one of their places holds what its variant made.
+
+    units: unit, gene, peptide, mutation_index (zero-based), kind of product. A point product is novel at that place alone, so a
+    window has to contain it; a tract, a frameshift or a fusion, is novel from there on, so a window has to reach it. A window that
+    stands at several places is novel if one of them is.
+    """
+    sized = units.withColumn("_n", F.explode(F.array(*map(F.lit, lengths)))).where(F.length("peptide") >= F.col("_n"))
+    each = sized.withColumn("_at", F.explode(F.sequence(F.lit(0), F.length("peptide") - F.col("_n"))))
+    wide = F.lower(F.trim(F.coalesce("kind", F.lit("")))).isin(*TRACTS)
+    new = (F.col("_at") + F.col("_n") > F.col("mutation_index")) & (wide | (F.col("_at") <= F.col("mutation_index")))
+    return each.select("unit", "gene", F.substring(F.col("peptide"), F.col("_at") + 1, F.col("_n")).alias("register"), new.alias("novel")).groupBy("unit", "gene", "register").agg(F.max("novel").alias("novel"))
+
+
 def self_origin(units: DataFrame, proteins: DataFrame, essential: DataFrame, *, radius: int = 1) -> DataFrame:
-    """unit, clause, gene: reasons against a unit. units: unit, gene, register, novel; proteins: gene, kmer; essential: gene.
+    """unit, clause, gene: reasons against a unit. units: unit, gene, register, novel (see novel_registers); proteins: gene, kmer; essential: gene.
 
     target: the unit's own gene is essential. exact: a novel register stands in an unrelated essential gene. near: a register is
     within one substitution of one, which is reported and withdraws nothing. A radius beyond 1 is refused: every string is near

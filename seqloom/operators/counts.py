@@ -55,6 +55,34 @@ def mutual_information(df: DataFrame, x: str, y: str) -> DataFrame:
     return each.agg(F.sum(F.col("n") / F.col("total") * F.log2(F.col("n") * F.col("total") / (F.col("nx") * F.col("ny")))).alias("mi"))
 
 
+def anchor_weights(grooves: DataFrame, residues: DataFrame, length: int, *, prune: bool = False, tolerance: float = 0.0) -> DataFrame:
+    """pos, mi, w: how much each place of the grooves tells of an anchor's residue, in bits, and as weights of mean 1 over all places (1 where nothing tells anything).
+
+    grooves: allele, seq, of which those of the given length count; residues: allele, residue. With prune, a place weighs 0 if
+    another that tells more of the anchor explains it: its own information is no more than what the two places share, less the
+    tolerance. Information of all pairs of places is one aggregate, whose size is that of the alphabet, and pruning a join of edges.
+    """
+    rows = grooves.where(F.length("seq") == length).select("allele", "seq").distinct().join(residues.select("allele", F.col("residue").alias("y")), "allele")
+    each = rows.select("allele", "y", F.posexplode(F.split("seq", "")).alias("pos", "x"))
+    n = rows.agg(F.count("*").alias("total"))
+
+    def information(joint: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+        of = lambda c: F.sum("n").over(Window.partitionBy(*keys, c))
+        part = F.col("n") / F.col("total") * F.log2(F.col("n") * F.col("total") / (F.col("_a") * F.col("_b")))
+        return joint.withColumn("_a", of(a)).withColumn("_b", of(b)).join(F.broadcast(n)).groupBy(*keys).agg(F.greatest(F.round(F.sum(part), 12), F.lit(0.0)).alias("mi"))  # one row
+
+    told = F.broadcast(rows.sparkSession.range(length).select(F.col("id").cast("int").alias("pos"))).join(information(each.groupBy("pos", "x", "y").agg(F.count("*").alias("n")), ["pos"], "x", "y"), "pos", "left").select("pos", F.coalesce("mi", F.lit(0.0)).alias("mi"))
+    kept = told.withColumn("w", F.col("mi"))
+    if prune:
+        other = each.select("allele", F.col("pos").alias("q"), F.col("x").alias("z"))
+        joint = each.join(other, "allele").where("pos <> q").groupBy("pos", "q", "x", "z").agg(F.count("*").alias("n"))
+        shared = information(joint, ["pos", "q"], "x", "z").withColumnRenamed("mi", "shared")
+        better = shared.join(told, "pos").join(told.select(F.col("pos").alias("q"), F.col("mi").alias("more")), "q").where((F.col("mi") > 0) & (F.col("more") > F.col("mi")) & (F.col("mi") <= F.col("shared") - tolerance))
+        kept = told.join(better.select("pos", F.lit(0.0).alias("none")).distinct(), "pos", "left").select("pos", "mi", F.coalesce("none", "mi").alias("w"))
+    mean = F.sum("w").over(Window.partitionBy(F.lit(0))) / length  # a row for each place of a groove
+    return kept.select("pos", "mi", F.when(mean > 0, F.col("w") / mean).otherwise(1.0).alias("w"))
+
+
 def motif(df: DataFrame, pep: str, length: int, *, group: str) -> DataFrame:
     """group, pos, residue, freq, bits: position weights of strings of one length, bits = log2 20 - entropy of the place."""
     rows = df.where(F.length(pep) == length).select(group, F.posexplode(F.split(pep, "")).alias("pos", "residue"))

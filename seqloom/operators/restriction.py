@@ -62,32 +62,45 @@ def groove_clusters(kernel: DataFrame, grooves: DataFrame, threshold: float = 0.
     return density.connected(edges, grooves.select(F.col(allele).alias("id"))).select(F.col("id").alias(allele), F.col("component").alias("cluster"))
 
 
-def restriction(queries: DataFrame, panel: DataFrame, *, alpha: float = 0.05, top: int = 10, scores: DataFrame | None = None) -> DataFrame:
+def restriction(queries: DataFrame, panel: DataFrame, *, cls: str = "mhc1", alpha: float = 0.05, top: int = 10, scores: DataFrame | None = None, calibrated: bool = False) -> DataFrame:
     """query, allele, vote, enrichment, n_votes, binder, place: the alleles that present each query, best first.
 
-    Votes of neighbours gate (a binder has votes beyond chance at alpha) and rank; with scores (query, allele, score,
-    pct_rank) the percent rank ranks, alleles without votes are in, and a percent rank of at most 2 is a binder as well.
-    panel: epitope, allele.
+    Votes of neighbours gate: a binder has votes beyond chance at alpha. Without scores they rank as well. scores (query, allele,
+    score) puts alleles without votes in, and ranks by score, to three decimals, then by vote; then a binder is also what scores above 0
+    in class I, and in class II, whose best frame grows with the length, what has a percent rank of at most 2 among null strings of
+    the query's own length (column length_rank). calibrated ranks by the percent rank instead (column pct_rank; p_present stays
+    where it is given). panel: epitope, allele. Ties go to the first allele in order.
     """
-    voted = counts.enrichment(neighbours.votes(queries, panel), counts.group_shares(panel, "allele"))
+    voted = counts.enrichment(neighbours.votes(queries, panel, cls=cls), counts.group_shares(panel, "allele"))
     chance = F.coalesce(F.col("enrichment") >= -F.log10(F.lit(alpha)), F.lit(False))
     each = voted.select("query", "allele", "vote", "enrichment", F.col("votes").alias("n_votes"))
     order = [F.desc("vote"), F.desc("enrichment"), F.asc("allele")]
     if scores is None:
         rows = each.withColumn("binder", chance)
     else:
-        rows = scores.select("query", "allele", "score", "pct_rank").join(each, ["query", "allele"], "left").fillna({"vote": 0.0, "enrichment": 0.0, "n_votes": 0})
-        rows = rows.withColumn("binder", ((F.col("n_votes") > 0) & chance) | F.coalesce(F.col("pct_rank") <= 2.0, F.lit(False))).withColumn("band", calibration.band("pct_rank"))
-        order = [F.asc_nulls_last("pct_rank"), F.asc("allele")]
+        more = [c for c in ("length_rank", "pct_rank", "p_present") if c in scores.columns]
+        rows = scores.select("query", "allele", F.round("score", 3).alias("score"), (F.col("score") > 0).alias("_above"), *more).join(each, ["query", "allele"], "left").fillna({"vote": 0.0, "enrichment": 0.0, "n_votes": 0})
+        plausible = F.col("_above") if cls == "mhc1" else F.col("length_rank") <= 2.0
+        rows = rows.withColumn("binder", ((F.col("n_votes") > 0) & chance) | F.coalesce(plausible, F.lit(False))).drop("_above")
+        order = [F.desc_nulls_last("score"), F.desc("vote"), F.asc("allele")]
+        if calibrated:
+            rows = rows.withColumn("band", calibration.band("pct_rank"))
+            order = [F.asc_nulls_last("pct_rank"), F.asc("allele")]
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("place") <= top)
 
 
+def is_binder(queries: DataFrame, panel: DataFrame, *, cls: str = "mhc1", alpha: float = 0.05) -> DataFrame:
+    """queries (query, allele) with binder: whether the allele has votes for the query beyond chance."""
+    found = restriction(queries.select("query").distinct(), panel, cls=cls, alpha=alpha, top=1 << 30).select("query", "allele", "binder")
+    return queries.join(found, ["query", "allele"], "left").withColumn("binder", F.coalesce("binder", F.lit(False)))
+
+
 def is_presented(restricted: DataFrame) -> DataFrame:
     """query, presented: whether any allele binds it."""
     return restricted.groupBy("query").agg(F.max("binder").alias("presented"))
 
 
-def scan_proteins(proteins: DataFrame, panel: DataFrame, lengths: Sequence[int], *, name: str = "name", seq: str = "seq", alpha: float = 0.05, correction: str | None = None) -> DataFrame:
+def scan_proteins(proteins: DataFrame, panel: DataFrame, lengths: Sequence[int], *, name: str = "name", seq: str = "seq", cls: str = "mhc1", alpha: float = 0.05, correction: str | None = None) -> DataFrame:
     """name, offset, query, allele, enrichment, n_votes: windows with voted alleles beyond chance.
 
     correction: None (alpha for each), "bonferroni" (alpha over the number of voted tests) or "bh" (false discovery). Distinct
@@ -96,7 +109,7 @@ def scan_proteins(proteins: DataFrame, panel: DataFrame, lengths: Sequence[int],
     if correction not in (None, "bonferroni", "bh"):
         raise ValueError(f"unknown correction {correction!r}")
     cut = tiling.tile(proteins.select(name, seq), seq, list(lengths), kmer="query")
-    voted = restriction(cut.select("query").distinct(), panel, alpha=alpha, top=1 << 30).where("n_votes > 0").select("query", "allele", "enrichment", "n_votes")
+    voted = restriction(cut.select("query").distinct(), panel, cls=cls, alpha=alpha, top=1 << 30).where("n_votes > 0").select("query", "allele", "enrichment", "n_votes")
     tests = cut.join(voted, "query").withColumn("p", F.pow(F.lit(10.0), -F.col("enrichment")))
     if correction is None:
         kept = tests.where(F.col("enrichment") >= -F.log10(F.lit(alpha)))

@@ -46,9 +46,17 @@ def test_restriction_votes_gate_and_ranks(spark):
     q = spark.createDataFrame([("KLDAAAAVY",), ("RMNAAAAPW",), ("WWWWWWWWW",)], "query string")
     first = {r["query"]: r for r in restriction.restriction(q, panel).where("place = 1").collect()}
     assert first["KLDAAAAVY"].allele == "X" and first["RMNAAAAPW"].allele == "Y" and first["KLDAAAAVY"].binder and "WWWWWWWWW" not in first
-    scores = spark.createDataFrame([("WWWWWWWWW", "X", 1.0, 1.5), ("WWWWWWWWW", "Y", 0.5, 30.0), ("KLDAAAAVY", "X", 0.1, 50.0)], "query string, allele string, score double, pct_rank double")
-    got = {(r["query"], r.allele): (r.binder, r.place, r.band) for r in restriction.restriction(q, panel, scores=scores).collect()}
-    assert got == {("WWWWWWWWW", "X"): (True, 1, "weak"), ("WWWWWWWWW", "Y"): (False, 2, "none"), ("KLDAAAAVY", "X"): (True, 1, "none")}
+    rows = [("WWWWWWWWW", "X", 0.2, 1.5, 3.0), ("WWWWWWWWW", "Y", 0.5, 30.0, 1.0), ("WWWWWWWWW", "Z", -0.5, None, None), ("KLDAAAAVY", "X", -0.1, 50.0, 9.0)]
+    scores = spark.createDataFrame(rows, "query string, allele string, score double, pct_rank double, length_rank double")
+    told = lambda *c, **k: {(r["query"], r.allele): tuple(r[x] for x in c) for r in restriction.restriction(q, panel, scores=scores, **k).collect()}
+    # class I: votes beyond chance, or a score above 0; by score
+    assert told("binder", "place") == {("WWWWWWWWW", "Y"): (True, 1), ("WWWWWWWWW", "X"): (True, 2), ("WWWWWWWWW", "Z"): (False, 3), ("KLDAAAAVY", "X"): (True, 1)}
+    # calibrated: the same gate; by percent rank
+    assert told("binder", "place", "band", calibrated=True) == {("WWWWWWWWW", "X"): (True, 1, "weak"), ("WWWWWWWWW", "Y"): (True, 2, "none"), ("WWWWWWWWW", "Z"): (False, 3, None if told("band", calibrated=True)["WWWWWWWWW", "Z"][0] is None else "none"), ("KLDAAAAVY", "X"): (True, 1, "none")}
+    # class II: a percent rank of at most 2 within the length, whatever the score
+    assert {k: v[0] for k, v in told("binder", cls="mhc2").items() if k[0] == "WWWWWWWWW"} == {("WWWWWWWWW", "X"): False, ("WWWWWWWWW", "Y"): True, ("WWWWWWWWW", "Z"): False}
+    asked = spark.createDataFrame([("KLDAAAAVY", "X"), ("KLDAAAAVY", "Y"), ("WWWWWWWWW", "X")], "query string, allele string")
+    assert {(r["query"], r.allele): r.binder for r in restriction.is_binder(asked, panel).collect()} == {("KLDAAAAVY", "X"): True, ("KLDAAAAVY", "Y"): False, ("WWWWWWWWW", "X"): False}
     assert {r["query"]: r.presented for r in restriction.is_presented(restriction.restriction(q, panel, scores=scores)).collect()} == {"WWWWWWWWW": True, "KLDAAAAVY": True}
 
 

@@ -78,3 +78,50 @@ def test_fuzzy_windows_against_a_plain_version(spark):
             want += [(x, y, -s, d, i + 1) for i, (s, d, y) in enumerate(sorted(found))]
         got = neighbours.fuzzy_kmers(q, r, k, subs=subs, least=least, feature=(lambda c: F.substring(c, F.lit(3), F.length(c) - 3)) if face else None).collect()
         assert sorted((g["query"], g.ref, g.shared, g.score, g.place) for g in got) == sorted(want)
+
+
+def test_anchor_weights_and_pruning(spark):
+    import math
+
+    from seqloom.operators import counts
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(80):
+        y = rng.choice("DEK")
+        direct = {"D": "A", "E": "C", "K": "F"}[y] if rng.random() < 0.9 else "G"
+        linked = {"A": "L", "C": "M", "F": "N", "G": "P"}[direct] if rng.random() < 0.9 else "Q"
+        rows.append((f"a{i}", linked + direct + rng.choice("STV") + "W", y))
+    rows += [("short", "AA", "D")]
+    grooves, residues = spark.createDataFrame([r[:2] for r in rows], "allele string, seq string"), spark.createDataFrame([(a, y) for a, _, y in rows] + [("none", "D")], "allele string, residue string")
+
+    def mi(xs, ys):
+        n, x, y, xy = len(xs), Counter(xs), Counter(ys), Counter(zip(xs, ys, strict=True))
+        return max(0.0, sum(c / n * math.log2(c * n / (x[a] * y[b])) for (a, b), c in xy.items()))
+
+    full = [r for r in rows if len(r[1]) == 4]
+    cols, ys = [[s[p] for _, s, _ in full] for p in range(4)], [y for *_, y in full]
+    told = [mi(c, ys) for c in cols]
+    for prune in (False, True):
+        w = list(told)
+        if prune:
+            w = [0.0 if any(told[q] > told[p] and told[p] <= mi(cols[p], cols[q]) for q in range(4) if q != p) and told[p] > 1e-12 else told[p] for p in range(4)]
+            assert w[0] == 0 and w[1] > 0  # the linked place is explained by the direct one
+        mean = sum(w) / 4
+        got = {r.pos: r for r in counts.anchor_weights(grooves, residues, 4, prune=prune).collect()}
+        assert len(got) == 4 and all(abs(got[p].mi - told[p]) < 1e-9 and abs(got[p].w - w[p] / mean) < 1e-9 for p in range(4))
+    assert {r.w for r in counts.anchor_weights(grooves.limit(0), residues, 4, prune=True).collect()} == {1.0}
+
+
+def test_novel_registers(spark):
+    from seqloom.operators import cassette
+
+    units = [("u1", "G", "ABCDEFGHIJ", 2, "missense"), ("u2", "G", "ABCDEFGHIJ", 2, " Frameshift "), ("u3", "G", "AAAAAA", 0, None), ("u4", "G", "AB", 1, "fusion")]
+    got = {(r.unit, r.register): r.novel for r in cassette.novel_registers(spark.createDataFrame(units, "unit string, gene string, peptide string, mutation_index int, kind string"), [3, 8]).collect()}
+    want = {}
+    for u, _, p, m, kind in units:
+        for n in (3, 8):
+            for i in range(len(p) - n + 1):
+                new = i + n > m and (i <= m or (kind or "").strip().lower() in ("frameshift", "fusion"))
+                want[u, p[i : i + n]] = want.get((u, p[i : i + n]), False) or new
+    assert got == want
