@@ -13,17 +13,19 @@ from pyspark.sql import functions as F
 from seqloom.operators import ordered
 
 
-def percent_rank(queries: DataFrame, background: DataFrame, keys: Sequence[str], score: str = "score") -> DataFrame:
-    """queries with pct_rank: 100 times the part of the background of its keys that is strictly greater; null without background.
+def percent_rank(queries: DataFrame, background: DataFrame, keys: Sequence[str], score: str = "score", *, weight: str | None = None) -> DataFrame:
+    """queries with pct_rank: 100 times the part of the background of its keys that is strictly greater; null without background. weight: how many rows one of the background stands for.
 
-    Distinct scores of both sides are counted first, so one window over distinct scores of a key serves any number of rows.
+    Distinct scores of both sides are counted first, and the counts run by ranges of scores, so that any number of rows is
+    served and no task holds a key.
     """
-    known = background.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count("*").alias("_b"))
+    n = F.sum(F.col(weight).cast("bigint")) if weight else F.count("*")
+    known = background.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(n.alias("_b"))
     asked = queries.where(F.col(score).isNotNull()).select(*keys, score).distinct().withColumn("_b", F.lit(0).cast("bigint"))
-    w = Window.partitionBy(*keys)
     both = known.unionByName(asked).groupBy(*keys, score).agg(F.sum("_b").alias("_b"))
-    above = F.coalesce(F.sum("_b").over(w.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = both.withColumn("pct_rank", 100.0 * above / F.nullif(F.sum("_b").over(w), F.lit(0))).drop("_b")
+    totals = both.groupBy(*keys).agg(F.nullif(F.sum("_b"), F.lit(0)).alias("_t"))
+    ranked = ordered.attach(ordered.before(both, score, {"_above": ("sum", "_b")}, keys, falling=True, of=known), totals, keys)
+    ranks = ranked.select(*keys, score, (100.0 * F.coalesce("_above", F.lit(0)) / F.col("_t")).alias("pct_rank"))
     return queries.join(ranks, [*keys, score], "left")
 
 

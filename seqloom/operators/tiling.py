@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions.sequences import RESIDUES, is_standard
 
 #: Letters that are cut from a sequence at a time: a substring of a long string costs its offset, one of a block does not.
 BLOCK = 512
+#: Bytes of text that are packed at a time; the longest window whose base-20 code leaves 24 bits for the row.
+SLICE, MOST_PACKED = 4_000_000, 9
 
 
 def tile(df: DataFrame, seq: str, lengths: list[int], *, standard: bool = True, kmer: str = "kmer", offset: str = "offset") -> DataFrame:
@@ -32,6 +38,63 @@ def kmer_counts(df: DataFrame, seq: str, k: int, *, weight: str | None = None) -
     return tile(kept, seq, [k]).groupBy("kmer").agg((F.sum(weight) if weight else F.count("*")).alias("n"))
 
 
+def _places(letters: str) -> np.ndarray:
+    """Of every byte its place among the letters, whatever its case, or -1."""
+    out = np.full(256, -1, np.int64)
+    for i, c in enumerate(letters):
+        out[ord(c)] = out[ord(c.lower())] = i
+    return out
+
+
+def _packed(texts: pa.Array, k: int) -> tuple[np.ndarray, ...]:
+    """row, code, n, first: distinct windows of the letters of each text, by row and code."""
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = data[ends[0] : ends[-1]]
+    is_letter = _places("ABCDEFGHIJKLMNOPQRSTUVWXYZ")[data] >= 0
+    row = np.repeat(np.arange(len(texts)), np.diff(ends))[is_letter]
+    residue = _places(RESIDUES)[data[is_letter]]
+    m = max(len(row) - k + 1, 0)
+    code, good = np.zeros(m, np.int64), row[:m] == row[k - 1 :][:m]
+    for j in range(k):
+        part = residue[j : j + m]
+        code = code * 20 + part
+        good &= part >= 0
+    at = np.flatnonzero(good)
+    key, first, n = np.unique((row[at] << 39) | code[at], return_index=True, return_counts=True)
+    of = key >> 39
+    return of, key & ((1 << 39) - 1), n, at[first] - np.searchsorted(row, of)
+
+
+def packed_windows(df: DataFrame, text: str, k: int) -> DataFrame:
+    """df without text, with the distinct windows of k standard residues among the letters of each text: code (base 20, in the order of the windows), n, first (least zero-based offset among the letters).
+
+    Letters are taken from any text, in either case. A row of df is packed whole, in the task that reads it.
+    """
+    if k > MOST_PACKED:
+        raise ValueError(f"windows of more than {MOST_PACKED} residues do not fit a code")
+    rest = [f for f in df.schema.fields if f.name != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(len(rest)).cast(pa.large_string()).fill_null("")
+            sizes = np.cumsum(np.diff(np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]))
+            edges = [0, *(np.flatnonzero(np.diff(sizes // SLICE)) + 1).tolist(), len(texts)]
+            for a, z in zip(edges, edges[1:], strict=False):
+                of, code, n, first = _packed(texts.slice(a, z - a), k)
+                own = pa.array(of + a)
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(own) for i in range(len(rest))), pa.array(code), pa.array(n.astype(np.int64)), pa.array(first.astype(np.int64))], names=[*(f.name for f in rest), "code", "n", "first"])
+
+    types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest)
+    return df.select(*(f.name for f in rest), text).mapInArrow(run, f"{types}code bigint, n bigint, first bigint")
+
+
+def unpacked(code: str | Column, k: int) -> Column:
+    """The window that a code stands for."""
+    c = F.col(code) if isinstance(code, str) else code
+    return F.concat(*(F.substring(F.lit(RESIDUES), (F.floor(c / 20**j) % 20 + 1).cast("int"), F.lit(1)) for j in range(k - 1, -1, -1)))
+
+
 def substitutions(df: DataFrame, pep: str) -> DataFrame:
     """df with every string that differs in one place: variant, pos (zero-based), residue."""
     places = df.withColumn("pos", F.explode(F.sequence(F.lit(0), F.length(pep) - 1)))

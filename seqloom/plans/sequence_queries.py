@@ -9,6 +9,7 @@ from seqloom.functions import sequences as S
 from seqloom.operators import counts, density, neighbours, tiling
 from seqloom.operators.calibration import percent_rank
 from seqloom.operators.ranking import top
+from seqloom.operators.rounds import Rounds
 
 R = S.RESIDUES
 
@@ -19,11 +20,13 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as sequences. Tiling multiplies rows by their length, so an input of fewer files than cores is dealt out first; of many files each is read where it lies."""
+    return _dealt(spark, sf_dir).select("doc_id", "lang", S.letters("text").alias("seq"))
+
+
+def _dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     cores = spark.sparkContext.defaultParallelism
-    if len(d.inputFiles()) < cores:
-        d = d.repartition(2 * cores)
-    return d.select("doc_id", "lang", S.letters("text").alias("seq"))
+    return d.repartition(2 * cores) if len(d.inputFiles()) < cores else d
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,14 +45,18 @@ def _tiles(k: int) -> str:
 
 def rare_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each document the three 9-mers that are rarest in the corpus, with their percent rank among all occurrences of the same language: the top-k is the report."""
-    t = tiling.tile(_texts(spark, sf_dir), "seq", [9])
-    per_doc = t.groupBy("doc_id", "lang", "kmer").agg(F.count("*").alias("n_here"), F.min("offset").alias("offset"))
-    seen = per_doc.groupBy("kmer").agg(F.sum("n_here").alias("n_corpus"))
-    rows = per_doc.join(seen, "kmer")
-    first = top(rows, ["doc_id"], [F.asc("n_corpus"), F.asc("kmer")], 3)
+    kept = Rounds(spark, "rare_kmers")
+    per_doc = kept.kept(tiling.packed_windows(_dealt(spark, sf_dir), "text", 9))
+    # how often a k-mer occurs in a language, and in the corpus: a row for each language of a k-mer
+    by_lang = per_doc.groupBy("code", "lang").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+    seen = kept.kept(by_lang.select("code", "lang", "docs", F.sum("n").over(Window.partitionBy("code")).alias("n_corpus")))
+    # both sides are tables, so that a k-mer that a third of the documents have can be split
+    rows = per_doc.select("doc_id", "lang", "code", "first").join(seen.select(F.col("code").alias("_c"), F.col("lang").alias("_l"), "n_corpus"), (F.col("code") == F.col("_c")) & F.col("lang").eqNullSafe(F.col("_l")))
+    first = top(rows.select("doc_id", "lang", "code", "first", "n_corpus"), ["doc_id"], [F.asc("n_corpus"), F.asc("code")], 3)
     # the background of a language: how often each of its k-mers occurs in the corpus
-    back = rows.select("lang", F.col("n_corpus").cast("double").alias("score"))
-    return percent_rank(first.withColumn("score", F.col("n_corpus").cast("double")), back, ["lang"]).select("doc_id", "kmer", "n_corpus", F.col("offset").cast("bigint").alias("offset"), F.round("pct_rank", 6).alias("pct_rank"))
+    back = seen.groupBy("lang", F.col("n_corpus").cast("double").alias("score")).agg(F.sum("docs").alias("docs"))
+    ranked = percent_rank(first.withColumn("score", F.col("n_corpus").cast("double")), back, ["lang"], weight="docs")
+    return ranked.select("doc_id", tiling.unpacked("code", 9).alias("kmer"), "n_corpus", F.col("first").alias("offset"), F.round("pct_rank", 6).alias("pct_rank"))
 
 
 _RARE = f"""
