@@ -18,28 +18,56 @@ def hamming(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.arrays_zip(F.split(a, "").alias("x"), F.split(b, "").alias("y")), lambda p: p["x"] != p["y"]))
 
 
+#: Strings of at most so many letters meet by masks rather than by pieces, where the pieces would be shorter than three letters.
+MASKED = 8
+
+
 def _segments(pep: Column, d: int) -> Column:
-    """d + 1 even pieces with their numbers: strings within d substitutions have one in common."""
+    """Keys of a string, with their numbers: strings of one length within d substitutions have one in common.
+
+    Long strings have d + 1 even pieces. Of short ones, whose pieces nearly all strings would share, keys are the letters beside every
+    choice of d places, numbered by the places as bits: what meets there is within d.
+    """
     n = F.length(pep)
     cut = lambda i: F.floor(n * i / (d + 1)).cast("int")
-    return F.array(*(F.struct(F.lit(i).alias("no"), F.substring(pep, cut(i) + 1, cut(i + 1) - cut(i)).alias("piece")) for i in range(d + 1)))
+    out = F.array(*(F.struct(F.lit(i).alias("no"), F.substring(pep, cut(i) + 1, cut(i + 1) - cut(i)).alias("piece")) for i in range(d + 1)))
+    for size in range(_short(d) + 1):
+        masks = [set(m) for m in combinations(range(size), min(d, size))]
+        keys = F.array(*(F.struct(F.lit(sum(1 << i for i in m)).alias("no"), F.concat(F.lit(""), *(F.substring(pep, i + 1, 1) for i in range(size) if i not in m)).alias("piece")) for m in masks))
+        out = F.when(n == size, keys).otherwise(out)
+    return out
+
+
+def _short(d: int) -> int:
+    return min(MASKED, 3 * (d + 1) - 1) if d else -1
+
+
+def _own_mask(n: Column, differ: Column, d: int) -> Column:
+    """The one mask of d places at which a pair that differs at the given places is made: these, and the last of the others."""
+    rest = F.filter(F.sequence(n - 1, F.lit(0), F.lit(-1)), lambda i: ~F.array_contains(differ, i))
+    places = F.concat(differ, F.slice(rest, 1, F.greatest(d - F.size(differ), F.lit(0))))
+    return F.when(n > 0, F.aggregate(places, F.lit(0), lambda acc, i: acc + F.pow(F.lit(2), i).cast("int"))).otherwise(0)
 
 
 def hamming_join(left: DataFrame, right: DataFrame, d: int, *, a: str = "query", b: str = "ref", least: int = 0) -> DataFrame:
-    """a, b, dist: distinct pairs of one length within d substitutions, found by a piece that they share.
+    """a, b, dist: distinct pairs of one length within d substitutions, found by a piece or a mask that they share.
 
-    Both sides are made distinct first. A pair that shares several pieces is made once, at the first of them, so no
+    Both sides are made distinct first. A pair that shares several is made once, at the first piece or at its own mask, so no
     distinct over pairs is needed.
     """
     cut = lambda df, name: df.select(name).where(F.col(name).isNotNull()).distinct().select(name, F.length(name).alias("_len"), F.explode(_segments(F.col(name), d)).alias("_s")).select(name, "_len", F.col("_s.no").alias("_no"), F.col("_s.piece").alias("_piece"))
     pairs = cut(left, a).join(cut(right, b), ["_len", "_no", "_piece"])
-    first = F.lit(True)
+    first, n = F.lit(True), F.col("_len")
     for i in range(d):
-        n = F.col("_len")
         lo, hi = F.floor(n * i / (d + 1)).cast("int"), F.floor(n * (i + 1) / (d + 1)).cast("int")
         same = F.substring(F.col(a), lo + 1, hi - lo) == F.substring(F.col(b), lo + 1, hi - lo)
         first = first & ((F.col("_no") <= i) | ~same)
-    return pairs.where(first).select(a, b, hamming(F.col(a), F.col(b)).alias("dist")).where(F.col("dist").between(least, d))
+    if d == 0:
+        return pairs.select(a, b, F.lit(0).alias("dist")).where(F.lit(least <= 0))
+    each = F.arrays_zip(F.split(a, "").alias("x"), F.split(b, "").alias("y"))
+    differ = F.filter(F.transform(each, lambda p, i: F.when(p["x"] != p["y"], i)), lambda i: i.isNotNull())
+    pairs = pairs.where((n <= _short(d)) | first).withColumn("_d", differ).where((n > _short(d)) | (F.col("_no") == _own_mask(n, F.col("_d"), d)))
+    return pairs.select(a, b, F.size("_d").alias("dist")).where(F.col("dist").between(least, d))
 
 
 def nearest(queries: DataFrame, refs: DataFrame, d: int, *, a: str = "query", b: str = "ref", least: int = 0) -> DataFrame:
@@ -53,6 +81,43 @@ def counts_by_distance(pairs: DataFrame, key: str, most: int) -> DataFrame:
     return pairs.groupBy(key).agg(*(F.count_if(F.col("dist") == i).alias(f"n{i}") for i in range(most + 1)))
 
 
+#: Longest strings whose neighbours are counted by masks: longer ones have few, and more masks than pieces.
+COUNTED = 12
+
+
+def neighbour_counts(words: DataFrame, d: int, *, pep: str = "pep") -> DataFrame:
+    """pep, n1 … nd: of every distinct string the number of others at each number of substitutions up to d. No pair of short strings is made.
+
+    The strings that share the letters beside a mask of k places are those that differ at some of these places only. So the sum over
+    all masks of k places is S_k = sum over j up to k of n_j C(L - j, k - j), from which n_1, n_2, … follow in turn. Strings of
+    more than COUNTED letters are paired, as those that share a piece are few.
+    """
+    each = words.select(pep).where(F.col(pep).isNotNull()).distinct()
+    n = F.length(pep)
+    keys = None
+    for size in range(1, COUNTED + 1):
+        masks = [set(m) for k in range(1, min(d, size) + 1) for m in combinations(range(size), k)]
+        one = F.array(*(F.struct(F.lit(len(m)).alias("k"), F.lit(sum(1 << i for i in m)).alias("no"), F.concat(F.lit(""), *(F.substring(pep, i + 1, 1) for i in range(size) if i not in m)).alias("key")) for m in masks))
+        keys = F.when(n == size, one) if keys is None else keys.when(n == size, one)
+    rows = each.where(n.between(1, COUNTED)).select(pep, n.alias("_n"), F.explode(keys).alias("_k")).select(pep, "_n", "_k.*")
+    sizes = rows.groupBy("_n", "k", "no", "key").agg((F.count("*") - 1).alias("_c")).where("_c > 0")
+    sums = rows.join(sizes, ["_n", "k", "no", "key"]).groupBy(pep).agg(*(F.sum(F.when(F.col("k") == k, F.col("_c"))).alias(f"_s{k}") for k in range(1, d + 1)))
+    found = each.where(n <= COUNTED).join(sums, pep, "left")
+    for k in range(1, d + 1):
+        less = F.lit(0)
+        for j in range(1, k):
+            choose = F.lit(1)
+            for i in range(k - j):
+                choose = choose * (n - j - i) / (i + 1)
+            less = less + F.col(f"n{j}") * F.greatest(F.round(choose), F.lit(0)).cast("bigint")
+        found = found.withColumn(f"n{k}", F.coalesce(f"_s{k}", F.lit(0)) - F.when(n >= k, less).otherwise(F.lit(0)))
+    short = found.select(pep, *(F.col(f"n{k}").cast("bigint").alias(f"n{k}") for k in range(1, d + 1)))
+    long = each.where(n > COUNTED)
+    pairs = hamming_join(long.select(F.col(pep).alias("query")), long.select(F.col(pep).alias("ref")), d, least=1)
+    rest = long.join(counts_by_distance(pairs, "query", d).withColumnRenamed("query", pep), pep, "left")
+    return short.unionByName(rest.select(pep, *(F.coalesce(f"n{k}", F.lit(0)).cast("bigint").alias(f"n{k}") for k in range(1, d + 1))))
+
+
 def mimics(binders: DataFrame, refs: DataFrame, d: int, *, pep: str = "pep") -> DataFrame:
     """pep, category, n_exact, n_near, top_mimic, top_subs: of refs (category, pep) the equal ones and those within 1 to d substitutions."""
     r = refs.select("category", F.col(pep).alias("ref")).distinct()

@@ -10,29 +10,27 @@ from seqloom.functions import sequences as S
 from seqloom.operators import counts, density, neighbours, ranking, restriction
 
 R = S.RESIDUES
-LEAST, MOST = 9, 25
+#: Least lengths of words that an operator can say something of: a window of five letters, of three in a face, an eighth letter, a class I peptide.
+WINDOW, FACE, EIGHTH, CLASS_I = 5, 6, 8, 8
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _words(spark: SparkSession, sf_dir: str, table: str = "documents", least: int = LEAST, *columns: str) -> DataFrame:
-    """Distinct words of `least` to MOST letters, in upper case, of all texts of a table."""
+def _words(spark: SparkSession, sf_dir: str, table: str = "documents", least: int = 1, *columns: str) -> DataFrame:
+    """Distinct words of `least` letters and more, in upper case, of all texts of a table."""
     w = _read(spark, sf_dir, table).select(*columns, F.explode(F.split("text", "[^A-Za-z]+")).alias("w"))
-    return w.select(*columns, F.upper("w").alias("pep")).where(F.length("pep").between(least, MOST)).distinct()
+    return w.select(*columns, F.upper("w").alias("pep")).where(F.length("pep") >= least).distinct()
 
 
-def _w(table: str = "documents", least: int = LEAST, columns: str = "") -> str:
-    return f"(SELECT DISTINCT {columns} upper(w) AS pep FROM (SELECT {columns} unnest(string_split_regex(text, '[^A-Za-z]+')) AS w FROM {table}) WHERE length(w) BETWEEN {least} AND {MOST})"
+def _w(table: str = "documents", least: int = 1, columns: str = "") -> str:
+    return f"(SELECT DISTINCT {columns} upper(w) AS pep FROM (SELECT {columns} unnest(string_split_regex(text, '[^A-Za-z]+')) AS w FROM {table}) WHERE length(w) >= {least})"
 
 
 def word_neighbours(spark, sf_dir):
     """Every word with the number of others at one and at two substitutions."""
-    p = _words(spark, sf_dir)
-    pairs = neighbours.hamming_join(p.select(F.col("pep").alias("query")), p.select(F.col("pep").alias("ref")), 2, least=1)
-    n = neighbours.counts_by_distance(pairs, "query", 2)
-    return p.join(n, F.col("pep") == F.col("query"), "left").select("pep", *(F.coalesce(f"n{d}", F.lit(0)).cast("bigint").alias(f"n{d}") for d in (1, 2)))
+    return neighbours.neighbour_counts(_words(spark, sf_dir), 2)
 
 
 _HAM = f"""WITH p AS {_w()}, h AS (SELECT a.pep, hamming(a.pep, b.pep) AS d FROM p a JOIN p b ON length(a.pep) = length(b.pep))
@@ -41,11 +39,11 @@ SELECT pep, count(*) FILTER (d = 1) AS n1, count(*) FILTER (d = 2) AS n2 FROM h
 
 def nearest_word(spark, sf_dir):
     """Every word of the benchmark and its nearest word of the documents within two substitutions, itself included."""
-    q, r = _words(spark, sf_dir, "benchmark", 6).select(F.col("pep").alias("query")), _words(spark, sf_dir, "documents", 6).select(F.col("pep").alias("ref"))
+    q, r = _words(spark, sf_dir, "benchmark", 1).select(F.col("pep").alias("query")), _words(spark, sf_dir, "documents", 1).select(F.col("pep").alias("ref"))
     return neighbours.nearest(q, r, 2).select("query", F.col("dist").cast("bigint").alias("dist"), "nearest", F.col("n_within").cast("bigint").alias("n_within"))
 
 
-_NEAR = f"""WITH q AS {_w("benchmark", 6)}, r AS {_w("documents", 6)},
+_NEAR = f"""WITH q AS {_w("benchmark", 1)}, r AS {_w("documents", 1)},
 h AS (SELECT q.pep AS query, r.pep AS ref, hamming(q.pep, r.pep) AS d FROM q JOIN r ON length(q.pep) = length(r.pep)),
 b AS (SELECT query, min(d) AS d, arg_min(ref, (d, ref)) AS nearest, count(*) AS n FROM h WHERE d <= 2 GROUP BY query)
 SELECT q.pep AS query, CAST(coalesce(d, 3) AS BIGINT) AS dist, nearest, coalesce(n, 0) AS n_within FROM q LEFT JOIN b ON q.pep = b.query"""
@@ -53,21 +51,21 @@ SELECT q.pep AS query, CAST(coalesce(d, 3) AS BIGINT) AS dist, nearest, coalesce
 
 def word_search(spark, sf_dir):
     """Pairs of different words that share at least five distinct runs of five letters."""
-    p = _words(spark, sf_dir)
+    p = _words(spark, sf_dir, "documents", WINDOW)
     return neighbours.shared_kmers(p.select(F.col("pep").alias("query")), p.select(F.col("pep").alias("ref")), 5, 5).where("query <> ref")
 
 
-_SEARCH = f"""WITH p AS {_w()}, w AS (SELECT DISTINCT pep, substr(pep, CAST(o AS INT) + 1, 5) AS w FROM (SELECT pep, unnest(range(0, length(pep) - 4)) AS o FROM p))
+_SEARCH = f"""WITH p AS {_w("documents", WINDOW)}, w AS (SELECT DISTINCT pep, substr(pep, CAST(o AS INT) + 1, 5) AS w FROM (SELECT pep, unnest(range(0, length(pep) - 4)) AS o FROM p))
 SELECT a.pep AS query, b.pep AS ref, count(*) AS shared FROM w a JOIN w b USING (w) WHERE a.pep <> b.pep GROUP BY ALL HAVING count(*) >= 5"""
 
 
 def word_density(spark, sf_dir):
     """Mean count of the face 3-mers of every word of standard residues, by the total of them all."""
-    p = _words(spark, sf_dir, "documents", 8).where(S.is_standard("pep"))
+    p = _words(spark, sf_dir, "documents", FACE).where(S.is_standard("pep"))
     return density.density(p, density.code_counts(p, "pep", 3), "pep", 3).select("pep", F.round("density", 12).alias("density"))
 
 
-_DENS = f"""WITH p AS (SELECT pep FROM {_w("documents", 8)} WHERE regexp_full_match(pep, '[{R}]+')), f AS (SELECT pep, substr(pep, 3, length(pep) - 3) AS face FROM p),
+_DENS = f"""WITH p AS (SELECT pep FROM {_w("documents", FACE)} WHERE regexp_full_match(pep, '[{R}]+')), f AS (SELECT pep, substr(pep, 3, length(pep) - 3) AS face FROM p),
 w AS (SELECT pep, substr(face, CAST(o AS INT) + 1, 3) AS w FROM (SELECT *, unnest(range(0, length(face) - 2)) AS o FROM f)),
 c AS (SELECT w, count(*) AS n FROM w GROUP BY w), t AS (SELECT sum(n) AS t FROM c)
 SELECT pep, round(CAST(sum(n) AS DOUBLE) / (count(*) * max(t)), 12) AS density FROM w JOIN c USING (w), t GROUP BY pep"""
@@ -75,7 +73,7 @@ SELECT pep, round(CAST(sum(n) AS DOUBLE) / (count(*) * max(t)), 12) AS density F
 
 def word_flanks(spark, sf_dir):
     """Words that share their third to eighth letter: identity of the two letters on either side."""
-    p = _words(spark, sf_dir).withColumn("m", F.substring("pep", 3, 6))
+    p = _words(spark, sf_dir, "documents", EIGHTH).withColumn("m", F.substring("pep", 3, 6))
     j = p.join(p.select(F.col("pep").alias("pep2"), "m"), "m").where(F.col("pep") < F.col("pep2"))
     return j.select("pep", "pep2", F.round(S.flank_identity(F.col("pep"), F.lit(2), F.col("pep2"), F.lit(2), F.lit(6), 2), 6).alias("identity"))
 
@@ -84,17 +82,17 @@ def _flank() -> str:
     places = (1, 2, 9, 10)
     seen = " + ".join(f"(CASE WHEN {i} <= length(a.pep) AND {i} <= length(b.pep) THEN 1 ELSE 0 END)" for i in places)
     same = " + ".join(f"(CASE WHEN {i} <= length(a.pep) AND {i} <= length(b.pep) AND substr(a.pep, {i}, 1) = substr(b.pep, {i}, 1) THEN 1 ELSE 0 END)" for i in places)
-    return f"WITH p AS {_w()} SELECT a.pep, b.pep AS pep2, round(CAST({same} AS DOUBLE) / ({seen}), 6) AS identity FROM p a JOIN p b ON substr(a.pep, 3, 6) = substr(b.pep, 3, 6) AND a.pep < b.pep"
+    return f"WITH p AS {_w('documents', EIGHTH)} SELECT a.pep, b.pep AS pep2, round(CAST({same} AS DOUBLE) / ({seen}), 6) AS identity FROM p a JOIN p b ON substr(a.pep, 3, 6) = substr(b.pep, 3, 6) AND a.pep < b.pep"
 
 
 def word_mimics(spark, sf_dir):
     """Words of the benchmark against the documents' words of each language: equal ones, near ones, the nearest."""
-    refs = _words(spark, sf_dir, "documents", 6, "lang").withColumnRenamed("lang", "category")
-    m = neighbours.mimics(_words(spark, sf_dir, "benchmark", 6), refs, 2)
+    refs = _words(spark, sf_dir, "documents", 1, "lang").withColumnRenamed("lang", "category")
+    m = neighbours.mimics(_words(spark, sf_dir, "benchmark", 1), refs, 2)
     return m.select("pep", "category", "n_exact", "n_near", "top_mimic", F.coalesce("top_subs", F.lit(0)).cast("bigint").alias("top_subs"))
 
 
-_MIMICS = f"""WITH q AS {_w("benchmark", 6)}, r AS {_w("documents", 6, "lang,")},
+_MIMICS = f"""WITH q AS {_w("benchmark", 1)}, r AS {_w("documents", 1, "lang,")},
 h AS (SELECT q.pep, lang AS category, r.pep AS ref, hamming(q.pep, r.pep) AS d FROM q JOIN r ON length(q.pep) = length(r.pep))
 SELECT pep, category, count(*) FILTER (d = 0) AS n_exact, count(*) FILTER (d > 0) AS n_near, arg_min(ref, (d, ref)) FILTER (d > 0) AS top_mimic, CAST(coalesce(min(d) FILTER (d > 0), 0) AS BIGINT) AS top_subs
 FROM h WHERE d <= 2 GROUP BY ALL"""
@@ -102,10 +100,10 @@ FROM h WHERE d <= 2 GROUP BY ALL"""
 
 def word_origin(spark, sf_dir):
     """Of every benchmark word the first word of the documents, by place and residue, of which it differs in one letter; none for a word that the documents have."""
-    return neighbours.wild_type(_words(spark, sf_dir, "benchmark", 6), _words(spark, sf_dir, "documents", 6).withColumnRenamed("pep", "kmer"))
+    return neighbours.wild_type(_words(spark, sf_dir, "benchmark", 1), _words(spark, sf_dir, "documents", 1).withColumnRenamed("pep", "kmer"))
 
 
-_ORIGIN = f"""WITH q AS {_w("benchmark", 6)}, r AS {_w("documents", 6)},
+_ORIGIN = f"""WITH q AS {_w("benchmark", 1)}, r AS {_w("documents", 1)},
 h AS (SELECT q.pep, r.pep AS ref, list_filter(range(1, length(q.pep) + 1), lambda i: substr(q.pep, CAST(i AS INT), 1) <> substr(r.pep, CAST(i AS INT), 1))[1] AS pos FROM q JOIN r ON length(q.pep) = length(r.pep) AND hamming(q.pep, r.pep) = 1),
 b AS (SELECT pep, arg_min(ref, (pos, substr(ref, CAST(pos AS INT), 1))) AS wild FROM h WHERE contains('{R}', substr(ref, CAST(pos AS INT), 1)) GROUP BY pep)
 SELECT q.pep, CASE WHEN q.pep IN (SELECT pep FROM r) THEN NULL ELSE wild END AS wild FROM q LEFT JOIN b USING (pep)"""
@@ -182,7 +180,7 @@ def _place(column: str, at: int):
 def ranked_windows(spark, sf_dir):
     """Windows of the benchmark passages over three stand-in alleles: the best one by percent rank against the documents' words, within 10, in the scored table."""
     b = _read(spark, sf_dir, "benchmark").select(F.concat(F.lit("Somatic:chr1:"), F.col("item_id").cast("string")).alias("header"), S.letters("text").alias("seq"))
-    background = _scored(_words(spark, sf_dir).where(S.is_standard("pep")), "pep").select("allele", "score")
+    background = _scored(_words(spark, sf_dir, "documents", CLASS_I).where(S.is_standard("pep")), "pep").select("allele", "score")
     scores = _scored(restriction.windows_of(b, "mhc1"), "peptide")
     found = restriction.predict_windows(b, scores, background, "mhc1", threshold=10.0)
     table = restriction.scored_table(found, "mhc1")
@@ -195,7 +193,7 @@ def _ranked() -> str:
     tiles = " UNION ALL ".join(f"SELECT item_id, substr(seq, CAST(o AS INT) + 1, {k}) AS pep FROM (SELECT item_id, seq, unnest(range(0, length(seq) - {k - 1})) AS o FROM b WHERE length(seq) >= {k})" for k in restriction.WINDOW_LENGTHS["mhc1"])
     return f"""WITH b AS (SELECT item_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq FROM benchmark),
 w AS (SELECT * FROM ({tiles}) WHERE regexp_full_match(pep, '[{R}]+')), al AS (SELECT unnest([{names}]) AS a),
-g AS (SELECT a, {score("pep")} AS s FROM {_w()}, al WHERE regexp_full_match(pep, '[{R}]+')),
+g AS (SELECT a, {score("pep")} AS s FROM {_w("documents", CLASS_I)}, al WHERE regexp_full_match(pep, '[{R}]+')),
 q AS (SELECT DISTINCT pep, a, {score("pep")} AS s FROM w, al),
 c AS (SELECT a, s, count(*) AS n FROM g GROUP BY ALL), t AS (SELECT a, sum(n) AS t FROM c GROUP BY a),
 r AS (SELECT q.pep, q.a, 100.0 * coalesce(sum(c.n), 0) / max(t.t) AS p FROM q JOIN t ON q.a = t.a LEFT JOIN c ON c.a = q.a AND c.s > q.s GROUP BY q.pep, q.a),

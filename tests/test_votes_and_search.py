@@ -125,3 +125,22 @@ def test_novel_registers(spark):
                 new = i + n > m and (i <= m or (kind or "").strip().lower() in ("frameshift", "fusion"))
                 want[u, p[i : i + n]] = want.get((u, p[i : i + n]), False) or new
     assert got == want
+
+
+def test_short_and_long_strings_meet_once(spark):
+    rng = random.Random(12)
+    words = sorted({"".join(rng.choice("ABC") for _ in range(rng.choice([0, 1, 2, 3, 4, 6, 8, 9, 12]))) for _ in range(160)})
+    left, right = spark.createDataFrame([(w,) for w in words[::2]], "query string"), spark.createDataFrame([(w,) for w in words] * 2 + [(None,)], "ref string")
+    for d in range(4):
+        for least in (0, 1):
+            got = sorted((r["query"], r.ref, r.dist) for r in neighbours.hamming_join(left, right, d, least=least).collect())
+            assert got == sorted((x, y, hamming(x, y)) for x in words[::2] for y in words if least <= hamming(x, y) <= d)
+
+
+def test_neighbours_are_counted_without_pairs(spark):
+    rng = random.Random(13)
+    words = sorted({"".join(rng.choice("ABC") for _ in range(rng.choice([0, 1, 2, 3, 5, 12, 13, 14]))) for _ in range(250)} | {"ABCABCABCABCA", "ABCABCABCABCB", "BBCABCABCABCB"})
+    df = spark.createDataFrame([(w,) for w in words + words[:9]] + [(None,)], "pep string")
+    for d in (1, 2, 3):
+        got = {r.pep: [r[f"n{k}"] for k in range(1, d + 1)] for r in neighbours.neighbour_counts(df, d).collect()}
+        assert got == {x: [sum(hamming(x, y) == k for y in words) for k in range(1, d + 1)] for x in words}
