@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.operators import cassette, counts, neighbours, tiling
+from seqloom.functions import scoring
+from seqloom.operators import candidates, cassette, counts, neighbours, ranking, tiling
 
 #: Windows of fuzzy search, substitutions in each, and best references of a word that are reported.
 K, SUBS, PLACES = 5, 1, 10
@@ -111,5 +112,44 @@ h AS (SELECT DISTINCT r FROM ({docs}) WHERE r IN (SELECT r FROM g WHERE novel))
 SELECT unit, count(*) AS n, count(*) FILTER (novel) AS n_novel, count(*) FILTER (novel AND r IN (SELECT r FROM h)) AS n_held FROM g GROUP BY unit"""
 
 
-QUERIES = {f.__name__: f for f in (word_votes, fuzzy_words, groove_weights, register_novelty)}
-ORACLE_SQL = {"word_votes": _votes(), "fuzzy_words": _FUZZY, "groove_weights": _WEIGHTS, "register_novelty": _novelty()}
+#: A model of candidates: feature, coefficient, mean and deviation, by a rule.
+FEATURES = ("pres", "occupancy", "d_occupancy", "wt_absent", "expr", "expr_missing", *candidates.CHANNELS)
+MODEL = tuple({"feature": f, "coef": (i % 4 - 1.5) / 2, "mu": i / 8, "sigma": 1 + i / 4} for i, f in enumerate(FEATURES))
+CHANNEL_LANGS = dict(zip(candidates.CHANNELS, ("en", "de", "fr"), strict=True))
+
+
+def ranked_candidates(spark, sf_dir):
+    """Words of the benchmark as candidates of their item, scored over affinities by a rule and how large a part of the words of three languages each is, with dense ranks; words of the fourth language are known."""
+    words = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", F.explode(F.split("text", "[^A-Za-z]+")).alias("w")).where(F.length("w") > 0)
+    counted = words.groupBy("lang", F.upper("w").alias("peptide")).agg(F.count("*").alias("n"))
+    totals = counted.groupBy("lang").agg(F.sum("n").alias("t"))
+    shares = counted.join(totals, "lang").select("lang", "peptide", (1000.0 * F.col("n") / F.col("t")).alias("value"))
+    channels = {c: shares.where(F.col("lang") == lang).select("peptide", "value") for c, lang in CHANNEL_LANGS.items()}
+    known = shares.where(F.col("lang") == "es").select("peptide", F.lit("es").alias("set"), F.lit(1).alias("priority"))
+    own = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").cast("string").alias("gene"), F.explode(F.split("text", "[^A-Za-z]+")).alias("w")).where(F.length("w") > 0)
+    n = F.length("peptide")
+    rows = own.groupBy("gene", F.upper("w").alias("peptide")).agg(F.count("*").alias("times"))
+    rows = rows.select("peptide", F.lit("A").alias("allele"), "gene", (n * 7 % 50 + 0.5).alias("presentation_rank"), F.lit(None).cast("double").alias("binder_rank"), (n * 25.0).alias("affinity_nm"), F.when(n % 3 > 0, n * 40.0).alias("wt_affinity_nm"), F.when(F.col("times") > 1, F.col("times") * 1.5).alias("tpm"))
+    filled = candidates.fill_channels(candidates.features(rows), channels)
+    scored = scoring.linear(filled, MODEL).withColumn("score", F.round("score", 6))
+    named = ranking.known_set(scored, known, "peptide").withColumn("listing", F.col("known").isNull().cast("int"))
+    return ranking.dense_tiers(named, "score", "listing").select("gene", "peptide", "score", "imputed", F.col("rank").cast("bigint").alias("rank"), F.col("listing").cast("bigint").alias("listing"))
+
+
+def _candidates() -> str:
+    o = lambda nm: f"((10.0::DOUBLE / ({nm})) / (1 + 10.0::DOUBLE / ({nm})))"
+    value = {"pres": "-log10(greatest(n * 7 % 50 + 0.5, 0.0001))", "occupancy": o("n * 25.0"), "d_occupancy": f"{o('n * 25.0')} - CASE WHEN n % 3 > 0 THEN {o('n * 40.0')} ELSE 0 END", "wt_absent": "CASE WHEN n % 3 > 0 THEN 0 ELSE 1 END", "expr": "CASE WHEN times > 1 THEN ln(1 + times * 1.5) END", "expr_missing": "CASE WHEN times > 1 THEN 0 ELSE 1 END"}
+    value |= {c: f"(SELECT v FROM s WHERE s.lang = '{lang}' AND s.p = b.p)" for c, lang in CHANNEL_LANGS.items()}
+    cols = ", ".join(f"({v})::DOUBLE AS {f}" for f, v in value.items())
+    total = " + ".join(f"coalesce(({m['feature']} - {m['mu']}::DOUBLE) / {m['sigma']}::DOUBLE, 0) * {m['coef']}::DOUBLE" for m in MODEL)
+    names = ", ".join(f"CASE WHEN {f} IS NULL THEN '{f}' END" for f in FEATURES)
+    return f"""WITH w AS (SELECT lang, upper(w) AS p, count(*) AS n FROM (SELECT lang, unnest(string_split_regex(text, '[^A-Za-z]+')) AS w FROM documents) WHERE length(w) > 0 GROUP BY ALL),
+s AS (SELECT lang, p, 1000.0::DOUBLE * n / sum(n) OVER (PARTITION BY lang) AS v FROM w),
+b AS (SELECT gene, upper(w) AS p, length(upper(w)) AS n, count(*) AS times FROM (SELECT item_id::VARCHAR AS gene, unnest(string_split_regex(text, '[^A-Za-z]+')) AS w FROM benchmark) WHERE length(w) > 0 GROUP BY gene, upper(w)),
+f AS (SELECT gene, p, {cols} FROM b),
+z AS (SELECT gene, p, round({total}, 6) AS score, concat_ws(';', {names}) AS imputed FROM f)
+SELECT gene, p AS peptide, score, imputed, dense_rank() OVER (ORDER BY score DESC) AS rank, CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.lang = 'es' AND s.p = z.p) THEN 0::BIGINT ELSE 1 END AS listing FROM z"""
+
+
+QUERIES = {f.__name__: f for f in (word_votes, fuzzy_words, groove_weights, register_novelty, ranked_candidates)}
+ORACLE_SQL = {"word_votes": _votes(), "fuzzy_words": _FUZZY, "groove_weights": _WEIGHTS, "register_novelty": _novelty(), "ranked_candidates": _candidates()}
