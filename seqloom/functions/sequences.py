@@ -113,6 +113,34 @@ def face_codes(seq: str | Column, k: int) -> Column:
     return F.filter(runs, lambda c: c >= 0)
 
 
+def face_anchors(seq: str | Column, cls: str = "mhc1", register: Column | None = None) -> Column:
+    """Zero-based places that face the groove: the first three and last two for class I, pockets 1, 4, 6 and 9 of the core for class II, as far as they are in the string; none where a class II string has no core."""
+    s = _c(seq)
+    n = F.length(s)
+    if cls == "mhc1":
+        return F.when(n > 0, F.array_sort(F.array_distinct(F.array(*(F.pmod(F.lit(i), n) for i in range(3)), *(F.pmod(n - i, n) for i in (2, 1)))))).otherwise(F.array().cast("array<int>"))
+    start = best_register(s) if register is None else register
+    inside = F.filter(F.transform(F.array(*map(F.lit, (0, 3, 5, 8))), lambda i: i + start), lambda i: (i >= 0) & (i < n))
+    return F.when(start.isNotNull(), inside).otherwise(F.array().cast("array<int>"))
+
+
+def face_kmers(seq: str | Column, k: int, cls: str = "mhc1", *, register: Column | None = None, wildcard: bool = False) -> Column:
+    """Codes of all runs of k residues of the face; none for a string with other letters.
+
+    The face is what is left without the anchors, in base 20; with wildcard it is the whole string with its anchors replaced by a
+    sign of their own, in base 21, so that runs span pockets. Codes of the two are not to be compared.
+    """
+    s = _c(seq)
+    anchors = face_anchors(s, cls, register)
+    each = F.transform(F.split(s, ""), lambda ch: residue_code(ch).cast("bigint"))
+    base, sign = (21, 20) if wildcard else (20, -1)
+    marked = F.transform(each, lambda d, i: F.when(F.array_contains(anchors, i), F.lit(sign).cast("bigint")).otherwise(d))
+    face = marked if wildcard else F.filter(marked, lambda d: d >= 0)
+    code = lambda w: F.aggregate(w, F.lit(0).cast("bigint"), lambda acc, d: acc * base + d)
+    runs = F.transform(F.array(face), lambda f: F.when(F.size(f) >= k, F.transform(F.sequence(F.lit(1), F.size(f) - (k - 1)), lambda i: code(F.slice(f, i, k)))).otherwise(F.array().cast("array<bigint>")))[0]
+    return F.when(is_standard(s), runs).otherwise(F.array().cast("array<bigint>"))
+
+
 def strip_marker(seq: str | Column) -> Column:
     return F.regexp_replace(_c(seq), "[()]", "")
 

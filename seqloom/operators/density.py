@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,10 +11,10 @@ from pyspark.sql import functions as F
 from seqloom.functions.sequences import RESIDUES, face_codes
 
 
-def code_counts(df: DataFrame, pep: str, k: int, *, weight: str | None = None) -> DataFrame:
-    """code, cnt: summed weights of the packed face k-mers of all rows."""
+def code_counts(df: DataFrame, pep: str, k: int, *, weight: str | None = None, face: Callable[[str, int], Column] = face_codes) -> DataFrame:
+    """code, cnt: summed weights of the packed face k-mers of all rows; face: how a string's are cut, such as face_kmers of a class or mask."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    return df.select(F.explode(face_codes(pep, k)).alias("code"), w.alias("_w")).groupBy("code").agg(F.sum("_w").alias("cnt"))
+    return df.select(F.explode(face(pep, k)).alias("code"), w.alias("_w")).groupBy("code").agg(F.sum("_w").alias("cnt"))
 
 
 def contract(counts: DataFrame, kernel: DataFrame, k: int) -> DataFrame:
@@ -27,10 +28,10 @@ def contract(counts: DataFrame, kernel: DataFrame, k: int) -> DataFrame:
     return table
 
 
-def density(queries: DataFrame, counts: DataFrame, pep: str, k: int) -> DataFrame:
-    """pep, density: mean count of its face k-mers by the total; null for a string without any."""
+def density(queries: DataFrame, counts: DataFrame, pep: str, k: int, *, face: Callable[[str, int], Column] = face_codes) -> DataFrame:
+    """pep, density: mean count of its face k-mers, cut as those of the counts, by the total; null for a string without any."""
     total = counts.agg(F.sum("cnt").alias("_n"))
-    each = queries.select(pep).distinct().select(pep, F.explode_outer(face_codes(pep, k)).alias("code"))
+    each = queries.select(pep).distinct().select(pep, F.explode_outer(face(pep, k)).alias("code"))
     found = each.join(counts, "code", "left").groupBy(pep).agg(F.sum(F.coalesce("cnt", F.lit(0.0))).alias("_s"), F.count("code").alias("_c"))
     return found.join(F.broadcast(total)).select(pep, F.when(F.col("_c") > 0, F.col("_s") / (F.col("_c") * F.col("_n"))).alias("density"))  # one row
 

@@ -118,10 +118,13 @@ def neighbour_counts(words: DataFrame, d: int, *, pep: str = "pep") -> DataFrame
     return short.unionByName(rest.select(pep, *(F.coalesce(f"n{k}", F.lit(0)).cast("bigint").alias(f"n{k}") for k in range(1, d + 1))))
 
 
-def mimics(binders: DataFrame, refs: DataFrame, d: int, *, pep: str = "pep") -> DataFrame:
-    """pep, category, n_exact, n_near, top_mimic, top_subs: of refs (category, pep) the equal ones and those within 1 to d substitutions."""
+def mimics(binders: DataFrame, refs: DataFrame, d: int, *, pep: str = "pep", exclude_query: bool = False) -> DataFrame:
+    """pep, category, n_exact, n_near, top_mimic, top_subs: of refs (category, pep) the equal ones and those within 1 to d substitutions.
+
+    With exclude_query a string is no mimic of its own: n_exact is 0, and a category that has only the string itself gives no row.
+    """
     r = refs.select("category", F.col(pep).alias("ref")).distinct()
-    near = hamming_join(binders.select(F.col(pep).alias("query")), r, d).join(r, "ref")
+    near = hamming_join(binders.select(F.col(pep).alias("query")), r, d, least=int(exclude_query)).join(r, "ref")
     best = F.min(F.when(F.col("dist") > 0, F.struct("dist", "ref")))
     found = near.groupBy(F.col("query").alias(pep), "category").agg(F.count_if(F.col("dist") == 0).alias("n_exact"), F.count_if(F.col("dist") > 0).alias("n_near"), best.alias("_m"))
     return found.select(pep, "category", "n_exact", "n_near", F.col("_m.ref").alias("top_mimic"), F.col("_m.dist").alias("top_subs"))

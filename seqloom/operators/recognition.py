@@ -52,20 +52,31 @@ def weighted_aggregate(values: Column, weights: Column, threshold: float) -> Col
     return F.struct(total.alias("sum"), (total / F.nullif(weight, F.lit(0.0))).alias("mean"), F.array_min(v).alias("low"), F.array_max(v).alias("high"), runs["most"].alias("run_max"), runs["n"].alias("run_n"), (runs["at"] / F.nullif(F.size(used), F.lit(0))).alias("run_frac"))
 
 
-def contact_weights(pep: Column, profile: Mapping[int, Sequence[float]]) -> Column:
-    """Weights of the places of a string: of its length, below 1 / (2 L) as 0, scaled to a mean of 1; an unknown length takes the nearest known one, stretched."""
-    out = None
+def contact_weights(pep: Column, profile: Mapping[int, Sequence[float]], pooled: Sequence[float]) -> Column:
+    """Weights of the places of a string: the shares of its length, those below 1 / (2 L) as 0, the others scaled to a mean of 1; all 1 where none is left.
+
+    A length that the profile lacks takes the pooled shape by relative places, interpolated between its points and made shares.
+    """
+    n, points = F.length(pep), F.array(*(F.lit(float(w)) for w in pooled))
+    last = len(pooled) - 1
+
+    def between(i: Column) -> Column:
+        x = (i + 0.5) / n * len(pooled) - 0.5
+        low = F.greatest(F.lit(0), F.least(F.lit(last), F.floor(x).cast("int")))
+        return F.get(points, low) * (1 - (x - low)) + F.get(points, F.least(F.lit(last), low + 1)) * (x - low)
+
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    shape = F.transform(F.sequence(F.lit(0), n - 1), between)
+    shares = F.transform(F.array(shape), lambda s: F.transform(s, lambda x: x / F.when(total(s) == 0, 1.0).otherwise(total(s))))[0]
     for length, raw in sorted(profile.items()):
-        kept = [w if w >= 1 / (2 * length) else 0.0 for w in raw]
-        mean = sum(kept) / length or 1.0
-        exact = F.array(*(F.lit(w / mean) for w in kept))
-        out = F.when(F.length(pep) == length, exact) if out is None else out.when(F.length(pep) == length, exact)
-    known = sorted(profile)
-    near = known[len(known) // 2]
-    kept = [w if w >= 1 / (2 * near) else 0.0 for w in profile[near]]
-    base = F.array(*(F.lit(w * near / (sum(kept) or 1.0)) for w in kept))
-    stretched = F.transform(F.sequence(F.lit(0), F.length(pep) - 1), lambda i: F.get(base, F.floor(i * near / F.length(pep)).cast("int")))
-    return out.otherwise(stretched)
+        shares = F.when(n == length, F.array(*(F.lit(float(w)) for w in raw))).otherwise(shares)
+    kept = F.transform(shares, lambda w: F.when(w >= 1 / (2 * n), w).otherwise(0.0))
+
+    def scaled(k: Column) -> Column:
+        left = F.filter(k, lambda w: w > 0)
+        return F.when(F.size(left) == 0, F.transform(k, lambda w: F.lit(1.0))).otherwise(F.transform(k, lambda w: w / (total(left) / F.size(left))))
+
+    return F.when(n > 0, F.transform(F.array(kept), scaled)[0]).otherwise(F.array().cast("array<double>"))
 
 
 def context_score(df: DataFrame, table: DataFrame, pep: str, before: str, after: str, flank: int = 3) -> DataFrame:
@@ -74,7 +85,7 @@ def context_score(df: DataFrame, table: DataFrame, pep: str, before: str, after:
     places = [(f"B-{i}", F.substring(b, -i, 1)) for i in range(1, flank + 1)] + [(f"A+{i}", F.substring(a, i, 1)) for i in range(1, flank + 1)]
     places += [(f"N{i}", F.substring(p, i, 1)) for i in range(1, flank + 1)] + [(f"C{i}", F.substring(p, -i, 1)) for i in range(1, flank + 1)]
     rows = df.select(pep, before, after).distinct().withColumn("_p", F.explode(F.array(*(F.struct(F.lit(n).alias("place"), r.alias("residue")) for n, r in places))))
-    score = rows.select(pep, before, after, "_p.*").join(F.broadcast(table), ["place", "residue"], "left").groupBy(pep, before, after).agg(F.sum(F.coalesce("value", F.lit(0.0))).alias("context"))  # 12 places of 20 residues
+    score = rows.select(pep, before, after, "_p.*").join(table, ["place", "residue"], "left").groupBy(pep, before, after).agg(F.sum(F.coalesce("value", F.lit(0.0))).alias("context"))
     return df.join(score, [pep, before, after], "left")
 
 

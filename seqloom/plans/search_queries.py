@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions import scoring
-from seqloom.operators import candidates, cassette, counts, neighbours, ranking, tiling
+from seqloom.functions import sequences as S
+from seqloom.operators import candidates, cassette, counts, density, neighbours, ranking, tiling
 
 #: Windows of fuzzy search, substitutions in each, and best references of a word that are reported.
 K, SUBS, PLACES = 5, 1, 10
@@ -151,5 +154,33 @@ z AS (SELECT gene, p, round({total}, 6) AS score, concat_ws(';', {names}) AS imp
 SELECT gene, p AS peptide, score, imputed, dense_rank() OVER (ORDER BY score DESC) AS rank, CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.lang = 'es' AND s.p = z.p) THEN 0::BIGINT ELSE 1 END AS listing FROM z"""
 
 
-QUERIES = {f.__name__: f for f in (word_votes, fuzzy_words, groove_weights, register_novelty, ranked_candidates)}
-ORACLE_SQL = {"word_votes": _votes(), "fuzzy_words": _FUZZY, "groove_weights": _WEIGHTS, "register_novelty": _novelty(), "ranked_candidates": _candidates()}
+def masked_density(spark, sf_dir):
+    """Mean count of the 4-mers of every word of standard residues, anchors of its class as wildcards, among those of all words; classes by length, the core of class II by its register."""
+    words = _words(spark, sf_dir, "documents").where(S.is_standard("pep"))
+    out = None
+    for cls, own in (("mhc1", F.length("pep") <= S.CLASS_I_MOST), ("mhc2", F.length("pep") > S.CLASS_I_MOST)):
+        face = partial(S.face_kmers, cls=cls, wildcard=True)
+        mine = words.where(own)
+        one = density.density(mine, density.code_counts(mine, "pep", 4, face=face), "pep", 4, face=face).select("pep", F.lit(cls).alias("cls"), F.round("density", 12).alias("density"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _masked() -> str:
+    letter = lambda j: f"substr(pep, s + {j}, 1)"
+    score = (
+        f"(CASE WHEN {letter(0)} IN ('F', 'Y', 'W') THEN 4 WHEN {letter(0)} IN ('I', 'L', 'V', 'M') THEN 3 ELSE 0 END + CASE WHEN {letter(3)} IN ('L', 'I', 'V', 'M', 'F', 'A', 'Q') THEN 1 ELSE 0 END"
+        f" + CASE WHEN {letter(5)} IN ('T', 'S', 'A', 'G', 'N', 'V') THEN 1 ELSE 0 END + CASE WHEN {letter(8)} IN ('L', 'I', 'V', 'A', 'K', 'Y', 'F') THEN 1 ELSE 0 END)"
+    )
+    return f"""WITH p AS (SELECT pep, length(pep) AS n FROM {_w("documents")} WHERE regexp_full_match(pep, '[{S.RESIDUES}]+')),
+r AS (SELECT pep, arg_max(s, (sc, -s)) AS s FROM (SELECT pep, s, {score} AS sc FROM (SELECT pep, unnest(range(1, n - 7)) AS s FROM p WHERE n > {S.CLASS_I_MOST})) GROUP BY pep),
+a AS (SELECT p.pep, n, CASE WHEN n <= {S.CLASS_I_MOST} THEN 'mhc1' ELSE 'mhc2' END AS cls, CASE WHEN n <= {S.CLASS_I_MOST} THEN [1, 2, 3, n - 1, n] ELSE [s, s + 3, s + 5, s + 8] END AS pl FROM p LEFT JOIN r USING (pep)),
+f AS (SELECT pep, cls, n, array_to_string(list_transform(string_split(pep, ''), lambda c, i: CASE WHEN list_contains(pl, i) THEN '*' ELSE c END), '') AS face FROM a),
+w AS (SELECT pep, cls, substr(face, o::INT, 4) AS w FROM (SELECT *, unnest(range(1, n - 2)) AS o FROM f WHERE n >= 4)),
+c AS (SELECT cls, w, count(*) AS m FROM w GROUP BY cls, w), t AS (SELECT cls, sum(m) AS t FROM c GROUP BY cls),
+d AS (SELECT pep, cls, sum(m)::DOUBLE / (count(*) * any_value(t)) AS d FROM w JOIN c USING (cls, w) JOIN t USING (cls) GROUP BY pep, cls)
+SELECT a.pep, a.cls, round(d, 12) AS density FROM a LEFT JOIN d USING (pep)"""
+
+
+QUERIES = {f.__name__: f for f in (word_votes, fuzzy_words, groove_weights, register_novelty, ranked_candidates, masked_density)}
+ORACLE_SQL = {"word_votes": _votes(), "fuzzy_words": _FUZZY, "groove_weights": _WEIGHTS, "register_novelty": _novelty(), "ranked_candidates": _candidates(), "masked_density": _masked()}

@@ -55,13 +55,13 @@ def panel(df: DataFrame, *, prior: Column | None = None, classes: Sequence[str]
     return out.where(F.col("cls").isin(*classes) & is_standard("epitope") & F.col("allele").isNotNull())
 
 
-def peptides(df: DataFrame, cls: str, species: str | None = None) -> DataFrame:
-    """peptide, source: rows of the class and species or without either, of a length of the class; the first source in order of each."""
+def peptides(df: DataFrame, cls: str, species: str | None = None, order: str | None = None) -> DataFrame:
+    """peptide, source: rows of the class and species or without either, of a length of the class; of each peptide the source of its first row by the column `order`, else the first source in order."""
     least, most = LENGTHS[cls]
     here = F.col("mhc_class").isNull() | (F.col("mhc_class") == cls)
     if species:
         here = here & (F.col("mhc_species").isNull() | (F.col("mhc_species") == species))
-    return df.where(here & F.length("peptide").between(least, most) & is_standard("peptide")).groupBy("peptide").agg(F.min("source_protein").alias("source"))
+    return df.where(here & F.length("peptide").between(least, most) & is_standard("peptide")).groupBy("peptide").agg((F.min("source_protein") if order is None else F.min(F.struct(order, "source_protein"))["source_protein"]).alias("source"))
 
 
 def expression(df: DataFrame) -> DataFrame:
