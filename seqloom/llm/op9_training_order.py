@@ -2,7 +2,8 @@
 
 Each document's token ids, and an end id, are cut into sequences of a fixed length. Sequences are numbered by task and place
 within it, and a keyed Feistel permutation of exactly as many numbers as there are sequences gives each its global slot:
-no slot is drawn twice, none is left out, and a key is all that has to be kept to find any of them again. Networks permute
+no slot is drawn twice and none is left out. A slot depends on the key and on how the input was split into tasks, so a run on
+other splits gives another order: what has to be kept is the shards themselves, each of which names its slots. Networks permute
 powers of four only, so a number that falls outside is permuted again until it falls inside (cycle-walking). Sequences
 are then dealt to partitions by ranges of slots, sorted, and written as shards: records of one stride, so that slot s is
 record s mod R of shard s div R, at byte (s mod R) * stride of its payload. A reader that stopped at any slot opens the file
