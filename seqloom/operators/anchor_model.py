@@ -178,9 +178,15 @@ def _null_odds(bg: Column | None, pep: Column, at: Column, eps: float) -> Column
 
 
 def terms_of(pairs: DataFrame, model: DataFrame, anchors: Sequence[int], *, pep: str = "pep", bg: DataFrame | None = None, eps: float = EPS) -> DataFrame:
-    """pairs (pep, allele) with terms (a log odds for each anchor that counts, null where the string does not fit) and the length's term."""
+    """pairs (pep, allele) with terms (a log odds for each anchor that counts, null where the string does not fit) and the length's term.
+
+    Without a column allele, every string is paired with the alleles that have a model of its length, by that same join.
+    """
     known = model.select(F.col("allele").alias("_a"), F.col("length").alias("_n"), "table", "term")
-    rows = pairs.join(known, (F.col("allele") == F.col("_a")) & (F.length(pep) == F.col("_n")), "left").drop("_a", "_n")
+    if "allele" in pairs.columns:
+        rows = pairs.join(known, (F.col("allele") == F.col("_a")) & (F.length(pep) == F.col("_n")), "left").drop("_a", "_n")
+    else:
+        rows = pairs.join(known, F.length(pep) == F.col("_n")).withColumnRenamed("_a", "allele").drop("_n")
     rows = rows if bg is None else rows.join(F.broadcast(bg))  # one row
     null = F.col("bg") if bg is not None else None
     p = F.col(pep)

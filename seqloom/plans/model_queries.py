@@ -47,8 +47,7 @@ def anchor_scores(spark, sf_dir):
     panel, counts, kernel, shares = _fitted(spark, sf_dir)
     model = M.models(shares, counts, LENGTHS, terms=M.length_terms(panel, kernel, LENGTHS, weight="w"))
     words = panel.select(F.col("epitope").alias("pep")).where(F.length("epitope") <= LENGTHS[-1]).distinct()
-    pairs = words.join(model.where(F.col("length") == LENGTHS[0]).select("allele"))  # the query asks for every word and source
-    scored = M.score(pairs, model, ANCHORS).withColumn("score", F.round("score", 6))
+    scored = M.score(words, model, ANCHORS).withColumn("score", F.round("score", 6))
     best = F.min(F.struct((-F.col("score")).alias("s"), "allele")).alias("b")
     return scored.groupBy("pep").agg(best, F.count_if(F.col("score") > 0).alias("above")).select("pep", F.col("b.allele").alias("allele"), (-F.col("b.s")).alias("score"), "above")
 
@@ -122,7 +121,8 @@ def binder_scores(spark, sf_dir):
     nulls = scorer.null_peptides(spark, NULLS, dict.fromkeys(M.S.RESIDUES, 1.0), dict.fromkeys(NULL_LENGTHS, 1.0), seed=SEED)
     at = scorer.Calibrations(spark, f"{shared_folder(spark)}/calibrations-{uuid.uuid4().hex}")  # new on each call, so that no run profits from one before
     first = lambda rows: M.score(rows, model, ANCHORS).withColumn("score", F.round("score", 6))
-    found = scorer.binder_scores(words.join(prints.select("allele")), at, prints, nulls, first, _second_head)
+    pairs = words.join(model.select("allele", "length"), F.length("pep") == F.col("length")).select("pep", "allele")
+    found = scorer.binder_scores(pairs, at, prints, nulls, first, _second_head)
     return found.select("pep", "allele", F.round("presentation_rank", 6).alias("presentation_rank"), F.round("affinity_rank", 6).alias("affinity_rank"), F.round("binder_rank", 6).alias("binder_rank"), "band")
 
 

@@ -114,6 +114,10 @@ def test_scores_of_seen_and_unseen_lengths(spark, panel):
         table = bg and spark.createDataFrame(list(bg.items()), "residue string, bg double")
         got = {(r.pep, r.allele): r.score for r in M.score(pairs, M.models(shares, counts, range(2, 13), background=table)).collect()}
         assert len(got) == len(asked) and all(got[k] == pytest.approx(plain.score(*k, bg)) for k in got)
+        every = M.score(pairs.select("pep").distinct(), M.models(shares, counts, range(4, 10), background=table)).collect()
+        mine = {k: v for k, v in got.items() if 4 <= len(k[0]) < 10}
+        each = {(r.pep, r.allele): r.score for r in every}
+        assert len(each) == len(every) == 6 * len(mine) and {k: each[k] for k in mine} == pytest.approx(mine)
 
 
 def test_rare_alleles_lengths_and_residues_before(spark, panel):
