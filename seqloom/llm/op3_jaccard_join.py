@@ -14,6 +14,8 @@ of their set sizes:
 * These gather in leaves of bounded size, members of one component or, of components of one, those of one token. A leaf's
   bitmap is the sparse set of its members' first tokens; two leaves of different components meet only where their bitmaps
   do and size ranges and largest overlaps allow it.
+* Before texts travel to a unit of work, its members' own bitmaps do, of about a bit for each token: who can link with no
+  member of the other side by size or largest overlap has no seat there. So texts of unlinked documents stay where they are.
 * Below, a task takes two sides (a centre and its members, or two leaves), builds the tree of dense bitmaps of each and
   walks both at once. A pair of nodes is left as soon as its size ranges or the largest overlap that the bitmaps allow
   rule out a link, or all below it are connected already; pairs of texts that are left are compared exactly.
@@ -126,6 +128,60 @@ def can_link(x: Node, y: Node, percent: int) -> bool:
     return int(np.bitwise_count(x.bits & y.bits).sum()) + min(x.excess, y.excess) >= least
 
 
+def own_bitmap(tokens: np.ndarray) -> bytes:
+    """Bitmap of the least power of two of bits that has one for each token, within bounds."""
+    return bitmap(tokens, min(MOST_BITS, max(64, 1 << (len(tokens) - 1).bit_length()))).tobytes()
+
+
+class _Octave:
+    """Members of one side of a unit that have bitmaps of one size: places, set sizes and bitmaps, folded on demand."""
+
+    def __init__(self, at: list[int], n: np.ndarray, bits: list[bytes]):
+        self.at, self.n = np.array(at), n[at]
+        self.folds = [np.frombuffer(b"".join(bits[i] for i in at), np.uint64).reshape(len(at), -1)]
+
+    def fold(self, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bitmaps of so many 64-bit words, and the tokens that each set has beyond its bits."""
+        while self.folds[-1].shape[1] > words:
+            x = self.folds[-1]
+            self.folds.append(x[:, : x.shape[1] // 2] | x[:, x.shape[1] // 2 :])
+        x = next(f for f in self.folds if f.shape[1] == words)
+        return x, self.n - np.bitwise_count(x).sum(1).astype(np.int64)
+
+
+def _octaves(at: list[int], n: np.ndarray, bits: list[bytes]) -> list[_Octave]:
+    by_size: dict[int, list[int]] = {}
+    for i in at:
+        by_size.setdefault(len(bits[i]), []).append(i)
+    return [_Octave(v, n, bits) for v in by_size.values()]
+
+
+def with_partner(sides: list[int], n: list[int], bits: list[bytes], percent: int = PERCENT) -> np.ndarray:
+    """Which members of a unit can link with one of the other side (or, of side 2, of their own) by sizes and largest overlap."""
+    n = np.array(n, np.int64)
+    found = np.zeros(len(n), bool)
+    left, right = ([i for i, s in enumerate(sides) if bool(s) == want] for want in (True, False))
+    ours = _octaves(left, n, bits)
+    others = _octaves(right, n, bits) + (ours if left and sides[left[0]] == 2 else [])
+    for x in ours:
+        for y in others:
+            if 100 * x.n.max() < percent * y.n.min() or 100 * y.n.max() < percent * x.n.min():
+                continue
+            words = min(x.folds[0].shape[1], y.folds[0].shape[1])
+            (xs, x_over), (ys, y_over) = x.fold(words), y.fold(words)
+            for k in range(len(xs)):
+                near = (100 * x.n[k] >= percent * y.n) & (100 * y.n >= percent * x.n[k])
+                if x is y:
+                    near[k] = False
+                at = np.flatnonzero(near)
+                most = np.bitwise_count(ys[at] & xs[k]).sum(1).astype(np.int64) + np.minimum(x_over[k], y_over[at])
+                at = at[(100 + percent) * most >= percent * (x.n[k] + y.n[at])]
+                if len(at):
+                    found[x.at[k]] = True
+                    found[y.at[at]] = True
+    return found
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     common = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * common >= percent * (len(a) + len(b) - common)
@@ -185,13 +241,13 @@ def _class(key: bytes, seed: int) -> int:
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, seed: int, kept: Scratch) -> tuple[DataFrame, np.ndarray]:
-    """Rows (id, n, class, key, mark) of all documents, key the digest of the set and mark a hash of the text, and the frequency sketch over them."""
+    """Rows (id, n, class, key, mark, bits) of all documents, key the digest of the set, mark a hash of the text and bits the set's own bitmap, and the frequency sketch over them."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         cells = np.zeros(1 << CELL_BITS, np.int64)
         for batch in batches:
-            ns, keys = [], []
+            ns, keys, bits = [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 t = shingles(text or b"", width)
                 cells += np.bincount((t >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(cells)) if len(t) > 20_000 else 0
@@ -199,19 +255,20 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, seed: int, ke
                     np.add.at(cells, (t >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
                 ns.append(len(t))
                 keys.append(xxhash.xxh3_128_digest(t.tobytes()) if len(t) else None)
+                bits.append(own_bitmap(t) if len(t) else None)
             classes = [None if k is None else _class(k, seed) for k in keys]
             none = pa.nulls(len(ns), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(classes, pa.int64()), pa.array(keys, pa.binary()), batch.column(2), none], names=["id", "n", "class", "key", "mark", "cell"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(classes, pa.int64()), pa.array(keys, pa.binary()), batch.column(2), none, pa.array(bits, pa.binary())], names=["id", "n", "class", "key", "mark", "cell", "bits"])
             id_type = batch.schema.field(0).type
         at = np.flatnonzero(cells)
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), id_type), pa.array(cells[at], pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.int64()), pa.array(at, pa.int32())], names=["id", "n", "class", "key", "mark", "cell"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), id_type), pa.array(cells[at], pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.int64()), pa.array(at, pa.int32()), pa.nulls(len(at), pa.binary())], names=["id", "n", "class", "key", "mark", "cell", "bits"])
 
-    made = kept.stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark")).mapInArrow(run, f"id {kind}, n bigint, class bigint, key binary, mark bigint, cell int"), "sets")
+    made = kept.stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark")).mapInArrow(run, f"id {kind}, n bigint, class bigint, key binary, mark bigint, cell int, bits binary"), "sets")
     sketch = np.zeros(1 << CELL_BITS, np.int64)
     for r in made.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("n").alias("n")).toPandas().itertuples():  # one row for each cell
         sketch[r.cell] = r.n
-    return made.where("cell IS NULL").select("id", "n", "class", "key", "mark"), sketch
+    return made.where("cell IS NULL").select("id", "n", "class", "key", "mark", "bits"), sketch
 
 
 def _postings(docs: DataFrame, text_col: str, width: int, percent: int, sketch: np.ndarray, seed: int) -> DataFrame:
@@ -352,6 +409,35 @@ def _leaf_seats(pairs: DataFrame, leaves: DataFrame) -> DataFrame:
     return ends.join(leaves.select("leaf", "class"), "leaf").select("a", "part", "side", "class")
 
 
+def _possible(seats: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Seats whose class can link with another of its unit, as far as sizes and bitmaps tell; classes: class, n and bits."""
+
+    def pick(unit: list[tuple]) -> list[tuple]:
+        keep = with_partner([u[2] for u in unit], [u[4] for u in unit], [u[5] for u in unit], percent)
+        return [u[:4] for u, k in zip(unit, keep, strict=True) if k]
+
+    def run(batches):
+        unit: list[tuple] = []
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if unit and unit[-1][:2] != row[:2]:
+                    out += pick(unit)
+                    unit = []
+                unit.append(row)
+            yield made(out)
+        if unit:
+            yield made(pick(unit))
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["a", "part", "side", "class"])
+
+    n = int(seats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = seats.join(classes.select("class", "n", "bits"), "class").select("a", "part", "side", "class", "n", "bits")
+    return rows.repartition(n, "a", "part").sortWithinPartitions("a", "part").mapInArrow(run, "a bigint, part bigint, side int, class bigint")
+
+
 def _perhaps(marks: DataFrame, bits: int = BLOOM_BITS):
     """Function from a column of marks to whether one may be among the given ones: a bitmap of fixed size, which only saves shuffling."""
     place = 1 + F.pmod("mark", F.lit(bits))
@@ -430,8 +516,8 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     for seed in range(8):
         sets, sketch = _sets(docs, id_col, text_col, width, seed, scratch)
         named = sets.where("id IS NOT NULL AND key IS NOT NULL")
-        classes = named.groupBy("class").agg(F.min("id").alias("rep"), F.min_by("mark", "id").alias("mark"), F.min("key").alias("_k"), F.max("key").alias("_z"))
-        classes = scratch.stored(classes.select("class", "rep", "mark", (F.col("_k") != F.col("_z")).alias("mixed")), "classes")
+        classes = named.groupBy("class").agg(F.min("id").alias("rep"), F.min_by("mark", "id").alias("mark"), F.min("key").alias("_k"), F.max("key").alias("_z"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+        classes = scratch.stored(classes.select("class", "rep", "mark", "n", "bits", (F.col("_k") != F.col("_z")).alias("mixed")), "classes")
         if not classes.where("mixed").limit(1).count():
             break
     else:
@@ -443,7 +529,7 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     each = scratch.stored(named.groupBy("id").agg(F.min("class").alias("class"), F.max("class").alias("high")), "ids")
     edges = named.select("id", F.col("class").alias("b")).join(each.where("class < high").select("id", F.col("class").alias("a")), "id").where("a < b").select("a", "b")
     edges = work.stored(edges, "edges")
-    find = lambda seats: work.stored(_edges(docs, id_col, text_col, classes, work.stored(seats, "seats"), width, percent), "edges")
+    find = lambda seats: work.stored(_edges(docs, id_col, text_col, classes, work.stored(_possible(seats, classes, percent), "seats"), width, percent), "edges")
     left = shared
     for number in range(ROUNDS):
         seats, left = _stars(left, percent, number, work)

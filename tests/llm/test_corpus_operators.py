@@ -106,6 +106,21 @@ def test_bounds_never_rule_out_a_link():
             assert set(op3.first_tokens(base, sketch, 85)) & set(op3.first_tokens(other, sketch, 85))
 
 
+def test_jaccard_own_bitmaps_keep_every_link():
+    rng = np.random.default_rng(5)
+    sets = []
+    for n in (1, 3, 60, 64, 65, 700, 1000, 1100, 5000):
+        base = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        sets += [base, base[: max(1, len(base) * 9 // 10)], np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))]
+    bits, n = [op3.own_bitmap(x) for x in sets], [len(x) for x in sets]
+    links = [[op3.linked(a, b, 85) and i != j for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    for sides in ([2] * len(sets), [i % 2 for i in range(len(sets))]):
+        found = op3.with_partner(sides, n, bits, 85)
+        for i, row in enumerate(links):
+            assert found[i] or not any(x and (sides[i] == 2 or sides[i] != sides[j]) for j, x in enumerate(row))
+    assert not op3.with_partner([2] * 9, n[2::3], bits[2::3], 85)[2:].any()
+
+
 def test_components_of_edges_that_differ_by_evaluation(spark):
     """A unit of the join gives some spanning forest of its links; which one may depend on the order of its rows."""
 
