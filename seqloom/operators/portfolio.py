@@ -11,13 +11,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.operators import ordered
+from seqloom.operators.rounds import Rounds
+
+#: Cells of three and more objectives at most; rows of a cell that a task holds at a time, on average.
+CELLS, UNIT = 4096, 4096
 
 
 def pareto_front(df: DataFrame, objectives: Sequence[str]) -> DataFrame:
     """Rows that no other row equals or exceeds in all objectives and exceeds in one; higher is better.
 
-    Two objectives take the running maximum over ranges of distinct values of the first. More take an anti-join, after each task has dropped
-    what its own rows dominate, so that only local fronts meet.
+    Two objectives take the running maximum over ranges of distinct values of the first. More go by cells of quantiles; these
+    are compared as doubles, a NaN as infinity. A row with a null objective is on no front.
     """
     if len(objectives) == 2:
         a, b = objectives
@@ -25,22 +29,62 @@ def pareto_front(df: DataFrame, objectives: Sequence[str]) -> DataFrame:
         front = ordered.before(best, a, {"_above": ("max", "_b")}, falling=True).where(F.col("_above").isNull() | (F.col("_b") > F.col("_above")))
         return df.join(front.select(a, F.col("_b").alias(b)), [a, b], "left_semi")
 
+    free = "_" * (1 + max(len(c) - len(c.lstrip("_")) for c in df.columns))
+    names = [f"{free}objective{k}" for k in range(len(objectives))]
+    each = [F.nanvl(F.col(o).cast("double"), F.lit(float("inf"))) for o in objectives]
+    front = _front_by_cells(df.select(*(c.alias(n) for c, n in zip(each, names, strict=True))).dropna(), names)
+    return df.join(front, [c == F.col(n) for c, n in zip(each, names, strict=True)], "left_semi")
+
+
+def _front_by_cells(values: DataFrame, names: list[str], cells: int = CELLS, unit: int = UNIT) -> DataFrame:
+    """Distinct rows of the front.
+
+    Quantiles of each objective cut the space into at most `cells` cells. Where another cell with rows lies above in every
+    objective, all of a cell is dominated and goes before anything is shuffled. The local fronts of the rest are held, each
+    cell in units of about `unit` rows, against those of the cells that are no lower in any objective, which stream past.
+    """
+    spark, kinds = values.sparkSession, ", ".join(f"{n} double" for n in names)
+    base = max(1, round(cells ** (1 / len(names))))
+    bounds = values.approxQuantile(names, [i / base for i in range(1, base)], 0.01) if base > 1 else []
+    level = lambda n, at: sum(((F.col(n) > b).cast("bigint") for b in sorted(set(at))), F.lit(0).cast("bigint"))
+    cell = sum((level(n, at) * base**k for k, (n, at) in enumerate(zip(names, bounds, strict=False))), F.lit(0).cast("bigint"))
+    placed = values.withColumn("cell", cell)
+    codes = np.array([r.cell for r in placed.select("cell").distinct().collect()], np.int64)  # one row for each cell
+    places = codes[:, None] // base ** np.arange(len(names)) % base
+    keep = [k for k in range(len(codes)) if not (places > places[k]).all(1).any()]
+    codes, places = codes[keep], places[keep]
+    left = placed.join(F.broadcast(spark.createDataFrame([(int(c),) for c in codes], "cell bigint")), "cell").select("cell", *names)
+
     def local(batches):
         held = None
         for pdf in batches:
             held = pdf if held is None else pd.concat([held, pdf])
-            z = held.to_numpy(float)
+            z = held[names].to_numpy(float)
             held = held[~_dominated(z, z)]
         if held is not None:
             yield held
 
-    values = df.select(*objectives).distinct()
-    fronts = values.mapInPandas(local, values.schema)
-    other = fronts.select(*(F.col(o).alias(f"_{o}") for o in objectives))
-    least, more = F.lit(True), F.lit(False)
-    for o in objectives:
-        least, more = least & (F.col(f"_{o}") >= F.col(o)), more | (F.col(f"_{o}") > F.col(o))
-    return df.join(fronts.join(other, least & more, "left_anti"), list(objectives), "left_semi")
+    fronts = Rounds(spark, "fronts").kept(left.mapInPandas(local, f"cell bigint, {kinds}").distinct())
+    sizes = {r.cell: -(-r.n // unit) for r in fronts.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # one row for each cell
+    parts = spark.createDataFrame(list(sizes.items()), "cell bigint, parts bigint")
+    meets = [(int(codes[j]), int(c), sizes[int(c)]) for c, at in zip(codes, places, strict=True) if int(c) in sizes for j in np.flatnonzero((places >= at).all(1))]
+    meets = spark.createDataFrame(meets, "cell bigint, to bigint, parts bigint")
+    own = fronts.join(F.broadcast(parts), "cell").select(F.col("cell").alias("to"), F.pmod(F.xxhash64(*names), "parts").alias("part"), F.lit(0).alias("side"), *names)
+    others = fronts.join(F.broadcast(meets), "cell").select("to", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), *names)
+
+    def run(batches):
+        key, held = None, np.zeros((0, len(names)))
+        for pdf in batches:
+            for k, rows in pdf.groupby(["to", "part"], sort=False):
+                if k != key:
+                    yield pd.DataFrame(held, columns=names)
+                    key, held = k, np.zeros((0, len(names)))
+                z, side = rows[names].to_numpy(float), rows["side"].to_numpy()
+                held = np.concatenate([held, z[side == 0]])
+                held = held[~_dominated(held, z[side == 1])]
+        yield pd.DataFrame(held, columns=names)
+
+    return own.unionByName(others).repartition("to", "part").sortWithinPartitions("to", "part", "side").mapInPandas(run, kinds)
 
 
 def _dominated(z: np.ndarray, by: np.ndarray) -> np.ndarray:

@@ -244,3 +244,20 @@ def test_running_aggregates_by_ranges(spark):
     assert ordered.before(df.limit(0), "v", {"s": ("sum", "n")}, ["g"], ties=["id"]).collect() == []
     plan = ordered.before(df, "v", {"s": ("sum", "n")}, ties=["id"])._jdf.queryExecution().optimizedPlan().toString()
     assert "_range" in plan.split("windowspecdefinition(")[1]
+
+
+@pytest.mark.parametrize("cells,unit", [(4096, 4096), (27, 3), (1, 5)])
+def test_front_by_cells_equals_plain(spark, cells, unit):
+    rng = random.Random(11)
+    rows = [tuple(float(rng.randint(0, 12)) for _ in range(3)) for _ in range(500)]
+    rows += [(x, y, 30.0 - x - y) for x in map(float, range(10)) for y in map(float, range(10))] + [(20.0, 20.0, -5.0)] * 3 + [(float("inf"), -9.0, -9.0)]
+    want = {r for r in rows if not any(all(a >= b for a, b in zip(o, r, strict=True)) and o != r for o in rows)}
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(5)
+    got = [tuple(r) for r in portfolio._front_by_cells(df, ["a", "b", "c"], cells, unit).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_fronts_of_nulls_and_empty_tables(spark):
+    odd = spark.createDataFrame([(1, 1.0, 2.0, 3.0), (2, None, 9.0, 9.0), (3, float("nan"), 0.0, 0.0), (4, 0.5, 2.0, 3.0), (5, 1.0, 2.0, 3.0)], "id int, a double, b double, _objective0 double")
+    assert {r.id for r in portfolio.pareto_front(odd.withColumnRenamed("_objective0", "c"), ["a", "b", "c"]).collect()} == {1, 3, 5}
+    assert portfolio.pareto_front(odd.limit(0), ["a", "b", "id"]).count() == 0
