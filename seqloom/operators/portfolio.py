@@ -7,7 +7,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.operators import ordered
@@ -53,7 +54,7 @@ def _front_by_cells(values: DataFrame, names: list[str], cells: int = CELLS, uni
     places = codes[:, None] // base ** np.arange(len(names)) % base
     keep = [k for k in range(len(codes)) if not (places > places[k]).all(1).any()]
     codes, places = codes[keep], places[keep]
-    left = placed.join(F.broadcast(spark.createDataFrame([(int(c),) for c in codes], "cell bigint")), "cell").select("cell", *names)
+    left = placed.join(F.broadcast(_longs(spark, ["cell"], [(c,) for c in codes])), "cell").select("cell", *names)
 
     def local(batches):
         held = None
@@ -66,9 +67,9 @@ def _front_by_cells(values: DataFrame, names: list[str], cells: int = CELLS, uni
 
     fronts = Rounds(spark, "fronts").kept(left.mapInPandas(local, f"cell bigint, {kinds}").distinct())
     sizes = {r.cell: -(-r.n // unit) for r in fronts.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # one row for each cell
-    parts = spark.createDataFrame(list(sizes.items()), "cell bigint, parts bigint")
+    parts = _longs(spark, ["cell", "parts"], list(sizes.items()))
     meets = [(int(codes[j]), int(c), sizes[int(c)]) for c, at in zip(codes, places, strict=True) if int(c) in sizes for j in np.flatnonzero((places >= at).all(1))]
-    meets = spark.createDataFrame(meets, "cell bigint, to bigint, parts bigint")
+    meets = _longs(spark, ["cell", "to", "parts"], meets)
     own = fronts.join(F.broadcast(parts), "cell").select(F.col("cell").alias("to"), F.pmod(F.xxhash64(*names), "parts").alias("part"), F.lit(0).alias("side"), *names)
     others = fronts.join(F.broadcast(meets), "cell").select("to", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), *names)
 
@@ -87,6 +88,11 @@ def _front_by_cells(values: DataFrame, names: list[str], cells: int = CELLS, uni
     return own.unionByName(others).repartition("to", "part").sortWithinPartitions("to", "part", "side").mapInPandas(run, kinds)
 
 
+def _longs(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:
+    """A small table of whole numbers, held in the plan."""
+    return spark.createDataFrame(pa.table({n: pa.array([int(r[k]) for r in rows], pa.int64()) for k, n in enumerate(names)}))
+
+
 def _dominated(z: np.ndarray, by: np.ndarray) -> np.ndarray:
     out = np.zeros(len(z), bool)
     for start in range(0, len(z), 256):

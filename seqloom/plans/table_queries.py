@@ -101,7 +101,7 @@ SELECT * FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.size >= a.size AND
 
 
 def pareto_three(spark, sf_dir):
-    """Suppliers' front in balance, low key and nation, by the anti-join of local fronts."""
+    """Suppliers' front in balance, low key and nation, by cells of quantiles."""
     s = _read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("a"), (-F.col("s_suppkey")).cast("double").alias("b"), F.col("s_nationkey").cast("double").alias("c"))
     return portfolio.pareto_front(s, ["a", "b", "c"])
 
