@@ -46,14 +46,29 @@ def _places(letters: str) -> np.ndarray:
     return out
 
 
-def _packed(texts: pa.Array, k: int) -> tuple[np.ndarray, ...]:
-    """row, code, n, first: distinct windows of the letters of each text, by row and code."""
+def letters_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """row, place: of every letter A to Z of the texts, in either case, its text and its place in the alphabet."""
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = data[ends[0] : ends[-1]]
-    is_letter = _places("ABCDEFGHIJKLMNOPQRSTUVWXYZ")[data] >= 0
-    row = np.repeat(np.arange(len(texts)), np.diff(ends))[is_letter]
-    residue = _places(RESIDUES)[data[is_letter]]
+    place = _places("ABCDEFGHIJKLMNOPQRSTUVWXYZ")[data[ends[0] : ends[-1]]]
+    is_letter = place >= 0
+    return np.repeat(np.arange(len(texts)), np.diff(ends))[is_letter], place[is_letter]
+
+
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Bounds of rows of about SLICE bytes of text."""
+    sizes = np.cumsum(np.diff(np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]))
+    edges = [0, *(np.flatnonzero(np.diff(sizes // SLICE)) + 1).tolist(), len(texts)]
+    yield from zip(edges, edges[1:], strict=False)
+
+
+_RESIDUE = _places("".join(RESIDUES))[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8)]
+
+
+def _packed(texts: pa.Array, k: int) -> tuple[np.ndarray, ...]:
+    """row, code, n, first: distinct windows of the letters of each text, by row and code."""
+    row, place = letters_of(texts)
+    residue = _RESIDUE[place]
     m = max(len(row) - k + 1, 0)
     code, good = np.zeros(m, np.int64), row[:m] == row[k - 1 :][:m]
     for j in range(k):
@@ -78,9 +93,7 @@ def packed_windows(df: DataFrame, text: str, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(len(rest)).cast(pa.large_string()).fill_null("")
-            sizes = np.cumsum(np.diff(np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]))
-            edges = [0, *(np.flatnonzero(np.diff(sizes // SLICE)) + 1).tolist(), len(texts)]
-            for a, z in zip(edges, edges[1:], strict=False):
+            for a, z in slices(texts):
                 of, code, n, first = _packed(texts.slice(a, z - a), k)
                 own = pa.array(of + a)
                 yield pa.RecordBatch.from_arrays([*(b.column(i).take(own) for i in range(len(rest))), pa.array(code), pa.array(n.astype(np.int64)), pa.array(first.astype(np.int64))], names=[*(f.name for f in rest), "code", "n", "first"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import sequences as S
-from seqloom.operators import counts, density, neighbours, tiling
+from seqloom.operators import counts, density, loci, neighbours, tiling
 from seqloom.operators.calibration import percent_rank
 from seqloom.operators.ranking import top
 from seqloom.operators.rounds import Rounds
@@ -264,12 +264,9 @@ def _flank() -> str:
 
 def locus_components(spark, sf_dir):
     """Documents connected by a shared window of 40 letters that few enough share to be no phrase: here all of them, 1 over the group size as weight."""
-    d = _texts(spark, sf_dir).select(F.col("doc_id").alias("b"), "seq")
-    each = tiling.tile(d, "seq", [40], standard=False, kmer="w").select("b", "w").distinct()
-    shared = each.groupBy("w").agg(F.min("b").alias("a"), F.max("b").alias("_z")).where("a < _z").select("w", "a")
-    edges = each.join(shared, "w").where("a < b").select("a", "b").distinct()
-    groups = density.connected(edges, d.select(F.col("b").alias("id")))
-    return groups.withColumn("n", F.count("*").over(Window.partitionBy("component"))).select(F.col("id").alias("doc_id"), "component", F.round(1.0 / F.col("n"), 9).alias("weight"))
+    groups = Rounds(spark, "loci").kept(loci.components(_dealt(spark, sf_dir), "doc_id", "text", 40))
+    sizes = groups.groupBy(F.col("component").alias("_c")).agg(F.count("*").alias("n"))
+    return groups.join(sizes, F.col("component").eqNullSafe(F.col("_c"))).select(F.col("id").alias("doc_id"), "component", F.round(1.0 / F.col("n"), 9).alias("weight"))
 
 
 QUERIES = {f.__name__: f for f in (rare_kmers, kmer_tile, kmer_counts, decompose, binding_core, one_substitution, hamming_neighbours, nearest_other_name, exact_source, passage_source, kmer_search, position_profile, anchor_counts, face_density, slippery_sites, flank_likeness, locus_components)}
