@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import sequences as S
 from seqloom.operators import tiling
+from seqloom.operators.overlap import shared_kmers  # noqa: F401  its first place
 from seqloom.operators.rounds import Rounds
 
 
@@ -130,13 +131,6 @@ def mimics(binders: DataFrame, refs: DataFrame, d: int, *, pep: str = "pep", exc
     return found.select(pep, "category", "n_exact", "n_near", F.col("_m.ref").alias("top_mimic"), F.col("_m.dist").alias("top_subs"))
 
 
-def shared_kmers(queries: DataFrame, refs: DataFrame, k: int, least: int) -> DataFrame:
-    """query, ref, shared: distinct windows of k letters that both have, at least `least` of them; queries (query), refs (ref)."""
-    cut = lambda df, name: df.select(name).distinct().select(name, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - (k - 1)), lambda i: F.substring(F.col(name), i, F.lit(k))))).alias("_w"))
-    long = lambda df, name: df.where(F.length(name) >= k)
-    return cut(long(queries, "query"), "query").join(cut(long(refs, "ref"), "ref"), "_w").groupBy("query", "ref").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
-
-
 #: Letters of a signature by class; rows that a vote counts at most, and is widened below.
 SIGNATURE = {"mhc1": 5, "mhc2": 4}
 ENOUGH, CAP = 10, 100
