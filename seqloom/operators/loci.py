@@ -11,25 +11,10 @@ from pyspark.sql import functions as F
 
 from seqloom.operators import density
 from seqloom.operators.rounds import Rounds
-from seqloom.operators.tiling import letters_of, slices
+from seqloom.operators.tiling import letters_of, rolled, slices, strings_of
 
 #: Letters of a seed; windows of a piece at most; one piece of so many is looked at first; bits of the map of shared seeds; pieces that are held before equal ones are put together.
 SEED, MOST, FIRST, BITS, HELD = 20, 64, 16, 27, 1 << 20
-_BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
-
-
-def _rolled(x: np.ndarray, k: int) -> np.ndarray:
-    """A hash of every k letters in a row, by doubling."""
-    out, done, width = None, 0, 1
-    while True:
-        if k & width:
-            out = x if out is None else out[: len(x) - done] * np.uint64(pow(_BASE, width, 1 << 64)) + x[done:]
-            done += width
-        if done == k:
-            break
-        x, width = x[: len(x) - width] * np.uint64(pow(_BASE, width, 1 << 64)) + x[width:], 2 * width
-    out = (out ^ (out >> np.uint64(32))) * _MIX
-    return out ^ (out >> np.uint64(29))
 
 
 def _least(h: np.ndarray, n: int) -> np.ndarray:
@@ -46,7 +31,7 @@ def _pieces(texts: pa.Array, window: int) -> tuple[np.ndarray, ...]:
     if m <= 0:
         none = np.zeros(0, np.int64)
         return none, none, none, none, place
-    low = _least(_rolled(place.astype(np.uint64) + np.uint64(1), SEED), window - SEED + 1)
+    low = _least(rolled(place, SEED), window - SEED + 1)
     at = np.flatnonzero(row[:m] == row[window - 1 :])
     low = low[at]
     begin = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (low[1:] != low[:-1])][: len(at)])
@@ -56,12 +41,6 @@ def _pieces(texts: pa.Array, window: int) -> tuple[np.ndarray, ...]:
     return row[start], low[begin].view(np.int64), start, np.diff(np.r_[begin, len(at)]) + window - 1, place
 
 
-def _strings(place: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
-    ends = np.r_[0, np.cumsum(length)].astype(np.int64)
-    flat = place[np.repeat(start - ends[:-1], length) + np.arange(ends[-1])].astype(np.uint8) + np.uint8(65)
-    return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(ends), pa.py_buffer(flat))
-
-
 def _together(group: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of every group: its first row, least and greatest label; and the distinct (least, other) labels of groups."""
     order = np.argsort(group, kind="stable")
@@ -105,7 +84,7 @@ def _run(df: DataFrame, window: int, *, whole: bool, wanted) -> DataFrame:
                 row, code, start, length, place = _pieces(texts.slice(lo, hi - lo), window)
                 keep = np.flatnonzero(wanted(code)) if whole else np.arange(len(code))
                 label = labels[lo:hi][row[keep]]
-                parts.append((code[keep], label, _strings(place, start[keep], length[keep])) if whole else (code, label))
+                parts.append((code[keep], label, strings_of(place, start[keep], length[keep])) if whole else (code, label))
                 held += len(keep)
                 if held >= HELD:
                     yield made(parts)

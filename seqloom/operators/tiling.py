@@ -15,6 +15,9 @@ from seqloom.functions.sequences import RESIDUES, is_standard
 BLOCK = 512
 #: Bytes of text that are packed at a time; the longest window whose base-20 code leaves 24 bits for the row.
 SLICE, MOST_PACKED = 4_000_000, 9
+#: Bits of the map of wanted windows; multipliers of the rolled hash.
+BITS = 24
+_BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 
 
 def tile(df: DataFrame, seq: str, lengths: list[int], *, standard: bool = True, kmer: str = "kmer", offset: str = "offset") -> DataFrame:
@@ -62,11 +65,33 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     yield from zip(edges, edges[1:], strict=False)
 
 
+def rolled(place: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every k letters in a row, by doubling."""
+    x = place.astype(np.uint64) + np.uint64(1)
+    out, done, width = None, 0, 1
+    while True:
+        if k & width:
+            out = x if out is None else out[: len(x) - done] * np.uint64(pow(_BASE, width, 1 << 64)) + x[done:]
+            done += width
+        if done == k:
+            break
+        x, width = x[: len(x) - width] * np.uint64(pow(_BASE, width, 1 << 64)) + x[width:], 2 * width
+    out = (out ^ (out >> np.uint64(32))) * _MIX
+    return out ^ (out >> np.uint64(29))
+
+
+def strings_of(place: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
+    """The letters from start on, as large strings."""
+    ends = np.r_[0, np.cumsum(length)].astype(np.int64)
+    flat = place[np.repeat(start - ends[:-1], length) + np.arange(ends[-1])].astype(np.uint8) + np.uint8(65)
+    return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(ends), pa.py_buffer(flat))
+
+
 _RESIDUE = _places("".join(RESIDUES))[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8)]
 
 
-def _packed(texts: pa.Array, k: int) -> tuple[np.ndarray, ...]:
-    """row, code, n, first: distinct windows of the letters of each text, by row and code."""
+def _codes(texts: pa.Array, k: int) -> tuple[np.ndarray, ...]:
+    """row, place, code: of every letter its text, where windows of k standard residues start, and their codes."""
     row, place = letters_of(texts)
     residue = _RESIDUE[place]
     m = max(len(row) - k + 1, 0)
@@ -76,7 +101,13 @@ def _packed(texts: pa.Array, k: int) -> tuple[np.ndarray, ...]:
         code = code * 20 + part
         good &= part >= 0
     at = np.flatnonzero(good)
-    key, first, n = np.unique((row[at] << 39) | code[at], return_index=True, return_counts=True)
+    return row, at, code[at]
+
+
+def _packed(texts: pa.Array, k: int) -> tuple[np.ndarray, ...]:
+    """row, code, n, first: distinct windows of the letters of each text, by row and code."""
+    row, at, code = _codes(texts, k)
+    key, first, n = np.unique((row[at] << 39) | code, return_index=True, return_counts=True)
     of = key >> 39
     return of, key & ((1 << 39) - 1), n, at[first] - np.searchsorted(row, of)
 
@@ -102,6 +133,66 @@ def packed_windows(df: DataFrame, text: str, k: int) -> DataFrame:
     return df.select(*(f.name for f in rest), text).mapInArrow(run, f"{types}code bigint, n bigint, first bigint")
 
 
+def letter_counts(df: DataFrame, text: str, k: int) -> DataFrame:
+    """kmer, n: occurrences of every window of k standard residues among the letters of the texts, in either case. A task adds up its own slices."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = np.zeros(20**k, np.int64) if k <= 5 else None
+        for b in batches:
+            texts = b.column(0).cast(pa.large_string()).fill_null("")
+            for a, z in slices(texts):
+                code = _codes(texts.slice(a, z - a), k)[2]
+                if small is not None:
+                    small += np.bincount(code, minlength=len(small))
+                    continue
+                code, n = np.unique(code, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], names=["code", "n"])
+        if small is not None:
+            at = np.flatnonzero(small)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(small[at])], names=["code", "n"])
+
+    return df.select(text).mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).select(unpacked("code", k).alias("kmer"), "n")
+
+
+def windows_among(df: DataFrame, text: str, wanted: DataFrame, lengths: list[int], *, kmer: str = "kmer", offset: str = "offset") -> DataFrame:
+    """df without text, with the windows of the letters of each text, in upper case, that may be among the strings of wanted (one column, letters only, of these lengths), and their zero-based offsets.
+
+    A map of bits, of fixed size, names the wanted ones by a hash: what it lets through by chance falls out in the join that follows, and where
+    it fills up, all windows are let through.
+    """
+    rest, mask = [f for f in df.schema.fields if f.name != text], (1 << BITS) - 1
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = b.column(0).cast(pa.large_string()).drop_null()
+            size = np.diff(np.frombuffer(own.buffers()[1], np.int64)[own.offset : own.offset + len(own) + 1])
+            for k in np.unique(size[size > 0]).tolist():
+                row, place = letters_of(own.filter(pa.array(size == k)))
+                yield pa.RecordBatch.from_arrays([pa.array((rolled(place, k)[::k].view(np.int64)) & mask)], names=["p"])
+
+    words = wanted.mapInArrow(places, "p bigint").groupBy(F.expr("p div 64").alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("w")).toArrow()  # at most 2^18 rows
+    bits = np.zeros(1 << (BITS - 6), np.int64)
+    bits[words["i"].to_numpy()] = words["w"].to_numpy()
+    map_ = df.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(len(rest)).cast(pa.large_string()).fill_null("")
+            for a, z in slices(texts):
+                row, place = letters_of(texts.slice(a, z - a))
+                for k in lengths:
+                    if len(row) < k:
+                        continue
+                    p = rolled(place, k).view(np.int64) & mask
+                    at = np.flatnonzero(((map_.value[p >> 6] >> (p & 63)) & 1 == 1) & (row[: len(p)] == row[k - 1 :]))
+                    own = row[at]
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(own + a)) for i in range(len(rest))), strings_of(place, at, np.full(len(at), k)).cast(pa.string()), pa.array((at - np.searchsorted(row, own)).astype(np.int32))], names=[*(f.name for f in rest), kmer, offset])
+
+    types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest)
+    return df.select(*(f.name for f in rest), text).mapInArrow(run, f"{types}`{kmer}` string, `{offset}` int")
+
+
 def unpacked(code: str | Column, k: int) -> Column:
     """The window that a code stands for."""
     c = F.col(code) if isinstance(code, str) else code

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import sequences as S
-from seqloom.operators import counts, density, loci, neighbours, tiling
+from seqloom.operators import counts, density, loci, neighbours, overlap, tiling
 from seqloom.operators.calibration import percent_rank
 from seqloom.operators.ranking import top
 from seqloom.operators.rounds import Rounds
@@ -18,12 +18,8 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts as sequences. Tiling multiplies rows by their length, so an input of fewer files than cores is dealt out first; of many files each is read where it lies."""
-    return _dealt(spark, sf_dir).select("doc_id", "lang", S.letters("text").alias("seq"))
-
-
 def _dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts: an input of fewer files than cores is dealt out first, of many files each is read where it lies."""
     d = _read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     cores = spark.sparkContext.defaultParallelism
     return d.repartition(2 * cores) if len(d.inputFiles()) < cores else d
@@ -78,7 +74,7 @@ _TILE = " UNION ALL ".join(f"SELECT p_partkey, substr(pep, CAST(o AS INT) + 1, {
 
 
 def kmer_counts(spark, sf_dir):
-    return tiling.kmer_counts(_texts(spark, sf_dir), "seq", 5)
+    return tiling.kmer_counts(_dealt(spark, sf_dir).select(S.letters("text").alias("seq")), "seq", 5)
 
 
 def decompose(spark, sf_dir):
@@ -156,7 +152,7 @@ def exact_source(spark, sf_dir):
     sizes = sorted(r[0] for r in b.select(k).distinct().collect()) or [24]  # at most 24 numbers
     at = F.array_distinct(F.concat(F.sequence(F.lit(0), n - k, k), F.array(n - k)))
     ask = b.select("item_id", F.size(at).alias("m"), F.explode(F.transform(at, lambda i: F.struct(i.alias("i"), F.substring(F.col("pep"), i + 1, k).alias("w")))).alias("z")).select("item_id", "m", "z.i", "z.w")
-    cut = tiling.tile(_texts(spark, sf_dir).select("doc_id", "seq"), "seq", sizes, standard=False, kmer="w", offset="o")
+    cut = tiling.windows_among(_dealt(spark, sf_dir).select("doc_id", "text"), "text", ask.select("w"), sizes, kmer="w", offset="o")
     places = ask.join(cut, "w").groupBy("item_id", "doc_id", "m", (F.col("o") - F.col("i")).alias("d")).agg(F.count("*").alias("c")).where("c = m")
     return places.groupBy("item_id", "doc_id").agg(F.count("*").alias("n"), F.min("d").cast("bigint").alias("first"))
 
@@ -176,7 +172,7 @@ def passage_source(spark, sf_dir):
     b = b.withColumn("n", F.length("pep")).withColumn("k", F.least(F.lit(24), "n"))
     sizes = sorted(r[0] for r in b.select("k").distinct().collect()) or [24]  # at most 24 numbers
     ask = b.select("item_id", "n", "k", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n") - F.col("k")), lambda i: F.substring(F.col("pep"), i + 1, F.col("k")))).alias("i", "w"))
-    cut = tiling.tile(_texts(spark, sf_dir).select("doc_id", "seq"), "seq", sizes, standard=False, kmer="w", offset="o")
+    cut = tiling.windows_among(_dealt(spark, sf_dir).select("doc_id", "text"), "text", ask.select("w"), sizes, kmer="w", offset="o")
     hits = ask.join(cut, "w").select("item_id", "n", "k", "doc_id", "i", "o", (F.col("o") - F.col("i")).alias("d"))
     w = Window.partitionBy("item_id", "doc_id", "d").orderBy("i")  # no more rows than the passage has letters
     runs = hits.withColumn("r", F.col("i") - F.row_number().over(w)).groupBy("item_id", "doc_id", "n", "k", "d", "r").agg(F.count("*").alias("c"), F.min("i").alias("i"), F.min("o").alias("o"))
@@ -196,7 +192,7 @@ SELECT item_id, doc_id, run, i AS "at", o AS "first", run = n AS whole FROM g QU
 def kmer_search(spark, sf_dir):
     """Part names that share at least four distinct 5-mers with another name, nearest first by the count."""
     p = _parts(spark, sf_dir).select("pep").distinct()
-    return neighbours.shared_kmers(p.select(F.col("pep").alias("query")), p.select(F.col("pep").alias("ref")), 5, 4).where("query <> ref")
+    return overlap.shared_kmers(p.select(F.col("pep").alias("query")), p.select(F.col("pep").alias("ref")), 5, 4).where("query <> ref")
 
 
 _SEARCH = f"""WITH p AS (SELECT DISTINCT pep FROM {_P}), w AS (SELECT DISTINCT pep, substr(pep, CAST(o AS INT) + 1, 5) AS w FROM (SELECT pep, unnest(range(0, length(pep) - 4)) AS o FROM p))

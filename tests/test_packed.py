@@ -53,3 +53,35 @@ def test_percent_ranks_with_weights_and_null_keys(spark):
             own = [(s, n if weight else 1) for k, s, n in back if k == r.k and s is not None]
             want = 100 * sum(n for s, n in own if s > r.score) / sum(n for _, n in own) if own and r.score is not None and r.k is not None else None
             assert r.pct_rank == (want if want is None else pytest.approx(want))
+
+
+def _texts(spark):
+    import random
+
+    r = random.Random(9)
+    word = lambda n: "".join(r.choice("abcdeXé -Z") for _ in range(n))
+    texts = [word(r.randint(0, 700)) for _ in range(30)] + [None, "", "é"]
+    letters = ["".join(c for c in t or "" if c.isascii() and c.isalpha()).upper() for t in texts]
+    return spark.createDataFrame(list(enumerate(texts)), "id bigint, text string").repartition(3), letters
+
+
+def test_letter_counts_equal_plain_ones_and_a_task_adds_up_its_own(spark):
+    from collections import Counter
+
+    df, letters = _texts(spark)
+    for k in (2, 6):
+        plain = Counter(w for s in letters for w in (s[i : i + k] for i in range(len(s) - k + 1)) if set(w) <= set("ACDEFGHIKLMNPQRSTVWY"))
+        assert {r.kmer: r.n for r in tiling.letter_counts(df, "text", k).collect()} == plain
+    assert "Generate" not in tiling.letter_counts(df, "text", 5)._jdf.queryExecution().toString()  # before, a row for each window
+
+
+@pytest.mark.parametrize("bits", [24, 6])
+def test_windows_among_are_all_that_are_wanted(spark, monkeypatch, bits):
+    monkeypatch.setattr(tiling, "BITS", bits)  # at 6 the map is full
+    df, letters = _texts(spark)
+    wanted = {s[i : i + k] for s in letters[:9] for i in range(0, max(len(s) - 8, 0), 50) for k in (8, 3)} | {"QQQ"}
+    cut = tiling.windows_among(df, "text", spark.createDataFrame([(w,) for w in wanted], "w string"), [3, 8], kmer="w", offset="o").collect()
+    plain = {(i, s[o : o + k], o) for i, s in enumerate(letters) for k in (3, 8) for o in range(len(s) - k + 1)}
+    got = {(r.id, r.w, r.o) for r in cut}
+    assert got <= plain and {x for x in plain if x[1] in wanted} <= got and len(got) == len(cut)
+    assert bits == 6 or len(got) < 2 * sum(x[1] in wanted for x in plain)  # before, every window became a row
