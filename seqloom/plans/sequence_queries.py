@@ -74,7 +74,7 @@ _TILE = " UNION ALL ".join(f"SELECT p_partkey, substr(pep, CAST(o AS INT) + 1, {
 
 
 def kmer_counts(spark, sf_dir):
-    return tiling.kmer_counts(_dealt(spark, sf_dir).select(S.letters("text").alias("seq")), "seq", 5)
+    return tiling.letter_counts(_dealt(spark, sf_dir), "text", 5)
 
 
 def decompose(spark, sf_dir):
