@@ -15,8 +15,8 @@ from seqloom.functions.sequences import RESIDUES, is_standard
 BLOCK = 512
 #: Bytes of text that are packed at a time; the longest window whose base-20 code leaves 24 bits for the row.
 SLICE, MOST_PACKED = 4_000_000, 9
-#: Bits of the map of wanted windows; multipliers of the rolled hash.
-BITS = 24
+#: Bits of the map of wanted windows; distinct windows that a task holds; multipliers of the rolled hash.
+BITS, HELD = 24, 1 << 20
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -154,12 +154,14 @@ def letter_counts(df: DataFrame, text: str, k: int) -> DataFrame:
     return df.select(text).mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).select(unpacked("code", k).alias("kmer"), "n")
 
 
-def windows_among(df: DataFrame, text: str, wanted: DataFrame, lengths: list[int], *, kmer: str = "kmer", offset: str = "offset") -> DataFrame:
+def windows_among(df: DataFrame, text: str, wanted: DataFrame, lengths: list[int], *, kmer: str = "kmer", offset: str = "offset", distinct: bool = False) -> DataFrame:
     """df without text, with the windows of the letters of each text, in upper case, that may be among the strings of wanted (one column, letters only, of these lengths), and their zero-based offsets.
 
     A map of bits, of fixed size, names the wanted ones by a hash: what it lets through by chance falls out in the join that follows, and where
-    it fills up, all windows are let through.
+    it fills up, all windows are let through. distinct: the windows alone, of up to 13 letters, each once for about HELD that a task has.
     """
+    if distinct and max(lengths) > 13:
+        raise ValueError("windows of more than 13 letters do not fit a code")
     rest, mask = [f for f in df.schema.fields if f.name != text], (1 << BITS) - 1
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,6 +191,33 @@ def windows_among(df: DataFrame, text: str, wanted: DataFrame, lengths: list[int
                     if len(at):
                         yield pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(own + a)) for i in range(len(rest))), strings_of(place, at, np.full(len(at), k)).cast(pa.string()), pa.array((at - np.searchsorted(row, own)).astype(np.int32))], names=[*(f.name for f in rest), kmer, offset])
 
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {k: np.zeros(0, np.int64) for k in lengths}
+
+        def out(k: int) -> pa.RecordBatch:
+            place = held[k][:, None] // 26 ** np.arange(k - 1, -1, -1) % 26
+            return pa.RecordBatch.from_arrays([strings_of(place.ravel(), np.arange(len(place)) * k, np.full(len(place), k)).cast(pa.string())], names=[kmer])
+
+        for b in batches:
+            texts = b.column(0).cast(pa.large_string()).fill_null("")
+            for a, z in slices(texts):
+                row, place = letters_of(texts.slice(a, z - a))
+                for k in lengths:
+                    if len(row) < k:
+                        continue
+                    p = rolled(place, k).view(np.int64) & mask
+                    at = np.flatnonzero(((map_.value[p >> 6] >> (p & 63)) & 1 == 1) & (row[: len(p)] == row[k - 1 :]))
+                    code = np.zeros(len(at), np.int64)
+                    for j in range(k):
+                        code = code * 26 + place[at + j]
+                    held[k] = np.union1d(held[k], code)
+                    if len(held[k]) >= HELD:
+                        yield out(k)
+                        held[k] = held[k][:0]
+        yield from (out(k) for k in lengths if len(held[k]))
+
+    if distinct:
+        return df.select(text).mapInArrow(once, f"`{kmer}` string")
     types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest)
     return df.select(*(f.name for f in rest), text).mapInArrow(run, f"{types}`{kmer}` string, `{offset}` int")
 

@@ -98,9 +98,9 @@ def register_novelty(spark, sf_dir):
     b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("peptide")).where(F.length("peptide") > 0)
     units = b.select("item_id", F.col("item_id").cast("string").alias("unit"), F.lit("").alias("gene"), "peptide", F.floor(F.length("peptide") / 2).cast("int").alias("mutation_index"), F.when(F.col("item_id") % 3 == 0, "fusion").otherwise("missense").alias("kind"))
     registers = cassette.novel_registers(units, LENGTHS)
-    text = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("s"))
-    cut = tiling.tile(text, "s", list(LENGTHS), standard=False, kmer="register")
+    text = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")
     wanted = registers.where("novel").select("register").distinct()
+    cut = tiling.windows_among(text, "text", wanted, list(LENGTHS), kmer="register", distinct=True)
     there = cut.select("register").join(wanted, "register", "left_semi").distinct().withColumn("held", F.lit(True))
     return registers.join(there, "register", "left").groupBy("unit").agg(F.count("*").alias("n"), F.count_if("novel").alias("n_novel"), F.count_if(F.col("novel") & F.coalesce("held", F.lit(False))).alias("n_held"))
 

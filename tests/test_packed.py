@@ -85,3 +85,5 @@ def test_windows_among_are_all_that_are_wanted(spark, monkeypatch, bits):
     got = {(r.id, r.w, r.o) for r in cut}
     assert got <= plain and {x for x in plain if x[1] in wanted} <= got and len(got) == len(cut)
     assert bits == 6 or len(got) < 2 * sum(x[1] in wanted for x in plain)  # before, every window became a row
+    once = [r.w for r in tiling.windows_among(df.coalesce(1), "text", spark.createDataFrame([(w,) for w in wanted], "w string"), [3, 8], kmer="w", distinct=True).collect()]
+    assert sorted(once) == sorted({x[1] for x in got})
