@@ -31,8 +31,8 @@ def _kernel(panel: DataFrame) -> DataFrame:
 
 
 def _fitted(spark, sf_dir):
-    panel = _panel(spark, sf_dir)
     kept = M.Rounds(spark, "anchors")
+    panel = kept.kept(_panel(spark, sf_dir))  # texts are read once
     counts, kernel = kept.kept(M.anchor_counts(panel, ANCHORS, weight="w")), kept.kept(_kernel(panel))
     return panel, counts, kernel, M.distributions(counts, kernel, M.fitted_tau(counts, ANCHORS))
 
