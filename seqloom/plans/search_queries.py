@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import scoring
 from seqloom.functions import sequences as S
 from seqloom.operators import candidates, cassette, counts, density, neighbours, ranking, tiling
+from seqloom.operators.rounds import Rounds
 
 #: Windows of fuzzy search, substitutions in each, and best references of a word that are reported.
 K, SUBS, PLACES = 5, 1, 10
@@ -156,7 +157,7 @@ SELECT gene, p AS peptide, score, imputed, dense_rank() OVER (ORDER BY score DES
 
 def masked_density(spark, sf_dir):
     """Mean count of the 4-mers of every word of standard residues, anchors of its class as wildcards, among those of all words; classes by length, the core of class II by its register."""
-    words = _words(spark, sf_dir, "documents").where(S.is_standard("pep"))
+    words = Rounds(spark, "words").kept(_words(spark, sf_dir, "documents").where(S.is_standard("pep")))  # read six times below
     out = None
     for cls, own in (("mhc1", F.length("pep") <= S.CLASS_I_MOST), ("mhc2", F.length("pep") > S.CLASS_I_MOST)):
         face = partial(S.face_kmers, cls=cls, wildcard=True)
