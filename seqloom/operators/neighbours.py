@@ -86,6 +86,23 @@ def counts_by_distance(pairs: DataFrame, key: str, most: int) -> DataFrame:
 COUNTED = 12
 
 
+def _masked(each: DataFrame, pep: str, d: int) -> DataFrame:
+    """pep, _n, k, no, key: the letters beside every mask of 1 to d places of every string of up to COUNTED letters.
+
+    Masks are a table, of at most d + 1 runs of letters each: as one expression for all lengths they are too long to be compiled.
+    """
+    masks = []
+    for size in range(1, COUNTED + 1):
+        for m in (m for k in range(1, min(d, size) + 1) for m in combinations(range(size), k)):
+            ends = [-1, *m, size]
+            runs = [(a + 2, b - a - 1) for a, b in zip(ends, ends[1:], strict=False)]
+            runs += [(1, 0)] * (d + 1 - len(runs))
+            masks.append((size, len(m), sum(1 << i for i in m), *(x for r in runs for x in r)))
+    table = each.sparkSession.createDataFrame(masks, "_n int, k int, no int, " + ", ".join(f"_s{i} int, _l{i} int" for i in range(d + 1)))
+    met = each.select(pep, F.length(pep).alias("_n")).join(F.broadcast(table), "_n")  # of a fixed size
+    return met.select(pep, "_n", "k", "no", F.concat(*(F.substring(F.col(pep), F.col(f"_s{i}"), F.col(f"_l{i}")) for i in range(d + 1))).alias("key"))
+
+
 def neighbour_counts(words: DataFrame, d: int, *, pep: str = "pep") -> DataFrame:
     """pep, n1 … nd: of every distinct string the number of others at each number of substitutions up to d. No pair of short strings is made.
 
@@ -93,14 +110,9 @@ def neighbour_counts(words: DataFrame, d: int, *, pep: str = "pep") -> DataFrame
     all masks of k places is S_k = sum over j up to k of n_j C(L - j, k - j), from which n_1, n_2, … follow in turn. Strings of
     more than COUNTED letters are paired, as those that share a piece are few.
     """
-    each = words.select(pep).where(F.col(pep).isNotNull()).distinct()
+    each = Rounds(words.sparkSession, "neighbours").kept(words.select(pep).where(F.col(pep).isNotNull()).distinct())  # read five times below
     n = F.length(pep)
-    keys = None
-    for size in range(1, COUNTED + 1):
-        masks = [set(m) for k in range(1, min(d, size) + 1) for m in combinations(range(size), k)]
-        one = F.array(*(F.struct(F.lit(len(m)).alias("k"), F.lit(sum(1 << i for i in m)).alias("no"), F.concat(F.lit(""), *(F.substring(pep, i + 1, 1) for i in range(size) if i not in m)).alias("key")) for m in masks))
-        keys = F.when(n == size, one) if keys is None else keys.when(n == size, one)
-    rows = each.where(n.between(1, COUNTED)).select(pep, n.alias("_n"), F.explode(keys).alias("_k")).select(pep, "_n", "_k.*")
+    rows = _masked(each, pep, d)
     sizes = rows.groupBy("_n", "k", "no", "key").agg((F.count("*") - 1).alias("_c")).where("_c > 0")
     sums = rows.join(sizes, ["_n", "k", "no", "key"]).groupBy(pep).agg(*(F.sum(F.when(F.col("k") == k, F.col("_c"))).alias(f"_s{k}") for k in range(1, d + 1)))
     found = each.where(n <= COUNTED).join(sums, pep, "left")
