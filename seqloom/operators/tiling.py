@@ -154,6 +154,14 @@ def letter_counts(df: DataFrame, text: str, k: int) -> DataFrame:
     return df.select(text).mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).select(unpacked("code", k).alias("kmer"), "n")
 
 
+def bit_map(places: DataFrame, bits: int) -> np.ndarray:
+    """A map of 2^bits bits, 64 in a word, in which those of the column p are set."""
+    words = places.groupBy(F.expr("p div 64").alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("w")).toArrow()  # at most 2^(bits - 6) rows
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words["i"].to_numpy()] = words["w"].to_numpy()
+    return out
+
+
 def windows_among(df: DataFrame, text: str, wanted: DataFrame, lengths: list[int], *, kmer: str = "kmer", offset: str = "offset", distinct: bool = False) -> DataFrame:
     """df without text, with the windows of the letters of each text, in upper case, that may be among the strings of wanted (one column, letters only, of these lengths), and their zero-based offsets.
 
@@ -172,10 +180,7 @@ def windows_among(df: DataFrame, text: str, wanted: DataFrame, lengths: list[int
                 row, place = letters_of(own.filter(pa.array(size == k)))
                 yield pa.RecordBatch.from_arrays([pa.array((rolled(place, k)[::k].view(np.int64)) & mask)], names=["p"])
 
-    words = wanted.mapInArrow(places, "p bigint").groupBy(F.expr("p div 64").alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("w")).toArrow()  # at most 2^18 rows
-    bits = np.zeros(1 << (BITS - 6), np.int64)
-    bits[words["i"].to_numpy()] = words["w"].to_numpy()
-    map_ = df.sparkSession.sparkContext.broadcast(bits)
+    map_ = df.sparkSession.sparkContext.broadcast(bit_map(wanted.mapInArrow(places, "p bigint"), BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

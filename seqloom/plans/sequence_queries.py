@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import sequences as S
-from seqloom.operators import counts, density, loci, neighbours, overlap, tiling
+from seqloom.operators import counts, density, loci, neighbours, overlap, rarest, tiling
 from seqloom.operators.calibration import percent_rank
-from seqloom.operators.ranking import top
 from seqloom.operators.rounds import Rounds
 
 R = S.RESIDUES
@@ -41,16 +40,9 @@ def _tiles(k: int) -> str:
 
 def rare_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each document the three 9-mers that are rarest in the corpus, with their percent rank among all occurrences of the same language: the top-k is the report."""
-    kept = Rounds(spark, "rare_kmers")
-    per_doc = kept.kept(tiling.packed_windows(_dealt(spark, sf_dir), "text", 9))
-    # how often a k-mer occurs in a language, and in the corpus: a row for each language of a k-mer
-    by_lang = per_doc.groupBy("code", "lang").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
-    seen = kept.kept(by_lang.select("code", "lang", "docs", F.sum("n").over(Window.partitionBy("code")).alias("n_corpus")))
-    # both sides are tables, so that a k-mer that a third of the documents have can be split
-    rows = per_doc.select("doc_id", "lang", "code", "first").join(seen.select(F.col("code").alias("_c"), F.col("lang").alias("_l"), "n_corpus"), (F.col("code") == F.col("_c")) & F.col("lang").eqNullSafe(F.col("_l")))
-    first = top(rows.select("doc_id", "lang", "code", "first", "n_corpus"), ["doc_id"], [F.asc("n_corpus"), F.asc("code")], 3)
+    first, back = rarest.rarest(spark, _dealt(spark, sf_dir), "doc_id", "lang", "text", 9, 3)
     # the background of a language: how often each of its k-mers occurs in the corpus
-    back = seen.groupBy("lang", F.col("n_corpus").cast("double").alias("score")).agg(F.sum("docs").alias("docs"))
+    back = back.select("lang", F.col("n_corpus").cast("double").alias("score"), F.col("texts").alias("docs"))
     ranked = percent_rank(first.withColumn("score", F.col("n_corpus").cast("double")), back, ["lang"], weight="docs")
     return ranked.select("doc_id", tiling.unpacked("code", 9).alias("kmer"), "n_corpus", F.col("first").alias("offset"), F.round("pct_rank", 6).alias("pct_rank"))
 
