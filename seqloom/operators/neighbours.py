@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -248,6 +251,104 @@ def fuzzy_kmers(queries: DataFrame, refs: DataFrame, k: int, *, subs: int = 1, l
     return found.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("shared"), "score", "ref")))
 
 
+#: References and queries of a unit of `fuzzy_best`, and pairs that it counts at a time.
+UNIT, ASKED, PAIRS = 1 << 15, 1 << 12, 1 << 21
+
+
+def _cut(words: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """of, code: the distinct windows of k letters of each word, by word."""
+    row, place = tiling.letters_of(words.cast(pa.large_string()))
+    m = max(len(row) - k + 1, 0)
+    code = np.zeros(m, np.int64)
+    for j in range(k):
+        code = code * 26 + place[j : j + m]
+    within = row[:m] == row[k - 1 :][:m]
+    key = np.unique(row[:m][within] * 26**k + code[within])
+    return key // 26**k, key % 26**k
+
+
+def _expanded(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ..., n of them, for each."""
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - n), n)
+
+
+def _best(shared: np.ndarray, score: np.ndarray, query: np.ndarray, ref: np.ndarray, most: int) -> np.ndarray:
+    """The rows of the first `most` references of each query."""
+    # only counts that the first `most` of a query reach are sorted; counts of 255 and more are taken as one for that
+    key = query * 256 + np.minimum(shared, 255)
+    n = np.bincount(key, minlength=(int(query.max(initial=0)) + 1) * 256)
+    more = n.reshape(-1, 256)[:, ::-1].cumsum(1)[:, ::-1].ravel() - n
+    at = np.flatnonzero(more[key] < most)
+    at = at[np.lexsort((ref[at], score[at], -shared[at], query[at]))]
+    return at[np.arange(len(at)) - np.searchsorted(query[at], query[at]) < most]
+
+
+def _unit(queries: pa.Array, refs: pa.Array, k: int, subs: int, most: int) -> tuple[np.ndarray, ...]:
+    """query, ref, shared, score of the first `most` of the sorted references of each query."""
+    of, code = _cut(queries, k)
+    windows, own = np.unique(code, return_inverse=True)
+    asked = of[np.argsort(own, kind="stable")]  # queries by window
+    asked_at = np.searchsorted(np.sort(own), np.arange(len(windows) + 1))
+    each = np.arange(len(windows))
+    near, window, dist = [windows], [each], [np.zeros(len(windows), np.int64)]
+    for unit in (26**j for j in range(k if subs else 0)):
+        for step in range(1, 26):
+            old = windows // unit % 26
+            near.append(windows + ((old + step) % 26 - old) * unit)
+            window.append(each)
+            dist.append(np.ones(len(windows), np.int64))
+    near, window, dist = np.concatenate(near), np.concatenate(window), np.concatenate(dist)
+    order = np.argsort(near, kind="stable")
+    near, window, dist = near[order], window[order], dist[order]
+    row, code = _cut(refs, k)
+    low = np.searchsorted(near, code)
+    n = np.searchsorted(near, code, side="right") - low
+    row, low, n = row[n > 0], low[n > 0], n[n > 0]
+    ahead = np.r_[0, np.cumsum(np.diff(asked_at)[window])]
+    pairs = np.cumsum(ahead[low + n] - ahead[low])  # as many as queries have the windows that are met
+    edges = np.unique(np.r_[0, np.flatnonzero(np.diff(pairs // PAIRS)) + 1, len(row)])
+    edges = np.unique(np.searchsorted(row, row[np.minimum(edges, len(row) - 1)])) if len(row) else edges[:0]  # a word is not split
+    best = [np.zeros(0, np.int64)] * 4
+    for a, z in zip(edges, [*edges[1:], len(row)], strict=True):
+        at = _expanded(low[a:z], n[a:z])
+        met = np.sort(((np.repeat(row[a:z], n[a:z]) * len(windows) + window[at]) << 1) | dist[at])
+        met = met[np.r_[True, (met[1:] >> 1) != (met[:-1] >> 1)]]  # each window of a query at its least distance
+        ref, w = (met >> 1) // len(windows), (met >> 1) % len(windows)
+        times = np.diff(asked_at)[w]
+        key = np.sort(((asked[_expanded(asked_at[w], times)] * len(refs) + np.repeat(ref, times)) << 1) | np.repeat(met & 1, times))
+        start = np.flatnonzero(np.r_[True, (key[1:] >> 1) != (key[:-1] >> 1)])
+        pair = key[start] >> 1
+        found = [pair // len(refs), pair % len(refs), np.diff(np.r_[start, len(key)]), key[start] & 1]
+        best = [np.r_[x, y] for x, y in zip(best, found, strict=True)]
+        took = _best(best[2], best[3], best[0], best[1], most)
+        best = [x[took] for x in best]
+    return tuple(best)
+
+
+def fuzzy_best(queries: DataFrame, refs: DataFrame, k: int, most: int, *, subs: int = 1) -> DataFrame:
+    """query, ref, shared, score, place: the first `most` references of each query by `fuzzy_kmers`, of strings of the letters A to Z, none or one substitution allowed.
+
+    refs are distinct and stored, as they are counted. Queries and references meet in units of bounded size, and only the best of a
+    unit leave it, in place of a row for each pair.
+    """
+    if subs not in (0, 1) or 26**k * max(UNIT, ASKED) >= 1 << 62:
+        raise ValueError("up to one substitution, and windows that fit a code")
+    q = queries.where(F.length("query") >= k).select("query").distinct()
+    slices, blocks = (max(1, -(-df.count() // size)) for df, size in ((refs, UNIT), (q, ASKED)))
+    dealt = lambda df, name, m, own, other, n: df.select(name, F.pmod(F.xxhash64(name), F.lit(m)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(other)).select("_b", "_s", name).repartition(slices * blocks, "_b", "_s")
+    left, right = dealt(q, "query", blocks, "_b", "_s", slices), dealt(refs.where(F.length("ref") >= k), "ref", slices, "_s", "_b", blocks)
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        asked, there = a["query"].combine_chunks(), b["ref"].combine_chunks()
+        there = there.take(pc.sort_indices(there))
+        x = _unit(asked, there, k, subs, most) if len(asked) and len(there) else [np.zeros(0, np.int64)] * 4
+        return pa.table({"query": asked.take(pa.array(x[0])), "ref": there.take(pa.array(x[1])), "shared": pa.array(x[2]), "score": pa.array(x[3].astype(np.int32))})
+
+    found = left.groupBy("_b", "_s").cogroup(right.groupBy("_b", "_s")).applyInArrow(run, "query string, ref string, shared bigint, score int")
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("shared"), "score", "ref"))).where(F.col("place") <= most)
+
+
 def wild_type(peptides: DataFrame, windows: DataFrame, *, pep: str = "pep") -> DataFrame:
     """pep and its first variant of one substitution, by place and residue, among the windows; null if there is none, or pep is one itself."""
     from seqloom.operators.tiling import substitutions

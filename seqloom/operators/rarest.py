@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +47,7 @@ def tallies(df: DataFrame, key: str, group: str, text: str, k: int) -> DataFrame
             many = n > 1
             named = pa.array(list(groups), type_of).take(pa.array(code >> 39))
             none = pa.scalar(None, keys.type)
-            return pa.RecordBatch.from_arrays([pa.array(code & _CODE), named, pa.array(n), pa.array(texts), pa.compute.if_else(pa.array(many), none, keys), pa.array(first, mask=many)], names=["code", group, "n", "texts", key, "first"])
+            return pa.RecordBatch.from_arrays([pa.array(code & _CODE), named, pa.array(n), pa.array(texts), pc.if_else(pa.array(many), none, keys), pa.array(first, mask=many)], names=["code", group, "n", "texts", key, "first"])
 
         def some(h: list, which: np.ndarray) -> list:
             return [*(x[which] for x in h[:4]), h[4].filter(pa.array(which))]

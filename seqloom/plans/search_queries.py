@@ -60,8 +60,8 @@ SELECT cls, query, a AS allele, count(*) AS votes, (sum(count(*)) OVER (PARTITIO
 def fuzzy_words(spark, sf_dir):
     """Of every word of the benchmark the ten words of the documents that share most of its windows of five letters, one substitution allowed in each, itself left out."""
     asked = _words(spark, sf_dir, "benchmark").select(F.col("pep").alias("query"))
-    refs = _words(spark, sf_dir, "documents").select(F.col("pep").alias("ref"))
-    found = neighbours.fuzzy_kmers(asked, refs, K, subs=SUBS).where(F.col("place") <= PLACES + 1)  # a word's own place is the first
+    refs = Rounds(spark, "words").kept(_words(spark, sf_dir, "documents").where(F.length("pep") >= K).select(F.col("pep").alias("ref")))
+    found = neighbours.fuzzy_best(asked, refs, K, PLACES + 1, subs=SUBS)  # one more, as a word may be found itself
     mine = found.groupBy("query").agg(F.max(F.when(F.col("ref") == F.col("query"), F.col("place"))).alias("own"))
     others = found.join(mine, "query").where(F.col("ref") != F.col("query")).withColumn("place", F.col("place") - F.when(F.col("own") < F.col("place"), 1).otherwise(0))
     return others.where(F.col("place") <= PLACES).select("query", "ref", "shared", F.col("score").cast("bigint").alias("score"), "place")
