@@ -15,7 +15,7 @@ from seqloom.operators.ranking import top
 from seqloom.operators.rounds import Rounds
 
 #: Rows that a task adds up before it gives them on; codes of the most frequent windows that every task knows; bits of the map of ids.
-HELD, KNOWN, BITS = 1 << 21, 1 << 20, 24
+HELD, KNOWN, BITS = 1 << 20, 1 << 20, 24
 _CODE = (1 << 39) - 1
 
 
@@ -23,6 +23,21 @@ def _starts(key: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
 
 
+def _tally(texts: pa.Array, group: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """code (group << 39 | window), n, texts, first, row: of each window of each group its occurrences, its texts, and its first place."""
+    row, at, code = tiling._codes(texts, k)
+    code |= group[row[at]] << 39
+    order = np.argsort(code, kind="stable")  # of equal ones by text and offset
+    code, at = code[order], at[order]
+    of, start = row[at], _starts(code)
+    if not len(start):
+        return (start,) * 5
+    new = np.r_[True, (code[1:] != code[:-1]) | (of[1:] != of[:-1])]
+    mine = of[start]
+    first = at[start] - np.searchsorted(row, np.arange(len(texts)))[mine]
+    return code[start], np.diff(np.r_[start, len(code)]), np.add.reduceat(new.astype(np.int64), start), first, mine
+
+
 def tallies(df: DataFrame, key: str, group: str, text: str, k: int) -> DataFrame:
     """code, group, n, texts, key, first: occurrences of windows of k standard residues among the letters of the texts of a group, and rows of df that have them, as far as a task has added them up.
 
@@ -35,12 +50,12 @@ def tallies(df: DataFrame, key: str, group: str, text: str, k: int) -> DataFrame
         held: list[list] = []  # group << 39 | code, n, texts, first, keys
 
         def added() -> list:
-            code, n, texts, first = (np.concatenate([h[i] for h in held]) for i in range(4))
+            code = np.concatenate([h[0] for h in held])
             order = np.argsort(code, kind="stable")
             code = code[order]
             at = _starts(code)
-            keys = pa.concat_arrays([h[4] for h in held]).take(pa.array(order[at]))
-            return [code[at], np.add.reduceat(n[order], at) if len(at) else n, np.add.reduceat(texts[order], at) if len(at) else texts, first[order][at], keys]
+            n, texts = (np.add.reduceat(np.concatenate([h[i] for h in held])[order], at) for i in (1, 2))
+            return [code[at], n, texts, np.concatenate([h[3] for h in held])[order[at]], pa.concat_arrays([h[4] for h in held]).take(pa.array(order[at]))]
 
         def out(h: list) -> pa.RecordBatch:
             code, n, texts, first, keys = h
@@ -57,17 +72,10 @@ def tallies(df: DataFrame, key: str, group: str, text: str, k: int) -> DataFrame
             own = np.array([groups.setdefault(g, len(groups)) for g in b.column(1).to_pylist()], np.int64)
             texts = b.column(2).cast(pa.large_string()).fill_null("")
             for a, z in tiling.slices(texts):
-                row, at, code = tiling._codes(texts.slice(a, z - a), k)
-                code |= own[a:z][row[at]] << 39
-                order = np.argsort(code, kind="stable")  # of equal ones by text and offset
-                code, at = code[order], at[order]
-                of, start = row[at], _starts(code)
-                if not len(start):
+                code, n, has, first, of = _tally(texts.slice(a, z - a), own[a:z], k)
+                if not len(code):
                     continue
-                new = np.r_[True, (code[1:] != code[:-1]) | (of[1:] != of[:-1])]
-                mine = of[start]
-                begin = np.searchsorted(row, np.arange(z - a))
-                held.append([code[start], np.diff(np.r_[start, len(code)]), np.add.reduceat(new.astype(np.int64), start), at[start] - begin[mine], b.column(0).take(pa.array(mine + a))])
+                held.append([code, n, has, first, b.column(0).take(pa.array(of + a))])
                 if sum(len(h[0]) for h in held) >= HELD:
                     whole = added()
                     single = whole[1] == 1
