@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -85,12 +87,12 @@ def counts_by_distance(pairs: DataFrame, key: str, most: int) -> DataFrame:
     return pairs.groupBy(key).agg(*(F.count_if(F.col("dist") == i).alias(f"n{i}") for i in range(most + 1)))
 
 
-#: Longest strings whose neighbours are counted by masks: longer ones have few, and more masks than pieces.
+#: Longest strings whose masks are written as rows.
 COUNTED = 12
 
 
 def _masked(each: DataFrame, pep: str, d: int) -> DataFrame:
-    """pep, _n, k, no, key: the letters beside every mask of 1 to d places of every string of up to COUNTED letters.
+    """pep, _n, k, no, key: the letters beside every mask of 1 to d places of every string of up to COUNTED letters. A row for each: `neighbour_counts` does the same in units.
 
     Masks are a table, of at most d + 1 runs of letters each: as one expression for all lengths they are too long to be compiled.
     """
@@ -106,19 +108,114 @@ def _masked(each: DataFrame, pep: str, d: int) -> DataFrame:
     return met.select(pep, "_n", "k", "no", F.concat(*(F.substring(F.col(pep), F.col(f"_s{i}"), F.col(f"_l{i}")) for i in range(d + 1))).alias("key"))
 
 
+#: Letters of a unit of `neighbour_counts`, about; longest strings that meet by masks there: longer ones have too many, and few share two pieces; letters of pairs that are compared at a time.
+LETTERS, LONG, COMPARED = 1 << 21, 32, 1 << 22
+
+
+def _letters(words: pa.LargeStringArray, n: int) -> np.ndarray:
+    """The letters of strings of n letters, a row for each place, as differences from the least."""
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    text = words.buffers()[2][int(ends[0]) : int(ends[-1])].to_pybytes().decode()
+    x = np.ascontiguousarray(np.frombuffer(text.encode("utf-32-le"), "<u4").reshape(-1, n).T)
+    return x - x.min()
+
+
+def _coded(code: np.ndarray, letters: np.ndarray, width: int) -> np.ndarray:
+    """Numbers that are equal where the codes and all letters, of `width` bits, are."""
+    bits = int(code.max()).bit_length()
+    for x in letters:
+        if bits + width > 63:
+            code = np.unique(code, return_inverse=True)[1]
+            bits = len(code).bit_length()
+        code = (code << width) | x
+        bits += width
+    return code
+
+
+def _by_masks(x: np.ndarray, own: np.ndarray, ends: list[int], whole: tuple[int, int], d: int) -> np.ndarray:
+    """S_1 to S_d of strings that share two pieces with those of the same `own`, over the masks whose first whole pieces these are."""
+    out, width = np.zeros((len(own), d), np.int64), int(x.max()).bit_length()
+    of = [bisect_right(ends, i) for i in range(len(x))]
+    rest = [i for i in range(len(x)) if of[i] not in whole]
+    for m in (m for k in range(1, d + 1) for m in combinations(rest, k)):
+        cut = {of[i] for i in m}
+        if all(p in cut or p in whole for p in range(whole[1])):
+            _, at, n = np.unique(_coded(own, x[[i for i in rest if i not in m]], width), return_inverse=True, return_counts=True)
+            out[:, len(m) - 1] += n[at] - 1
+    return out
+
+
+def _by_pairs(x: np.ndarray, own: np.ndarray, ends: list[int], whole: tuple[int, int], d: int) -> np.ndarray:
+    """As `_by_masks`, but that a pair adds to all sums where the pieces are the first whole ones of the places at which it differs."""
+    out, size = np.zeros((len(own), d), np.int64), max(1, COMPARED // len(x))
+    order = np.argsort(own, kind="stable")
+    own, start = own[order], [0, *ends]
+    for step in range(1, int(np.bincount(own).max())):
+        same = np.flatnonzero(own[step:] == own[:-step])
+        for at in (same[i : i + size] for i in range(0, len(same), size)):
+            left, right = order[at], order[at + step]
+            differ = x[:, left] != x[:, right]
+            n, here = differ.sum(0), np.ones(len(at), bool)
+            for p in range(whole[1]):
+                if p not in whole:
+                    here &= differ[start[p] : ends[p]].any(0)
+            for j in range(1, d + 1):
+                near = here & (n == j)
+                for k in range(j, d + 1):
+                    for side in (left, right):
+                        np.add.at(out[:, k - 1], side[near], comb(len(x) - j, k - j))
+    return out
+
+
+def _sums(words: pa.LargeStringArray, no: np.ndarray, d: int) -> np.ndarray:
+    """S_1 to S_d of each string over the masks of its pieces, no: a (d + 2) + b. Strings of one length that share pieces a and b are all here."""
+    out, m = np.zeros((len(words), d), np.int64), d + 2
+    size = pc.utf8_length(words).to_numpy()
+    key = size * m * m + no
+    order = np.argsort(key, kind="stable")
+    edges = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0, True])
+    for at in (order[i:j] for i, j in zip(edges, edges[1:], strict=False)):
+        n, whole = int(size[at[0]]), divmod(int(no[at[0]]), m)
+        if n == 0 or len(at) == 1:
+            continue
+        x, ends = _letters(words.take(pa.array(at)), n), [n * i // m for i in range(1, m + 1)]
+        shared = [i for i in range(n) if bisect_right(ends, i) in whole]
+        _, own, times = np.unique(_coded(np.zeros(len(at), np.int64), x[shared], int(x.max()).bit_length()), return_inverse=True, return_counts=True)
+        more = times[own] > 1
+        if more.any():
+            out[at[more]] = (_by_masks if n <= LONG else _by_pairs)(x[:, more], own[more], ends, whole, d)
+    return out
+
+
 def neighbour_counts(words: DataFrame, d: int, *, pep: str = "pep") -> DataFrame:
-    """pep, n1 … nd: of every distinct string the number of others at each number of substitutions up to d. No pair of short strings is made.
+    """pep, n1 … nd: of every distinct string the number of others at each number of substitutions up to d. No row is made of a pair or a mask.
 
     The strings that share the letters beside a mask of k places are those that differ at some of these places only. So the sum over
-    all masks of k places is S_k = sum over j up to k of n_j C(L - j, k - j), from which n_1, n_2, … follow in turn. Strings of
-    more than COUNTED letters are paired, as those that share a piece are few.
+    all masks of k places is S_k = sum over j up to k of n_j C(L - j, k - j), from which n_1, n_2, … follow in turn. A mask leaves
+    two of d + 2 even pieces whole, so strings are dealt out by every choice of two pieces, and a unit adds up the masks whose first
+    whole pieces these are.
     """
-    each = Rounds(words.sparkSession, "neighbours").kept(words.select(pep).where(F.col(pep).isNotNull()).distinct())  # read five times below
-    n = F.length(pep)
-    rows = _masked(each, pep, d)
-    sizes = rows.groupBy("_n", "k", "no", "key").agg((F.count("*") - 1).alias("_c")).where("_c > 0")
-    sums = rows.join(sizes, ["_n", "k", "no", "key"]).groupBy(pep).agg(*(F.sum(F.when(F.col("k") == k, F.col("_c"))).alias(f"_s{k}") for k in range(1, d + 1)))
-    found = each.where(n <= COUNTED).join(sums, pep, "left")
+    each = Rounds(words.sparkSession, "neighbours").kept(words.select(pep).where(F.col(pep).isNotNull()).distinct())  # counted, then dealt
+    n, m = F.length(pep), d + 2
+    choices = list(combinations(range(m), 2))
+    units = (each.agg(F.sum(n)).first()[0] or 0) * len(choices) // LETTERS + 1
+    cut = lambda i: F.floor(n * i / m).cast("int")
+    piece = lambda i: F.substring(F.col(pep), cut(i) + 1, cut(i + 1) - cut(i))
+    both = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in choices))).alias("_p")
+    dealt = each.select(pep, both).select(pep, F.col("_p.a").alias("_a"), F.col("_p.b").alias("_b")).repartition(units, n, "_a", "_b", piece(F.col("_a")), piece(F.col("_b")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit = list(batches)
+        if not unit:
+            return
+        unit = pa.Table.from_batches(unit).combine_chunks()
+        peps, no = unit.column(0).combine_chunks(), unit.column(1).to_numpy() * m + unit.column(2).to_numpy()
+        sums = _sums(peps.cast(pa.large_string()), no.astype(np.int64), d)
+        some = np.flatnonzero((no == 1) | sums.any(1))  # at the first choice, also without any
+        yield pa.RecordBatch.from_arrays([peps.take(pa.array(some)), *(pa.array(sums[some, k]) for k in range(d))], names=[pep, *(f"_s{k}" for k in range(1, d + 1))])
+
+    found = dealt.mapInArrow(run, f"`{pep}` string, " + ", ".join(f"_s{k} bigint" for k in range(1, d + 1)))
+    found = found.groupBy(pep).agg(*(F.sum(f"_s{k}").alias(f"_s{k}") for k in range(1, d + 1)))
     for k in range(1, d + 1):
         less = F.lit(0)
         for j in range(1, k):
@@ -126,12 +223,8 @@ def neighbour_counts(words: DataFrame, d: int, *, pep: str = "pep") -> DataFrame
             for i in range(k - j):
                 choose = choose * (n - j - i) / (i + 1)
             less = less + F.col(f"n{j}") * F.greatest(F.round(choose), F.lit(0)).cast("bigint")
-        found = found.withColumn(f"n{k}", F.coalesce(f"_s{k}", F.lit(0)) - F.when(n >= k, less).otherwise(F.lit(0)))
-    short = found.select(pep, *(F.col(f"n{k}").cast("bigint").alias(f"n{k}") for k in range(1, d + 1)))
-    long = each.where(n > COUNTED)
-    pairs = hamming_join(long.select(F.col(pep).alias("query")), long.select(F.col(pep).alias("ref")), d, least=1)
-    rest = long.join(counts_by_distance(pairs, "query", d).withColumnRenamed("query", pep), pep, "left")
-    return short.unionByName(rest.select(pep, *(F.coalesce(f"n{k}", F.lit(0)).cast("bigint").alias(f"n{k}") for k in range(1, d + 1))))
+        found = found.withColumn(f"n{k}", F.col(f"_s{k}") - F.when(n >= k, less).otherwise(F.lit(0)))
+    return found.select(pep, *(F.col(f"n{k}").cast("bigint").alias(f"n{k}") for k in range(1, d + 1)))
 
 
 def mimics(binders: DataFrame, refs: DataFrame, d: int, *, pep: str = "pep", exclude_query: bool = False) -> DataFrame:
